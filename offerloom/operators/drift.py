@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from offerloom.operators import prefix
 
 EPS = 1e-4
-ONE = F.lit(1)
 
 
 def edges_of(base_cum: DataFrame, bins: int = 10) -> DataFrame:
@@ -79,7 +78,7 @@ def ks_two_sample(base: DataFrame, new: DataFrame, features, hot_rows: int = pre
         long_form(new, features).withColumn("b", F.lit(0))
     )
     hist = both.groupBy("feature", "value").agg(
-        F.sum("b").alias("cb"), (F.count(ONE) - F.sum("b")).alias("cn")
+        F.sum("b").alias("cb"), (F.count("*") - F.sum("b")).alias("cn")
     )
     cum = prefix.running_totals(hist, ["feature"], "value", ["cb", "cn"], hot_rows)
     gap = F.abs(F.col("cum_cb") / F.col("total_cb") - F.col("cum_cn") / F.col("total_cn"))
@@ -109,8 +108,8 @@ def drift_report(base: DataFrame, new: DataFrame, features, psi_limit: float = 0
 
 
 def prediction_shares(df: DataFrame, col: str) -> DataFrame:
-    total = df.filter(F.col(col).isNotNull()).agg(F.count(ONE)).scalar()
-    return df.filter(F.col(col).isNotNull()).groupBy(col).agg((F.count(ONE) / total).alias("share"))
+    total = df.filter(F.col(col).isNotNull()).agg(F.count("*")).scalar()
+    return df.filter(F.col(col).isNotNull()).groupBy(col).agg((F.count("*") / total).alias("share"))
 
 
 def drift_baseline(df: DataFrame, features, sample: int = 10000, seed: int = 42, hot_rows: int = prefix.HOT_ROWS):
@@ -119,7 +118,7 @@ def drift_baseline(df: DataFrame, features, sample: int = 10000, seed: int = 42,
     med = prefix.quantiles_of(cum, ["feature"], "value", [0.5]).select("feature", F.col("quantile").alias("median"))
     stats = long_form(df, features).groupBy("feature").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"), F.count(ONE).alias("n"),
+        F.max("value").alias("max"), F.count("*").alias("n"),
     ).join(med, "feature")
     # the row limit per feature is what the sample is; it is applied before and after the shuffle
     rows = prefix.unpivot(df.withColumn("_h", F.xxhash64(*[F.col(c) for c in sorted(df.columns)], F.lit(seed))), features, ["_h"])

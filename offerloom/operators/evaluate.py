@@ -35,7 +35,7 @@ def metrics_per_query(preds: DataFrame, truth: DataFrame, query: str = "query_id
     ideals = ideal.groupBy(query).agg(*[
         F.sum(F.when(F.col("_p") <= k, F.col("_gain") / disc("_p"))).alias(f"_idcg{k}") for k in ks
     ])
-    sizes = relevant.groupBy(query).agg(F.count(F.lit(1)).alias("_nrel"))
+    sizes = relevant.groupBy(query).agg(F.count("*").alias("_nrel"))
     hits = ranked.join(relevant, [query, item], "left").withColumn("_hit", F.col("_gain").isNotNull().cast("int"))
     running = Window.partitionBy(query).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     hits = hits.withColumn("_seen", F.sum("_hit").over(running))
@@ -79,9 +79,9 @@ def evaluate(preds: DataFrame, truth: DataFrame, query: str = "query_id", item:
              gain: str | None = None, ks=KS) -> DataFrame:
     """Means over the queries with relevant items; ``n_queries`` counts every predicted query."""
     per = metrics_per_query(preds, truth, query, item, score, gain, ks)
-    n = preds.select(query).distinct().agg(F.count(F.lit(1))).scalar()
+    n = preds.select(query).distinct().agg(F.count("*")).scalar()
     names = [c for c in per.columns if c != query]
-    return per.agg(*[F.avg(c).alias(c) for c in names], F.count(F.lit(1)).alias("n_evaluated")).withColumn("n_queries", n)
+    return per.agg(*[F.avg(c).alias(c) for c in names], F.count("*").alias("n_evaluated")).withColumn("n_queries", n)
 
 
 def sample_per_group(df: DataFrame, group: str, item: str, fraction: float, seed: int = 42,
@@ -89,6 +89,6 @@ def sample_per_group(df: DataFrame, group: str, item: str, fraction: float, seed
     """A seeded share of each group, at least one row, without replacement: exact counts, any group size."""
     hashed = df.withColumn("_h", F.xxhash64(F.col(item), F.lit(seed)).cast("double")).withColumn("_i", F.col(item))
     ranked = prefix.row_numbers(hashed, [group], [("_h", False), ("_i", False)], "_rn", hot_rows)
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
     want = F.greatest(F.lit(1), F.floor(F.lit(fraction) * F.col("_n")))
     return ranked.join(sizes, group).filter(F.col("_rn") <= want).select(*df.columns)

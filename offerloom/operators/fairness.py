@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 BUDGETS = (5000, 10000, 15000, 20000, 30000, 40000, 50000)
-ONE = F.lit(1)
 
 
 def crosstab_normalised(df: DataFrame, row: str, col: str) -> DataFrame:
     """Share of each ``col`` value within each ``row`` value, long form with zeros left out."""
-    cells = df.groupBy(row, col).agg(F.count(ONE).alias("n"))
+    cells = df.groupBy(row, col).agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy(row))
     return cells.withColumn("share", F.col("n") / total)
 
 
 def crosstab_wide(df: DataFrame, row: str, col: str, values) -> DataFrame:
     """The same as columns, for a known value list."""
-    wide = df.groupBy(row).pivot(col, list(values)).agg(F.count(ONE)).fillna(0)
+    wide = df.groupBy(row).pivot(col, list(values)).agg(F.count("*")).fillna(0)
     total = sum((F.col(str(v)) for v in values), F.lit(0))
     return wide.select(row, *[(F.col(str(v)) / total).alias(str(v)) for v in values])
 
@@ -47,7 +46,7 @@ def equalized_odds(df: DataFrame, predicted, actual, group: str) -> DataFrame:
     tp, pos = F.count_if(predicted & actual), F.count_if(actual)
     fp, neg = F.count_if(predicted & ~actual), F.count_if(~actual)
     rate = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(F.lit(0.0)), 4)
-    return df.groupBy(group).agg(rate(tp, pos).alias("tpr"), rate(fp, neg).alias("fpr"), F.count(ONE).alias("n"))
+    return df.groupBy(group).agg(rate(tp, pos).alias("tpr"), rate(fp, neg).alias("fpr"), F.count("*").alias("n"))
 
 
 def fairness_report(df: DataFrame, group: str, score: str, tier: str, cost: str, min_size: int = 10,
@@ -55,7 +54,7 @@ def fairness_report(df: DataFrame, group: str, score: str, tier: str, cost: str,
     """One row: groups, flagged groups, largest bias, worst flagged group, access and groups without top tier."""
     bias = group_bias(df, group, score, min_size, threshold)
     summary = bias.agg(
-        F.count(ONE).alias("n_groups"), F.count_if("flagged").alias("n_flagged"),
+        F.count("*").alias("n_groups"), F.count_if("flagged").alias("n_flagged"),
         F.max(F.abs("bias")).alias("max_abs_bias"),
         F.max_by(F.when(F.col("flagged"), F.col(group)),
                  F.when(F.col("flagged"), F.struct(F.round("bias", 9), F.col(group)))).alias("worst_group"),
@@ -66,5 +65,5 @@ def fairness_report(df: DataFrame, group: str, score: str, tier: str, cost: str,
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("budget", "rate"))),
                                  lambda s: F.concat_ws("=", s["budget"].cast("string"), s["rate"].cast("string"))), ",")
     )
-    return summary.select("*", no_top.agg(F.count(ONE)).scalar().alias("n_without_top"), names.scalar().alias("without_top"),
+    return summary.select("*", no_top.agg(F.count("*")).scalar().alias("n_without_top"), names.scalar().alias("without_top"),
                           rates.scalar().alias("access"))

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from offerloom.functions import fixed
 from offerloom.operators import prefix
 
-ONE = F.lit(1)
 
 
 def registry_frame(spark) -> DataFrame:
@@ -35,7 +34,7 @@ def spearman_with_target(df: DataFrame, features, target: str, hot_rows: int = p
     correlation of the ranks is a weighted sum over the counts.
     """
     long = prefix.unpivot(df.filter(F.col(target).isNotNull()), features, [target]).filter(F.col("value").isNotNull())
-    cells = long.groupBy("feature", "value", target).agg(F.count(ONE).alias("cnt"))
+    cells = long.groupBy("feature", "value", target).agg(F.count("*").alias("cnt"))
     hist = cells.groupBy("feature", "value").agg(F.sum("cnt").alias("cnt"))
     cum = prefix.running_totals(hist, ["feature"], "value", ["cnt"], hot_rows)
     x = cum.select("feature", "value", (F.col("cum_cnt") - F.col("cnt") + (F.col("cnt") + 1) / 2).alias("rx"), "total_cnt")
@@ -68,7 +67,7 @@ def group_overlap(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
     per = sides.groupBy(key).agg(F.sum("s").alias("s"))
     both = per.filter(F.col("s") == 3)
     examples = both.orderBy(key).limit(5).agg(F.array_join(F.sort_array(F.collect_list(F.col(key))).cast("array<string>"), ","))
-    return per.agg(F.count_if(F.col("s") == 3).alias("overlap"), F.count(ONE).alias("groups")).select(
+    return per.agg(F.count_if(F.col("s") == 3).alias("overlap"), F.count("*").alias("groups")).select(
         "overlap", "groups", F.try_divide(F.col("overlap"), F.col("groups")).alias("ratio"),
         examples.scalar().alias("examples"), (F.col("overlap") == 0).alias("passed"),
     )

@@ -73,7 +73,7 @@ def containment_pairs(left: DataFrame, right: DataFrame, n: int = 4) -> DataFram
 
     def inside(small, s, big, b):
         big_grams = big.select(F.col(b), F.explode(_grams(F.col(b), n)).alias("g"))
-        freq = big_grams.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+        freq = big_grams.groupBy("g").agg(F.count("*").alias("f"))
         probes = small.filter(F.length(s) >= n).select(F.col(s), F.explode(_grams(F.col(s), n)).alias("g"))
         # a gram no text has settles it: the left join keeps the gram with no frequency as the rarest
         rare = (
@@ -136,7 +136,7 @@ def parents_of(offers: DataFrame, name: str, order: str, carry) -> DataFrame:
     """One parent per distinct name: carried columns of its first row and a stable id."""
     return (
         offers.filter(F.col(name).isNotNull()).groupBy(name)
-        .agg(F.min_by(F.struct(*carry), F.col(order)).alias("_f"), F.count(F.lit(1)).alias("n_offers"))
+        .agg(F.min_by(F.struct(*carry), F.col(order)).alias("_f"), F.count("*").alias("n_offers"))
         .select(C.entity_id(name).alias("university_id"), name, *[F.col(f"_f.{c}").alias(c) for c in carry], "n_offers")
     )
 
@@ -152,13 +152,13 @@ def parents_with_children_stats(parents: DataFrame, children: DataFrame, name: s
     has_text = F.coalesce(C.strip(text) != "", F.lit(False)).cast("long")
     has_fee = (F.coalesce(F.col(fee), F.lit(0)) != 0).cast("long")
     per_item = children.groupBy(F.col(child_name).alias(name), F.lower(C.strip(item)).alias("_item")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(has_text).alias("t"), F.sum(has_fee).alias("f")
+        F.count("*").alias("n"), F.sum(has_text).alias("t"), F.sum(has_fee).alias("f")
     )
     stats = per_item.groupBy(name).agg(
         F.sum("n").alias("n_offers"),
         (F.sum("t") / F.sum("n")).alias("description_coverage"),
         (F.sum("f") / F.sum("n")).alias("fee_coverage"),
-        (F.sum("n") - F.count(F.lit(1))).alias("duplicates"),
+        (F.sum("n") - F.count("*")).alias("duplicates"),
     )
     return parents.join(stats, name, "left").fillna(
         {"n_offers": 0, "description_coverage": 0.0, "fee_coverage": 0.0, "duplicates": 0}
@@ -166,7 +166,7 @@ def parents_with_children_stats(parents: DataFrame, children: DataFrame, name: s
 
 
 def expected_coverage(expected: DataFrame, df: DataFrame, key: str) -> DataFrame:
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(key).agg(F.count("*").alias("n"))
     return expected.join(counts, key, "left").select(
         key, F.coalesce("n", F.lit(0)).alias("n"),
         F.when(F.coalesce("n", F.lit(0)) > 0, "OK").otherwise("NO DATA").alias("status"),
@@ -174,8 +174,8 @@ def expected_coverage(expected: DataFrame, df: DataFrame, key: str) -> DataFrame
 
 
 def coverage_verdict(covered: DataFrame, passing: float = 70.0) -> DataFrame:
-    pct = F.count_if(F.col("status") == "OK") * 100.0 / F.count(F.lit(1))
-    return covered.agg(F.count(F.lit(1)).alias("expected"), F.count_if(F.col("status") == "OK").alias("found"),
+    pct = F.count_if(F.col("status") == "OK") * 100.0 / F.count("*")
+    return covered.agg(F.count("*").alias("expected"), F.count_if(F.col("status") == "OK").alias("found"),
                        pct.alias("pct")).withColumn("passed", F.col("pct") >= passing)
 
 

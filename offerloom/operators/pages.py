@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from offerloom.functions import columns as C, fixed
 from offerloom.session import cut_lineage
 
-ONE = F.lit(1)
 DROPPED = r"(?is)<(script|style|nav|footer|header)\b[^>]*>.*?</\1\s*>"
 DROPPED_TAGS = ("script", "style", "nav", "footer", "header")
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
@@ -192,7 +191,7 @@ def reachable_pages(links: DataFrame, seeds: DataFrame, depth: int = 2, fan_out:
         fresh = step.groupBy("seed", "url").agg(F.min("place").alias("place")).join(visited.select("seed", "url"), ["seed", "url"], "left_anti")
         frontier = fresh.select("seed", "url", F.lit(d).alias("depth"), "place")
         if max_pages is not None:
-            room = visited.groupBy("seed").agg((F.lit(max_pages) - F.count(ONE)).alias("room"))
+            room = visited.groupBy("seed").agg((F.lit(max_pages) - F.count("*")).alias("room"))
             order = Window.partitionBy("seed").orderBy("place", "url")
             frontier = frontier.withColumn("_rn", F.row_number().over(order)).join(room, "seed").filter(
                 F.col("_rn") <= F.col("room")).select("seed", "url", "depth", "place")

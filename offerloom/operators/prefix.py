@@ -30,7 +30,7 @@ def _hot_bounds(df: DataFrame, group, order: str, hot_rows: int):
     keyed = df.select(*_fold(group), F.col(order).cast("double").alias("_o"))
     ks = [f"_k{i}" for i in range(len(group))]
     hot = (
-        keyed.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+        keyed.groupBy(*ks).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
         .orderBy(F.col("_n").desc()).limit(MAX_HOT_GROUPS)
     )
     rows = hot.collect()
@@ -138,7 +138,7 @@ def row_numbers(df: DataFrame, group, order, out: str = "row_number", hot_rows:
     w = Window.partitionBy(*group, *bands).orderBy(*names)
     if not any_split:
         return work.withColumn(out, F.row_number().over(w)).select(*df.columns, out)
-    sizes = work.groupBy(*group, *bands).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = work.groupBy(*group, *bands).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy(*bands).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *[F.col(c).alias(f"_s_{c}") for c in group + bands],
@@ -154,7 +154,7 @@ def row_numbers(df: DataFrame, group, order, out: str = "row_number", hot_rows:
 
 def value_counts(df: DataFrame, group, value: str, extra=()) -> DataFrame:
     """One row per (group, value) with ``cnt``; partial sums run before the shuffle."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("cnt"), *extra)
+    return df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("cnt"), *extra)
 
 
 def average_ranks(df: DataFrame, group, value: str, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from offerloom.functions import columns as C
 from offerloom.operators import stats
 
-ONE = F.lit(1)
 
 
 def enforce_constraints(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -69,7 +68,7 @@ def validate_offers(df: DataFrame, desc: str = "program_description", tuition: s
 
 def quality_score(validated: DataFrame, completeness: str = "data_completeness") -> DataFrame:
     """One row: 0.7 of mean completeness less penalties for issues and warnings; critical issues counted."""
-    n = F.count(ONE)
+    n = F.count("*")
     totals = validated.agg(
         n.alias("total"), F.avg(completeness).alias("avg_completeness"), F.sum(F.size("issues")).alias("n_issues"),
         F.sum(F.size("warnings")).alias("n_warnings"),
@@ -81,7 +80,7 @@ def quality_score(validated: DataFrame, completeness: str = "data_completeness")
 
 
 def top_issues(validated: DataFrame, k: int = 3) -> DataFrame:
-    return validated.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count(ONE).alias("n")).orderBy(
+    return validated.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n")).orderBy(
         F.col("n").desc(), "issue").limit(k)
 
 
@@ -138,19 +137,19 @@ def validate_entities(entities: DataFrame, offers: DataFrame) -> DataFrame:
 
 def stats_of_children(offers: DataFrame) -> DataFrame:
     per_name = offers.groupBy("university_name", F.lower(C.strip("program_name")).alias("_n")).agg(
-        F.count(ONE).alias("n"), F.count_if(C.filled("program_description")).alias("d"),
+        F.count("*").alias("n"), F.count_if(C.filled("program_description")).alias("d"),
         F.count_if(F.coalesce(F.col("tuition_domestic"), F.lit(0)) != 0).alias("f"),
     )
     return per_name.groupBy(F.col("university_name").alias("_cname")).agg(
         F.sum("n").alias("n_offers"), (F.sum("d") / F.sum("n")).alias("description_coverage"),
-        (F.sum("f") / F.sum("n")).alias("fee_coverage"), (F.sum("n") - F.count(ONE)).alias("duplicates"),
+        (F.sum("f") / F.sum("n")).alias("fee_coverage"), (F.sum("n") - F.count("*")).alias("duplicates"),
     )
 
 
 def entity_scores(checks: DataFrame) -> DataFrame:
     return checks.groupBy("entity").agg(
         (F.sum(F.when(F.col("passed"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("score"),
-        F.count(ONE).alias("n_checks"), F.count_if("issue").alias("n_issues"),
+        F.count("*").alias("n_checks"), F.count_if("issue").alias("n_issues"),
     )
 
 
@@ -158,14 +157,14 @@ def validation_report(checks: DataFrame) -> DataFrame:
     """One row: mean score, four score bands, issues."""
     s = F.col("score")
     return entity_scores(checks).agg(
-        F.count(ONE).alias("n_entities"), F.avg("score").alias("mean_score"), F.count_if(s >= 0.9).alias("excellent"),
+        F.count("*").alias("n_entities"), F.avg("score").alias("mean_score"), F.count_if(s >= 0.9).alias("excellent"),
         F.count_if((s >= 0.7) & (s < 0.9)).alias("good"), F.count_if((s >= 0.5) & (s < 0.7)).alias("fair"),
         F.count_if(s < 0.5).alias("poor"), F.sum("n_issues").alias("n_issues"),
     )
 
 
 def issues_by_category(checks: DataFrame) -> DataFrame:
-    return checks.filter("issue").groupBy("check").agg(F.count(ONE).alias("n"))
+    return checks.filter("issue").groupBy("check").agg(F.count("*").alias("n"))
 
 
 # --- gates over training runs -----------------------------------------------------------------------

@@ -84,8 +84,8 @@ def text_search(df: DataFrame, id_col: str, text_col: str, terms, k: int | None
     found = df.select(F.col(id_col), F.array_intersect(tokens(F.col(text_col)), want).alias("hit")).filter(
         F.size("hit") > 0
     )
-    totals = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    freq = found.select(F.explode("hit").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    totals = df.agg(F.count("*").alias("n")).scalar()
+    freq = found.select(F.explode("hit").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = freq.select("term", F.log((totals + F.lit(1.0)) / (F.col("df") + F.lit(1.0))).alias("idf"))
     table = idf.agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("m"))  # one entry per term
     score = F.aggregate("hit", F.lit(0.0), lambda s, t: s + F.try_element_at(F.col("_idf"), t))
@@ -113,7 +113,7 @@ def browse(df: DataFrame, equals: dict, shown, order, n: int = 100) -> DataFrame
         if v is not None:
             cond = cond & (F.col(c) == v)
     kept = df.filter(cond)
-    total = kept.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = kept.agg(F.count("*").alias("n")).scalar()
     return kept.orderBy(*order).limit(n).select(*shown, total.alias("total"))
 
 

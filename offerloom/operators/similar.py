@@ -138,9 +138,9 @@ def search_clusters(assigned: DataFrame, queries: DataFrame, centres, k: int, qu
     task sees one block of each. The number of blocks comes from the cluster counts.
     """
     q = nearest_clusters(_prepared(queries, query_id, vector, "query_id", metric), centres, min(probes, len(centres)))
-    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    sizes = assigned.groupBy("cluster").agg(F.count("*").alias("n"))
     nb = sizes.select("cluster", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-    asked = q.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    asked = q.groupBy("cluster").agg(F.count("*").alias("n"))
     nq = asked.select("cluster", F.ceil(F.col("n") / BLOCK).cast("int").alias("nq"))
     plan = nb.join(nq, "cluster")  # a row per cluster
     i = assigned.join(plan, "cluster").withColumn("ib", F.pmod(F.xxhash64("item_id"), F.col("nb")).cast("int")).withColumn(
@@ -188,5 +188,5 @@ def read_index(spark, path: str) -> tuple[DataFrame, list[list[float]]]:
 
 def index_stats(items: DataFrame, vector: str = "v") -> DataFrame:
     """Items, dimensions and bytes of the stored vectors (four bytes per number)."""
-    return items.agg(F.count(F.lit(1)).alias("n_items"), F.max(F.size(vector)).alias("dimensions"),
+    return items.agg(F.count("*").alias("n_items"), F.max(F.size(vector)).alias("dimensions"),
                      (F.sum(F.size(vector)) * 4).cast("bigint").alias("n_bytes"))

@@ -7,12 +7,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from offerloom.functions import columns as C
 from offerloom.operators import prefix
 
-ONE = F.lit(1)
 
 
 def n_distinct(df: DataFrame, *cols: str) -> DataFrame:
     """Exact distinct count as a one-row frame; distinct first, so no task holds the set."""
-    return df.select(*cols).distinct().agg(F.count(ONE).alias("n"))
+    return df.select(*cols).distinct().agg(F.count("*").alias("n"))
 
 
 def counts_by(df: DataFrame, cols, metric: str = "n", unknown: str | None = None) -> DataFrame:
@@ -20,13 +19,13 @@ def counts_by(df: DataFrame, cols, metric: str = "n", unknown: str | None = None
     long = prefix.unpivot(df, cols, name="dimension", value="value", kind="string")
     if unknown is not None:
         long = long.withColumn("value", F.coalesce("value", F.lit(unknown)))
-    return long.groupBy("dimension", "value").agg(F.count(ONE).alias(metric))
+    return long.groupBy("dimension", "value").agg(F.count("*").alias(metric))
 
 
 def offer_statistics(df: DataFrame, completeness="data_completeness", confidence="confidence_score",
                      tuition="tuition") -> DataFrame:
     return df.agg(
-        F.count(ONE).alias("total"), F.avg(completeness).alias("avg_completeness"),
+        F.count("*").alias("total"), F.avg(completeness).alias("avg_completeness"),
         F.avg(confidence).alias("avg_confidence"), F.min(tuition).alias("min_tuition"),
         F.max(tuition).alias("max_tuition"), F.avg(tuition).alias("avg_tuition"),
     )
@@ -34,14 +33,14 @@ def offer_statistics(df: DataFrame, completeness="data_completeness", confidence
 
 def entity_statistics(df: DataFrame, rank="rank", students="students", endowment="endowment") -> DataFrame:
     return df.agg(
-        F.count(ONE).alias("total"), F.avg(rank).alias("avg_rank"), F.min(rank).alias("best_rank"),
+        F.count("*").alias("total"), F.avg(rank).alias("avg_rank"), F.min(rank).alias("best_rank"),
         F.max(rank).alias("worst_rank"), F.avg(students).alias("avg_students"), F.sum(endowment).alias("sum_endowment"),
     )
 
 
 def entity_rollup(df: DataFrame, keys, kind: str, updated: str) -> DataFrame:
     """Offers grouped by entity: count, distinct kinds, latest update. Kinds are reduced before they meet."""
-    per_kind = df.groupBy(*keys, kind).agg(F.count(ONE).alias("n"), F.max(updated).alias("u"))
+    per_kind = df.groupBy(*keys, kind).agg(F.count("*").alias("n"), F.max(updated).alias("u"))
     return per_kind.groupBy(*keys).agg(
         F.sum("n").alias("n_offers"), F.sort_array(F.collect_list(kind)).alias("kinds"), F.max("u").alias("last_updated")
     )
@@ -49,23 +48,23 @@ def entity_rollup(df: DataFrame, keys, kind: str, updated: str) -> DataFrame:
 
 def coverage_totals(df: DataFrame, university: str, country: str) -> DataFrame:
     c = F.coalesce(F.col(country), F.lit("Unknown")).alias("c")
-    return df.agg(F.count(ONE).alias("total_programs")).select(
+    return df.agg(F.count("*").alias("total_programs")).select(
         "total_programs",
         n_distinct(df.filter(F.col(university).isNotNull()), university).scalar().alias("universities_covered"),
-        df.select(c).distinct().agg(F.count(ONE)).scalar().alias("countries_covered"),
+        df.select(c).distinct().agg(F.count("*")).scalar().alias("countries_covered"),
     )
 
 
 def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
-    return df.groupBy(col).agg(F.count(ONE).alias("n")).orderBy(F.col("n").desc(), col).limit(k)
+    return df.groupBy(col).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), col).limit(k)
 
 
 def freshness(df: DataFrame, ts: str, as_of, days: int = 30) -> DataFrame:
     cutoff = F.lit(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
     fresh = F.count_if(F.col(ts) >= cutoff)
     return df.agg(
-        F.count(ONE).alias("total"), fresh.alias("fresh"), F.count_if(F.col(ts) < cutoff).alias("stale"),
-        F.coalesce(F.try_divide(fresh, F.count(ONE)), F.lit(0.0)).alias("ratio"),
+        F.count("*").alias("total"), fresh.alias("fresh"), F.count_if(F.col(ts) < cutoff).alias("stale"),
+        F.coalesce(F.try_divide(fresh, F.count("*")), F.lit(0.0)).alias("ratio"),
         F.min(ts).alias("oldest"), F.max(ts).alias("newest"),
     )
 
@@ -83,10 +82,10 @@ def profile_numeric(df: DataFrame, cols, hot_rows: int = prefix.HOT_ROWS) -> Dat
     mid = F.floor(F.col("total_cnt") / 2)
     is_mid = (mid >= F.col("cum_cnt") - F.col("cnt")) & (mid < F.col("cum_cnt"))
     upper = cum.groupBy("feature").agg(
-        F.max(F.when(is_mid, F.col("value"))).alias("median"), F.count(ONE).alias("n_distinct")
+        F.max(F.when(is_mid, F.col("value"))).alias("median"), F.count("*").alias("n_distinct")
     )
     moments = long.groupBy("feature").agg(
-        F.count(ONE).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
+        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"), F.count_if(F.col("value") == 0).alias("zeros"),
     )
     cv = F.when(F.col("mean") != 0, F.col("std") / F.abs("mean") * 100).otherwise(F.lit(0.0))
@@ -98,7 +97,7 @@ def profile_numeric(df: DataFrame, cols, hot_rows: int = prefix.HOT_ROWS) -> Dat
 def profile_categorical(df: DataFrame, cols, k: int = 5) -> DataFrame:
     """Distinct count and the k most frequent values per column."""
     counts = counts_by(df, cols)
-    distinct = counts.filter(F.col("value").isNotNull()).groupBy("dimension").agg(F.count(ONE).alias("n_distinct"))
+    distinct = counts.filter(F.col("value").isNotNull()).groupBy("dimension").agg(F.count("*").alias("n_distinct"))
     w = Window.partitionBy("dimension").orderBy(F.col("n").desc(), "value")
     top = counts.filter(F.col("value").isNotNull()).withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
     return top.join(distinct, "dimension")
@@ -108,7 +107,7 @@ def profile_lists(df: DataFrame, cols, sep: str = "; ") -> DataFrame:
     """Per text-list column: filled rows and mean number of items."""
     long = prefix.unpivot(df, cols, kind="string").filter(F.coalesce(F.col("value"), F.lit("")) != "")
     return long.groupBy("feature").agg(
-        F.count(ONE).alias("filled"), F.avg(F.size(F.split("value", sep))).alias("mean_items")
+        F.count("*").alias("filled"), F.avg(F.size(F.split("value", sep))).alias("mean_items")
     )
 
 
@@ -123,7 +122,7 @@ def sparsity(df: DataFrame, cols, percent: float = 5.0) -> DataFrame:
 
 def null_profile(df: DataFrame, cols) -> DataFrame:
     """Per column: nulls, percent null, distinct values, smallest value as sample."""
-    per_value = prefix.unpivot(df, cols, kind="string").groupBy("feature", "value").agg(F.count(ONE).alias("n"))
+    per_value = prefix.unpivot(df, cols, kind="string").groupBy("feature", "value").agg(F.count("*").alias("n"))
     return per_value.groupBy("feature").agg(
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
         (F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)) * 100.0 / F.sum("n")).alias("pct_null"),
@@ -137,8 +136,8 @@ def bucket_counts(df: DataFrame, col: str, edges, labels) -> DataFrame:
     for e, l in zip(edges, labels):
         chain = F.when(F.col(col) <= e, l) if chain is None else chain.when(F.col(col) <= e, l)
     label = F.when(F.col(col).isNotNull(), chain.otherwise(labels[-1]))
-    total = df.agg(F.count(ONE)).scalar()
-    return df.filter(F.col(col).isNotNull()).groupBy(label.alias("bucket")).agg(F.count(ONE).alias("n")).withColumn(
+    total = df.agg(F.count("*")).scalar()
+    return df.filter(F.col(col).isNotNull()).groupBy(label.alias("bucket")).agg(F.count("*").alias("n")).withColumn(
         "pct", F.col("n") * 100.0 / total
     )
 
@@ -161,8 +160,8 @@ def overall_quality(coverage: DataFrame, df: DataFrame, confidence: str) -> Data
 
 
 def duplicates(df: DataFrame, group: str, name: str, allowed: float = 0.05) -> DataFrame:
-    per_name = df.groupBy(group, F.lower(C.strip(name)).alias("_n")).agg(F.count(ONE).alias("n"))
-    return per_name.groupBy(group).agg(F.sum("n").alias("n_rows"), (F.sum("n") - F.count(ONE)).alias("duplicates")).withColumn(
+    per_name = df.groupBy(group, F.lower(C.strip(name)).alias("_n")).agg(F.count("*").alias("n"))
+    return per_name.groupBy(group).agg(F.sum("n").alias("n_rows"), (F.sum("n") - F.count("*")).alias("duplicates")).withColumn(
         "within_limit", F.col("duplicates") / F.col("n_rows") <= allowed
     )
 
@@ -175,7 +174,7 @@ def histogram(df: DataFrame, col: str, bins: int = 40) -> DataFrame:
     lo, hi = df.agg(F.min(col)).scalar(), df.agg(F.max(col)).scalar()
     width = (hi - lo) / F.lit(float(bins))
     b = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col(col) - lo) / width), F.lit(bins - 1)))
-    return df.filter(F.col(col).isNotNull()).groupBy(b.cast("bigint").alias("bin")).agg(F.count(ONE).alias("n"))
+    return df.filter(F.col(col).isNotNull()).groupBy(b.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def quartiles_by(df: DataFrame, group: str, col: str, hot_rows: int = prefix.HOT_ROWS) -> DataFrame:
@@ -205,16 +204,16 @@ def run_report(results: DataFrame, target: str = "target", scraped: str = "scrap
 
 def run_totals(report: DataFrame, level: str) -> DataFrame:
     return report.groupBy(level).agg(
-        F.count(ONE).alias("tested"), F.count_if(F.col("status") == "success").alias("success"),
+        F.count("*").alias("tested"), F.count_if(F.col("status") == "success").alias("success"),
         F.sum("target").alias("links"), F.sum("scraped").alias("scraped"),
-        (F.count_if(F.col("status") == "success") * 100.0 / F.count(ONE)).alias("success_rate"),
+        (F.count_if(F.col("status") == "success") * 100.0 / F.count("*")).alias("success_rate"),
     )
 
 
 def shares(df: DataFrame, col: str) -> DataFrame:
     """Counts of a column with percent of all rows."""
-    total = df.agg(F.count(ONE)).scalar()
-    return df.groupBy(col).agg(F.count(ONE).alias("n")).withColumn("pct", F.col("n") * 100.0 / total)
+    total = df.agg(F.count("*")).scalar()
+    return df.groupBy(col).agg(F.count("*").alias("n")).withColumn("pct", F.col("n") * 100.0 / total)
 
 
 # --- consolidation --------------------------------------------------------------------------------------------
@@ -230,7 +229,7 @@ def consolidate_pages(extracts: DataFrame, key: str, order: str, texts=(), scala
     o = F.col(order)
     aggs = [F.max_by(F.col(c), F.when(F.length(c) > 0, F.struct(F.length(c), -o))).alias(c) for c in texts]
     aggs += [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), o)).alias(c) for c in scalars]
-    aggs = aggs or [F.count(ONE).alias("_n")]
+    aggs = aggs or [F.count("*").alias("_n")]
     out = extracts.groupBy(key).agg(*aggs)
     for c in lists:
         items = extracts.select(key, F.explode(c).alias("_i")).distinct()

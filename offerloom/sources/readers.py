@@ -31,7 +31,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Da
         F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("d")
     ).select("d.*")
     account = parsed.agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col(bad).isNotNull()).alias("n_failed")
+        F.count("*").alias("n_lines"), F.count_if(F.col(bad).isNotNull()).alias("n_failed")
     )
     return parsed.filter(F.col(bad).isNull()).drop(bad), account
 

@@ -85,7 +85,7 @@ def upsert_counts(target: DataFrame, batch: DataFrame, keys, order) -> DataFrame
     """inserted / updated / failed of an upsert, without writing it."""
     last = last_per_key(batch, keys, order).select(*keys)
     known = target.select(*keys).distinct().withColumn("_known", F.lit(True))
-    failed = batch.filter(~_all_set(keys)).agg(F.count(F.lit(1)).alias("n"))
+    failed = batch.filter(~_all_set(keys)).agg(F.count("*").alias("n"))
     return last.join(known, list(keys), "left").agg(
         F.count_if(F.col("_known").isNull()).alias("inserted"),
         F.count_if(F.col("_known").isNotNull()).alias("updated"),
@@ -149,7 +149,7 @@ def export_csv(df: DataFrame, path: str, priority=()) -> None:
 
 def export_envelope(df: DataFrame, exported_at: str) -> DataFrame:
     """One-row metadata of an export."""
-    return df.agg(F.count(F.lit(1)).alias("total_records")).withColumn("exported_at", F.lit(exported_at))
+    return df.agg(F.count("*").alias("total_records")).withColumn("exported_at", F.lit(exported_at))
 
 
 def export_json(df: DataFrame, path: str, exported_at: str) -> None:
@@ -211,10 +211,10 @@ def keep_latest_versions(history: DataFrame, key: str, version: str, n: int = 5)
 def dataset_manifest(df: DataFrame, distinct_cols=()) -> DataFrame:
     """Order-free fingerprint, row count and exact distinct counts, in one pass plus one per distinct column."""
     row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
-    aggs = [F.count(F.lit(1)).alias("n_rows"), F.bit_xor(row).alias("fingerprint_xor"),
+    aggs = [F.count("*").alias("n_rows"), F.bit_xor(row).alias("fingerprint_xor"),
             F.sum((row.bitwiseAND(F.lit(0xFFFFFFFF)))).alias("fingerprint_sum")]
     out = df.agg(*aggs)
     for c in distinct_cols:
-        n = df.select(c).filter(F.col(c).isNotNull()).distinct().agg(F.count(F.lit(1)).alias("n"))
+        n = df.select(c).filter(F.col(c).isNotNull()).distinct().agg(F.count("*").alias("n"))
         out = out.withColumn(f"n_{c}", n.scalar())
     return out
