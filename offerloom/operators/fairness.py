@@ -16,7 +16,7 @@ def crosstab_normalised(df: DataFrame, row: str, col: str) -> DataFrame:
 
 def crosstab_wide(df: DataFrame, row: str, col: str, values) -> DataFrame:
     """The same as columns, for a known value list."""
-    wide = df.groupBy(row).pivot(col, list(values)).agg(F.count("*")).fillna(0)
+    wide = df.groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1))).fillna(0)
     total = sum((F.col(str(v)) for v in values), F.lit(0))
     return wide.select(row, *[(F.col(str(v)) / total).alias(str(v)) for v in values])
 

@@ -17,7 +17,7 @@ def read_catalog_csv(spark: SparkSession, paths, schema=None) -> DataFrame:
     """CSV with header from the first path that exists."""
     for path in paths:
         if _exists(spark, path):
-            reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+            reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
             return (reader.schema(schema) if schema is not None else reader).csv(path)
     raise FileNotFoundError(f"none of {list(paths)} exists")
 
