@@ -136,9 +136,17 @@ def fee_amount(c) -> Column:
     return F.array_max(F.transform(numbers, lambda n: F.regexp_replace(n, ",", "").try_cast("bigint")))
 
 
+def round_to(c, digits: int) -> Column:
+    """Round the binary value, as floating-point libraries do. ``round`` works on the shortest decimal text
+    of the number and so lifts values that lie just below a half."""
+    scale = F.lit(10.0 ** digits)
+    v = _c(c).cast("double")
+    return F.signum(v) * F.floor(F.abs(v) * scale + F.lit(0.5)) / scale
+
+
 def to_usd(amount, currency) -> Column:
     rate = lookup(F.upper(_c(currency)), fixed.USD_RATES, 1.0)
-    return F.round(_c(amount) * rate, 2)
+    return round_to(_c(amount) * rate, 2)
 
 
 # --- names and labels ---------------------------------------------------------------------------

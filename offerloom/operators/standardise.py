@@ -45,7 +45,7 @@ def derive_demographics(df: DataFrame, total="total_students", pct="internationa
     share = F.regexp_replace(F.col(pct).cast("string"), "%", "")
     p = C.strip(share).try_cast("double")
     return df.withColumn("international_count", F.coalesce(F.when(C.filled(pct), F.floor(t * p / 100)), C.positive_int(given)).cast("bigint")).withColumn(
-        "student_faculty_ratio", F.round(t / f, 2)
+        "student_faculty_ratio", C.round_to(t / f, 2)
     )
 
 
@@ -91,7 +91,7 @@ def flatten_entities(raw: DataFrame, aggregator: str) -> DataFrame:
         C.blank_to_null("profile.institution_type").alias("type"), C.positive_int("profile.established_year").alias("founding_year"),
         total.alias("total_students"),
         F.coalesce(F.floor(total * pct / 100), C.positive_int("demographics.international_students")).alias("international_students"),
-        faculty.alias("faculty_count"), F.round(total / faculty, 2).alias("student_faculty_ratio"),
+        faculty.alias("faculty_count"), C.round_to(total / faculty, 2).alias("student_faculty_ratio"),
         fee("tuition_domestic").alias("average_tuition_domestic"), fee("tuition_international").alias("average_tuition_international"),
         F.filter("_rank", lambda x: F.coalesce(x["ranking_type"], F.lit("")) != "").alias("ranking_signals"),
         text("crawl_metadata.content_hash").alias("content_hash"), text("crawl_metadata.source_url").alias("source_url"),

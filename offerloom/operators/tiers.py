@@ -88,7 +88,7 @@ def derive_tier(rankings: DataFrame, entities: DataFrame, entity: str, system: s
     n = F.when(F.col("_has"), F.col("_ng")).when(F.col("_c").isNotNull(), F.col("_nr")).otherwise(F.lit(0))
     return j.select(
         entity, "world_rank", C.tier_of_score(F.coalesce("_c", F.lit(0.0))).alias("tier"), path.alias("path"),
-        F.round(F.coalesce("_c", F.lit(0.0)), 4).alias("composite"), n.cast("bigint").alias("n_signals"),
+        C.round_to(F.coalesce("_c", F.lit(0.0)), 4).alias("composite"), n.cast("bigint").alias("n_signals"),
     )
 
 
