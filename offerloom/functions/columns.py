@@ -141,7 +141,8 @@ def round_to(c, digits: int) -> Column:
     of the number and so lifts values that lie just below a half."""
     scale = F.lit(10.0 ** digits)
     v = _c(c).cast("double")
-    return F.signum(v) * F.floor(F.abs(v) * scale + F.lit(0.5)) / scale
+    near = F.signum(v) * F.floor(F.abs(v) * scale + F.lit(0.5)) / scale
+    return F.when(F.abs(v) * scale < F.lit(2.0 ** 52), near).otherwise(v)
 
 
 def to_usd(amount, currency) -> Column:
@@ -287,6 +288,12 @@ def official_website(site, canonical, aggregator: str) -> Column:
     return F.coalesce(own, blank_to_null(canonical))
 
 
+def title_case(c) -> Column:
+    """Upper first letter of every run of letters, the rest lower."""
+    runs = F.split(F.lower(_c(c)), r"(?<=[^\p{L}])(?=\p{L})")
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000000))), "")
+
+
 def snake(c) -> Column:
     return F.regexp_replace(F.lower(strip(c)), r"[ /]", "_")
 

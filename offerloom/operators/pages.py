@@ -210,7 +210,7 @@ def name_from_url(url) -> Column:
     seg = F.regexp_replace(seg, r"\.(html?|php|aspx?)$", "")
     seg = F.regexp_replace(F.regexp_replace(seg, r"^[a-z][0-9]{3,}[-_]", ""), r"[-_]?[0-9]{4,}$", "")
     name = C.strip(F.regexp_replace(seg, r"[-_]+", " "))
-    titled = F.initcap(F.lower(name))
+    titled = C.title_case(name)
     for pattern, prefix in [(r"(?i)^(Msc\s?|Ms\s)", "MSc "), (r"(?i)^(Bsc\s?|Bs\s)", "BSc "), (r"(?i)^(Phd|Ph\s?D\s)", "PhD "),
                             (r"(?i)^Mba\s?", "MBA "), (r"(?i)^Ma\s+(?!ster)", "MA ")]:
         titled = F.regexp_replace(titled, pattern, prefix)

@@ -162,7 +162,7 @@ def standardise_text(df: DataFrame, names=("university_name", "program_name"), p
     for c in names:
         out = out.withColumn(c, C.strip(c))
     for c in places:
-        out = out.withColumn(c, F.initcap(F.lower(C.strip(c))))
+        out = out.withColumn(c, C.title_case(C.strip(c)))
     return out.withColumn(degree, C.degree_type_short(degree))
 
 

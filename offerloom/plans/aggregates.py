@@ -6,18 +6,19 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from offerloom.functions import columns as C
 from offerloom.operators import fairness, stats as A
 from offerloom.plans import catalog as K
 from offerloom.registry import query, table
 
 
 def r(c, n=4):
-    return F.round(c, n).alias(c)
+    return C.round_to(c, n).alias(c)
 
 
 def rounded(df, n=4):
     doubles = {c for c, t in df.dtypes if t == "double"}
-    return df.select(*[F.round(c, n).alias(c) if c in doubles else F.col(c) for c in df.columns])
+    return df.select(*[C.round_to(c, n).alias(c) if c in doubles else F.col(c) for c in df.columns])
 
 
 @query("agg01_offer_statistics", f"""WITH {K.FULL_OFFERS} SELECT count(*) AS total, round(avg(data_completeness), 4) AS avg_completeness, round(avg(confidence_score), 4) AS avg_confidence,
