@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from offerloom.functions import fixed
 
-WS = r"^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$"
+BLANKS = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _c(c) -> Column:
@@ -17,7 +17,13 @@ def _c(c) -> Column:
 
 def strip(c) -> Column:
     """Remove leading and trailing whitespace of every kind (``trim`` only knows the space)."""
-    return F.regexp_replace(_c(c), WS, "")
+    return F.trim(_c(c), F.lit(BLANKS))
+
+
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once per row. A long chain of conditions would otherwise
+    repeat the expression in every branch, because only unconditional parts are shared."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
 def blank_to_null(c) -> Column:
@@ -41,18 +47,21 @@ def ends_with_any(c, words) -> Column:
 
 def hits(c, words) -> Column:
     """How many of the words occur in the text."""
-    c = _c(c)
-    return reduce(lambda a, b: a + b, [c.contains(w).cast("int") for w in words])
+    return bind(_c(c), lambda t: reduce(lambda a, b: a + b, [t.contains(w).cast("int") for w in words]))
 
 
 def first_rule(c, rules, default) -> Column:
     """Label of the first (label, words) rule with a word inside the lower-cased text."""
-    text = F.lower(_c(c))
-    chain = None
-    for label, words in rules:
-        hit = contains_any(text, words)
-        chain = F.when(hit, label) if chain is None else chain.when(hit, label)
-    return chain.otherwise(default)
+
+    def number(text):
+        chain = None
+        for i, (_, words) in enumerate(rules):
+            hit = contains_any(text, words)
+            chain = F.when(hit, i) if chain is None else chain.when(hit, i)
+        return chain
+
+    labels = F.array(*[F.lit(label) for label, _ in rules])
+    return F.coalesce(F.get(labels, bind(F.lower(_c(c)), number)), F.lit(default) if isinstance(default, str) else default)
 
 
 def lookup(c, mapping, default=None) -> Column:
@@ -62,6 +71,20 @@ def lookup(c, mapping, default=None) -> Column:
     return hit if default is None else F.coalesce(hit, F.lit(default))
 
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def found(text, pattern: str, group: int = 1, kind: str = "double") -> Column:
+    """Number matched by a pattern. Texts without a match never reach the cast: a failing cast costs far
+    more than a test, because it is an exception inside the engine."""
+    return bind(F.regexp_extract(text, pattern, group), lambda t: F.when(t != "", t.try_cast(kind)))
+
+
+def to_number(c) -> Column:
+    """Text as a number, null where it is not one."""
+    return bind(strip(_c(c).cast("string")), lambda t: F.when(t.rlike(NUMBER), t.try_cast("double")))
+
+
 # --- ranks -------------------------------------------------------------------------------
 
 
@@ -71,17 +94,18 @@ def _rank_text(c) -> Column:
 
 def parse_rank(c) -> Column:
     """'#1', '=5', '101-150' (lower bound), '1401+' to a number, else null."""
-    t = _rank_text(c)
-    return F.regexp_extract(t, r"^(?:=?)([0-9]+)", 1).try_cast("int")
+    return found(_rank_text(c), r"^=?([0-9]+)", 1, "int")
 
 
 def parse_rank_midpoint(c) -> Column:
     """As ``parse_rank`` but a range becomes its floored midpoint."""
-    t = _rank_text(c)
     pattern = r"^([0-9]+)\s*[-–]\s*([0-9]+)"
-    lo = F.regexp_extract(t, pattern, 1).try_cast("int")
-    hi = F.regexp_extract(t, pattern, 2).try_cast("int")
-    return F.coalesce(F.floor((lo + hi) / 2).cast("int"), parse_rank(c))
+
+    def middle(t):
+        span = F.floor((found(t, pattern, 1, "int") + found(t, pattern, 2, "int")) / 2).cast("int")
+        return F.when(t.rlike(pattern), span).otherwise(found(t, r"^=?([0-9]+)", 1, "int"))
+
+    return bind(_rank_text(c), middle)
 
 
 def rank_points(rank, largest) -> Column:
@@ -96,29 +120,27 @@ def rank_points(rank, largest) -> Column:
 
 
 def positive_int(c) -> Column:
-    v = _c(c).cast("string").try_cast("double").cast("bigint")
-    return F.when(v > 0, v)
+    return bind(to_number(c).cast("bigint"), lambda v: F.when(v > 0, v))
 
 
 def nonzero_float(c) -> Column:
-    v = _c(c).cast("string").try_cast("double")
-    return F.when(v != 0, v)
+    return bind(to_number(c), lambda v: F.when(v != 0, v))
 
 
 def score_number(c) -> Column:
     """First number inside a score text such as '304+' or 'IELTS 6.5'."""
-    return F.regexp_extract(_c(c), r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    return found(_c(c), r"([0-9]+(?:\.[0-9]+)?)")
 
 
 # --- durations, fees, money ------------------------------------------------------------------
 
 
 def duration_years(c) -> Column:
-    t = F.lower(_c(c))
-    months = F.regexp_extract(t, r"([0-9]+)\s*month", 1).try_cast("double")
-    years = F.regexp_extract(t, r"([0-9]+(?:\.[0-9]+)?)\s*year", 1).try_cast("double")
-    weeks = F.regexp_extract(t, r"([0-9]+)\s*week", 1).try_cast("double")
-    return F.coalesce(F.round(months / 12, 2), years, F.round(weeks / 52, 2))
+    return bind(F.lower(_c(c)), lambda t: F.coalesce(
+        F.when(t.contains("month"), F.round(found(t, r"([0-9]+)\s*month") / 12, 2)),
+        F.when(t.contains("year"), found(t, r"([0-9]+(?:\.[0-9]+)?)\s*year")),
+        F.when(t.contains("week"), F.round(found(t, r"([0-9]+)\s*week") / 52, 2)),
+    ))
 
 
 def fee_currency(c) -> Column:
@@ -133,7 +155,7 @@ def fee_currency(c) -> Column:
 def fee_amount(c) -> Column:
     """Largest whole number in a fee text."""
     numbers = F.regexp_extract_all(_c(c), F.lit(r"([0-9,]*[0-9][0-9,]*)(?:\.[0-9]+)?"), F.lit(1))
-    return F.array_max(F.transform(numbers, lambda n: F.regexp_replace(n, ",", "").try_cast("bigint")))
+    return F.array_max(F.transform(numbers, lambda n: F.replace(n, F.lit(","), F.lit("")).try_cast("bigint")))
 
 
 def round_to(c, digits: int) -> Column:
@@ -173,13 +195,15 @@ def match_key(c) -> Column:
 
 def degree_type(c) -> Column:
     """Exact name, else the first known name that contains the text or is contained in it."""
-    v = strip(F.lower(_c(c)))
-    part = F.coalesce(
-        *[F.when(v.contains(k) | F.lit(k).contains(v), F.lit(n)) for k, n in fixed.DEGREE_NAMES.items()]
-    )
-    return F.when(F.coalesce(_c(c), F.lit("")) == "", fixed.DEFAULT_DEGREE).otherwise(
-        F.coalesce(lookup(v, fixed.DEGREE_NAMES), part, F.lit(fixed.DEFAULT_DEGREE))
-    )
+
+    def named(v):
+        part = None
+        for k, n in fixed.DEGREE_NAMES.items():
+            hit = v.contains(k) | F.lit(k).contains(v)
+            part = F.when(hit, n) if part is None else part.when(hit, n)
+        return F.coalesce(lookup(v, fixed.DEGREE_NAMES), part, F.lit(fixed.DEFAULT_DEGREE))
+
+    return F.when(F.coalesce(_c(c), F.lit("")) == "", fixed.DEFAULT_DEGREE).otherwise(bind(strip(F.lower(_c(c))), named))
 
 
 def degree_type_short(c) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from offerloom.operators import prefix
+from offerloom.session import materialise
 
 EPS = 1e-4
 
@@ -55,8 +56,8 @@ def base_histogram(base: DataFrame, features, hot_rows: int = prefix.HOT_ROWS) -
 
 
 def psi(base: DataFrame, new: DataFrame, features, bins: int = 10, hot_rows: int = prefix.HOT_ROWS) -> DataFrame:
-    cum = base_histogram(base, features, hot_rows)
-    edges = edges_of(cum, bins)
+    cum = materialise(base_histogram(base, features, hot_rows), "base-histogram")
+    edges = materialise(edges_of(cum, bins), "edges")
     new_counts = prefix.value_counts(long_form(new, features), ["feature"], "value")
     return psi_from_bins(bin_counts(cum, edges), bin_counts(new_counts, edges), edges)
 
@@ -65,22 +66,14 @@ def ks_pvalue(d, n, m):
     """Asymptotic two-sided p-value: 2 * sum (-1)^(j-1) exp(-2 j^2 t^2)."""
     en = F.sqrt(n * m / (n + m))
     t = (en + F.lit(0.12) + F.lit(0.11) / en) * d
-    series = sum(
-        (F.lit(2.0 * (-1) ** (j - 1)) * F.exp(F.lit(-2.0 * j * j) * t * t) for j in range(2, 101)),
-        F.lit(2.0) * F.exp(F.lit(-2.0) * t * t),
-    )
+    term = lambda j: F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(F.lit(-2.0) * j * j * t * t)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda total, j: total + term(j))
     return F.when(t < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 
 def ks_two_sample(base: DataFrame, new: DataFrame, features, hot_rows: int = prefix.HOT_ROWS) -> DataFrame:
     """Largest distance of the two empirical distributions per feature, with its asymptotic p-value."""
-    both = long_form(base, features).withColumn("b", F.lit(1)).unionByName(
-        long_form(new, features).withColumn("b", F.lit(0))
-    )
-    hist = both.groupBy("feature", "value").agg(
-        F.sum("b").alias("cb"), (F.count("*") - F.sum("b")).alias("cn")
-    )
-    cum = prefix.running_totals(hist, ["feature"], "value", ["cb", "cn"], hot_rows)
+    cum = joint_histogram(base, new, features, hot_rows)
     gap = F.abs(F.col("cum_cb") / F.col("total_cb") - F.col("cum_cn") / F.col("total_cn"))
     out = cum.groupBy("feature").agg(F.max(gap).alias("ks"), F.max("total_cb").alias("n"), F.max("total_cn").alias("m"))
     return out.withColumn("p_value", ks_pvalue(F.col("ks"), F.col("n").cast("double"), F.col("m").cast("double")))
@@ -95,15 +88,36 @@ def mean_shift(base: DataFrame, new: DataFrame, features) -> DataFrame:
     )
 
 
+def joint_histogram(base: DataFrame, new: DataFrame, features, hot_rows: int = prefix.HOT_ROWS) -> DataFrame:
+    """(feature, value, cb, cn) with running totals of both sides: the one pass over the data."""
+    both = long_form(base, features).withColumn("b", F.lit(1)).unionByName(long_form(new, features).withColumn("b", F.lit(0)))
+    hist = both.groupBy("feature", "value").agg(F.sum("b").alias("cb"), (F.count("*") - F.sum("b")).alias("cn"))
+    return prefix.running_totals(hist, ["feature"], "value", ["cb", "cn"], hot_rows)
+
+
 def drift_report(base: DataFrame, new: DataFrame, features, psi_limit: float = 0.20, alpha: float = 0.01,
                  hot_rows: int = prefix.HOT_ROWS) -> DataFrame:
-    """Per feature: psi, ks, p-value, mean shift, drift flag, and the mean psi over features."""
-    p = psi(base, new, features, hot_rows=hot_rows)
-    k = ks_two_sample(base, new, features, hot_rows).select("feature", "ks", "p_value")
-    m = mean_shift(base, new, features)
-    out = p.join(k, "feature").join(m, "feature").withColumn(
-        "drifted", (F.col("psi") > psi_limit) | (F.col("p_value") < alpha)
+    """Per feature: psi, ks, p-value, mean shift, drift flag, and the mean psi over features.
+
+    Both tables are scanned once; edges, bins, distances and moments all come from the joint histogram.
+    """
+    joint = materialise(joint_histogram(base, new, features, hot_rows), "joint-histogram")
+    side = lambda c: joint.filter(F.col(c) > 0).select("feature", "value", F.col(c).alias("cnt"),
+                                                       F.col(f"cum_{c}").alias("cum_cnt"), F.col(f"total_{c}").alias("total_cnt"))
+    edges = materialise(edges_of(side("cb")), "edges")  # a short array per feature
+    p = psi_from_bins(bin_counts(side("cb"), edges), bin_counts(side("cn"), edges), edges)
+    gap = F.abs(F.col("cum_cb") / F.col("total_cb") - F.col("cum_cn") / F.col("total_cn"))
+    v, cb, cn = F.col("value"), F.col("cb"), F.col("cn")
+    means = joint.groupBy("feature").agg((F.sum(v * cb) / F.sum(cb)).alias("baseline_mean"), (F.sum(v * cn) / F.sum(cn)).alias("new_mean"))
+    spread = joint.join(means, "feature").groupBy("feature").agg(
+        F.max(gap).alias("ks"), F.max("total_cb").alias("n"), F.max("total_cn").alias("m"),
+        F.max("baseline_mean").alias("baseline_mean"), F.max("new_mean").alias("new_mean"),
+        F.sqrt(F.sum(cb * (v - F.col("baseline_mean")) * (v - F.col("baseline_mean"))) / F.sum(cb)).alias("s"),
     )
+    out = p.join(spread, "feature").select(
+        "feature", "psi", "ks", ks_pvalue(F.col("ks"), F.col("n").cast("double"), F.col("m").cast("double")).alias("p_value"),
+        "baseline_mean", "new_mean", (F.abs(F.col("new_mean") - F.col("baseline_mean")) / (F.col("s") + F.lit(1e-8))).alias("mean_shift"),
+    ).withColumn("drifted", (F.col("psi") > psi_limit) | (F.col("p_value") < alpha))
     return out.withColumn("overall_psi", F.avg("psi").over(Window.partitionBy(F.lit(1))))  # a row per feature only
 
 

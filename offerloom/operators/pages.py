@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from offerloom.functions import columns as C, fixed
-from offerloom.session import cut_lineage
+from offerloom.session import materialise
 
 DROPPED = r"(?is)<(script|style|nav|footer|header)\b[^>]*>.*?</\1\s*>"
 DROPPED_TAGS = ("script", "style", "nav", "footer", "header")
@@ -74,7 +74,7 @@ def resolve(base: Column, href: Column) -> Column:
 
 
 def excluded(href) -> Column:
-    return C.contains_any(F.lower(C._c(href)), fixed.EXCLUDED_LINK_PARTS)
+    return C.bind(F.lower(C._c(href)), lambda h: C.contains_any(h, fixed.EXCLUDED_LINK_PARTS))
 
 
 def extract_links(pages: DataFrame, url: str = "url", html: str = "html", min_text: int = 3, max_text: int = 200) -> DataFrame:
@@ -96,8 +96,11 @@ def _segments(url: Column) -> Column:
 
 def link_rule(url, text) -> Column:
     """Name of the first rule that accepts (+) or rejects (-) a link as a programme page."""
-    u, t = F.lower(C._c(url)), F.lower(C._c(text))
-    segs = _segments(u)
+    return C.bind(F.struct(F.lower(C._c(url)).alias("u"), F.lower(C._c(text)).alias("t"), _segments(F.lower(C._c(url))).alias("g")), _link_rule)
+
+
+def _link_rule(link: Column) -> Column:
+    u, t, segs = link["u"], link["t"], link["g"]
     last = F.regexp_replace(F.coalesce(F.try_element_at(segs, F.lit(-1)), F.lit("")), r"\.html?", "")
     parent = F.coalesce(F.when(F.size(segs) >= 2, F.try_element_at(segs, F.lit(-2))), F.lit(""))
     deep = F.size(segs) >= 2
@@ -181,7 +184,7 @@ def reachable_pages(links: DataFrame, seeds: DataFrame, depth: int = 2, fan_out:
     Each round is materialised in the shared folder, so plans stay short and lost executors cost one round.
     """
     w = Window.partitionBy("page_url").orderBy("position", "url")
-    edges = cut_lineage(links.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= fan_out)
+    edges = materialise(links.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= fan_out)
                         .select(F.col("page_url").alias("src"), F.col("url").alias("dst"), F.col("_rn").alias("n")))
     visited = seeds.select(F.col("url").alias("seed"), F.col("url")).distinct().withColumn("depth", F.lit(0)).withColumn("place", F.lit(1))
     frontier = visited
@@ -195,7 +198,7 @@ def reachable_pages(links: DataFrame, seeds: DataFrame, depth: int = 2, fan_out:
             order = Window.partitionBy("seed").orderBy("place", "url")
             frontier = frontier.withColumn("_rn", F.row_number().over(order)).join(room, "seed").filter(
                 F.col("_rn") <= F.col("room")).select("seed", "url", "depth", "place")
-        frontier = cut_lineage(frontier)
+        frontier = materialise(frontier)
         visited = visited.unionByName(frontier)
     return visited.select("seed", "url", "depth")
 
@@ -219,7 +222,11 @@ def name_from_url(url) -> Column:
 
 
 def degree_from_url(url, name=None) -> Column:
-    t = F.concat(F.lower(C._c(url)), F.lit(" "), F.lower(F.coalesce(C._c(name) if name is not None else F.lit(""), F.lit(""))))
+    name = F.coalesce(C._c(name) if name is not None else F.lit(""), F.lit(""))
+    return C.bind(F.concat(F.lower(C._c(url)), F.lit(" "), F.lower(name)), _degree_of)
+
+
+def _degree_of(t: Column) -> Column:
     under = C.contains_any(t, ["/undergraduate", "/bsc", "/bachelor", "/ba/", "bachelor-of"])
     return (
         F.when(C.contains_any(t, ["/phd", "doctoral", "doctorate", "research-degree", "/research/", "dphil"]), "Doctor of Philosophy")
@@ -239,7 +246,7 @@ def degree_from_url(url, name=None) -> Column:
 
 def offer_fields(html, text) -> dict[str, Column]:
     """Title, fees and test scores as expressions over a page's html and lower-cased text."""
-    t = F.lower(C._c(text))
+    t = C._c(text)
     none = lambda c: F.when(c != "", c)
     money = r"(?:£|\$|€|sgd|usd|gbp)\s*([0-9,]+)"
     plus = lambda c: F.when(c != "", F.concat(c, F.lit("+")))
@@ -258,21 +265,29 @@ LABEL = r"(?is)<(?:label|span class=\"(?:label|title)\")[^>]*>(.*?)</"
 VALUE = r"(?is)class=\"(?:value|detail-value)\"[^>]*>(.*?)</"
 
 
-def detail_boxes(html) -> dict[str, Column]:
-    """Labelled boxes: duration, fees, degree and level by words in the label; the last box of a kind wins."""
+BOX_FIELDS = ("duration", "tuition_fee_summary", "degree_type", "study_level")
+
+
+def detail_boxes(html) -> Column:
+    """Labelled boxes as a struct: duration, fees, degree and level by words in the label; the last box of a kind wins."""
     boxes = F.regexp_extract_all(html, F.lit(BOX), F.lit(1))
-    pairs = F.transform(boxes, lambda b: F.struct(F.lower(F.regexp_extract(b, LABEL, 1)).alias("l"), C.strip(F.regexp_extract(b, VALUE, 1)).alias("v")))
     kind = lambda l: (F.when(l.contains("duration"), "duration").when(l.contains("tuition") | l.contains("fee"), "tuition_fee_summary")
                       .when(l.contains("degree"), "degree_type").when(l.contains("level"), "study_level"))
-    names = ["duration", "tuition_fee_summary", "degree_type", "study_level"]
-    return {n: F.try_element_at(F.transform(F.filter(pairs, lambda p: (kind(p["l"]) == n) & (p["v"] != "")), lambda p: p["v"]), F.lit(-1))
-            for n in names}
+    pairs = F.transform(boxes, lambda b: F.struct(C.bind(F.lower(F.regexp_extract(b, LABEL, 1)), kind).alias("k"),
+                                                  C.strip(F.regexp_extract(b, VALUE, 1)).alias("v")))
+    pick = lambda ps, n: F.try_element_at(F.transform(F.filter(ps, lambda p: (p["k"] == n) & (p["v"] != "")), lambda p: p["v"]), F.lit(-1))
+    return C.bind(pairs, lambda ps: F.struct(*[pick(ps, n).alias(n) for n in BOX_FIELDS]))
+
+
+def _all_fields(df: DataFrame, html: str) -> DataFrame:
+    """Adds every offer field; text and boxes are worked out once per page."""
+    staged = df.withColumn("_t", F.lower(plain_text(html))).withColumn("_b", detail_boxes(html))
+    fields = offer_fields(html, "_t")
+    return staged.select(*df.columns, *[c.alias(n) for n, c in fields.items()], "_b.*")
 
 
 def extract_offer_fields(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    with_text = pages.withColumn("_text", plain_text(html))
-    fields = {**offer_fields(html, "_text"), **detail_boxes(html)}
-    return with_text.select(F.col(url).alias("program_url"), *[c.alias(n) for n, c in fields.items()])
+    return _all_fields(pages.select(F.col(url).alias("program_url"), F.col(html).alias("_html")), "_html").drop("_html")
 
 
 def merge_over(discovery: DataFrame, detail: DataFrame, key: str) -> DataFrame:
@@ -297,9 +312,9 @@ def extract_ranking_rows(pages: DataFrame, marker: str, patterns: dict[str, str]
     href = got["profile_url"]
     out = items.select(
         *keys, *(["subject"] if subject is not None else []), "position",
-        F.regexp_extract(got["rank"], r"([0-9]+)", 1).try_cast("int").alias("rank"), got["name"].alias("university_name"),
+        C.found(got["rank"], r"([0-9]+)", 1, "int").alias("rank"), got["name"].alias("university_name"),
         C.location_country(loc).alias("country"), C.location_city(loc).alias("city"),
-        F.regexp_extract(got["score"], r"([0-9]+\.?[0-9]*)", 1).try_cast("double").alias("score"),
+        C.found(got["score"], r"([0-9]+\.?[0-9]*)").alias("score"),
         F.when(href.startswith("http"), href).when(href != "", F.concat(F.lit(base_url), href)).alias("profile_url"),
     )
     return out.filter(F.col("university_name") != "")
@@ -359,9 +374,7 @@ def extract_with(pages: DataFrame, fn=None, schema: str | None = None, key: str
     """
     distinct, by_page = dedup_by_content(pages, content, key)
     if fn is None:
-        text = distinct.withColumn("_text", plain_text(content))
-        fields = {**offer_fields(content, "_text"), **detail_boxes(content)}
-        found = text.select("fingerprint", *[c.alias(n) for n, c in fields.items()])
+        found = _all_fields(distinct.select("fingerprint", content), content).drop(content)
     else:
         spread = distinct.select("fingerprint", F.col(content).alias("content")).repartition("fingerprint")
         found = spread.mapInPandas(fn, schema)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from offerloom.session import cut_lineage
+from offerloom.session import materialise
 
 HOT_ROWS = 2_000_000
 MAX_HOT_GROUPS = 512
@@ -83,6 +83,7 @@ def running_totals(hist: DataFrame, group, order: str, sums, hot_rows: int = HOT
     ``hist`` has one row per (group, order). Adds ``cum_<s>`` and ``total_<s>`` for each s.
     """
     group = list(group)
+    hist = materialise(hist, "histogram")  # read by the size check, the banding and the windows
     banded, split = with_band(hist, group, order, "_band", hot_rows)
     if not split:
         w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -92,7 +93,7 @@ def running_totals(hist: DataFrame, group, order: str, sums, hot_rows: int = HOT
             *[F.sum(s).over(w).alias(f"cum_{s}") for s in sums],
             *[F.sum(s).over(t).alias(f"total_{s}") for s in sums],
         )
-    banded = cut_lineage(banded)
+    banded = materialise(banded)
     per_band = banded.groupBy(*group, "_band").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     before = Window.partitionBy(*group).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
@@ -133,7 +134,7 @@ def row_numbers(df: DataFrame, group, order, out: str = "row_number", hot_rows:
             work = work.drop(f"_b{i}")
             break
         any_split = True
-        work = cut_lineage(work)
+        work = materialise(work)
         bands.append(f"_b{i}")
     w = Window.partitionBy(*group, *bands).orderBy(*names)
     if not any_split:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from offerloom.functions import columns as C, fixed
@@ -69,8 +71,10 @@ def search_entities(df: DataFrame, query=None, country=None, tier=None, kind=Non
     ))
 
 
-def tokens(c) -> Column:
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+def has_word(text: Column, word: str) -> Column:
+    """Whether a lower-case text contains the word between non-alphanumeric characters."""
+    exact = text.rlike(r"(?<![\p{L}\p{N}])" + re.escape(word) + r"(?![\p{L}\p{N}])")
+    return text.contains(word) & exact
 
 
 def text_search(df: DataFrame, id_col: str, text_col: str, terms, k: int | None = None) -> DataFrame:
@@ -80,10 +84,8 @@ def text_search(df: DataFrame, id_col: str, text_col: str, terms, k: int | None
     only with the few terms it matches; document frequencies come from the same rows.
     """
     terms = sorted({t.lower() for t in terms})
-    want = F.array(*[F.lit(t) for t in terms])
-    found = df.select(F.col(id_col), F.array_intersect(tokens(F.col(text_col)), want).alias("hit")).filter(
-        F.size("hit") > 0
-    )
+    hits = C.bind(F.lower(F.col(text_col)), lambda t: F.array_compact(F.array(*[F.when(has_word(t, w), F.lit(w)) for w in terms])))
+    found = df.select(F.col(id_col), hits.alias("hit")).filter(F.size("hit") > 0)
     totals = df.agg(F.count("*").alias("n")).scalar()
     freq = found.select(F.explode("hit").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = freq.select("term", F.log((totals + F.lit(1.0)) / (F.col("df") + F.lit(1.0))).alias("idf"))

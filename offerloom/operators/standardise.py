@@ -43,7 +43,7 @@ def derive_demographics(df: DataFrame, total="total_students", pct="internationa
                         faculty="faculty_count") -> DataFrame:
     t, f = C.positive_int(total), C.positive_int(faculty)
     share = F.regexp_replace(F.col(pct).cast("string"), "%", "")
-    p = C.strip(share).try_cast("double")
+    p = C.to_number(share)
     return df.withColumn("international_count", F.coalesce(F.when(C.filled(pct), F.floor(t * p / 100)), C.positive_int(given)).cast("bigint")).withColumn(
         "student_faculty_ratio", C.round_to(t / f, 2)
     )
@@ -51,11 +51,11 @@ def derive_demographics(df: DataFrame, total="total_students", pct="internationa
 
 def highlights_map(c) -> Column:
     """Array of (label, value) to a map with snake-case keys; the last of equal labels wins, blanks are left out."""
-    a = F.filter(F.transform(c, lambda h: F.struct(C.snake(h["label"]).alias("k"), C.strip(h["value"]).alias("v"))),
-                 lambda e: (e["k"] != "") & (e["v"] != ""))
-    labels = F.transform(a, lambda e: e["k"])
-    last = F.filter(a, lambda e, i: ~F.array_contains(F.slice(labels, i + 2, F.greatest(F.size(labels), F.lit(1))), e["k"]))
-    return F.map_from_entries(last)
+    pairs = F.filter(F.transform(c, lambda h: F.struct(C.snake(h["label"]).alias("k"), C.strip(h["value"]).alias("v"))),
+                     lambda e: (e["k"] != "") & (e["v"] != ""))
+    later = lambda a, i: F.slice(a, i + 2, F.greatest(F.size(a), F.lit(1)))
+    return C.bind(pairs, lambda a: F.map_from_entries(
+        F.filter(a, lambda e, i: ~F.exists(later(a, i), lambda x: x["k"] == e["k"]))))
 
 
 def first_key(m, *keys) -> Column:
@@ -75,7 +75,7 @@ def flatten_entities(raw: DataFrame, aggregator: str) -> DataFrame:
     df = raw.withColumn("_rank", tiers.standardise_rankings_array(F.coalesce(F.col("rankings"), F.array().cast(raw.schema["rankings"].dataType))))
     canonical = F.coalesce(C.blank_to_null("crawl_metadata.canonical_url"), C.blank_to_null("identity.canonical_url"))
     total, faculty = C.positive_int("demographics.total_students"), C.positive_int("demographics.faculty_count")
-    pct = C.strip(F.regexp_replace(F.col("demographics.international_students_pct").cast("string"), "%", "")).try_cast("double")
+    pct = C.to_number(F.replace(F.col("demographics.international_students_pct").cast("string"), F.lit("%"), F.lit("")))
     fee = lambda k: C.positive_int(F.coalesce(F.col(f"financials.{k}.amount"), F.col(f"financials.{k}.amount_min")))
     return df.filter(text("identity.name") != "").select(
         C.entity_id(F.when(text("identity.slug") != "", text("identity.slug")).otherwise(text("identity.name"))).alias("university_id"),
@@ -107,7 +107,7 @@ def flatten_offers(raw: DataFrame) -> DataFrame:
     subject = first_key(h, "main_subject", "main_subject_area", "subject_area")
     fees = F.filter(F.transform("tuition_fees", lambda f: C.strip(f["fee_amount"])), lambda t: F.replace(t, F.lit(","), F.lit("")).rlike("[0-9]"))
     fee = F.get(fees, F.lit(0))
-    amount = F.regexp_extract(F.replace(fee, F.lit(","), F.lit("")), r"([0-9]+\.?[0-9]*)", 1).try_cast("double").cast("bigint")
+    amount = C.found(F.replace(fee, F.lit(","), F.lit("")), r"([0-9]+\.?[0-9]*)").cast("bigint")
     badge = F.get(F.filter("badges", lambda b: F.lower(b["label"]).contains("ranking") & (F.coalesce(C.strip(b["value"]), F.lit("")) != "")), F.lit(0))
     history = F.col("qs_subject_rankings.ranking_history")
     latest = F.get(F.sort_array(F.transform(history, lambda r: F.struct(r["year"].cast("string").alias("y"), r["rank"].cast("string").alias("r"))), False), F.lit(0))
@@ -123,7 +123,7 @@ def flatten_offers(raw: DataFrame) -> DataFrame:
         C.category(F.coalesce(subject, text(title))).alias("program_category"),
         F.coalesce(subject, C.category(text(title))).alias("field_of_study"),
         first_key(h, "study_mode", "mode_of_study").alias("mode_of_study"),
-        C.strip(F.get(F.split("admission_requirements.gpa_score", "/"), F.lit(0))).try_cast("double").alias("gpa_requirement_min"),
+        C.to_number(F.get(F.split("admission_requirements.gpa_score", "/"), F.lit(0))).alias("gpa_requirement_min"),
         reqs.alias("entry_requirements"), amount.alias("international_per_year"),
         F.when(fee.contains("€"), "EUR").when(fee.contains("£"), "GBP").otherwise("USD").alias("currency"),
         F.coalesce(C.parse_rank(badge["value"]), C.parse_rank(latest["r"])).alias("subject_ranking"),
@@ -193,9 +193,9 @@ def promote_numeric(df: DataFrame, share: float = 0.8) -> DataFrame:
     texts = [c for c, t in df.dtypes if t == "string"]
     if not texts:
         return df
-    row = df.agg(*[F.avg(F.col(c).try_cast("double").isNotNull().cast("int")).alias(c) for c in texts]).first()
+    row = df.agg(*[F.avg(F.coalesce(C.strip(c).rlike(C.NUMBER), F.lit(False)).cast("int")).alias(c) for c in texts]).first()
     numeric = {c for c in texts if (row[c] or 0) > share}
-    return df.select(*[F.col(c).try_cast("double").alias(c) if c in numeric else F.col(c) for c in df.columns])
+    return df.select(*[C.to_number(c).alias(c) if c in numeric else F.col(c) for c in df.columns])
 
 
 def impute(df: DataFrame, numeric, categorical, hot_rows: int = prefix.HOT_ROWS) -> DataFrame:

@@ -88,8 +88,7 @@ def flt09(spark, sf):
   SELECT profile_id, any_value(relaxed) AS relaxed, count(offer_id) AS n_candidates FROM q p LEFT JOIN offers o ON {K.ELIGIBLE} GROUP BY 1""")
 def flt10(spark, sf):
     offers = K.scored_offers(spark, sf)
-    relaxed = R.relax_if_empty(K.profiles(spark, sf), offers)
-    counts = R.candidate_counts(relaxed, offers, "profile_id", "offer_id", "match_score")
+    relaxed, counts = R.relax_if_empty(K.profiles(spark, sf), offers)
     return counts.join(relaxed.select("profile_id", "relaxed"), "profile_id")
 
 

@@ -47,11 +47,11 @@ def st01(spark, sf):
     return _log(spark, sf).select("request_id", "profile_hash", "profile_country", "profile_budget", "profile_gpa", "n_results", "top_score", "top_tier", F.date_format("date", "yyyy-MM-dd").alias("date"))
 
 
-@query("src07_read_prediction_log", f"WITH {_LOG} SELECT date, count(*) AS n, count(DISTINCT profile_hash) AS n_profiles, round(avg(top_score), 6) AS mean_score FROM lg GROUP BY 1")
+@query("src07_read_prediction_log", f"WITH {_LOG} SELECT date, count(*) AS n, count(DISTINCT profile_hash) AS n_profiles, round(sum(top_score), 2) AS sum_score, count(top_score) AS n_scored FROM lg GROUP BY 1")
 def src07(spark, sf):
     log = _log(spark, sf)
     per = log.groupBy("date", "profile_hash").agg(F.count("*").alias("n"), F.sum("top_score").alias("s"), F.count("top_score").alias("c"))
-    return per.groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(F.sum("n").alias("n"), F.count("*").alias("n_profiles"), C.round_to(F.sum("s") / F.sum("c"), 6).alias("mean_score"))
+    return per.groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(F.sum("n").alias("n"), F.count("*").alias("n_profiles"), C.round_to(F.sum("s"), 2).alias("sum_score"), F.sum("c").alias("n_scored"))
 
 
 @query("st02_rate_abuse", """SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M') AS window_start, user_id AS client, count(*) AS n_requests FROM events GROUP BY ALL HAVING count(*) > 4""")

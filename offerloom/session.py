@@ -41,9 +41,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_path(spark, "checkpoints"))
-    return df.checkpoint()
+def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    The lineage ends at the files, so lost executors cost nothing that was done before, a result that is
+    used several times is computed once, and its true size is known to the planner.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
