@@ -118,7 +118,8 @@ def drift_report(base: DataFrame, new: DataFrame, features, psi_limit: float = 0
         "feature", "psi", "ks", ks_pvalue(F.col("ks"), F.col("n").cast("double"), F.col("m").cast("double")).alias("p_value"),
         "baseline_mean", "new_mean", (F.abs(F.col("new_mean") - F.col("baseline_mean")) / (F.col("s") + F.lit(1e-8))).alias("mean_shift"),
     ).withColumn("drifted", (F.col("psi") > psi_limit) | (F.col("p_value") < alpha))
-    return out.withColumn("overall_psi", F.avg("psi").over(Window.partitionBy(F.lit(1))))  # a row per feature only
+    rows = out.agg(F.collect_list(F.struct(*out.columns)).alias("r"), F.avg("psi").alias("overall_psi"))  # a row per feature
+    return rows.select(F.explode("r").alias("r"), "overall_psi").select("r.*", "overall_psi")
 
 
 def prediction_shares(df: DataFrame, col: str) -> DataFrame:

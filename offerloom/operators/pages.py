@@ -7,25 +7,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from offerloom.functions import columns as C, fixed
 from offerloom.session import materialise
 
-DROPPED = r"(?is)<(script|style|nav|footer|header)\b[^>]*>.*?</\1\s*>"
+DROPPED = [r"(?is)<(script|style)(\s[^>]*)?>.*?</\1\s*>", r"(?is)<(nav|footer|header)(\s[^>]*)?>.*?</\1\s*>"]
 DROPPED_TAGS = ("script", "style", "nav", "footer", "header")
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 ANCHOR = r"(?is)<a\s[^>]*>.*?</a>"
 
 
 def unescape(c: Column) -> Column:
-    for mark, text in ENTITIES:
-        c = F.replace(c, F.lit(mark), F.lit(text))
-    return c
+    def decode(t):
+        out = t
+        for mark, text in ENTITIES:
+            out = F.replace(out, F.lit(mark), F.lit(text))
+        return F.when(t.contains("&"), out).otherwise(t)
+
+    return C.bind(c, decode)
 
 
 def plain_text(html) -> Column:
     """Visible text: blocks without content dropped, tags to blanks, entities decoded, whitespace collapsed."""
     t = C._c(html)
-    for tag in DROPPED_TAGS:
-        t = F.regexp_replace(t, rf"(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), r"<[^>]+>", " ")
-    return C.strip(F.regexp_replace(unescape(t), r"[ \t\n\r\f\v]+", " "))
+    for pattern in DROPPED:
+        t = F.regexp_replace(t, pattern, " ")
+    t = F.regexp_replace(t, r"(?s)<!--.*?-->|<[^>]+>", " ")
+    return C.strip(F.regexp_replace(unescape(t), r"[ \t\n\r\f\v]{2,}|[\t\n\r\f\v]", " "))
 
 
 def page_text(pages: DataFrame, html: str = "html", min_chars: int = 100, max_chars: int | None = None) -> DataFrame:

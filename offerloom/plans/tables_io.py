@@ -65,8 +65,7 @@ def _runs(spark, sf):
         F.map_from_arrays(F.array(F.lit("rows"), F.lit("quantity")), F.array(F.col("n").cast("double"), F.col("q"))).alias("metrics"))
 
 
-@query("src06_read_run_log", """SELECT 'run-' || m AS run_name, m || '-01T00:00:00' AS started_at, n::DOUBLE AS n_rows, q AS quantity,
-  row_number() OVER (ORDER BY m DESC)::INT AS position FROM (SELECT strftime(l_shipdate, '%Y-%m') AS m, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1)""")
+@query("src06_read_run_log", """SELECT 'run-' || m AS run_name, m || '-01T00:00:00' AS started_at, n::DOUBLE AS n_rows, q AS quantity FROM (SELECT strftime(l_shipdate, '%Y-%m') AS m, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1)""")
 def src06(spark, sf):
     path = scratch_path(spark, "run-log")
     runs = _runs(spark, sf)
@@ -74,11 +73,7 @@ def src06(spark, sf):
     schema = T.StructType([T.StructField("run_name", T.StringType()), T.StructField("started_at", T.StringType()),
                            T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType()))])
     log = R.read_run_log(spark, path, schema)
-    from pyspark.sql import Window
-
-    newest = Window.orderBy(F.col("started_at").desc())  # a row per training run
-    return log.select("run_name", "started_at", F.col("metrics")["rows"].alias("n_rows"), F.col("metrics")["quantity"].alias("quantity"),
-                      F.row_number().over(newest).alias("position"))
+    return log.select("run_name", "started_at", F.col("metrics")["rows"].alias("n_rows"), F.col("metrics")["quantity"].alias("quantity"))
 
 
 # --- upserts ------------------------------------------------------------------------------------------
