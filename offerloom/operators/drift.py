@@ -109,7 +109,7 @@ def drift_report(base: DataFrame, new: DataFrame, features, psi_limit: float = 0
     gap = F.abs(F.col("cum_cb") / F.col("total_cb") - F.col("cum_cn") / F.col("total_cn"))
     v, cb, cn = F.col("value"), F.col("cb"), F.col("cn")
     means = joint.groupBy("feature").agg((F.sum(v * cb) / F.sum(cb)).alias("baseline_mean"), (F.sum(v * cn) / F.sum(cn)).alias("new_mean"))
-    spread = joint.join(means, "feature").groupBy("feature").agg(
+    spread = joint.join(F.broadcast(means), "feature").groupBy("feature").agg(
         F.max(gap).alias("ks"), F.max("total_cb").alias("n"), F.max("total_cn").alias("m"),
         F.max("baseline_mean").alias("baseline_mean"), F.max("new_mean").alias("new_mean"),
         F.sqrt(F.sum(cb * (v - F.col("baseline_mean")) * (v - F.col("baseline_mean"))) / F.sum(cb)).alias("s"),

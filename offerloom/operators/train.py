@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from offerloom.functions import columns as C
 from offerloom.operators import prefix
+from offerloom.session import materialise
 
 SEED = 42
 
@@ -100,19 +101,18 @@ def categorical_stages(cols) -> list:
 
 def text_features(df: DataFrame, col: str, terms: int = 200, out: str = "text") -> PipelineModel:
     """Fitted tf-idf over words and word pairs: smoothed idf plus one, unit length."""
-    prep = [
+    words = Pipeline(stages=[
         SQLTransformer(statement=f"SELECT *, coalesce({col}, '') AS {col}__s FROM __THIS__"),
         RegexTokenizer(inputCol=f"{col}__s", outputCol=f"{col}__w", pattern=r"[\p{L}\p{N}]{2,}", gaps=False, toLowercase=True),
         StopWordsRemover(inputCol=f"{col}__w", outputCol=f"{col}__f"),
         NGram(n=2, inputCol=f"{col}__f", outputCol=f"{col}__g"),
         SQLTransformer(statement=f"SELECT *, concat({col}__f, {col}__g) AS {col}__t FROM __THIS__"),
-        CountVectorizer(inputCol=f"{col}__t", outputCol=f"{col}__c", vocabSize=terms),
-    ]
-    counted = Pipeline(stages=prep).fit(df)
-    tf = counted.transform(df)
-    idf = IDF(inputCol=f"{col}__c", outputCol=f"{col}__i").fit(tf)
+    ]).fit(df.select(col))
+    terms_seen = materialise(words.transform(df.select(col)).select(f"{col}__t"), "terms")  # read by both fits
+    counts = CountVectorizer(inputCol=f"{col}__t", outputCol=f"{col}__c", vocabSize=terms).fit(terms_seen)
+    idf = IDF(inputCol=f"{col}__c", outputCol=f"{col}__i").fit(counts.transform(terms_seen))
     scale = ElementwiseProduct(scalingVec=Vectors.dense([x + 1.0 for x in idf.idf.toArray()]), inputCol=f"{col}__c", outputCol=f"{col}__x")
-    return PipelineModel(stages=[*counted.stages, scale, Normalizer(inputCol=f"{col}__x", outputCol=out, p=2.0)])
+    return PipelineModel(stages=[*words.stages, counts, scale, Normalizer(inputCol=f"{col}__x", outputCol=out, p=2.0)])
 
 
 def encode_target(df: DataFrame, target: str):

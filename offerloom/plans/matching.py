@@ -13,7 +13,7 @@ from offerloom.registry import query, table
 _ENT = """e AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'University of Supplier ' || (c_custkey % 150) ELSE 'Nowhere ' || c_custkey END AS name,
   CASE WHEN c_custkey % 3 = 0 THEN ['x', 'The SUPPLIER ' || (c_custkey % 70)] ELSE NULL END AS alternates, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE c_nationkey END AS rank,
   CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'C' || c_nationkey END AS country, CASE WHEN c_custkey % 4 < 2 THEN NULL ELSE 'T' || c_nationkey END AS city FROM customer)"""
-_RANK = """r0 AS (SELECT l_orderkey * 10 + l_linenumber AS pos, 'Supplier ' || (l_suppkey % 60) AS uni, (l_partkey % 50)::INT AS rk, 'RC' || (l_partkey % 9) AS country, 'RT' || (l_partkey % 8) AS city FROM lineitem WHERE l_linenumber < 3)"""
+_RANK = """r0 AS (SELECT l_orderkey * 10 + l_linenumber AS pos, 'Supplier ' || (l_suppkey % 60) AS uni, (l_partkey % 50)::INT AS rk, 'RC' || (l_partkey % 9) AS country, 'RT' || (l_partkey % 8) AS city FROM lineitem)"""
 
 
 def _entities(spark, sf):
@@ -24,7 +24,7 @@ def _entities(spark, sf):
 
 
 def _rankings(spark, sf):
-    return table(spark, sf, "lineitem").filter("l_linenumber < 3").selectExpr(
+    return table(spark, sf, "lineitem").selectExpr(
         "l_orderkey * 10 + l_linenumber AS pos", "concat('Supplier ', l_suppkey % 60) AS uni", "cast(l_partkey % 50 AS int) AS rk",
         "concat('RC', l_partkey % 9) AS country", "concat('RT', l_partkey % 8) AS city")
 

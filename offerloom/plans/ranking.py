@@ -136,7 +136,7 @@ def sim04(spark, sf):
 # --- windows ------------------------------------------------------------------------------------------------
 
 
-@query("win01_rank_in_query", "SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS item, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber)::INT AS position FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_linenumber > 0)")
+@query("win01_rank_in_query", "SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS item, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber)::INT AS position FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem)")
 def win01(spark, sf):
     p = table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), "l_extendedprice").distinct()
     return E.rank_in_query(p, "l_suppkey", "item", "l_extendedprice").drop("l_extendedprice")
@@ -185,7 +185,7 @@ def win06(spark, sf):
 
 def _history(spark, sf, when):
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
-    return li.join(o.filter(when), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("query_id"), (F.col("l_partkey") % 100).alias("item_id"), "l_quantity")
+    return li.join(o.filter(when), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("query_id"), F.col("l_suppkey").alias("item_id"), "l_quantity")
 
 
 def _preds(spark, sf):
@@ -196,7 +196,7 @@ def _truth(spark, sf):
     return _history(spark, sf, "o_orderdate >= DATE '1999-01-01'").groupBy("query_id", "item_id").agg((F.count("*") % 3 + 1).cast("double").alias("gain"))
 
 
-_EV = """h AS (SELECT o_custkey AS query_id, l_partkey % 100 AS item_id, l_quantity, o_orderdate < DATE '1999-01-01' AS early FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+_EV = """h AS (SELECT o_custkey AS query_id, l_suppkey AS item_id, l_quantity, o_orderdate < DATE '1999-01-01' AS early FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
   preds AS (SELECT query_id, item_id, sum(l_quantity) AS score FROM h WHERE early GROUP BY ALL), truth AS (SELECT query_id, item_id, {gain}::DOUBLE AS gain FROM h WHERE NOT early GROUP BY ALL),
   pos AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS p FROM preds), ht AS (SELECT pos.*, gain, (gain IS NOT NULL)::INT AS hit FROM pos LEFT JOIN truth USING (query_id, item_id)),
   hs AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY p) AS seen FROM ht), nr AS (SELECT query_id, count(*) AS nrel FROM truth GROUP BY 1),

@@ -181,13 +181,13 @@ def pg11(spark, sf):
     return d.select("event_id", F.try_element_at("fields", F.lit("k")).alias("k"), F.array_size(F.map_keys("fields")).alias("n_fields"), F.round("response_score", 4).alias("response_score"))
 
 
-def count_marks(batches):
-    for b in batches:
-        yield pd.DataFrame({"fingerprint": b["fingerprint"], "n_chars": b["content"].str.len().astype("int64"), "n_blank": b["content"].str.count(" ").astype("int64")})
-
-
 @query("pg12_extract_with", "SELECT doc_id, length(text) AS n_chars, length(text) - length(replace(text, ' ', '')) AS n_blank FROM documents")
 def pg12(spark, sf):
+    def count_marks(batches):
+        for b in batches:
+            text = b["content"]
+            yield pd.DataFrame({"fingerprint": b["fingerprint"], "n_chars": text.str.len().astype("int64"), "n_blank": text.str.count(" ").astype("int64")})
+
     d = table(spark, sf, "documents").select("doc_id", "text")
     return P.extract_with(d, count_marks, "fingerprint string, n_chars bigint, n_blank bigint", "doc_id", "text").drop("fingerprint")
 
