@@ -61,7 +61,7 @@ def brute(profiles, offers, n):
     return out
 
 
-def test_recommend_against_brute_force(spark):
+def catalogue(spark):
     rng = random.Random(5)
     pick = lambda *xs: rng.choice(xs)
     offers = [dict(offer_id=i, country=pick("A", "A", "B"), degree_level=pick("M", "P"), program_category=pick("x", "y"), gpa_min=pick(None, 2.0, 3.0, 3.5), ielts_min=pick(6.0, 6.5), toefl_min=pick(80.0, 90.0),
@@ -70,6 +70,11 @@ def test_recommend_against_brute_force(spark):
                      degree_level=pick(None, "M"), program_category=pick(None, "x")) for i in range(200)]
     o = spark.createDataFrame(offers, "offer_id int, country string, degree_level string, program_category string, gpa_min double, ielts_min double, toefl_min double, tuition double, match_score double")
     p = spark.createDataFrame(profiles, "profile_id int, gpa double, ielts double, toefl double, budget double, country string, degree_level string, program_category string")
+    return profiles, offers, p, o
+
+
+def test_recommend_against_brute_force(spark):
+    profiles, offers, p, o = catalogue(spark)
     want = brute(profiles, offers, 4)
     got = {}
     for r in recommend.recommend(p, o, 4).orderBy("profile_id", "position").collect():
@@ -79,6 +84,20 @@ def test_recommend_against_brute_force(spark):
     assert counts == {k: v[0] for k, v in want.items()}
 
 
+def test_holdout_against_brute_force(spark):
+    profiles, offers, p, o = catalogue(spark)
+    u = {r["offer_id"]: r["u"] for r in o.select("offer_id", recommend._uniform(F.col("offer_id"), 42).alias("u")).collect()}
+    assert all(0 <= x < 1 for x in u.values()) and len(set(u.values())) == len(u)
+    want = {}
+    for k, (n, items) in brute(profiles, offers, len(offers)).items():
+        if n:
+            want[k] = sorted(sorted(items, key=u.get)[: max(1, int(0.2 * n))])
+    got = {}
+    for r in recommend.holdout_truth(p, o, 0.2, "profile_id", "offer_id").collect():
+        got.setdefault(r["profile_id"], []).append(r["offer_id"])
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_containment_pairs_against_brute_force(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("ab c") for _ in range(rng.randint(1, 9))).strip() or "a" for _ in range(160)]
