@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from offerloom.functions import columns as C
-from offerloom.operators import stats
 
 
 

@@ -73,7 +73,8 @@ def search_entities(df: DataFrame, query=None, country=None, tier=None, kind=Non
 
 def has_word(text: Column, word: str) -> Column:
     """Whether a lower-case text contains the word between non-alphanumeric characters."""
-    exact = text.rlike(r"(?<![\p{L}\p{N}])" + re.escape(word) + r"(?![\p{L}\p{N}])")
+    w = re.escape(word)  # the word first: the engine then looks around its occurrences only
+    exact = text.rlike(w + r"(?![\p{L}\p{N}])(?<![\p{L}\p{N}]" + w + ")")
     return text.contains(word) & exact
 
 

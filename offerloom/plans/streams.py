@@ -57,7 +57,7 @@ def src07(spark, sf):
 @query("st02_rate_abuse", """SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M') AS window_start, user_id AS client, count(*) AS n_requests FROM events GROUP BY ALL HAVING count(*) > 4""")
 def st02(spark, sf):
     s = J.rate_abuse(_events(spark, sf), "user_id", "ts", 86400, 4, "1 day")
-    d = J.finalised(spark, s, "rate-abuse")
+    d = J.finalised(spark, s, "rate-abuse", ["window_start", "client"])
     return d.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "client", "n_requests")
 
 
@@ -65,7 +65,7 @@ def st02(spark, sf):
   round(avg(CASE WHEN event_id % 10 <> 0 THEN (value > 20)::INT END), 6) AS share_top, round(avg(CASE WHEN event_id % 10 <> 0 THEN (value <= 8)::INT END), 6) AS share_standard FROM events GROUP BY 1""")
 def st03(spark, sf):
     log = J.log_records(_requests(_events(spark, sf)), ["preferred_countries", "budget", "gpa"])
-    d = J.finalised(spark, J.prediction_metrics(log, "timestamp", "12 hours", "1 day"), "prediction-metrics")
+    d = J.finalised(spark, J.prediction_metrics(log, "timestamp", "12 hours", "1 day"), "prediction-metrics", ["window_start"])
     return rounded(d.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n_requests", "mean_top_score", "share_top", "share_standard"), 6)
 
 
@@ -80,7 +80,7 @@ def st04(spark, sf):
     path = scratch_path(spark, "served-baseline")
     D.save_baseline(table(spark, sf, "events").filter("ts < TIMESTAMP_NTZ '2024-01-10'"), ["value"], path)
     _, edges, bins = D.load_baseline(spark, path)
-    windowed = J.finalised(spark, J.served_bins(_events(spark, sf), edges, ["value"], "ts", "5 days", "1 day"), "served-bins")
+    windowed = J.finalised(spark, J.served_bins(_events(spark, sf), edges, ["value"], "ts", "5 days", "1 day"), "served-bins", ["window_start", "feature", "bin"])
     return rounded(J.serving_drift(windowed, bins, edges).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")), 6)
 
 

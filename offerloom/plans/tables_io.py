@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
-from offerloom.functions import columns as C
 from offerloom.registry import query, table
 from offerloom.session import scratch_path
 from offerloom.sources import readers as R, sinks as S

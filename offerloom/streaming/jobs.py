@@ -39,11 +39,10 @@ def drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
-def finalised(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+def finalised(spark: SparkSession, stream: DataFrame, name: str, keys) -> DataFrame:
     """As ``drain`` for windowed aggregates over a finite input: every window, including those the watermark
-    has not passed, through update mode and the newest state of each window."""
+    has not passed, through update mode and the newest state per ``keys``. A replayed batch replaces itself."""
     path = scratch_path(spark, name)
-    keys = [c for c in stream.columns if c in ("window_start", "window_end", "client", "feature", "bin", "event_type")]
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
