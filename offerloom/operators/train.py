@@ -198,6 +198,11 @@ class MacroF1(MulticlassClassificationEvaluator):
 # --- scoring and metrics ------------------------------------------------------------------------------------
 
 
+def default_scores(df: DataFrame, keep) -> DataFrame:
+    """What is served when no model can score: a neutral score without tier or confidence."""
+    return df.select(*keep, F.lit("unknown").alias("predicted_tier"), F.lit(0.5).alias("match_score"), F.lit("low").alias("confidence_band"))
+
+
 def score_catalog(model: PipelineModel, labels, df: DataFrame, keep) -> DataFrame:
     """Predicted tier, class probabilities, match score and band, in score order of the reader's choice."""
     scored = model.transform(df)

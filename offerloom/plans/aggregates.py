@@ -40,6 +40,11 @@ def agg02(spark, sf):
         "total", r("avg_rank"), "best_rank", "worst_rank", r("avg_students"), r("sum_endowment", 2))
 
 
+@query("agg02_entities_by_dimension", f"""WITH {K.ENTITIES} SELECT 'country' AS dimension, country AS value, count(*) AS n FROM entities GROUP BY 2 UNION ALL SELECT 'tier', tier, count(*) FROM entities GROUP BY 2""")
+def agg02b(spark, sf):
+    return A.counts_by(K.entities(spark, sf), ["country", "tier"])
+
+
 @query("agg03_entity_rollup", """SELECT c_nationkey, o_custkey, count(*) AS n_offers, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS kinds,
   strftime(max(o_orderdate), '%Y-%m-%d') AS last_updated FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL""")
 def agg03(spark, sf):
@@ -283,6 +288,11 @@ def agg26b(spark, sf):
     return rounded(A.quartiles_by(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice"))
 
 
+@query("agg26_top_values", "SELECT p_name, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_name LIMIT 15")
+def agg26c(spark, sf):
+    return A.top_values(table(spark, sf, "part"), "p_name", 15)
+
+
 @query("agg27_import_summary", """WITH x AS (SELECT CASE WHEN o_orderkey % 400 = 39 THEN 'failed' WHEN o_orderkey % 7 = 0 THEN 'skipped' WHEN o_orderstatus = 'F' THEN 'updated' ELSE 'inserted' END AS outcome FROM orders)
   SELECT outcome, count(*) AS n, round(count(*) * 100 / (SELECT count(*) FROM x)::DOUBLE, 4) AS pct FROM x GROUP BY 1""")
 def agg27(spark, sf):

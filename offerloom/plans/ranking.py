@@ -166,6 +166,12 @@ def win04(spark, sf):
     return T.rank_change_by_year(_years(spark, sf), "l_suppkey", "year", "rk")
 
 
+@query("win04_rank_difference", f"WITH {_YEARS} SELECT l_suppkey, year, rk, CASE WHEN year % 2 = 0 THEN (100 - rk)::INT END - rk AS rank_change FROM y")
+def win04b(spark, sf):
+    y = _years(spark, sf).withColumn("previous", F.when(F.col("year") % 2 == 0, F.lit(100) - F.col("rk")))
+    return T.rank_change(y, "rk", "previous").drop("previous")
+
+
 @query("win05_average_ranks", """WITH c AS (SELECT l_returnflag, l_extendedprice, count(*) AS cnt FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_extendedprice, cnt,
   (sum(cnt) OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - cnt + (cnt + 1) / 2::DOUBLE)::DOUBLE AS avg_rank FROM c""")
 def win05(spark, sf):

@@ -185,3 +185,21 @@ def scr03(spark, sf):
     data = _labelled(spark, sf)
     model, labels = T.train_classifier(data, _X, ["cat"], "tier", numTrees=10, maxDepth=4)
     return T.score_catalog(model, labels, data, ["vec_id"])
+
+
+@query("ml02_stratified_folds", "SELECT l_returnflag, 3::BIGINT AS n_folds, count(*) AS n_rows, true AS even FROM lineitem GROUP BY 1")
+def ml02b(spark, sf):
+    li = table(spark, sf, "lineitem").withColumn("k", F.col("l_orderkey") * 100000000 + F.col("l_partkey") * 10 + F.col("l_linenumber"))
+    per = T.stratified_folds(li, "l_returnflag", "k").groupBy("l_returnflag", "fold").agg(F.count("*").alias("n"))
+    return per.groupBy("l_returnflag").agg(F.count("*").alias("n_folds"), F.sum("n").alias("n_rows"), (F.max("n") < 1.3 * F.min("n")).alias("even"))
+
+
+@query("ml10_weighted_auc", f"""WITH {_PRED}, u AS (SELECT 'A' AS label, l_discount AS v, (y = 'A')::INT AS t FROM x UNION ALL SELECT 'N', l_tax, (y = 'N')::INT FROM x), r AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY v) + (count(*) OVER (PARTITION BY label, v) - 1) / 2::DOUBLE AS rk FROM u),
+  g AS (SELECT label, sum(rk * t) AS rs, sum(t)::BIGINT AS p, count(*) AS n FROM r GROUP BY 1), a AS (SELECT p, (rs - p * (p + 1) / 2::DOUBLE) / (p::DOUBLE * (n - p)) AS auc FROM g) SELECT round(sum(auc * p) / sum(p), 6) AS auc_weighted FROM a""")
+def ml10e(spark, sf):
+    return rounded(T.weighted_auc(T.roc_auc(_predicted(spark, sf), "y", {"A": "l_discount", "N": "l_tax"})), 6)
+
+
+@query("rec01_default_scores", "SELECT p_partkey, 'unknown' AS predicted_tier, 0.5::DOUBLE AS match_score, 'low' AS confidence_band FROM part")
+def rec01_default(spark, sf):
+    return T.default_scores(table(spark, sf, "part"), ["p_partkey"])
