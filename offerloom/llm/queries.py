@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom import registry
-from offerloom.llm import substring, suffix
+from offerloom.llm import minhash, packing, radix, substring, suffix
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -21,6 +21,32 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return registry.table(spark, sf, name)
 
 
+def tokenizer() -> str:
+    """The vocabulary file of the packing query; on a cluster, a path that every executor has."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@registry.query("op1_best_fit_packing")
+def op1(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), tokenizer(), 2048)
+
+
+@registry.query("op4_minhash_near_dedup")
+def op4(spark, sf):
+    out = minhash.near_groups(table(spark, sf, "documents"), 85, 5)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@registry.query("op8_exact_dedup", """WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS c, translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS t FROM documents),
+g AS (SELECT doc_id, t, first_value(doc_id) OVER (PARTITION BY t ORDER BY c DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g""")
+def op8(spark, sf):
+    out = radix.exact_groups(table(spark, sf, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.sha2("normalised", 256).alias("text_sha256"))
+
+
 @registry.query("op9_substring_dedup")
 def op9(spark, sf):
     out = substring.remove_repeated_words(table(spark, sf, "documents"))
