@@ -10,6 +10,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from offerloom.session import scratch_path
 
@@ -58,28 +59,41 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, ho
 
 
 def documents_by_key(docs: DataFrame, name: str) -> DataFrame:
-    """The documents as (k, dup, doc_id, z) in buckets of k.
+    """The documents as (k, dup, doc_id, z, given, rest) in buckets of k.
 
-    k is doc_id, the smallest long for null; dup counts the rows that share a k; z is the compressed text, empty for null.
+    k is doc_id, the smallest long for null; dup counts the rows that share a k; z is the compressed text, empty for null, and
+    given tells whether there was one; rest has all other columns, whatever their names.
     """
     text_batches(docs.sparkSession)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rest.alias("rest"))
 
     def packed(batches):
         c = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            z = [c.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(z, pa.binary())], names=["doc_id", "z"])
+            z = [c.compress((t or "").encode("utf-8", "surrogatepass")) for t in b["text"].to_pylist()]
+            yield pa.record_batch([b["doc_id"], pa.array(z, pa.binary()), b["text"].is_valid(), b["rest"]], names=["doc_id", "z", "given", "rest"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(packed, "doc_id long, z binary")
-    rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
+    schema = StructType([StructField("doc_id", LongType()), StructField("z", BinaryType()), StructField("given", BooleanType()), rows.schema["rest"]])
+    rows = rows.mapInArrow(packed, schema).withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dup = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("z"), "z")) - 1
-    return keep_bucketed(rows.repartition(n, "k").select("k", dup.alias("dup"), "doc_id", "z"), "k", name)
+    return keep_bucketed(rows.repartition(n, "k").select("k", dup.alias("dup"), "doc_id", "z", "given", "rest"), "k", name)
 
 
-def words(text: bytes) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+``: what ``bytes.split`` gives."""
-    return text.split()
+def with_texts(d: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of (doc_id, z, given, rest) as documents again, in the order of ``columns``."""
+
+    def unpacked(batches):
+        unzip = zstandard.ZstdDecompressor()
+        for b in batches:
+            text = [unzip.decompress(z).decode("utf-8", "surrogatepass") if g else None for z, g in zip(b["z"].to_pylist(), b["given"].to_pylist())]
+            yield pa.record_batch([b["doc_id"], pa.array(text, pa.string()), b["rest"]], names=["doc_id", "text", "rest"])
+
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), d.schema["rest"]])
+    out = d.select("doc_id", "z", "given", "rest").mapInArrow(unpacked, schema)
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in columns])
 
 
 def word_hashes(ws: list[bytes]) -> np.ndarray:

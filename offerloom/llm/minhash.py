@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import documents_by_key, join_hot, keep, mix64, word_hashes
+from offerloom.llm.common import documents_by_key, join_hot, keep, mix64, with_texts, word_hashes
 
 U = np.uint64
 #: Size of the permuted range that shingles are hashed to, coordinates of a signature, and coordinates in a band.
@@ -162,9 +162,21 @@ def near_groups(docs: DataFrame, percent: int = 85, width: int = 5, stars: int =
     smallest doc_id. Null or empty text or white space alone: no shingles, a component of its own. Null doc_id is the smallest.
     Rows that share a doc_id are documents of their own. Other columns are not looked at.
     """
+    out = _grouped(documents_by_key(docs, "near_documents"), percent, width, stars)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, stars: int = 2) -> DataFrame:
+    """The rows of ``docs`` that ``near_groups`` keeps, with all their columns."""
     d = documents_by_key(docs, "near_documents")
+    kept = _grouped(d, percent, width, stars).filter("kept").select("k", "dup")
+    return with_texts(d.join(kept, ["k", "dup"]), docs.columns)
+
+
+def _grouped(d: DataFrame, percent: int, width: int, stars: int) -> DataFrame:
+    """(k, dup, doc_id, n_shingles, component_id, kept) of the documents by key."""
     schema = "k long, dup int, doc_id long, n long, a long, b long, bands array<long>, sig binary"
-    s = d.mapInArrow(_signatures(width), schema).withColumn("row", F.monotonically_increasing_id())
+    s = d.select("k", "dup", "doc_id", "z").mapInArrow(_signatures(width), schema).withColumn("row", F.monotonically_increasing_id())
     s = keep(s, "signatures")
     classes = s.filter("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("k", "dup", "row")).alias("f"), F.count("*").alias("size"))
     classes = keep(classes.select("a", "b", "n", F.col("f.row").alias("rep"), "size"), "classes")
@@ -218,5 +230,5 @@ def near_groups(docs: DataFrame, percent: int = 85, width: int = 5, stars: int =
     of_row = join_hot(s.select("row", "k", "dup", "doc_id", "a", "b", "n"), named.select("a", "b", "n", "c", "size"), ["a", "b", "n"], "size")
     of_row = keep(of_row.withColumn("c", F.coalesce("c", -1 - F.col("row"))), "members")
     first = of_row.groupBy("c").agg(F.min(F.struct("k", "dup", "doc_id", "row")).alias("f"), F.count("*").alias("members"))
-    out = join_hot(of_row.select("c", "doc_id", "n", "row"), first, ["c"], "members", "inner")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("f.doc_id").alias("component_id"), (F.col("row") == F.col("f.row")).alias("kept"))
+    out = join_hot(of_row.select("c", "k", "dup", "doc_id", "n", "row"), first, ["c"], "members", "inner")
+    return out.select("k", "dup", "doc_id", F.col("n").alias("n_shingles"), F.col("f.doc_id").alias("component_id"), (F.col("row") == F.col("f.row")).alias("kept"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom import registry
-from offerloom.llm import minhash, packing, radix, substring, suffix
+from offerloom.llm import knn, lines, minhash, mixing, packing, pii, quality, radix, substring, suffix
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -33,12 +33,51 @@ def op1(spark, sf):
     return packing.pack(table(spark, sf, "documents"), tokenizer(), 2048)
 
 
+@registry.query("op2_exact_top_k", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5""")
+def op2(spark, sf):
+    v = knn.scaled(table(spark, sf, "embeddings"), "vec_id", "embedding", 256)
+    return knn.top_k(v, v.filter("vec_id % 50 = 0"), 5)
+
+
+@registry.query("op3_quality_classifier")
+def op3(spark, sf):
+    return quality.judged(table(spark, sf, "documents")).select("doc.doc_id", "score", "kept")
+
+
 @registry.query("op4_minhash_near_dedup")
 def op4(spark, sf):
     out = minhash.near_groups(table(spark, sf, "documents"), 85, 5)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@registry.query("op5_mixing_sources")
+def op5(spark, sf):
+    out = mixing.plan_mix(table(spark, sf, "documents"), ["doc_id"])
+    return out.select("doc.doc_id", "size", "source", "source_size", "target", "taken", "shards")
+
+
+@registry.query("op6_line_dedup", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+v AS (SELECT doc_id, i, ls[i] || chr(10) || ls[i + 1] || chr(10) || ls[i + 2] AS t FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM l)),
+rep AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS r FROM v WHERE regexp_matches(t, '[^ \\t\\n\\v\\f\\r]')),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM rep, (VALUES (0), (1), (2)) x(k) WHERE r > 1),
+every AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM l)
+SELECT e.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, sha256(coalesce(string_agg(e.line, chr(10) ORDER BY e.i) FILTER (WHERE g.i IS NULL), '')) AS kept_sha256
+FROM every e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY 1""")
+def op6(spark, sf):
+    out = lines.remove_repeated_lines(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@registry.query("op7_pii")
+def op7(spark, sf):
+    out = pii.personal_data(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @registry.query("op8_exact_dedup", """WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS c, translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS t FROM documents),
 g AS (SELECT doc_id, t, first_value(doc_id) OVER (PARTITION BY t ORDER BY c DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g""")
