@@ -47,7 +47,7 @@ class Unit:
     #: Unresolved runs that a task holds at once, but for those of one anchor.
     together: int = 4_000
     #: Anchors with more unresolved runs than this, and than 1/10,000 of all (so there are 10,000 at most), take the shuffled way.
-    heavy: int = 20_000
+    heavy: int = 2_000
 
     def of(self, text: bytes) -> list[bytes] | bytes:
         return text.split() if self.name == "word" else text
