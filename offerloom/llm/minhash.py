@@ -13,6 +13,8 @@ from offerloom.llm.common import documents_by_key, join_hot, keep, mix64, with_t
 U = np.uint64
 #: Size of the permuted range that shingles are hashed to, coordinates of a signature, and coordinates in a band.
 RANGE, COORDINATES, ROWS = 1 << 20, 128, 4
+#: A shingle is on a short list if so many documents have it at most.
+FEW = 8
 #: Members of a star that one task compares with its centre.
 STAR = 500
 
@@ -108,10 +110,12 @@ def _links(d: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent:
     return keep(texts.mapInArrow(_compare(width, percent), "centre long, row long"), "links")
 
 
-def _rare_shingles(d: DataFrame, some: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, row, n, alone): of each document of ``some`` its rarest shingles, as many as two linked documents must share one of.
+def _rare_shingles(d: DataFrame, some: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables (key, row, n, alone): between them, linked documents of ``some`` share a row's key, and ``possible`` holds.
 
-    ``alone`` counts its shingles that no other of these documents has. They are in no intersection, which bounds the similarity.
+    Sets are read from their rarest shingle on; two linked ones share one of the first few. The first table has shingles that up to
+    ``FEW`` of these documents have: short lists. The second is for pairs that share none of those, which then count as ``alone``,
+    as do those of one document: they are in no intersection, and that bounds the similarity.
     """
 
     def each(batches):
@@ -124,28 +128,38 @@ def _rare_shingles(d: DataFrame, some: DataFrame, width: int, percent: int) -> D
     every = keep(d.select("k", "dup", "z").join(some.select("row", "k", "dup"), ["k", "dup"]).select("row", "z").mapInArrow(each, "row long, key long"), "shingles")
     often = every.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1")
     common = join_hot(every, often, ["key"], "often", "inner")
-    common = common.withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy("often", "key")))
-    common = common.withColumn("shared", F.count("*").over(Window.partitionBy("row")))
-    common = common.join(some.select("row", "n"), "row").withColumn("alone", F.col("n") - F.col("shared"))
-    return common.filter(F.col("place") + F.col("alone") <= F.expr(f"n - ceil(n * {percent} / 100) + 1")).select("key", "row", "n", "alone")
+    own = Window.partitionBy("row")
+    common = common.withColumn("place", F.row_number().over(own.orderBy("often", "key"))).withColumn("shared", F.count("*").over(own))
+    common = common.withColumn("few", F.count_if(F.col("often") <= FEW).over(own)).join(some.select("row", "n"), "row").withColumn("alone", F.col("n") - F.col("shared"))
+    common = common.filter(F.col("place") + F.col("alone") <= F.expr(f"n - ceil(n * {percent} / 100) + 1"))
+    common = keep(common.filter(F.expr(f"100 * (n - alone) >= {percent} * n")), "prefixes")
+    short = common.filter(F.col("often") <= FEW).select("key", "row", "n", "alone")
+    return short, common.filter(F.col("often") > FEW).select("key", "row", "n", (F.col("alone") + F.col("few")).alias("alone"))
+
+
+def _merged(labels: DataFrame, links: DataFrame, rounds: int = 2) -> DataFrame:
+    """(row, c) after smaller labels have gone along the links ``rounds`` times: enough to make each star one component."""
+    both = links.select(F.col("centre").alias("x"), F.col("row").alias("y")).unionByName(links.select(F.col("row").alias("x"), F.col("centre").alias("y")))
+    for _ in range(rounds):
+        near = both.join(labels.withColumnRenamed("row", "y"), "y").groupBy(F.col("x").alias("row")).agg(F.min("c").alias("m"))
+        labels = labels.join(near, "row", "left").select("row", F.least("c", "m").alias("c"))
+    return keep(labels, "labels")
 
 
 def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(row, c): c is the smallest row that links lead to. Labels go along links and then jump to the label's own label."""
     both = keep(links.select(F.col("centre").alias("x"), F.col("row").alias("y")).unionByName(links.select(F.col("row").alias("x"), F.col("centre").alias("y"))), "both")
-    c = keep(nodes.select("row", F.col("row").alias("c")), "labels")
-    linked = both.select(F.col("x").alias("row")).distinct()
-    c_in = keep(c.join(linked, "row", "left_semi"), "labels")
+    c = both.groupBy(F.col("x").alias("row")).agg(F.min("y").alias("y")).select("row", F.least("row", "y").alias("c"))
     while True:
-        near = both.join(c_in.withColumnRenamed("row", "y"), "y").groupBy(F.col("x").alias("row")).agg(F.min("c").alias("m"), F.max(F.col("c")).alias("most"))
-        step = c_in.join(near, "row").select("row", F.least("c", "m").alias("c"), ((F.col("m") != F.col("c")) | (F.col("most") != F.col("c"))).alias("uneven"))
-        step = keep(step, "labels")
+        c = keep(c, "labels")
+        near = both.join(c.withColumnRenamed("row", "y"), "y").groupBy(F.col("x").alias("row")).agg(F.min("c").alias("m"), F.max("c").alias("most"))
+        step = keep(c.join(near, "row").select("row", F.least("c", "m").alias("c"), ((F.col("m") != F.col("c")) | (F.col("most") != F.col("c"))).alias("uneven")), "labels")
         if step.filter("uneven").isEmpty():
             break
         up = step.select(F.col("row").alias("c"), F.col("c").alias("up"))
         hot = step.groupBy("c").agg(F.count("*").alias("size")).join(up, "c")
-        c_in = keep(join_hot(step.select("row", "c"), hot, ["c"], "size", "inner").select("row", F.col("up").alias("c")), "labels")
-    return c.join(c_in.withColumnRenamed("c", "l"), "row", "left").select("row", F.coalesce("l", "c").alias("c"))
+        c = join_hot(step.select("row", "c"), hot, ["c"], "size", "inner").select("row", F.col("up").alias("c"))
+    return nodes.select("row").join(c.withColumnRenamed("c", "l"), "row", "left").select("row", F.coalesce("l", "row").alias("c"))
 
 
 def near_groups(docs: DataFrame, percent: int = 85, width: int = 5, stars: int = 2) -> DataFrame:
@@ -191,31 +205,30 @@ def _grouped(d: DataFrame, percent: int, width: int, stars: int) -> DataFrame:
     links, labels = None, reps.select("row", F.col("row").alias("c"))
 
     def add(pairs):
-        nonlocal links, labels
+        nonlocal links
         found = _links(d, reps, pairs, width, percent)
         links = found if links is None else links.unionByName(found)
-        labels = _components(reps, links)
+        return found
 
-    def mixed():
-        """The keys whose documents are in more than one component yet."""
+    def mixed(keyed, t):
+        """Documents by key with their component, and per key that has several components its centre."""
         told = keyed.join(labels, "row")
         first = F.min(F.struct("alone", F.xxhash64("row", F.lit(t)).alias("o"), "row", "n", "c")).alias("f")
         heads = told.groupBy("key").agg(first, F.count("*").alias("size"), F.min("c").alias("l"), F.max("c").alias("g")).filter("l < g")
         return told, keep(heads.select("key", F.col("f.row").alias("centre"), F.col("f.n").alias("other_n"), F.col("f.alone").alias("other_alone"), F.col("f.c").alias("other_c"), "size"), "mixed")
 
-    for t in range(2 * stars):
-        if t == stars:  # from here on by their rarest shingles
-            told, heads = mixed()
-            left = keep(join_hot(told, heads, ["key"], "size", "inner").select("row").distinct().join(reps.select("row", "k", "dup", "n"), "row"), "left")
-            keyed = keep(_rare_shingles(d, left, width, percent), "rare")
-        told, heads = mixed()
-        add(join_hot(told, heads, ["key"], "size", "inner").filter((F.col("c") != F.col("other_c")) & possible).select("centre", "row").distinct())
-
-    told, heads = mixed()
-    told = keep(join_hot(told, heads.select("key", "size"), ["key"], "size", "inner").drop("size").join(reps.select("row", "sig"), "row"), "rest")
-    other = told.select("key", *[F.col(x).alias(f"other_{x}") for x in ("row", "n", "alone", "c", "sig")])
-    pairs = told.join(other, "key").filter((F.col("row") < F.col("other_row")) & (F.col("c") != F.col("other_c")) & possible)
-    # a linked pair's signatures agree in fewer coordinates than this with a chance of 1e-9
+    for t in range(stars):
+        told, heads = mixed(keyed, t)
+        labels = _merged(labels, add(join_hot(told, heads, ["key"], "size", "inner").filter((F.col("c") != F.col("other_c")) & possible).select("centre", "row").distinct()))
+    told, heads = mixed(keyed, stars)
+    left = keep(join_hot(told, heads, ["key"], "size", "inner").select("row").distinct().join(reps.select("row", "k", "dup", "n"), "row"), "left")
+    short, long_ = _rare_shingles(d, left, width, percent)
+    for t in range(stars):
+        told, heads = mixed(long_, t)
+        labels = _merged(labels, add(join_hot(told, heads, ["key"], "size", "inner").filter((F.col("c") != F.col("other_c")) & possible).select("centre", "row").distinct()))
+    labels = keep(_components(reps, links), "components")
+
+    # what is left, pair by pair; a linked pair's signatures agree in fewer coordinates than this with a chance of 1e-9
     p = percent / 100
     agree = int(COORDINATES * p - 6 * (COORDINATES * p * (1 - p)) ** 0.5)
 
@@ -224,7 +237,16 @@ def _grouped(d: DataFrame, percent: int, width: int, stars: int) -> DataFrame:
             x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("sig", "other_sig"))
             yield b.select(["other_row", "row"]).filter(pa.array((x == y).sum(axis=1) >= agree)).rename_columns(["centre", "row"])
 
-    add(pairs.select("row", "other_row", "sig", "other_sig").mapInArrow(agreeing, "centre long, row long").distinct())
+    rest = None
+    for keyed in (short, long_):
+        told, heads = mixed(keyed, 0)
+        told = keep(join_hot(told, heads.select("key", "size"), ["key"], "size", "inner").drop("size").join(reps.select("row", "sig"), "row"), "rest")
+        other = told.select("key", *[F.col(x).alias(f"other_{x}") for x in ("row", "n", "alone", "c", "sig")])
+        pairs = told.join(other, "key").filter((F.col("row") < F.col("other_row")) & (F.col("c") != F.col("other_c")) & possible)
+        pairs = pairs.select("row", "other_row", "sig", "other_sig").mapInArrow(agreeing, "centre long, row long")
+        rest = pairs if rest is None else rest.unionByName(pairs)
+    add(rest.distinct())
+    labels = keep(_components(reps, links), "components")
 
     named = classes.join(labels.withColumnRenamed("row", "rep"), "rep")
     of_row = join_hot(s.select("row", "k", "dup", "doc_id", "a", "b", "n"), named.select("a", "b", "n", "c", "size"), ["a", "b", "n"], "size")
