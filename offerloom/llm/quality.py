@@ -18,27 +18,63 @@ DIMENSIONS, WHOLE = 1 << 16, 64
 _LETTERS = np.array([chr(i).isalpha() or i >= 0x80 for i in range(256)])
 _UPPER = np.array([0x41 <= i <= 0x5A for i in range(256)])
 _DIGIT = np.array([0x30 <= i <= 0x39 for i in range(256)])
-_PLAIN = _LETTERS | _DIGIT | np.isin(np.arange(256), list(b" \t\r\n.,;:!?'\"()-"))
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_PLAIN = _LETTERS | _DIGIT | _SPACE | np.isin(np.arange(256), list(b".,;:!?'\"()-"))
+_SHAPES = [(re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"0")]
+
+
+class _Words(dict):
+    """Numbers of the words a worker has seen, and what is asked of each: its feature, whether it ends a sentence, whether it is a lone sign."""
+
+    most = 500_000
+
+    def __init__(self):
+        super().__init__()
+        self.told = np.zeros((1024, 3), np.int32)
+
+    def __missing__(self, w: bytes) -> int:
+        i = len(self)
+        if i == len(self.told):
+            self.told = np.concatenate((self.told, np.zeros_like(self.told)))
+        shape = w
+        for pattern, sign in _SHAPES:
+            shape = pattern.sub(sign, shape)
+        place = int(word_hashes([shape])[0] % np.uint64(DIMENSIONS - WHOLE))
+        self.told[i] = place, w[-1:] in (b".", b"!", b"?"), len(w) == 1 and not _LETTERS[w[0]] and not _DIGIT[w[0]]
+        self[w] = i
+        return i
+
+    def of(self, ws: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
+
+
+_words = _Words()
 
 
-def _measures(text: bytes, ws: list[bytes]) -> dict[str, float]:
-    """Shares that the labellers judge."""
-    n, n_words = max(1, len(text)), max(1, len(ws))
+def _read(t: str | None) -> tuple[np.ndarray, dict[str, float]]:
+    """(features of the words, shares that the labellers judge) of a whole text."""
+    text = (t or "").encode("utf-8", "surrogatepass")
+    ids = _words.of(text.split())
+    place, ends, bare = _words.told[ids].T
+    n, n_words = max(1, len(text)), max(1, len(ids))
     c = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     letters = max(1, int(c[_LETTERS].sum()))
+    triples = ids[:-2] * 0x9E3779B1 + ids[1:-1] * 0x85EBCA6B1 + ids[2:] * 0xC2B2AE3D27 if len(ids) > 2 else ids[:0]
     lines = [x for x in text.split(b"\n") if x.strip()]
-    return {
-        "words": len(ws),
+    return place, {
+        "words": len(ids),
         "odd": 1 - c[_PLAIN].sum() / n,
         "upper": c[_UPPER].sum() / letters,
         "digits": c[_DIGIT].sum() / n,
         "other": 1 - letters / n,
-        "length": sum(map(len, ws)) / n_words,
-        "again": sum(map(bytes.__eq__, ws, ws[1:])) / n_words,
-        "apart": 1 - len(set(zip(ws, ws[1:], ws[2:]))) / max(1, len(ws) - 2),
+        "length": (len(text) - c[_SPACE].sum()) / n_words,
+        "again": (ids[1:] == ids[:-1]).sum() / n_words,
+        "apart": 1 - len(np.unique(triples)) / max(1, len(triples)) if len(triples) else 0.0,
         "lines_again": 1 - len(set(lines)) / max(1, len(lines)),
-        "ends": sum(w[-1:] in b".!?" for w in ws) / n_words,
-        "bare": sum(len(w) == 1 and not _LETTERS[w[0]] and not _DIGIT[w[0]] for w in ws) / n_words,
+        "ends": ends.sum() / n_words,
+        "bare": bare.sum() / n_words,
         "marks": (c[33] + c[63]) / n_words,
     }
 
@@ -94,27 +130,10 @@ def fit_label_model(codes: np.ndarray, counts: np.ndarray, rounds: int = 200):
     return good, speaks, p
 
 
-_SHAPES = [(re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"0")]
-_known: dict[bytes, int] = {}
-
-
-def _feature(w: bytes) -> int:
-    """Place of a word's shape: letters and digits as runs, other signs as they are."""
-    at = _known.get(w)
-    if at is None:
-        shape = w
-        for pattern, sign in _SHAPES:
-            shape = pattern.sub(sign, shape)
-        at = int(word_hashes([shape[:40]])[0] % np.uint64(DIMENSIONS - WHOLE))
-        if len(_known) < 500_000:
-            _known[w] = at
-    return at
-
-
-def features(text: bytes, ws: list[bytes], m: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+def features(place: np.ndarray, m: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of a text: (places, values) of the shares of word shapes, and of the measures in four steps each."""
-    at, n = np.unique(np.fromiter(map(_feature, ws), np.int64, len(ws)), return_counts=True)
-    x = np.sqrt(n / max(1, len(ws)))
+    at, n = np.unique(place, return_counts=True)
+    x = np.sqrt(n / max(1, len(place)))
     steps = [i * 4 + min(3, int(m[k] / least * 2)) for i, (_, k, least) in enumerate(LABELLERS)]
     return np.append(at, DIMENSIONS - WHOLE + np.array(steps)), np.append(x, np.full(len(steps), 0.5))
 
@@ -133,12 +152,6 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs:
     return w
 
 
-def _read(t: str | None):
-    text = (t or "").encode("utf-8", "surrogatepass")
-    ws = text.split()
-    return text, ws, _measures(text, ws)
-
-
 def judged(docs: DataFrame, sample: int = 10_000, least: float = 0.05) -> DataFrame:
     """Score every document and decide which stay.
 
@@ -156,7 +169,7 @@ def judged(docs: DataFrame, sample: int = 10_000, least: float = 0.05) -> DataFr
         seen: Counter = Counter()
         for b in batches:
             for t in b["text"].to_pylist():
-                seen[pattern(votes(_read(t)[2]))] += 1
+                seen[pattern(votes(_read(t)[1]))] += 1
         yield pa.record_batch([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["code", "n"])
 
     told = texts.select("text").mapInArrow(patterns, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
@@ -170,8 +183,8 @@ def judged(docs: DataFrame, sample: int = 10_000, least: float = 0.05) -> DataFr
         rows, target = [], []
         for b in batches:
             for t in b["text"].to_pylist():
-                text, ws, m = _read(t)
-                rows.append(features(text, ws, m))
+                place, m = _read(t)
+                rows.append(features(place, m))
                 target.append(posterior[pattern(votes(m))])
         yield pa.record_batch([pa.array([train(rows, np.array(target)).tolist()], pa.list_(pa.float64()))], names=["w"])
 
