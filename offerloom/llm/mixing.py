@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from offerloom.llm.common import join_hot, keep
 
+#: Tables of at most so many rows (sources), or so many and 250,000 more (blocks), of a few numbers each are broadcast.
+MOST_BROADCAST = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -81,28 +83,39 @@ def plan_mix(docs: DataFrame, carry: list[str], weights=(3, 1, 2), share: float
     Returns (doc, size, source, source_size, target, full, part, taken, shards, place), one row per row of ``docs``: doc is a struct of
     the columns ``carry``; the document is taken whole ``full`` times and once with its first ``part`` words; shards are those of these
     copies, the part last; place orders documents within a shard. Null text has no words and takes part with none; repeated rows
-    fall into the same block; ties of equal hashes are broken by size. An empty table: no rows. Reruns agree.
+    fall into the same block and share what is taken of the one that crosses. An empty table: no rows. Reruns agree.
     """
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     source = F.col("source").cast("string")
     rows = docs.select(
         F.struct(*carry).alias("doc"), size.alias("size"), source.alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("key"),
         F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("place"))
-    rows = keep(rows, "mix_rows")
-    sizes = targets(rows.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), list(weights), share, most)
+    light = keep(rows.select("size", "source", "key", "place"), "mix_sizes")
+    sizes = targets(light.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), list(weights), share, most)
     total = sizes.agg(F.sum("source_size").alias("t")).first()["t"] or 0
-    block_words = max(least_block, total // 500_000)  # the tree draws at most about a million blocks at a node
+    block_words = max(least_block, total // 250_000)  # the tree draws at most about half a million blocks at a node
     sizes = keep(sizes.withColumn("n_blocks", F.greatest(F.lit(1), F.round(F.col("source_size") / block_words)).cast("long")), "sources")
-    rows = join_hot(rows, sizes.drop("source"), ["key"], "n", "inner").drop("n").withColumn("block", F.pmod("place", "n_blocks"))
+    def in_blocks(some: DataFrame) -> DataFrame:
+        told = sizes.select("key", "n", "source_size", "target", "n_blocks")
+        some = some.join(F.broadcast(told.drop("n")), "key") if few_sources else join_hot(some, told, ["key"], "n", "inner").drop("n")
+        return some.withColumn("block", F.pmod("place", "n_blocks"))
+
+    few_sources = sizes.count() <= MOST_BROADCAST
+    light = in_blocks(light)
 
     # how often whole passes fit, and the words that are left for one more pass over the permuted blocks
-    blocks = rows.groupBy("key", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    blocks = light.groupBy("key", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed + 1), "key", "block"), "block")
     blocks = blocks.withColumn("full", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size")) + 1e-9), F.lit(0)).cast("long"))
     blocks = blocks.withColumn("left", F.round(F.col("target") - F.col("full") * F.col("source_size")).cast("long") - (F.sum("words").over(order) - F.col("words")))
     whole = (F.col("left") >= F.col("words")) & (F.col("words") > 0)
     blocks = blocks.select("key", "block", (F.col("full") + whole.cast("long")).alias("full"), F.when(~whole & (F.col("left") > 0), F.least("left", "words")).otherwise(0).alias("extra"))
-    blocks = keep(blocks, "blocks")
+    # in a block that is taken in part: the place of the document that crosses, and its words, shared by equal rows
+    ties = light.groupBy("key", "block", "place").agg(F.sum("size").alias("words"), F.count("*").alias("m"))
+    ties = ties.join(blocks.filter("extra > 0"), ["key", "block"])
+    ties = ties.withColumn("before", F.sum("words").over(Window.partitionBy("key", "block").orderBy("place")) - F.col("words"))
+    cut = ties.filter("before < extra AND before + words >= extra").select("key", "block", F.col("place").alias("cut_place"), F.floor((F.col("extra") - F.col("before")) / F.col("m")).alias("cut_part"))
+    blocks = keep(blocks.join(cut, ["key", "block"], "left"), "blocks")
 
     # shards draw the copies of blocks
     copies = blocks.select("key", "block", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("copy"), (F.col("full") + (F.col("extra") > 0).cast("long")).alias("n"))
@@ -112,9 +125,11 @@ def plan_mix(docs: DataFrame, carry: list[str], weights=(3, 1, 2), share: float
     turns = quotas.withColumn("until", until).select("key", "shard", F.explode(F.sequence(F.col("until") - F.col("quota") + 1, F.col("until"))).alias("drawn"))
     placed = copies.join(turns, ["key", "drawn"]).groupBy("key", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("shards"))
 
-    out = rows.join(blocks, ["key", "block"]).join(placed, ["key", "block"], "left")
-    before = F.sum("size").over(Window.partitionBy("key", "block").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1))
-    out = out.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.coalesce(before, F.lit(0)))).cast("long"))
+    # about 250,000 blocks, and one per source, at most: rows do not move to learn theirs, unless there are more sources
+    told = keep(blocks.drop("extra").join(placed, ["key", "block"], "left"), "told")
+    out = in_blocks(rows).join(F.broadcast(told) if few_sources else told, ["key", "block"])
+    part = F.when(F.col("place") < F.col("cut_place"), F.col("size")).when(F.col("place") == F.col("cut_place"), F.least("size", "cut_part"))
+    out = out.withColumn("part", F.coalesce(part, F.lit(0)).cast("long"))
     return out.select(
         "doc", "size", "source", "source_size", "target", "full", "part", (F.col("full") * F.col("size") + F.col("part")).alias("taken"),
         F.coalesce("shards", F.array().cast("array<int>")).alias("shards"), "place")
