@@ -69,9 +69,10 @@ def first_hit(preds: DataFrame, relevant: DataFrame, query: str, item: str, scor
     It is one plus the number of items that beat the best relevant item; that needs no ordering of the query.
     """
     both = preds.select(query, item, score).join(relevant.select(query, item), [query, item])
-    best = both.groupBy(query).agg(F.max(F.struct(F.col(score), (-F.col(item)).alias("_ni"))).alias("_b"))
+    down = -F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))  # no score comes last
+    best = both.groupBy(query).agg(F.min(F.struct(down.alias("_down"), F.col(item).alias("_item"))).alias("_b"))
     ahead = preds.select(query, item, score).join(best, query)
-    beats = (F.col(score) > F.col(f"_b.{score}")) | ((F.col(score) == F.col(f"_b.{score}")) & (-F.col(item) > F.col("_b._ni")))
+    beats = (down < F.col("_b._down")) | ((down == F.col("_b._down")) & (F.col(item) < F.col("_b._item")))
     return ahead.groupBy(query).agg((F.count_if(beats) + 1).alias("_pos"))
 
 
@@ -89,6 +90,6 @@ def sample_per_group(df: DataFrame, group: str, item: str, fraction: float, seed
     """A seeded share of each group, at least one row, without replacement: exact counts, any group size."""
     hashed = df.withColumn("_h", F.xxhash64(F.col(item), F.lit(seed)).cast("double")).withColumn("_i", F.col(item))
     ranked = prefix.row_numbers(hashed, [group], [("_h", False), ("_i", False)], "_rn", hot_rows)
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
     want = F.greatest(F.lit(1), F.floor(F.lit(fraction) * F.col("_n")))
-    return ranked.join(sizes, group).filter(F.col("_rn") <= want).select(*df.columns)
+    return ranked.join(sizes, ranked[group].eqNullSafe(sizes["_g"])).filter(F.col("_rn") <= want).select(*df.columns)

@@ -114,15 +114,15 @@ def fill_from_ranking(entities: DataFrame, rankings: DataFrame, name: str, r_nam
 
 
 def alias_join(df: DataFrame, aliases: DataFrame, col: str, alias: str, target: str) -> DataFrame:
-    """Rename through a mapping table; names without an entry stay."""
-    m = aliases.select(F.col(alias).alias("_a"), F.col(target).alias("_t"))
+    """Rename through a mapping table; names without an entry stay. Of a repeated alias the smallest target counts."""
+    m = aliases.groupBy(F.col(alias).alias("_a")).agg(F.min(target).alias("_t"))
     return df.join(m, df[col] == m["_a"], "left").withColumn(col, F.coalesce("_t", col)).drop("_a", "_t")
 
 
 def fill_from_reference(df: DataFrame, reference: DataFrame, key: str, ref_key: str, texts, numbers) -> DataFrame:
-    """Fill empty text and missing or zero numbers from a reference table."""
+    """Fill empty text and missing or zero numbers from a reference table; of rows that repeat a key the smallest counts."""
     cols = [*texts, *numbers]
-    m = reference.select(F.col(ref_key).alias("_k"), *[F.col(c).alias(f"_m_{c}") for c in cols])
+    m = reference.groupBy(F.col(ref_key).alias("_k")).agg(F.min(F.struct(*[F.col(c).alias(f"_m_{c}") for c in cols])).alias("_m")).select("_k", "_m.*")
     out = df.join(m, df[key] == m["_k"], "left")
     for c in texts:
         out = out.withColumn(c, fill(c, F.col(f"_m_{c}")))
@@ -235,7 +235,8 @@ def expand_catalog(entities: DataFrame, templates: dict, name: str, rank: str, s
 
 def backfill_from_discovery(offers: DataFrame, links: DataFrame, url: str, link_url: str) -> DataFrame:
     """Take the link's category where ours is empty or 'Other', its level where ours is empty or 'Masters'."""
-    l = links.select(F.col(link_url).alias("_u"), F.col("category").alias("_cat"), F.col("degree_level").alias("_lvl"))
+    one = F.min(F.struct(F.col("category").alias("_cat"), F.col("degree_level").alias("_lvl"))).alias("_l")  # one link per address
+    l = links.groupBy(F.col(link_url).alias("_u")).agg(one).select("_u", "_l.*")
     weak_cat = F.coalesce(F.col("category"), F.lit("")).isin("", "Other") & F.col("_cat").isNotNull()
     weak_lvl = F.coalesce(F.col("degree_level"), F.lit("")).isin("", "Masters") & F.col("_lvl").isNotNull()
     return (

@@ -1,4 +1,4 @@
-"""Nearest items by vector: exact in blocks, and clustered search for large tables.
+"""Nearest items by vector: exact in blocks, or clustered search; the caller chooses.
 
 Items and queries are cut into blocks of bounded size. A pair of blocks meets in one task as two matrices,
 and only the k best per query leave the task, so no pair of rows is ever written.
@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 BLOCK = 4096
 CHUNK = 512
-IVF_FROM = 5000
 
 
 def normalise(df: DataFrame, vector: str) -> DataFrame:
@@ -163,12 +162,6 @@ def similar_ivf(items: DataFrame, k: int, item_id: str, vector: str = "embedding
                            item_id, vector, probes, metric, True)
 
 
-def similar(items: DataFrame, k: int, item_id: str, vector: str = "embedding", metric: str = "cosine") -> DataFrame:
-    """Exact below 5,000 items, clustered from there on."""
-    n = items.count()
-    return similar_exact(items, k, item_id, vector, metric) if n < IVF_FROM else similar_ivf(items, k, item_id, vector, metric=metric, n=n)
-
-
 # --- stored index ---------------------------------------------------------------------------------------------
 
 

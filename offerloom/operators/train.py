@@ -133,7 +133,8 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_weights(df: DataFrame, label: str) -> DataFrame:
-    return df.join(class_weights(df, label).select(label, "weight"), label)
+    w = class_weights(df, label).select(F.col(label).alias("_l"), "weight")
+    return df.join(w, df[label].eqNullSafe(w["_l"])).drop("_l")
 
 
 def assemble(numeric, categorical, text_out=None) -> list:
@@ -248,7 +249,7 @@ def roc_auc(df: DataFrame, actual: str, scores: dict[str, str], hot_rows: int =
     rank = F.col("cum_cnt") - F.col("cnt") + (F.col("cnt") + 1) / 2
     g = cum.groupBy("label").agg(F.sum(rank * F.col("pos")).alias("rs"), F.sum("pos").alias("n_pos"), F.max("total_cnt").alias("n"))
     p, q = F.col("n_pos"), F.col("n") - F.col("n_pos")
-    return g.select("label", "n_pos", ((F.col("rs") - p * (p + 1) / 2) / (p * q)).alias("auc"))
+    return g.select("label", "n_pos", F.try_divide(F.col("rs") - p * (p + 1) / 2, p * q).alias("auc"))
 
 
 def weighted_auc(auc: DataFrame) -> DataFrame:

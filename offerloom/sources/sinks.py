@@ -194,18 +194,10 @@ def flatten(df: DataFrame, sep: str = ", ") -> DataFrame:
 
 
 def keep_latest_versions(history: DataFrame, key: str, version: str, n: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(kept, expired): the newest n versions of each key and the rest.
-
-    The n-th newest version per key is the only thing shuffled by key; the split itself is a join.
-    """
-    w = Window.partitionBy(key).orderBy(F.col(version).desc())
-    edge = (
-        history.select(key, version).withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") <= n).groupBy(key).agg(F.min(version).alias("_edge"))
-    )
-    marked = history.join(edge, key)
-    kept = marked.filter(F.col(version) >= F.col("_edge")).drop("_edge")
-    return kept, marked.filter(F.col(version) < F.col("_edge")).drop("_edge")
+    """(kept, expired): the newest n versions of each key, n at most where versions tie, and the rest."""
+    w = Window.partitionBy(key).orderBy(F.col(version).desc(), F.xxhash64(*history.columns))
+    marked = history.withColumn("_rn", F.row_number().over(w))
+    return marked.filter(F.col("_rn") <= n).drop("_rn"), marked.filter(F.col("_rn") > n).drop("_rn")
 
 
 def dataset_manifest(df: DataFrame, distinct_cols=()) -> DataFrame:
