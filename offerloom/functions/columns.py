@@ -315,7 +315,7 @@ def official_website(site, canonical, aggregator: str) -> Column:
 def title_case(c) -> Column:
     """Upper first letter of every run of letters, the rest lower."""
     runs = F.split(F.lower(_c(c)), r"(?<=[^\p{L}])(?=\p{L})")
-    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000000))), "")
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), "")
 
 
 def snake(c) -> Column:

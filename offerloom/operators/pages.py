@@ -2,33 +2,65 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from offerloom.functions import columns as C, fixed
 from offerloom.session import materialise
 
-DROPPED = [r"(?is)<(script|style)(\s[^>]*)?>.*?</\1\s*>", r"(?is)<(nav|footer|header)(\s[^>]*)?>.*?</\1\s*>"]
-DROPPED_TAGS = ("script", "style", "nav", "footer", "header")
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+DROPPED = r"(?is)<(script|style)(\s[^>]*)?>.*?</\1\s*>"
+DROPPED_TAGS = ("nav", "footer", "header")
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 ANCHOR = r"(?is)<a\s[^>]*>.*?</a>"
 
 
+def _named() -> Column:
+    """Entity name to code point: the standard table, and &apos;."""
+    return F.create_map(*[F.lit(x) for pair in sorted({**name2codepoint, "apos": 39}.items()) for x in pair])
+
+
+def _entity(mark: Column) -> Column:
+    """The character of one entity; unknown names stay as they are, a no-break space is a blank."""
+    body = F.substring(mark, F.lit(2), F.length(mark) - 2)
+    digits = F.regexp_extract(body, r"^#[xX]?([0-9a-fA-F]+)$", 1)
+    code = F.when(body.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("int")).when(body.startswith("#"), digits.cast("int")).otherwise(
+        F.try_element_at(_named(), body))
+    valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    return (F.when(code.isNull(), mark).when(code == 0xA0, F.lit(" "))
+            .when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd")))
+
+
 def unescape(c: Column) -> Column:
+    """Numeric and named entities decoded once, in one pass."""
     def decode(t):
-        out = t
-        for mark, text in ENTITIES:
-            out = F.replace(out, F.lit(mark), F.lit(text))
-        return F.when(t.contains("&"), out).otherwise(t)
+        marks = F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))
+        whole = F.zip_with(F.split(t, ENTITY), marks, lambda text, m: F.concat(text, F.when(m.isNull(), F.lit("")).otherwise(_entity(m))))
+        return F.when(t.contains("&"), F.array_join(whole, "")).otherwise(t)
 
     return C.bind(c, decode)
 
 
+def _depths(pieces: Column, start: int = 0) -> Column:
+    """Depth after each piece's first tag; pieces begin with an opening or a closing tag or with none."""
+    step = lambda p: F.when(p.rlike("^</"), -1).when(p.rlike(r"^<[^>]*/>"), 0).when(p.startswith("<"), 1).otherwise(0)
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(start))
+    return F.aggregate(pieces, F.array().cast("array<int>"), lambda a, p: F.array_append(a, F.greatest(last(a) + step(p), F.lit(0))))
+
+
+def without_blocks(html: Column, tags=DROPPED_TAGS) -> Column:
+    """The text outside all blocks of these tags, however deep they nest; an unclosed block reaches to the end.
+
+    The blank before the text keeps its first piece from beginning with a tag."""
+    cut = rf"(?i)(?=</?(?:{'|'.join(tags)})[\s/>])"
+    outside = lambda ps: F.zip_with(ps, _depths(ps), lambda p, d: F.when(d == 0, F.regexp_replace(p, rf"(?i)^</?(?:{'|'.join(tags)})[^>]*>?", " ")).otherwise(F.lit("")))
+    return C.bind(html, lambda t: F.when(t.rlike(cut), C.bind(F.split(F.concat(F.lit(" "), t), cut), lambda ps: F.array_join(outside(ps), ""))).otherwise(t))
+
+
 def plain_text(html) -> Column:
     """Visible text: blocks without content dropped, tags to blanks, entities decoded, whitespace collapsed."""
-    t = C._c(html)
-    for pattern in DROPPED:
-        t = F.regexp_replace(t, pattern, " ")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->|<[^>]+>", " ")
+    t = without_blocks(F.regexp_replace(C._c(html), rf"{DROPPED}|(?s)<!--.*?-->", " "))
+    t = F.regexp_replace(t, r"<[^>]+>", " ")
     return C.strip(F.regexp_replace(unescape(t), r"[ \t\n\r\f\v]{2,}|[\t\n\r\f\v]", " "))
 
 
@@ -71,10 +103,17 @@ def resolve(base: Column, href: Column) -> Column:
         .when(href.startswith("?"), F.concat(plain, href))
         .otherwise(F.concat(folder, href))
     )
-    tidy = F.regexp_replace(joined, r"/(?:\./)+", "/")
-    for _ in range(6):
-        tidy = F.regexp_replace(tidy, r"([^:/])/[^/?#]+/\.\./", "$1/")
-    return tidy
+    return C.bind(joined, lambda u: F.when(u.rlike(r"/\.\.?(/|$|[?#])"), _tidy(u)).otherwise(u))
+
+
+def _tidy(url: Column) -> Column:
+    """The url without "." and ".." segments, of which there may be any number."""
+    parts = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$"
+    segments = F.split(F.regexp_extract(url, parts, 2), "/")
+    folded = F.aggregate(segments, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1))))
+                         .when(s == ".", a).otherwise(F.array_append(a, s)))
+    path = F.concat(F.array_join(folded, "/"), F.when(F.element_at(segments, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+    return F.when(url.rlike(parts), F.concat(F.regexp_extract(url, parts, 1), path, F.regexp_extract(url, parts, 3))).otherwise(url)
 
 
 def excluded(href) -> Column:
@@ -85,7 +124,8 @@ def extract_links(pages: DataFrame, url: str = "url", html: str = "html", min_te
     """(page_url, position, url, text) of each page's usable links, first occurrence per page and target."""
     anchors = pages.select(F.col(url).alias("page_url"), F.posexplode(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0))).alias("position", "a"))
     tag = F.regexp_extract("a", r"(?is)^(<a\s[^>]*>)", 1)
-    href = C.strip(F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']([^\"']*)[\"']", 1))
+    value = r"(?is)\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    href = C.strip(F.concat(*[F.regexp_extract(tag, value, i) for i in (1, 2, 3)]))  # one group matches, the others are empty
     text = C.strip(F.regexp_replace(unescape(F.regexp_replace(F.regexp_replace("a", r"<[^>]+>", " "), r"\s+", " ")), r"\s+", " "))
     rows = anchors.select("page_url", "position", unescape(href).alias("href"), text.alias("text")).filter(
         (F.col("href") != "") & ~excluded("href") & F.length("text").between(min_text, max_text)
@@ -143,7 +183,7 @@ def slug_title(url) -> Column:
     codes = ["BSC", "MSC", "MBA", "PHD", "BA", "MA", "MENG", "BENG", "LLM", "LLB"]
     small = ["of", "and", "in", "for", "the", "with"]
     cased = F.transform(words, lambda w: F.when(F.upper(w).isin(*codes), F.upper(w)).when(F.lower(w).isin(*small), F.lower(w)).otherwise(
-        F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000000)))))
+        F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))))
     return F.array_join(cased, " ")
 
 
@@ -264,17 +304,27 @@ def offer_fields(html, text) -> dict[str, Column]:
     }
 
 
-BOX = r"(?is)<(?:div|li|span)[^>]*class=\"[^\"]*(?:badge-description|detail-box)[^\"]*\"[^>]*>(.*?)</(?:div|li)>"
-LABEL = r"(?is)<(?:label|span class=\"(?:label|title)\")[^>]*>(.*?)</"
-VALUE = r"(?is)class=\"(?:value|detail-value)\"[^>]*>(.*?)</"
+BOX = r"(?is)(?=<(?:div|li|span)\s[^>]*class\s*=\s*[\"']?[^\"'>]*(?:badge-description|detail-box))"
+BOX_TAG = r"(?i)(?=</?(?:div|li|span)[\s/>])"
+LABEL = r"(?is)<(?:label|span class=[\"']?(?:label|title)[\"']?)[^>]*>(.*?)</"
+VALUE = r"(?is)class=[\"']?(?:value|detail-value)[\"']?[^>]*>(.*?)</"
 
 
 BOX_FIELDS = ("duration", "tuition_fee_summary", "degree_type", "study_level")
 
 
+def _first_element(piece: Column) -> Column:
+    """What the element that opens the piece encloses, tags inside it included."""
+    def cut(tags):
+        end = F.array_position(_depths(tags), F.lit(0))  # where the element closes
+        return F.array_join(F.when(end > 0, F.slice(tags, F.lit(1), F.greatest(end.cast("int") - 1, F.lit(0)))).otherwise(tags), "")
+
+    return C.bind(F.split(piece, BOX_TAG), cut)
+
+
 def detail_boxes(html) -> Column:
     """Labelled boxes as a struct: duration, fees, degree and level by words in the label; the last box of a kind wins."""
-    boxes = F.regexp_extract_all(html, F.lit(BOX), F.lit(1))
+    boxes = C.bind(F.split(F.concat(F.lit(" "), html), BOX), lambda a: F.transform(F.slice(a, F.lit(2), F.size(a)), _first_element))
     kind = lambda l: (F.when(l.contains("duration"), "duration").when(l.contains("tuition") | l.contains("fee"), "tuition_fee_summary")
                       .when(l.contains("degree"), "degree_type").when(l.contains("level"), "study_level"))
     pairs = F.transform(boxes, lambda b: F.struct(C.bind(F.lower(F.regexp_extract(b, LABEL, 1)), kind).alias("k"),
@@ -310,7 +360,7 @@ def extract_ranking_rows(pages: DataFrame, marker: str, patterns: dict[str, str]
     Items without a name are dropped.
     """
     items = pages.select(*keys, *([subject.alias("subject")] if subject is not None else []),
-                         F.posexplode(F.slice(F.split(html, marker), 2, 1000000000)).alias("position", "_i"))
+                         F.posexplode(C.bind(F.split(html, marker), lambda a: F.slice(a, F.lit(2), F.size(a)))).alias("position", "_i"))
     got = {k: C.strip(unescape(F.regexp_replace(F.regexp_extract("_i", p, 1), r"<[^>]+>", ""))) for k, p in patterns.items()}
     loc = got["location"]
     href = got["profile_url"]

@@ -129,3 +129,30 @@ def test_resolve(spark, href, url):
 def test_parse_extractions(spark, text, value):
     r = pages.parse_extractions(spark.createDataFrame([(text,)], "t string"), "t").first()
     assert (r["fields"] or {}).get("a") == value
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<p>&pound;9,250 &#163;1 &#xa3;2</p>", "£9,250 £1 £2"), ("caf&eacute; &amp;lt; &bogus; a&nbsp;b &amp", "café &lt; &bogus; a b &amp"), ("&#0;&#55296;&#9999999;", "�" * 3), ("&#128512;", "😀"),
+    ("a<nav>x<nav>y</nav>z</nav>b", "a b"), ("a<header>x<nav>y</nav></header>b<footer>c", "a b"), ("a</nav>b", "a b"), ("a<navy>b", "a b"), ("", ""), (None, None), ("<html><nav>x</nav><p>b</p></html>", "b"), ("<nav>x</nav>b", "b"),
+    ("a<NAV class='t'>x<script>'</nav>'</script>y</NAV>b", "a b"), ("a<!-- <nav> -->b<nav/>c", "a b c")])
+def test_plain_text(spark, html, text):
+    assert one(spark, pages.plain_text(lit(html))) == text
+
+
+@pytest.mark.parametrize("href,url", [
+    ("../" * 8 + "z", "https://h.edu/z"), ("../../../z?q=/a/../b", "https://h.edu/1/2/z?q=/a/../b"), ("./z", "https://h.edu/1/2/3/4/5/z"), ("..", "https://h.edu/1/2/3/4/"), ("/a/./b/../c", "https://h.edu/a/c"), ("//x.org/a", "https://x.org/a")])
+def test_resolve(spark, href, url):
+    assert one(spark, pages.resolve(F.lit("https://h.edu/1/2/3/4/5/p.html"), F.lit(href))) == url
+
+
+def test_links_with_any_quotes(spark):
+    html = """<a href=/one>First</a><a class='x' href='/two"s'>Second</a><a href="/it's">Third</a><a data-href="/no" href = "/four">Fourth</a>"""
+    got = pages.extract_links(spark.createDataFrame([("https://h.edu/", html)], "url string, html string")).orderBy("position").collect()
+    assert [r["url"] for r in got] == ["https://h.edu/one", 'https://h.edu/two"s', "https://h.edu/it's", "https://h.edu/four"]
+
+
+def test_detail_boxes(spark):
+    html = """<div class='detail-box big'><div><label>Duration</label></div><div class='value'>2 years</div></div><span class="value">no</span>
+    <li class="badge-description"><label>Tuition fee</label></li><div class="value">outside</div><div class="detail-box"><label>Study level</label><span class="value">Master</span></div>"""
+    got = one(spark, pages.detail_boxes(F.lit(html)))
+    assert (got["duration"], got["tuition_fee_summary"], got["study_level"]) == ("2 years", None, "Master")
