@@ -8,13 +8,13 @@ result does not depend on them. Small groups take one plain window.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from offerloom.session import materialise
 
 HOT_ROWS = 2_000_000
-MAX_HOT_GROUPS = 512
-COARSE, FINE = 32, 32
 
 
 def _fold(group):
@@ -23,17 +23,13 @@ def _fold(group):
 
 
 def _hot_bounds(df: DataFrame, group, order: str, hot_rows: int):
-    """Cut points for the groups that exceed ``hot_rows``, largest first, at most MAX_HOT_GROUPS.
+    """Cut points for the groups that exceed ``hot_rows``: four for every ``hot_rows`` rows of a group, in two levels.
 
-    Any group beyond those is smaller than 1/512 of the rows, the size of an ordinary task.
+    There are at most rows / hot_rows such groups and eight times as many cut points: 32 MB for 10^12 rows.
     """
     keyed = df.select(*_fold(group), F.col(order).cast("double").alias("_o"))
     ks = [f"_k{i}" for i in range(len(group))]
-    hot = (
-        keyed.groupBy(*ks).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
-        .orderBy(F.col("_n").desc()).limit(MAX_HOT_GROUPS)
-    )
-    rows = hot.collect()
+    rows = keyed.groupBy(*ks).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).collect()
     if not rows:
         return None
     spark = df.sparkSession
@@ -41,14 +37,17 @@ def _hot_bounds(df: DataFrame, group, order: str, hot_rows: int):
     if ks:
         keys = spark.createDataFrame([tuple(r[k] for k in ks) for r in rows], schema)
         keyed = keyed.join(F.broadcast(keys), ks)
-    probs = [i / (COARSE * FINE) for i in range(1, COARSE * FINE)]
-    cuts = keyed.groupBy(*ks).agg(F.percentile_approx("_o", probs, 10000).alias("c")).collect()
+    most = max(4 * -(-r["_n"] // hot_rows) for r in rows)
+    probs = [i / most for i in range(1, most)]
+    sketch = keyed.groupBy(*ks).agg(F.count("*").alias("_n"), F.percentile_approx("_o", probs, max(10_000, 10 * most)).alias("_c"))
+    own = F.lit(4) * F.ceil(F.col("_n") / F.lit(hot_rows))
+    cuts = F.transform(F.sequence(F.lit(1).cast("long"), own - 1), lambda i: F.get(F.col("_c"), (F.floor(i * F.lit(most) / own) - 1).cast("int")))
     out = []
-    for r in cuts:
-        c = sorted(r["c"])
-        coarse = [c[i * FINE - 1] for i in range(1, COARSE)]
-        fine = [c[i * FINE: i * FINE + FINE - 1] for i in range(COARSE)]
-        out.append(tuple(r[k] for k in ks) + (coarse, fine))
+    for r in sketch.select(*ks, F.sort_array(cuts).alias("c")).collect():
+        c = [x for x in r["c"] if x is not None]
+        f = math.isqrt(len(c)) + 1
+        coarse = c[f - 1:: f]
+        out.append(tuple(r[k] for k in ks) + (coarse, [c[i * f: i * f + f - 1] for i in range(len(coarse) + 1)]))
     schema = schema.add("_coarse", T.ArrayType(T.DoubleType())).add(
         "_fine", T.ArrayType(T.ArrayType(T.DoubleType()))
     )
@@ -56,9 +55,12 @@ def _hot_bounds(df: DataFrame, group, order: str, hot_rows: int):
 
 
 def _band_of(x: Column) -> Column:
+    """Odd bands hold one value, a cut point; even ones what lies between two of them."""
     i = F.size(F.filter(F.col("_coarse"), lambda c: c < x))
     j = F.size(F.filter(F.get(F.col("_fine"), i), lambda c: c < x))
-    return F.coalesce(i * F.lit(FINE) + j, F.lit(0))
+    cut = F.coalesce(F.get(F.get(F.col("_fine"), i), j), F.get(F.col("_coarse"), i))
+    at = i * (F.size(F.get(F.col("_fine"), F.lit(0))) + 1) + j
+    return F.coalesce(F.lit(2) * at + F.coalesce((cut == x).cast("int"), F.lit(0)), F.lit(0))
 
 
 def with_band(df: DataFrame, group, order: str, band: str, hot_rows: int = HOT_ROWS):
@@ -69,7 +71,7 @@ def with_band(df: DataFrame, group, order: str, band: str, hot_rows: int = HOT_R
     bounds, ks = found
     keyed = df.select("*", *_fold(group))
     if ks:
-        joined = keyed.join(F.broadcast(bounds), ks, "left")  # at most MAX_HOT_GROUPS rows
+        joined = keyed.join(F.broadcast(bounds), ks, "left")  # bounded, see _hot_bounds
     else:
         joined = keyed.withColumn("_coarse", bounds.select("_coarse").scalar()).withColumn(
             "_fine", bounds.select("_fine").scalar())
@@ -119,7 +121,7 @@ def row_numbers(df: DataFrame, group, order, out: str = "row_number", hot_rows:
     """Row number within each group, ordered by ``order`` = [(column, descending)], numeric columns.
 
     A group too large for one task is cut by the first order column; where one value of it is still
-    too large, by the next one.
+    too large, by the next one. Bands of several values are never cut by a later column.
     """
     group = list(group)
     signed = df
@@ -129,7 +131,9 @@ def row_numbers(df: DataFrame, group, order, out: str = "row_number", hot_rows:
         names.append(f"_o{i}")
     bands, work, any_split = [], signed, False
     for i, name in enumerate(names):
-        work, split = with_band(work, group + bands, name, f"_b{i}", hot_rows)
+        by = F.when(F.col(bands[-1]) % 2 == 1, F.col(name)) if bands else F.col(name)
+        work, split = with_band(work.withColumn("_by", by), group + bands, "_by", f"_b{i}", hot_rows)
+        work = work.drop("_by")
         if not split:
             work = work.drop(f"_b{i}")
             break

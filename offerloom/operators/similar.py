@@ -6,6 +6,8 @@ and only the k best per query leave the task, so no pair of rows is ever written
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -21,7 +23,7 @@ def normalise(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn(vector, F.transform(v, lambda x: x / F.greatest(norm, F.lit(1e-8))))
 
 
-def _blocks(df: DataFrame, id_col: str, n: int) -> int:
+def _blocks(n: int) -> int:
     return max(1, -(-n // BLOCK))
 
 
@@ -76,7 +78,7 @@ def similar_to_vectors(items: DataFrame, queries: DataFrame, k: int, item_id: st
     Every query block visits every item block; a task sees at most BLOCK items and BLOCK queries.
     """
     i, q = _prepared(items, item_id, vector, "item_id", metric), _prepared(queries, query_id, vector, "query_id", metric)
-    nb, nq = _blocks(i, "item_id", i.count()), _blocks(q, "query_id", q.count())
+    nb, nq = _blocks(i.count()), _blocks(q.count())
     i = i.withColumn("ib", F.pmod(F.xxhash64("item_id"), F.lit(nb)).cast("int"))
     q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int"))
     i2 = i.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
@@ -97,12 +99,13 @@ def similar_exact(items: DataFrame, k: int, item_id: str, vector: str = "embeddi
 # --- clustered search --------------------------------------------------------------------------------------
 
 
-def cluster_count(n: int, wanted: int = 100) -> int:
-    return max(1, min(wanted, n // 10))
+def cluster_count(n: int, wanted: int | None = None) -> int:
+    """As many clusters as the root of the number of items, or as many as wanted; ten items or more each."""
+    return max(1, min(math.isqrt(n) if wanted is None else wanted, n // 10))
 
 
 def train_clusters(items: DataFrame, vector: str, clusters: int, metric: str = "cosine", seed: int = 42) -> list[list[float]]:
-    """Cluster centres from k-means: ``clusters`` vectors, a fixed small number."""
+    """Cluster centres from k-means: ``clusters`` vectors, which grow with the root of the items at most."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -154,7 +157,7 @@ def search_clusters(assigned: DataFrame, queries: DataFrame, centres, k: int, qu
     return _merge(parts, k, metric)
 
 
-def similar_ivf(items: DataFrame, k: int, item_id: str, vector: str = "embedding", clusters: int = 100, probes: int = 10,
+def similar_ivf(items: DataFrame, k: int, item_id: str, vector: str = "embedding", clusters: int | None = None, probes: int = 10,
                 metric: str = "cosine", queries: DataFrame | None = None, n: int | None = None) -> DataFrame:
     n = items.count() if n is None else n
     centres = train_clusters(items, vector, cluster_count(n, clusters), metric)
@@ -165,7 +168,7 @@ def similar_ivf(items: DataFrame, k: int, item_id: str, vector: str = "embedding
 # --- stored index ---------------------------------------------------------------------------------------------
 
 
-def write_index(items: DataFrame, path: str, item_id: str, vector: str = "embedding", clusters: int = 100, metric: str = "cosine") -> None:
+def write_index(items: DataFrame, path: str, item_id: str, vector: str = "embedding", clusters: int | None = None, metric: str = "cosine") -> None:
     spark = items.sparkSession
     centres = train_clusters(items, vector, cluster_count(items.count(), clusters), metric)
     assign(items, centres, item_id, vector, metric).repartition("cluster", F.pmod(F.xxhash64("item_id"), F.lit(16))).write.partitionBy(

@@ -300,9 +300,9 @@ def shuffled(df: DataFrame, col: str, key: str, seed: int, hot_rows: int = prefi
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, cols, key: str, label: str = "label", repeats: int = 5,
-                           rows: int = 500, seed: int = SEED) -> DataFrame:
-    """Mean loss of macro F1 after permuting a column, on ``rows`` rows drawn by hash (the method's sample size)."""
-    drawn = df.orderBy(F.xxhash64(F.col(key), F.lit(seed))).limit(rows).persist()
+                           rows: int | None = None, seed: int = SEED) -> DataFrame:
+    """Mean loss of macro F1 after permuting a column, on all rows, or on ``rows`` of them drawn by hash."""
+    drawn = (df if rows is None else df.orderBy(F.xxhash64(F.col(key), F.lit(seed))).limit(rows)).persist()
     score = lambda d: float(overall_metrics(model.transform(d), label, "prediction").first()["f1_macro"])
     base = score(drawn)
     out = []

@@ -10,14 +10,17 @@ from offerloom.registry import query, table
 from offerloom.session import scratch_path
 
 
+_N = 64  # numbers of an embedding
+
+
 def _labelled(spark, sf):
-    """Embeddings as a classification table: eight numbers, one category, three tiers from the label."""
+    """Embeddings as a classification table: all its numbers, one category, three tiers from the label."""
     return table(spark, sf, "embeddings").select(
-        "vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(8)], F.concat(F.lit("g"), F.col("vec_id") % 60).alias("grp"),
+        "vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(_N)], F.concat(F.lit("g"), F.col("vec_id") % 60).alias("grp"),
         F.concat(F.lit("c"), F.col("label") % 4).alias("cat"), F.when(F.col("label") < 3, "top").when(F.col("label") < 6, "good").otherwise("standard").alias("tier"))
 
 
-_X = [f"x{i}" for i in range(8)]
+_X = [f"x{i}" for i in range(_N)]
 
 
 @query("ml01_group_split", """SELECT count(DISTINCT l_suppkey) AS n_groups, ceil(0.15::DOUBLE * count(DISTINCT l_suppkey))::BIGINT AS n_test_groups, count(*) AS n_rows, 0::BIGINT AS n_shared FROM lineitem""")
@@ -160,7 +163,7 @@ def ml12b(spark, sf):
     data = _labelled(spark, sf)
     coded, _ = T.encode_target(data, "tier")
     model, _ = T.train_classifier(data, _X, ["cat"], "tier", numTrees=10, maxDepth=4)
-    return T.permutation_importance(model, coded, ["cat", "x0"], "vec_id", repeats=2)
+    return T.permutation_importance(model, coded, ["cat", "x0"], "vec_id")
 
 
 @query("ml13_error_sample", f"WITH {_PRED.replace('AS p, l_discount, l_tax', 'AS p, l_orderkey, l_linenumber, l_discount')} SELECT y, p, l_orderkey, l_linenumber FROM x WHERE y <> p ORDER BY l_orderkey, l_linenumber, y, p LIMIT 20")

@@ -181,3 +181,12 @@ def test_plans_stay_declarative(spark, sf):
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double>" in text("src04_scan_table")
     for n in ("rec01_recommend", "jn03_match_by_containment", "jn11_expand_catalog", "agg14_group_bias", "sim01_similar_exact"):
         assert "CartesianProduct" not in text(n) and "BroadcastNestedLoopJoin" not in text(n)
+
+
+def test_every_hot_group_is_split(spark):
+    """600 groups beyond the limit, one of them far beyond 1,024 bands' worth."""
+    d = spark.range(36_000 + 60_000).selectExpr("CASE WHEN id < 36000 THEN id % 600 ELSE 600 END AS g", "cast(pmod(xxhash64(id), 5000) AS double) AS v", "id")
+    banded, split = prefix.with_band(d, ["g"], "v", "band", HOT)
+    per = banded.groupBy("g").agg(F.countDistinct("band").alias("n")).groupBy().agg(F.count_if(F.col("n") > 1).alias("split"), F.max("n").alias("most")).first()
+    assert split and per["split"] == 601 and per["most"] > 1024
+    assert rows(prefix.row_numbers(d, ["g"], [("v", False), ("id", False)], hot_rows=HOT), "id", "row_number") == rows(prefix.row_numbers(d, ["g"], [("v", False), ("id", False)]), "id", "row_number")
