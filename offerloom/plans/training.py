@@ -96,7 +96,7 @@ def ml08(spark, sf):
 def ml08b(spark, sf):
     data = _labelled(spark, sf)
     train, test = T.group_split(data, "grp", 0.2)
-    model, labels = T.train_classifier(train, _X, ["cat"], "tier", kind="boosted", maxIter=3)
+    model, labels = T.train_classifier(train, _X, ["cat"], "tier", kind="boosted")
     return T.decode_target(model.transform(test), labels).select("vec_id", "tier", "predicted")
 
 
@@ -154,7 +154,7 @@ def ml11b(spark, sf):
 @query("ml12_feature_importance")
 def ml12(spark, sf):
     data = _labelled(spark, sf)
-    model, _ = T.train_classifier(data, _X, ["cat"], "tier", numTrees=10, maxDepth=4)
+    model, _ = T.train_classifier(data, _X, ["cat"], "tier")
     return T.feature_importance(model, data)
 
 
@@ -162,7 +162,7 @@ def ml12(spark, sf):
 def ml12b(spark, sf):
     data = _labelled(spark, sf)
     coded, _ = T.encode_target(data, "tier")
-    model, _ = T.train_classifier(data, _X, ["cat"], "tier", numTrees=10, maxDepth=4)
+    model, _ = T.train_classifier(data, _X, ["cat"], "tier")
     return T.permutation_importance(model, coded, ["cat", "x0"], "vec_id")
 
 
@@ -174,7 +174,7 @@ def ml13(spark, sf):
 @query("ml14_model_info")
 def ml14(spark, sf):
     data = _labelled(spark, sf)
-    model, labels = T.train_classifier(data, _X, ["cat"], "tier", numTrees=5, maxDepth=3)
+    model, labels = T.train_classifier(data, _X, ["cat"], "tier")
     path = scratch_path(spark, "model")
     T.save_model(model, path, {"features": _X + ["cat"], "labels": labels, "n_rows": data.count()})
     again, info = T.load_model(spark, path)
@@ -186,7 +186,7 @@ def ml14(spark, sf):
 @query("scr03_score_catalog")
 def scr03(spark, sf):
     data = _labelled(spark, sf)
-    model, labels = T.train_classifier(data, _X, ["cat"], "tier", numTrees=10, maxDepth=4)
+    model, labels = T.train_classifier(data, _X, ["cat"], "tier")
     return T.score_catalog(model, labels, data, ["vec_id"])
 
 
