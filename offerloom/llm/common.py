@@ -25,12 +25,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep_bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+def keep_bucketed(df: DataFrame, key: str | list[str], name: str) -> DataFrame:
     """As ``keep``, in buckets of ``key``: later joins on it do not move these rows again."""
+    keys = [key] if isinstance(key, str) else key
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex[:12]}"
-    df.repartition(n, key).write.option("compression", "zstd").option("path", scratch_path(spark, name)).bucketBy(n, key).saveAsTable(table)
+    df.repartition(n, *keys).write.option("compression", "zstd").option("path", scratch_path(spark, name)).bucketBy(n, *keys).saveAsTable(table)
     return spark.table(table)
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import string
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom import registry
-from offerloom.llm import knn, lines, minhash, mixing, packing, pii, quality, radix, substring, suffix
+from offerloom.llm import knn, lines, merkle, minhash, mixing, packing, pii, quality, radix, substring, suffix
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -96,3 +97,36 @@ def op9(spark, sf):
 def op10(spark, sf):
     out = suffix.remove_repeated_bytes(table(spark, sf, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@registry.query("op13_merkle_manifest", """WITH RECURSIVE
+f AS (SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head, text, regexp_replace(coalesce(lang, ''), '^', CASE WHEN lang IS NULL THEN '' ELSE '=' END) AS tree,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) % 3 = 0 AS changed FROM documents),
+d AS (SELECT doc_id, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+  CASE WHEN changed THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS given FROM f),
+up(tree, lvl, pos, n, h) AS (SELECT tree, 0, pos, n, leaf FROM d
+  UNION ALL SELECT tree, lvl + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY tree, lvl, pos // 8),
+sub AS (SELECT tree, h, lvl, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top(lvl, pos, n, h) AS (SELECT 0, pos, n, h FROM sub
+  UNION ALL SELECT lvl + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 8),
+path(doc_id, tree, lvl, pos) AS (SELECT doc_id, tree, 0, pos FROM d UNION ALL SELECT p.doc_id, p.tree, p.lvl + 1, p.pos // 8 FROM path p JOIN sub s USING (tree) WHERE p.lvl < s.lvl),
+above(tree, lvl, pos) AS (SELECT tree, 0, pos FROM sub UNION ALL SELECT tree, lvl + 1, pos // 8 FROM above WHERE lvl < (SELECT max(lvl) FROM top)),
+sides AS (SELECT p.doc_id, p.lvl, coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (WHERE u.pos < p.pos), '') AS l, coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (WHERE u.pos > p.pos), '') AS r
+    FROM path p JOIN sub s USING (tree) JOIN up u ON u.tree = p.tree AND u.lvl = p.lvl AND u.pos // 8 = p.pos // 8 WHERE p.lvl < s.lvl GROUP BY p.doc_id, p.lvl
+  UNION ALL SELECT d.doc_id, s.lvl + a.lvl, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (WHERE t.pos < a.pos), ''), coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (WHERE t.pos > a.pos), '')
+    FROM d JOIN sub s USING (tree) JOIN above a USING (tree) JOIN top t ON t.lvl = a.lvl AND t.pos // 8 = a.pos // 8 WHERE a.lvl < (SELECT max(lvl) FROM top) GROUP BY d.doc_id, s.lvl, a.lvl),
+fold(doc_id, lvl, h) AS (SELECT doc_id, 0, coalesce(given, leaf) FROM d UNION ALL SELECT g.doc_id, g.lvl + 1, sha256(s.l || g.h || s.r) FROM fold g JOIN sides s ON s.doc_id = g.doc_id AND s.lvl = g.lvl),
+ended AS (SELECT doc_id, arg_max(h, lvl) AS folded_root FROM fold GROUP BY 1),
+proof AS (SELECT d.doc_id, sha256(coalesce(string_agg(l || r, '' ORDER BY x.lvl), '')) AS proof_sha256 FROM d LEFT JOIN sides x USING (doc_id) GROUP BY 1),
+root AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT d.doc_id, d.leaf, s.h AS subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM d JOIN sub s USING (tree) JOIN ended USING (doc_id) JOIN proof USING (doc_id), root""")
+def op13(spark, sf):
+    docs = table(spark, sf, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    given = F.when(changed, merkle.leaf_digest(*map(F.col, fields[:-1]), lower))
+    return merkle.manifest(docs, fields, "lang", "doc_id", given).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
