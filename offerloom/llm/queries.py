@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom import registry
-from offerloom.llm import knn, lines, merkle, minhash, mixing, packing, pii, quality, radix, substring, suffix
+from offerloom.llm import knn, lines, merkle, minhash, mixing, packing, pii, quality, radix, substring, suffix, whitening
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -99,6 +99,12 @@ def op10(spark, sf):
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@registry.query("op12_embedding_whitening")
+def op12(spark, sf):
+    out = whitening.whiten(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return out.select(F.col("id").alias("vec_id"), "n", "deviation", F.inline("components"))
+
+
 @registry.query("op13_merkle_manifest", """WITH RECURSIVE
 f AS (SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
     || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head, text, regexp_replace(coalesce(lang, ''), '^', CASE WHEN lang IS NULL THEN '' ELSE '=' END) AS tree,
