@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom import registry
-from offerloom.llm import knn, lines, merkle, minhash, mixing, packing, pii, quality, radix, substring, suffix, whitening
+from offerloom.llm import knn, lines, maxent, merkle, minhash, mixing, packing, pii, quality, radix, substring, suffix, whitening
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -99,6 +99,12 @@ def op10(spark, sf):
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@registry.query("op11_lm_scoring")
+def op11(spark, sf):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return maxent.score(table(spark, sf, "documents"), held_out, ["doc_id"]).select("doc.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @registry.query("op12_embedding_whitening")
 def op12(spark, sf):
     out = whitening.whiten(table(spark, sf, "embeddings"), "vec_id", "embedding")
