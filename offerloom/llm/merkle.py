@@ -1,14 +1,15 @@
 """Merkle manifest of a dataset: one root for all rows, a proof for each, by cogrouped subtree exchange.
 
-Rows are leaves, numbered per tree in their order. A superblock is a stretch of ``ARITY ** LEVELS`` neighbours of a tree. Each
+Rows are leaves, numbered per tree in their order. A superblock is a stretch of ``arity ** levels`` neighbours of a tree. Each
 superblock reduces its own nodes; only its top goes on, as a node of the next stage, until a tree has one node left, its subroot.
 The subroots are the leaves of one more tree, that of the root. On the way back every stage cogroups its nodes with the outer
-nodes that their superblock needs (the siblings above its top, at most ``ARITY - 1`` a level), in one call a superblock: it
+nodes that their superblock needs (the siblings above its top, at most ``arity - 1`` a level), in one call a superblock: it
 reduces once more, joins the proofs of its nodes, and at the leaves folds them. A task holds superblocks, never a tree.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from hashlib import sha256
 
 import pandas as pd
@@ -17,8 +18,41 @@ from pyspark.sql import functions as F
 
 from offerloom.llm.common import keep, keep_bucketed
 
-#: Nodes that make one node of the level above, and levels that a superblock reduces at a time.
-ARITY, LEVELS = 8, 4
+
+@dataclass(frozen=True)
+class Shape:
+    """How many nodes make one node of the level above, and how many levels a superblock reduces at a time."""
+
+    arity: int = 8
+    levels: int = 4
+
+    def block(self) -> Column:
+        return F.expr(f"pos div {self.arity ** self.levels}")
+
+    def reduced(self, n: int) -> int:
+        """Levels that a superblock of a tree of ``n`` nodes reduces: ``levels``, or fewer if one node is left before."""
+        up = 0
+        while n > 1 and up < self.levels:
+            n, up = -(-n // self.arity), up + 1
+        return up
+
+    def above(self, digests: list[str]) -> list[str]:
+        return [_h("".join(digests[i : i + self.arity])) for i in range(0, len(digests), self.arity)]
+
+    def siblings(self, digests: list[str], levels: int) -> tuple[list[list[str]], list[list[str]]]:
+        """For each node, level by level, the digests of its run's others: those to its left and those to its right, concatenated."""
+        left, right = [[] for _ in digests], [[] for _ in digests]
+        step = 1
+        for _ in range(levels):
+            for i in range(len(left)):
+                at = i // step
+                begin = at - at % self.arity
+                left[i].append("".join(digests[begin:at]))
+                right[i].append("".join(digests[at + 1 : begin + self.arity]))
+            digests, step = self.above(digests), step * self.arity
+        return left, right
+
+
 _NODE = "tree string, pos long, n long, digest string"
 _OUTER = "tree string, pos long, left array<string>, right array<string>, subroot string, root string"
 
@@ -33,7 +67,7 @@ def leaf_digest(*columns: Column) -> Column:
     return F.sha2(F.concat(*told).cast("binary"), 256)
 
 
-def _numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+def _numbered(rows: DataFrame, order: list[str], shape: Shape, name: str) -> DataFrame:
     """``rows`` with pos (from 0, in ``order`` within ``tree``), n (rows of the tree) and block.
 
     Rows are range-partitioned and sorted; the place in a partition and the counts of the partitions before give the number, so that
@@ -46,68 +80,42 @@ def _numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     tree = Window.partitionBy("tree")
     first = first.select("tree", "part", (F.sum("m").over(tree.orderBy("part")) - F.col("m") - F.col("first")).alias("shift"), F.sum("m").over(tree).alias("n"))
     out = placed.join(first, ["tree", "part"]).withColumn("pos", F.col("at") + F.col("shift"))
-    out = out.withColumn("block", F.expr(f"pos div {ARITY**LEVELS}")).drop("at", "part", "shift")
+    out = out.withColumn("block", shape.block()).drop("at", "part", "shift")
     return keep_bucketed(out, ["tree", "block"], name)
 
 
-def _levels(n: int) -> int:
-    """Levels that a superblock of a tree of ``n`` nodes reduces: ``LEVELS``, or fewer if one node is left before."""
-    up = 0
-    while n > 1 and up < LEVELS:
-        n, up = -(-n // ARITY), up + 1
-    return up
-
-
-def _above(digests: list[str]) -> list[str]:
-    return [_h("".join(digests[i : i + ARITY])) for i in range(0, len(digests), ARITY)]
-
-
-def _tops(nodes: DataFrame, name: str) -> DataFrame:
+def _tops(nodes: DataFrame, shape: Shape, name: str) -> DataFrame:
     """The top of every superblock as a node of the next stage."""
 
     def reduce(key, t: pd.DataFrame) -> pd.DataFrame:
         n = int(t["n"].iloc[0])
         digests = t.sort_values("pos")["digest"].tolist()
-        for _ in range(_levels(n)):
-            digests, n = _above(digests), -(-n // ARITY)
+        for _ in range(shape.reduced(n)):
+            digests, n = shape.above(digests), -(-n // shape.arity)
         return pd.DataFrame({"tree": [key[0]], "pos": [key[1]], "n": [n], "digest": digests})
 
     return keep(nodes.select("tree", "block", "pos", "n", "digest").groupBy("tree", "block").applyInPandas(reduce, _NODE), name)
 
 
-def _stages(nodes: DataFrame, name: str) -> tuple[list[DataFrame], list[DataFrame]]:
+def _stages(nodes: DataFrame, shape: Shape, name: str) -> tuple[list[DataFrame], list[DataFrame]]:
     """(nodes of each stage, trees that end with it as tree and digest)."""
     stages, ended = [nodes], []
     while True:
-        tops = _tops(stages[-1], f"{name}_tops")
+        tops = _tops(stages[-1], shape, f"{name}_tops")
         ended.append(tops.filter("n = 1").select("tree", "digest"))
         if tops.filter("n > 1").isEmpty():
             return stages, ended
-        stages.append(tops.filter("n > 1").withColumn("block", F.expr(f"pos div {ARITY**LEVELS}")))
-
-
-def _siblings(digests: list[str], levels: int) -> tuple[list[list[str]], list[list[str]]]:
-    """For each node, level by level, the digests of its run's others: those to its left and those to its right, concatenated."""
-    left, right = [[] for _ in digests], [[] for _ in digests]
-    step = 1
-    for _ in range(levels):
-        for i in range(len(left)):
-            at = i // step
-            begin = at - at % ARITY
-            left[i].append("".join(digests[begin:at]))
-            right[i].append("".join(digests[at + 1 : begin + ARITY]))
-        digests, step = _above(digests), step * ARITY
-    return left, right
+        stages.append(tops.filter("n > 1").withColumn("block", shape.block()))
 
 
-def _downwards(nodes: DataFrame, outer: DataFrame, name: str) -> DataFrame:
+def _downwards(nodes: DataFrame, outer: DataFrame, shape: Shape, name: str) -> DataFrame:
     """The outer nodes that each node of a stage hands to the superblock below it."""
 
     def join(t: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("pos")
         if not len(t):
             return pd.DataFrame(columns=["tree", "pos", "left", "right", "subroot", "root"])
-        left, right = _siblings(t["digest"].tolist(), _levels(int(t["n"].iloc[0])))
+        left, right = shape.siblings(t["digest"].tolist(), shape.reduced(int(t["n"].iloc[0])))
         o = o.iloc[0]
         return pd.DataFrame({"tree": t["tree"].to_list(), "pos": t["pos"].to_list(), "left": [x + list(o["left"]) for x in left], "right": [x + list(o["right"]) for x in right], "subroot": o["subroot"], "root": o["root"]})
 
@@ -115,12 +123,12 @@ def _downwards(nodes: DataFrame, outer: DataFrame, name: str) -> DataFrame:
     return keep(mine.cogroup(outer.groupBy("tree", "pos")).applyInPandas(join, _OUTER), name)
 
 
-def manifest(docs: DataFrame, columns: list[str], tree: str, order: str, given: Column | None = None, proofs: bool = False) -> DataFrame:
+def manifest(docs: DataFrame, columns: list[str], tree: str, order: str, given: Column | None = None, proofs: bool = False, shape: Shape = Shape()) -> DataFrame:
     """Leaf, subroot, root and proof of every row of ``docs``, and whether what is given now still folds to the root.
 
     A row's leaf is the digest of ``columns``. Rows of one value of ``tree`` (null is a value, and the first) are leaves of one tree, in
     the order of ``order`` (null first; rows that share it in the order of their leaves, equal ones in any). Of every level, each
-    ``ARITY`` neighbours, at the end fewer or even one, become one node, until one is left, the subroot; a tree of one row is its leaf. Subroots, in the
+    ``shape.arity`` neighbours, at the end fewer or even one, become one node, until one is left, the subroot; a tree of one row is its leaf. Subroots, in the
     bytewise order of their trees, make the root in the same way.
 
     ``given`` is the digest of the row as it is given now, null where nothing has changed. The fold runs it, or the leaf, up the
@@ -132,28 +140,28 @@ def manifest(docs: DataFrame, columns: list[str], tree: str, order: str, given:
     key = F.col(order)
     kind = docs.schema[order].dataType
     leaves = docs.select(name.alias("tree"), key.alias("key"), leaf_digest(*map(F.col, columns)).alias("digest"), (F.lit(None).cast("string") if given is None else given).alias("given"))
-    leaves = _numbered(keep(leaves.withColumn("row", F.monotonically_increasing_id()), "merkle_leaves"), ["key", "digest", "row"], "merkle_nodes")
-    stages, ended = _stages(leaves, "merkle")
+    leaves = _numbered(keep(leaves.withColumn("row", F.monotonically_increasing_id()), "merkle_leaves"), ["key", "digest", "row"], shape, "merkle_nodes")
+    stages, ended = _stages(leaves, shape, "merkle")
     every = ended[0]
     for e in ended[1:]:
         every = every.unionByName(e)
-    subroots = _numbered(keep(every.select(F.lit("").alias("tree"), F.col("tree").alias("of"), "digest"), "merkle_subroots"), ["of"], "merkle_trees")
-    tops, last = _stages(subroots, "merkle_trees")
+    subroots = _numbered(keep(every.select(F.lit("").alias("tree"), F.col("tree").alias("of"), "digest"), "merkle_subroots"), ["of"], shape, "merkle_trees")
+    tops, last = _stages(subroots, shape, "merkle_trees")
     none = F.array().cast("array<string>")
     root = last[-1].select("tree", F.lit(0).cast("long").alias("pos"), none.alias("left"), none.alias("right"), F.lit("").alias("subroot"), F.col("digest").alias("root"))
     for nodes in reversed(tops):
-        root = _downwards(nodes, root, "merkle_trees_outer")
+        root = _downwards(nodes, root, shape, "merkle_trees_outer")
     of_tree = keep(subroots.select("pos", "of", "digest").join(root, "pos").select(F.col("of").alias("tree"), F.lit(0).cast("long").alias("pos"), "left", "right", F.col("digest").alias("subroot"), "root"), "merkle_outer")
     outer = of_tree.join(ended[-1].select("tree"), "tree")
     for nodes, done in zip(reversed(stages[1:]), reversed(ended[:-1])):
-        outer = _downwards(nodes, outer, "merkle_outer").unionByName(of_tree.join(done.select("tree"), "tree"))
+        outer = _downwards(nodes, outer, shape, "merkle_outer").unionByName(of_tree.join(done.select("tree"), "tree"))
 
     def fold(t: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("pos")
         if not len(t):
             return pd.DataFrame(columns=names)
         leaf = t["digest"].tolist()
-        left, right = _siblings(leaf, _levels(int(t["n"].iloc[0])))
+        left, right = shape.siblings(leaf, shape.reduced(int(t["n"].iloc[0])))
         o = o.iloc[0]
         out = []
         for x, now, a, b in zip(leaf, t["given"], left, right):

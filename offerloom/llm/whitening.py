@@ -119,7 +119,7 @@ def above(diagonal: np.ndarray, off: np.ndarray, shift: float) -> int:
 def intervals(diagonal: np.ndarray, off: np.ndarray, most: int, size: int) -> list[tuple[float, float, int]]:
     """(from, to, eigenvalues in between) from the largest on, until ``most`` are covered or the rest is rounding.
 
-    Bounds lie in the middle of gaps of at least 1e-7 of the largest eigenvalue, so a cluster closer than that stays in one interval,
+    Bounds lie in gaps of at least 1e-7 of the largest eigenvalue, so a cluster closer than that stays in one interval,
     whatever its size. Intervals are cut at their widest gap until they hold ``size`` eigenvalues at most and are not much
     wider than the gaps beside them, which is what the projection's convergence depends on.
     """
@@ -154,8 +154,11 @@ def intervals(diagonal: np.ndarray, off: np.ndarray, most: int, size: int) -> li
         if wide and inner[0] > gap:
             open_ += [(inner[1], j), (i, inner[1])]
         else:
-            left, right = max(bounds[j - 1] - after / 2, floor / 2), bounds[i] + before / 2
+            margin = max(min(before, after) / 2, gap / 4)  # the same on both sides, so that the circle is not far wider than a gap
+            left, right = max(bounds[j - 1] - margin, floor / 2), bounds[i] + margin
             out.append((left, right, above(diagonal, off, left) - above(diagonal, off, right)))
+    if sum(n for _, _, n in out) != above(diagonal, off, min(x for x, _, _ in out)):
+        raise ArithmeticError("the intervals miss an eigenvalue")
     return out
 
 
