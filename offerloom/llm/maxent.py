@@ -1,12 +1,12 @@
 """Language-model scoring by a hashed maximum-entropy model.
 
 The vocabulary is counted over all training documents. Its most frequent words, up to a bound, are leaves of their own; the others
-share leaves by ending and length, within which a word has the share of its count. Leaves are factored into classes of about
-equal mass, classes of classes where needed: the probability of a word is the product of one small softmax at each class on the
-way to its leaf. A softmax adds up the class's own weights and those of hashed n-gram and skip features of the words before.
+share leaves by ending and length, within which a word has the share of its count. Leaves are factored into classes, each of which
+falls into two of about equal mass: the probability of a word is the product of a softmax over the two halves of every class on the
+way to its leaf. A softmax adds up the class's own log odds and the weights of hashed n-gram and skip features of the words before.
 
 Training goes in rounds over disjoint parts of the training documents: every task makes gradient steps on its documents from the
-weights of the round before and hands on the changes of the rows it touched, which Spark averages row by row. Scoring runs in
+weights of the round before and hands on the changes of the weights it touched, which are averaged weight by weight. Scoring runs in
 numpy batches over whole documents; words that are no leaf get their counts by a join.
 """
 
@@ -29,10 +29,14 @@ U = np.uint64
 END = b"\n"
 #: Longest word, in bytes, that is a leaf of its own.
 LONGEST = 64
+#: Weights that tasks hand on together.
+_BLOCK = 1 << 15
 #: Steps a factor of two of counts is divided into when the most frequent words are chosen.
 _STEPS = 8
-_SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], U)
-_NODE, _LAST = U(0xD6E8FEB86659FD93), U(0xFF51AFD7ED558CCD)
+_SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], U)
+_MIX, _NODE, _LAST = U(0xFF51AFD7ED558CCD), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
+#: Classes on the way to a leaf that look at the context: below them, a class holds a few thousandths of all tokens at most.
+_CONTEXT = 8
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -53,117 +57,109 @@ def _shared_leaf(word: str, leaves: int) -> Column:
 
 @dataclass
 class Classes:
-    """The factored leaves: for each leaf the nodes on its way and the child taken at each, and the own weights of every node's children."""
+    """The factored leaves. Every class falls into two of about equal mass: ``path`` has, for each leaf from ``start`` on, the classes on its way and
+    which half it takes (twice the class, plus one for the second half), ``bias`` the log odds of the second half in each class, and ``rest`` for each
+    leaf the log10 of its share below the classes that look at the context."""
 
-    node: np.ndarray
-    child: np.ndarray
+    start: np.ndarray
     depth: np.ndarray
+    path: np.ndarray
     bias: np.ndarray
+    rest: np.ndarray
 
     @classmethod
-    def of(cls, mass: np.ndarray, width: int) -> Classes:
-        """Classes of about equal mass, ``width`` children each at most."""
+    def of(cls, mass: np.ndarray) -> Classes:
         order = np.argsort(-mass, kind="stable")
         total = np.concatenate(([0.0], np.cumsum(mass[order])))
-        steps: list[tuple[int, int, int, int]] = []  # node, child, first and last leaf
-        bias = []
-        open_ = [(0, len(mass))]
-        while open_:
-            grown = []
-            for a, b in open_:
-                if b - a <= width:
-                    cuts = np.arange(a, b + 1)
-                else:
-                    goal = total[a] + (total[b] - total[a]) * np.arange(1, width - 1) / (width - 1)
-                    cuts = np.unique(np.concatenate(([a, a + 1], np.clip(np.searchsorted(total, goal), a + 1, b - 1), [b])))
-                row = np.full(width, -1e9, np.float32)
-                row[: len(cuts) - 1] = np.log((total[cuts[1:]] - total[cuts[:-1]]) / (total[b] - total[a]))
-                for c, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                    steps.append((len(bias), c, x, y))
-                    if y - x > 1:
-                        grown.append((x, y))
-                bias.append(row)
-            open_ = grown
-        depth = np.zeros(len(mass), np.int8)
-        for _, _, x, y in steps:
-            depth[x:y] += 1
-        deep = int(depth.max(initial=0))
-        node, child = np.zeros((len(mass), deep), np.int32), np.zeros((len(mass), deep), np.int8)
-        at = np.zeros(len(mass), np.int8)
-        for n, c, x, y in steps:
-            level = at[x]
-            node[x:y, level], child[x:y, level] = n, c
-            at[x:y] += 1
+        a, b = np.array([0]), np.array([len(mass)])
+        levels, bias, nodes = [], [], 0
+        while True:
+            open_ = b - a > 1
+            a, b = a[open_], b[open_]
+            if not len(a):
+                break
+            cut = np.clip(np.searchsorted(total, (total[a] + total[b]) / 2), a + 1, b - 1)
+            bias.append(np.log((total[b] - total[cut]) / (total[cut] - total[a])))
+            node = 2 * (nodes + np.arange(len(a)))
+            nodes += len(a)
+            a, b = np.stack([a, cut], axis=1).ravel(), np.stack([cut, b], axis=1).ravel()
+            n = b - a
+            leaf = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            levels.append((leaf, np.repeat(np.stack([node, node + 1], axis=1).ravel(), n)))
+        depth = np.zeros(len(mass), np.int64)
+        for leaf, _ in levels:
+            depth[leaf] += 1
+        start = np.cumsum(depth) - depth
+        path = np.zeros(depth.sum(), np.int32)
+        for level, (leaf, step) in enumerate(levels):
+            path[start[leaf] + level] = step
+        bias = np.concatenate(bias or [np.zeros(0)])
+        level = np.arange(len(path)) - np.repeat(start, depth)
+        odds = np.where(path & 1, -bias[path >> 1], bias[path >> 1])
+        rest = np.bincount(np.repeat(np.arange(len(mass)), depth), np.where(level < _CONTEXT, 0.0, np.logaddexp(0, odds)), len(mass)) / -np.log(10)
         back = np.empty(len(mass), np.int64)
         back[order] = np.arange(len(mass))
-        return cls(node[back], child[back], depth[back], np.array(bias))
+        return cls(start[back], depth[back], path, bias.astype(np.float32), rest[back])
 
 
 def features(leaf: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hashes of what stands before each token: the last word, the last two, the one before the last, and the one before that.
+    """Hashes of what stands before each token: the last word, the last two, and the one before the last.
 
     ``first`` has the number of each token in its document; before the first there is nothing.
     """
-    back = [np.where(first >= k, np.concatenate((np.zeros(k, np.int64), leaf[:-k] if k < len(leaf) else leaf[:0]))[: len(leaf)] + 1, 0).astype(U) for k in (1, 2, 3)]
-    one, two, three = back
-    told = np.stack([one, one * _SALT[1] + two, two, three])
-    told = (told + _SALT[:, None]) * _LAST
-    return told ^ (told >> U(29))
-
-
-def _at(told: np.ndarray, node: np.ndarray, rows: int) -> np.ndarray:
-    """Rows of the weights: a hash of feature and class."""
-    return (((told ^ (node.astype(U) * _NODE)) * _LAST) >> U(64 - rows.bit_length() + 1)).astype(np.uint16 if rows <= 1 << 16 else np.uint32)
-
-
-def _softmax(bias: np.ndarray, weights: np.ndarray, at: np.ndarray, node: np.ndarray) -> np.ndarray:
-    z = bias[node]
-    for a in at:
-        z += weights[a]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    one, two = (np.where(first >= k, np.concatenate((np.zeros(k, np.int64), leaf[:-k] if k < len(leaf) else leaf[:0]))[: len(leaf)] + 1, 0).astype(U) for k in (1, 2))
+    told = (np.stack([one, one * _SALT[1] + two, two]) + _SALT[:, None]) * _MIX
+    told ^= told >> U(29)
+    return ((told * _MIX) >> U(32)).astype(np.uint32)
+
+
+def _steps(classes: Classes, leaf: np.ndarray, told: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """The first ``_CONTEXT`` classes on the ways of a batch: (token, half taken, places of the weights by feature, log odds of the second half)."""
+    n = np.minimum(classes.depth[leaf], _CONTEXT)
+    token = np.repeat(np.arange(len(leaf)), n)
+    step = classes.path[np.repeat(classes.start[leaf] - (np.cumsum(n) - n), n) + np.arange(len(token))]
+    node = step >> 1
+    z = classes.bias[node]
+    code = node.astype(np.uint32) * _NODE
+    shift = np.uint32(32 - len(weights).bit_length() + 1)
+    places = []
+    for t in told:
+        at = np.repeat(t, n)
+        at ^= code
+        at *= _LAST
+        at ^= at >> np.uint32(15)
+        at *= _NODE
+        at >>= shift
+        places.append(at.astype(np.int64))
+        z += weights[places[-1]]
+    return token, step & 1, places, z
 
 
 def log_probability(classes: Classes, weights: np.ndarray, leaf: np.ndarray, told: np.ndarray, batch: int = 8192) -> np.ndarray:
     """log10 of the probability of each token's leaf."""
     out = np.zeros(len(leaf))
     for i in range(0, len(leaf), batch):
-        x, t = leaf[i : i + batch], told[:, i : i + batch]
-        alive = np.arange(len(x))
-        for level in range(classes.node.shape[1]):
-            alive = alive[classes.depth[x[alive]] > level]
-            if not len(alive):
-                break
-            node = classes.node[x[alive], level]
-            p = _softmax(classes.bias, weights, _at(t[:, alive], node, len(weights)), node)
-            out[i + alive] += np.log10(np.maximum(p[np.arange(len(alive)), classes.child[x[alive], level]], 1e-30))
-    return out
-
-
-def descend(classes: Classes, weights: np.ndarray, size: np.ndarray, seen: np.ndarray, leaf: np.ndarray, told: np.ndarray, rate: float, batch: int = 4096) -> None:
-    """Adaptive gradient steps on the tokens, in place; ``size`` sums squared gradients of a row, ``seen`` how often it was touched."""
+        token, second, _, z = _steps(classes, leaf[i : i + batch], told[:, i : i + batch], weights)
+        z[second == 0] *= -1
+        np.negative(z, out=z)
+        np.minimum(z, 60, out=z)
+        np.exp(z, out=z)
+        np.log1p(z, out=z)
+        out[i : i + batch] = np.bincount(token, z, min(batch, len(leaf) - i)) / -np.log(10)
+    return out + classes.rest[leaf]
+
+
+def descend(classes: Classes, weights: np.ndarray, size: np.ndarray, seen: np.ndarray, leaf: np.ndarray, told: np.ndarray, rate: float, batch: int = 1 << 15) -> None:
+    """Adaptive gradient steps on the tokens, in place; ``size`` sums squared gradients of a weight, ``seen`` counts its steps."""
     for i in range(0, len(leaf), batch):
-        x, t = leaf[i : i + batch], told[:, i : i + batch]
-        alive = np.arange(len(x))
-        for level in range(classes.node.shape[1]):
-            alive = alive[classes.depth[x[alive]] > level]
-            if not len(alive):
-                break
-            node = classes.node[x[alive], level]
-            at = _at(t[:, alive], node, len(weights))
-            g = _softmax(classes.bias, weights, at, node)
-            g[np.arange(len(alive)), classes.child[x[alive], level]] -= 1
-            flat = at.ravel()
-            order = np.argsort(flat, kind="stable")
-            there = flat[order]
-            begin = np.flatnonzero(np.concatenate(([True], there[1:] != there[:-1])))
-            step = np.add.reduceat(g[order % len(alive)], begin, axis=0)
-            row = there[begin]
-            size[row] += (step * step).sum(axis=1)
-            seen[row] += np.diff(np.append(begin, len(there)))
-            weights[row] -= step * (rate / np.sqrt(size[row]))[:, None]
+        _, second, places, z = _steps(classes, leaf[i : i + batch], told[:, i : i + batch], weights)
+        off = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - second
+        g = np.bincount(np.concatenate(places), np.tile(off, len(places)), len(weights)).astype(np.float32)
+        seen += g != 0
+        size += g * g
+        g *= rate
+        g /= np.sqrt(size)
+        weights -= g
 
 
 def _tokens(b, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,43 +188,50 @@ def frequent(counts: DataFrame, most: int) -> tuple[list[tuple[bytes, int]], Dat
     return sorted(((bytes(r["word"]), r["c"]) for r in got), key=lambda x: (-x[1], x[0])), counts.filter(F.coalesce(step < least, F.lit(True)))
 
 
-def _train(ids: DataFrame, model, width: int, rows: int, rounds: int, rate: float) -> np.ndarray:
-    """Weights after all rounds; a round's changes are averaged by how often each task touched the row."""
+def _train(ids: DataFrame, model, places: int, rounds: int, rate: float) -> np.ndarray:
+    """Weights after all rounds; a round's changes are averaged by how often each task touched a weight."""
     spark = ids.sparkSession
-    weights, size = np.zeros((rows, width), np.float32), np.full(rows, 1.0, np.float32)
+    weights, size = np.zeros(places, np.float32), np.full(places, 1.0, np.float32)
     for k in range(rounds):
         now = spark.sparkContext.broadcast((weights, size))
 
         def steps(batches):
             classes = model()
             start, sizes = now.value
-            w, s, seen = start.copy(), sizes.copy(), np.zeros(rows, np.int64)
+            w, s, seen = start.copy(), sizes.copy(), np.zeros(places, np.int64)
             for b in batches:
                 if b.num_rows:
                     leaf, first, _ = _tokens(b, "ids")
                     descend(classes, w, s, seen, leaf, features(leaf, first), rate)
-            at = np.flatnonzero(seen)
-            for i in range(0, len(at), 1024):
-                a = at[i : i + 1024]
-                change = (w[a] - start[a]) * seen[a][:, None].astype(np.float32)
-                told = np.column_stack([change, (s[a] - sizes[a])]).astype(np.float64)
-                yield pa.record_batch([pa.array(a, pa.int32()), pa.array(seen[a]), pa.FixedSizeListArray.from_arrays(pa.array(told.astype(np.float32).ravel()), width + 1).cast(pa.list_(pa.float32()))], names=["row", "n", "v"])
-
-        told = ids.filter((F.col("part") == k) & ~F.col("held_out")).select("ids").mapInArrow(steps, "row int, n long, v array<float>")
-        total = told.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(width + 1)])
-        for r in total.toLocalIterator():
-            weights[r["row"]] += np.array(r[2 : width + 2], np.float32) / r["n"]
-            size[r["row"]] += r[width + 2]
+            for i in range(0, places, _BLOCK):
+                n = seen[i : i + _BLOCK]
+                if n.any():
+                    told = np.concatenate([n, (w[i : i + _BLOCK] - start[i : i + _BLOCK]) * n, s[i : i + _BLOCK] - sizes[i : i + _BLOCK]]).astype(np.float32)
+                    yield pa.record_batch([pa.array([i // _BLOCK], pa.int32()), pa.array([told.tobytes()], pa.binary())], names=["block", "told"])
+
+        def total(batches):
+            out: dict[int, np.ndarray] = {}
+            for b in batches:
+                for block, told in zip(b["block"].to_pylist(), b["told"].to_pylist()):
+                    x = np.frombuffer(told, np.float32).astype(np.float64)
+                    out[block] = out[block] + x if block in out else x
+            yield pa.record_batch([pa.array(list(out), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in out.values()], pa.binary())], names=["block", "told"])
+
+        told = ids.filter((F.col("part") == k) & ~F.col("held_out")).select("ids").mapInArrow(steps, "block int, told binary")
+        for r in told.repartition("block").mapInArrow(total, "block int, told binary").toLocalIterator():
+            n, change, more = np.frombuffer(r["told"], np.float32).reshape(3, -1)
+            at = slice(r["block"] * _BLOCK, r["block"] * _BLOCK + len(n))
+            weights[at] += change / np.maximum(n, 1)
+            size[at] += more
         now.unpersist()
     return weights
 
 
-def score(docs: DataFrame, held_out: Column, columns: list[str], vocabulary: int = 1 << 18, shared: int = 1024, width: int = 32, rows: int = 1 << 15, rounds: int = 2, rate: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, columns: list[str], vocabulary: int = 1 << 18, shared: int = 1024, places: int = 1 << 19, rounds: int = 2, rate: float = 0.1) -> DataFrame:
     """Score every whole text with a model learned from the documents for which ``held_out`` is not true.
 
     Tokens are ``words_of`` and one end. ``vocabulary`` bounds the words with leaves of their own, ``shared`` is the number of
-    shared leaves, ``width`` that of children of a class, ``rows`` that of hashed weight rows (a power of two); these bound what is
-    broadcast. Counts cover all training documents and words, however many there are, and are never gathered in one place.
+    shared leaves, ``places`` that of hashed weights (a power of two); these bound what is broadcast. Counts cover all training documents and words, however many there are, and are never gathered in one place.
 
     Returns (doc, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of ``docs``, ``doc`` a struct of
     ``columns``. base_score is the sum over tokens of log10((c + 0.5) / (N + 0.5 (V + 1))), score that of the model; n_known counts tokens with c > 0. A
@@ -262,9 +265,9 @@ def score(docs: DataFrame, held_out: Column, columns: list[str], vocabulary: int
     spread = np.array([buckets.get(i, (0, 0)) for i in range(shared)], np.float64)
     spread = spread[:, 0] + 0.5 * (spread[:, 1] + 1)
     own = np.array([c for _, c in top], np.float64)
-    mass = spark.sparkContext.broadcast((uuid.uuid4().hex, np.concatenate((spread, own + 0.5)), width))
+    mass = spark.sparkContext.broadcast((uuid.uuid4().hex, np.concatenate((spread, own + 0.5))))
     ids = keep(_encoded(some, told, shared, rounds), "lm_tokens")
-    weights = spark.sparkContext.broadcast(_train(ids, lambda: _classes(mass), width, rows, rounds, rate))
+    weights = spark.sparkContext.broadcast(_train(ids, lambda: _classes(mass), places, rounds, rate))
     base = np.log10(n + 0.5 * (v + 1))
     known = np.concatenate((np.full(shared, np.nan), np.log10(own + 0.5) - base))
 
