@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType
 
-from offerloom.llm.common import text_batches, word_hashes
+from offerloom.llm.common import keep, text_batches, word_hashes
 
 #: Features of the linear scorer, and the last of them for properties of the whole text.
 DIMENSIONS, WHOLE = 1 << 16, 64
@@ -31,11 +31,14 @@ class _Words(dict):
     def __init__(self):
         super().__init__()
         self.told = np.zeros((1024, 3), np.int32)
+        self.hash = np.zeros(1024, np.uint64)
 
     def __missing__(self, w: bytes) -> int:
         i = len(self)
         if i == len(self.told):
             self.told = np.concatenate((self.told, np.zeros_like(self.told)))
+            self.hash = np.concatenate((self.hash, np.zeros_like(self.hash)))
+        self.hash[i] = word_hashes([w])[0]
         shape = w
         for pattern, sign in _SHAPES:
             shape = pattern.sub(sign, shape)
@@ -61,7 +64,8 @@ def _read(t: str | None) -> tuple[np.ndarray, dict[str, float]]:
     n, n_words = max(1, len(text)), max(1, len(ids))
     c = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     letters = max(1, int(c[_LETTERS].sum()))
-    triples = ids[:-2] * 0x9E3779B1 + ids[1:-1] * 0x85EBCA6B1 + ids[2:] * 0xC2B2AE3D27 if len(ids) > 2 else ids[:0]
+    h = _words.hash[ids]
+    triples = h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7) if len(ids) > 2 else h[:0]
     lines = [x for x in text.split(b"\n") if x.strip()]
     return place, {
         "words": len(ids),
@@ -152,40 +156,48 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs:
     return w
 
 
-def judged(docs: DataFrame, sample: int = 10_000, least: float = 0.05) -> DataFrame:
+def judged(docs: DataFrame, columns: list[str] | None = None, sample: int = 10_000, least: float = 0.05) -> DataFrame:
     """Score every document and decide which stay.
 
-    Labellers vote on every whole text; the counts of the vote patterns, at most 4,096 rows, are what the label model is fitted on.
-    The scorer is trained on the posterior labels of ``sample`` documents, those with the smallest hash of doc_id and text; with it
-    every whole text gets its score, the probability of good quality. A document stays if that is ``least`` or more.
+    Every whole text is read once, into its labellers' votes and its features. The counts of the vote patterns, at most 4,096 rows, are what
+    the label model is fitted on. The scorer is trained on the posterior labels of ``sample`` documents, those with the smallest hash of doc_id
+    and text; with it every document gets its score, the probability of good quality. A document stays if that is ``least`` or more.
 
-    Returns (doc, score, kept): doc is a struct with all columns of the row, whatever their names. Null and empty texts, and texts of
-    fewer than four words, get no votes on style and are judged by the rest. Repeated rows get equal scores. An empty table: no rows.
+    Returns (doc, score, kept): doc is a struct with ``columns`` of the row (all, by default), whatever their names. Null and empty texts, and
+    texts of fewer than four words, get no votes on style and are judged by the rest. Repeated rows get equal scores. An empty table: no rows.
     """
     text_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    order = F.xxhash64(F.col("doc_id").cast("string"), text)
+    whole = docs.select(F.struct(*(columns or docs.columns)).alias("doc"), order.alias("o"), text.alias("text"))
 
-    def patterns(batches):
-        seen: Counter = Counter()
+    def read(batches):
         for b in batches:
+            codes, at, x, ends = [], [], [], [0]
             for t in b["text"].to_pylist():
-                seen[pattern(votes(_read(t)[1]))] += 1
-        yield pa.record_batch([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["code", "n"])
-
-    told = texts.select("text").mapInArrow(patterns, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
-    codes, counts = np.array([r["code"] for r in told], np.int64), np.array([r["n"] for r in told], np.float64)
-    posterior = dict(zip(codes.tolist(), fit_label_model(codes, counts)[2].tolist())) if len(told) else {}
-    order = F.xxhash64("id", "text")
+                place, m = _read(t)
+                codes.append(pattern(votes(m)))
+                p, v = features(place, m)
+                at.append(p)
+                x.append(v)
+                ends.append(ends[-1] + len(p))
+            ends = pa.array(ends, pa.int32())
+            at, x = (np.concatenate(z) if z else np.zeros(0) for z in (at, x))
+            yield pa.record_batch([b["doc"], b["o"], pa.array(codes, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(x.astype(np.float32)))], names=["doc", "o", "code", "at", "x"])
+
+    schema = StructType([whole.schema["doc"], StructField("o", LongType()), StructField("code", LongType()), StructField("at", ArrayType(IntegerType())), StructField("x", ArrayType(FloatType()))])
+    told = keep(whole.mapInArrow(read, schema), "quality_features")
+    seen = told.groupBy("code").agg(F.count("*").alias("n")).orderBy("code").collect()
+    codes, counts = np.array([r["code"] for r in seen], np.int64), np.array([r["n"] for r in seen], np.float64)
+    posterior = dict(zip(codes.tolist(), fit_label_model(codes, counts)[2].tolist())) if len(seen) else {}
     share = min(1.0, 1.2 * sample / max(1.0, float(counts.sum())))
-    some = texts.filter(F.pmod(order, F.lit(1_000_000)) < share * 1_000_000).withColumn("o", order).orderBy("o", "id").limit(sample).select("text")
+    some = told.filter(F.pmod("o", F.lit(1_000_000)) < share * 1_000_000).select("o", "code", "at", "x").orderBy("o").limit(sample)
 
     def fitted(batches):
         rows, target = [], []
         for b in batches:
-            for t in b["text"].to_pylist():
-                place, m = _read(t)
-                rows.append(features(place, m))
-                target.append(posterior[pattern(votes(m))])
+            rows += _rows(b)
+            target += [posterior[c] for c in b["code"].to_pylist()]
         yield pa.record_batch([pa.array([train(rows, np.array(target)).tolist()], pa.list_(pa.float64()))], names=["w"])
 
     model = some.coalesce(1).mapInArrow(fitted, "w array<double>").collect()
@@ -193,11 +205,14 @@ def judged(docs: DataFrame, sample: int = 10_000, least: float = 0.05) -> DataFr
 
     def scored(batches):
         for b in batches:
-            s = []
-            for t in b["text"].to_pylist():
-                at, x = features(*_read(t))
-                s.append(1 / (1 + np.exp(-np.clip(w[at] @ x + w[-1], -30, 30))))
+            s = [float(1 / (1 + np.exp(-np.clip(w[at] @ x + w[-1], -30, 30)))) for at, x in _rows(b)]
             yield pa.record_batch([b["doc"], pa.array(s, pa.float64()), pa.array([v >= least for v in s], pa.bool_())], names=["doc", "score", "kept"])
 
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").cast("string").alias("text"))
-    return whole.mapInArrow(scored, StructType([whole.schema["doc"], StructField("score", DoubleType()), StructField("kept", BooleanType())]))
+    return told.select("doc", "at", "x").mapInArrow(scored, StructType([whole.schema["doc"], StructField("score", DoubleType()), StructField("kept", BooleanType())]))
+
+
+def _rows(b) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, values) of the features of each row of a batch."""
+    ends = b["at"].offsets.to_numpy()
+    at, x = b["at"].values.to_numpy(), b["x"].values.to_numpy().astype(np.float64)
+    return [(at[i:j], x[i:j]) for i, j in zip(ends[:-1], ends[1:])]

@@ -46,7 +46,7 @@ def op2(spark, sf):
 
 @registry.query("op3_quality_classifier")
 def op3(spark, sf):
-    return quality.judged(table(spark, sf, "documents")).select("doc.doc_id", "score", "kept")
+    return quality.judged(table(spark, sf, "documents"), ["doc_id"]).select("doc.doc_id", "score", "kept")
 
 
 @registry.query("op4_minhash_near_dedup")
