@@ -1,17 +1,22 @@
-"""Nearest items by vector: exact in blocks, or clustered search; the caller chooses.
+"""Nearest items by vector: exact, or clustered with a calibrated bound; the caller chooses.
 
-Items and queries are cut into blocks of bounded size. A pair of blocks meets in one task as two matrices,
-and only the k best per query leave the task, so no pair of rows is ever written.
+Items lie in blocks of bounded size around centres, and every block knows how near and how far from its centre its items are. A
+query visits the nearest blocks first, which gives it k items and so a bound; after that only blocks that could hold anything
+nearer, by the triangle inequality, are visited. A block and its queries meet in one task as two matrices, and only the k best per
+query leave the task, so no pair of rows is ever written.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from offerloom.session import materialise
+
 BLOCK = 4096
 CHUNK = 512
 
@@ -23,10 +28,6 @@ def normalise(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn(vector, F.transform(v, lambda x: x / F.greatest(norm, F.lit(1e-8))))
 
 
-def _blocks(n: int) -> int:
-    return max(1, -(-n // BLOCK))
-
-
 def _search(k: int, metric: str, drop_self: bool):
     """Matrix search of one query block in one item block."""
 
@@ -59,41 +60,147 @@ def _search(k: int, metric: str, drop_self: bool):
     return run
 
 
-def _merge(parts: DataFrame, k: int, metric: str) -> DataFrame:
+def _prepared(df: DataFrame, id_col: str, vector: str, out_id: str, metric: str) -> DataFrame:
+    d = df.select(F.col(id_col).alias(out_id), F.col(vector).alias("v")).filter(F.size("v") > 0)
+    return normalise(d, "v") if metric == "cosine" else d.withColumn("v", F.col("v").cast("array<double>"))
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """What tasks know of the blocks: the centres, and of each block (cell, ib, items, nearest, farthest distance from the centre)."""
+
+    centres: np.ndarray
+    blocks: np.ndarray
+
+    def first(self, d: np.ndarray, least: int) -> np.ndarray:
+        """Which blocks a query visits first, given its distances to the centres: the nearest ones that hold ``least`` items together."""
+        near = np.argsort(d[:, self.blocks[:, 0].astype(int)], axis=1, kind="stable")
+        n = self.blocks[:, 2][near]
+        take = np.cumsum(n, axis=1) - n < least
+        out = np.zeros(take.shape, bool)
+        np.put_along_axis(out, near, take, 1)
+        return out
+
+    def bounds(self, d: np.ndarray, slack: float = 1.0) -> np.ndarray:
+        """The least distance an item of each block can have: the centre's, less the farthest item's or from the nearest item's.
+
+        ``slack`` below 1 trusts that the farthest items do not lie towards the query.
+        """
+        c = d[:, self.blocks[:, 0].astype(int)]
+        return np.maximum(np.maximum(c - slack * self.blocks[:, 4], self.blocks[:, 3] - c), 0.0)
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Items in blocks, rows (item_id, v, cell, ib), and what is known of the blocks."""
+
+    items: DataFrame
+    told: Blocks
+    metric: str
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * (x @ centres.T), 0.0))
+
+
+def make_cells(items: DataFrame, centres, metric: str, block: int = BLOCK) -> Cells:
+    """Put prepared items (item_id, v) to their nearest centres; a cell of any size is cut into blocks by a hash of the item."""
+    m = np.array(centres, dtype=float)
+
+    @F.pandas_udf("cell int, far double")
+    def near(v: pd.Series) -> pd.DataFrame:
+        d = _distances(np.stack(v.to_numpy()), m) if len(v) else np.zeros((0, len(m)))
+        return pd.DataFrame({"cell": d.argmin(1).astype("int32"), "far": d.min(1)})
+
+    placed = materialise(items.select("item_id", "v", near("v").alias("at")).select("item_id", "v", "at.cell", "at.far"), "cells")
+    cut = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))  # a row per centre
+    placed = placed.join(cut, "cell").withColumn("ib", F.pmod(F.xxhash64("item_id"), F.col("nb")).cast("int")).drop("nb")
+    told = placed.groupBy("cell", "ib").agg(F.count("*").alias("n"), F.min("far").alias("near"), F.max("far").alias("far")).orderBy("cell", "ib").collect()
+    return Cells(placed.drop("far"), Blocks(m, np.array([tuple(r) for r in told], dtype=float).reshape(-1, 5)), metric)
+
+
+def _visits(cells: Cells, queries: DataFrame, k: int, slack: float | None) -> DataFrame:
+    """(query_id, cell, ib): the first blocks of each query, or with ``slack`` the others that its bound ``tau`` does not rule out."""
+    told = cells.told
+
+    def run(batches):
+        for t in batches:
+            step = max(1, 4_000_000 // max(1, len(told.blocks)))
+            for at in range(0, len(t), step):
+                part = t.iloc[at: at + step]
+                d = _distances(np.stack(part["v"].to_numpy()), told.centres)
+                want = told.first(d, k + 1)
+                if slack is not None:
+                    tau = part["tau"].to_numpy(dtype=float)
+                    tau = np.where(np.isnan(tau), np.inf, tau * (1 + 1e-9) + 1e-9)
+                    want = ~want & (told.bounds(d, slack) <= tau[:, None])
+                q, b = np.nonzero(want)
+                yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[q], "cell": told.blocks[b, 0].astype("int32"), "ib": told.blocks[b, 1].astype("int32")})
+
+    kind = dict(queries.dtypes)["query_id"]
+    return queries.mapInPandas(run, f"query_id {kind}, cell int, ib int")
+
+
+def _meet(cells: Cells, queries: DataFrame, visits: DataFrame, k: int, drop_self: bool, block: int) -> DataFrame:
+    """The k best items of every visit; the visitors of a block are cut into blocks, too."""
+    visits = materialise(visits, "visits")
+    plan = visits.groupBy("cell", "ib").agg(F.ceil(F.count("*") / block).cast("int").alias("nq"))  # a row per block
+    q = visits.join(plan, ["cell", "ib"]).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).drop("nq").join(queries.select("query_id", "v"), "query_id")
+    i = cells.items.join(plan, ["cell", "ib"]).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    kind = dict(cells.items.dtypes)["item_id"], dict(queries.dtypes)["query_id"]
+    g = ["cell", "ib", "qb"]
+    return i.select(*g, "item_id", "v").groupBy(*g).cogroup(q.select(*g, "query_id", "v").groupBy(*g)).applyInPandas(
+        _search(k, cells.metric, drop_self), f"query_id {kind[1]}, item_id {kind[0]}, closeness double"
+    )
+
+
+def _best(parts: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("closeness").desc(), "item_id")
-    top = parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    sim = F.col("closeness") if metric == "cosine" else F.lit(1.0) / (F.lit(1.0) - F.col("closeness"))
+    return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def search_cells(cells: Cells, queries: DataFrame, k: int, drop_self: bool = True, slack: float = 1.0, block: int = BLOCK) -> DataFrame:
+    """(query_id, item_id, similarity, rank): the k nearest items of each prepared query (query_id, v); exact if ``slack`` is 1."""
+    first = materialise(_best(_meet(cells, queries, _visits(cells, queries, k, None), k, drop_self, block), k), "first_visits")
+    tau = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("closeness")).alias("closeness"))
+    far = F.sqrt(F.greatest(2 - 2 * F.col("closeness"), F.lit(0.0))) if cells.metric == "cosine" else -F.col("closeness")
+    asked = queries.join(tau, "query_id", "left").select("query_id", "v", far.alias("tau"))
+    more = _meet(cells, queries, _visits(cells, asked, k, slack), k, drop_self, block)
+    top = _best(first.select("query_id", "item_id", "closeness").unionByName(more), k)
+    sim = F.col("closeness") if cells.metric == "cosine" else F.lit(1.0) / (F.lit(1.0) - F.col("closeness"))
     return top.select("query_id", "item_id", F.round(sim, 4).alias("similarity"), "rank")
 
 
-def _prepared(df: DataFrame, id_col: str, vector: str, out_id: str, metric: str) -> DataFrame:
-    d = df.select(F.col(id_col).alias(out_id), F.col(vector).alias("v"))
-    return normalise(d, "v") if metric == "cosine" else d.withColumn("v", F.col("v").cast("array<double>"))
+def some_vectors(items: DataFrame, n: int) -> np.ndarray:
+    """The ``n`` items with the smallest hash of their id, as a matrix."""
+    got = items.orderBy(F.xxhash64("item_id"), "item_id").limit(n).select("v").collect()
+    return np.array([r["v"] for r in got], dtype=float)
+
+
+def cell_count(n: int, block: int = BLOCK) -> int:
+    """Centres of an exact search: one a block, the root of the number of items at most."""
+    return max(1, min(-(-n // block), math.isqrt(n)))
 
 
 def similar_to_vectors(items: DataFrame, queries: DataFrame, k: int, item_id: str, query_id: str, vector: str = "embedding",
-                       metric: str = "cosine", drop_self: bool = False) -> DataFrame:
-    """Exact k nearest items of each query vector.
+                       metric: str = "cosine", drop_self: bool = False, block: int = BLOCK) -> DataFrame:
+    """Exact k nearest items of each query vector; ids are unique. Rows without a vector, or with an empty one, take no part.
 
-    Every query block visits every item block; a task sees at most BLOCK items and BLOCK queries.
+    Blocks lie around items picked by hash. A task sees at most ``block`` items and ``block`` queries; blocks that cannot hold a
+    nearer item than the k found already are not visited.
     """
     i, q = _prepared(items, item_id, vector, "item_id", metric), _prepared(queries, query_id, vector, "query_id", metric)
-    nb, nq = _blocks(i.count()), _blocks(q.count())
-    i = i.withColumn("ib", F.pmod(F.xxhash64("item_id"), F.lit(nb)).cast("int"))
-    q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int"))
-    i2 = i.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    q2 = q.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    kind = dict(i.dtypes)["item_id"], dict(q.dtypes)["query_id"]
-    parts = i2.groupBy("ib", "qb").cogroup(q2.groupBy("ib", "qb")).applyInPandas(
-        _search(k, metric, drop_self), f"query_id {kind[1]}, item_id {kind[0]}, closeness double"
-    )
-    return _merge(parts, k, metric)
+    n = i.count()
+    if n == 0:
+        kind = dict(i.dtypes)["item_id"]
+        return q.limit(0).select("query_id", F.lit(None).cast(kind).alias("item_id"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("int").alias("rank"))
+    return search_cells(make_cells(i, some_vectors(i, cell_count(n, block)), metric, block), q, k, drop_self, block=block)
 
 
 def similar_exact(items: DataFrame, k: int, item_id: str, vector: str = "embedding", metric: str = "cosine",
-                  queries: DataFrame | None = None) -> DataFrame:
+                  queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Exact k nearest other items of each item (or of the items in ``queries``)."""
-    return similar_to_vectors(items, items if queries is None else queries, k, item_id, item_id, vector, metric, True)
+    return similar_to_vectors(items, items if queries is None else queries, k, item_id, item_id, vector, metric, True, block)
 
 
 # --- clustered search --------------------------------------------------------------------------------------
@@ -104,82 +211,84 @@ def cluster_count(n: int, wanted: int | None = None) -> int:
     return max(1, min(math.isqrt(n) if wanted is None else wanted, n // 10))
 
 
-def train_clusters(items: DataFrame, vector: str, clusters: int, metric: str = "cosine", seed: int = 42) -> list[list[float]]:
-    """Cluster centres from k-means: ``clusters`` vectors, which grow with the root of the items at most."""
+def train_clusters(items: DataFrame, vector: str, clusters: int, metric: str = "cosine", seed: int = 42, per_centre: int = 256, n: int | None = None) -> list[list[float]]:
+    """Cluster centres from k-means on ``per_centre`` items a cluster, picked by a hash of the vector: as the clusters are the root
+    of the items at most, its cost follows the number of items."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    d = normalise(items.select(vector), vector) if metric == "cosine" else items.select(vector)
-    data = d.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    d = items.select(F.col(vector).alias("v")).filter(F.size("v") > 0)
+    n = d.count() if n is None else n
+    share = min(1.0, per_centre * clusters / max(1, n))
+    d = d.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < share * (1 << 30)) if share < 1 else d
+    d = normalise(d, "v") if metric == "cosine" else d
+    data = d.select(array_to_vector(F.col("v").cast("array<double>")).alias("features"))
     model = KMeans(k=clusters, seed=seed, maxIter=10).fit(data)
     return [[float(x) for x in c] for c in model.clusterCenters()]
 
 
-def nearest_clusters(df: DataFrame, centres, n: int, vector: str = "v") -> DataFrame:
-    """Adds ``cluster``, one row for each of the n nearest centres. Centres travel with the task."""
-    m = np.array(centres)
-
-    @F.pandas_udf("array<int>")
-    def near(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy())
-        d = (m * m).sum(1)[None, :] - 2 * (x @ m.T)
-        return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :n].astype("int32")))
-
-    return df.withColumn("cluster", F.explode(near(vector)))
-
-
-def assign(items: DataFrame, centres, item_id: str, vector: str, metric: str = "cosine") -> DataFrame:
-    return nearest_clusters(_prepared(items, item_id, vector, "item_id", metric), centres, 1)
-
-
-def search_clusters(assigned: DataFrame, queries: DataFrame, centres, k: int, query_id: str, vector: str, probes: int = 10,
-                    metric: str = "cosine", drop_self: bool = True) -> DataFrame:
-    """k nearest items among the ``probes`` nearest clusters of each query.
+def calibrate(cells: Cells, k: int, target: float, sample: int = 400) -> float:
+    """The slack with which a share ``target`` of the k nearest other items of ``sample`` items, picked by hash, is visited.
 
-    A cluster of any size is cut into blocks by a hash of the item, and its queries into blocks as well; a
-    task sees one block of each. The number of blocks comes from the cluster counts.
+    The sample is searched exactly. A neighbour is visited if the query's distance to the block's centre, less slack times the farthest
+    item's, is at most the distance of the query's k-th neighbour; the slack is the quantile of what the neighbours need.
     """
-    q = nearest_clusters(_prepared(queries, query_id, vector, "query_id", metric), centres, min(probes, len(centres)))
-    sizes = assigned.groupBy("cluster").agg(F.count("*").alias("n"))
-    nb = sizes.select("cluster", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-    asked = q.groupBy("cluster").agg(F.count("*").alias("n"))
-    nq = asked.select("cluster", F.ceil(F.col("n") / BLOCK).cast("int").alias("nq"))
-    plan = nb.join(nq, "cluster")  # a row per cluster
-    i = assigned.join(plan, "cluster").withColumn("ib", F.pmod(F.xxhash64("item_id"), F.col("nb")).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-    q = q.join(plan, "cluster").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).withColumn(
-        "ib", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    kind = dict(assigned.dtypes)["item_id"], dict(q.dtypes)["query_id"]
-    g = ["cluster", "ib", "qb"]
-    parts = i.select(*g, "item_id", "v").groupBy(*g).cogroup(q.select(*g, "query_id", "v").groupBy(*g)).applyInPandas(
-        _search(k, metric, drop_self), f"query_id {kind[1]}, item_id {kind[0]}, closeness double"
-    )
-    return _merge(parts, k, metric)
-
-
-def similar_ivf(items: DataFrame, k: int, item_id: str, vector: str = "embedding", clusters: int | None = None, probes: int = 10,
-                metric: str = "cosine", queries: DataFrame | None = None, n: int | None = None) -> DataFrame:
-    n = items.count() if n is None else n
-    centres = train_clusters(items, vector, cluster_count(n, clusters), metric)
-    return search_clusters(assign(items, centres, item_id, vector, metric), items if queries is None else queries, centres, k,
-                           item_id, vector, probes, metric, True)
+    q = cells.items.orderBy(F.xxhash64("item_id"), "item_id").limit(sample).select(F.col("item_id").alias("query_id"), "v")
+    q = materialise(q, "calibration")
+    found = search_cells(cells, q, k, True)
+    at = found.join(cells.items.select("item_id", "cell", "ib", F.col("v").alias("w")), "item_id").join(q, "query_id").collect()  # sample * k rows
+    if not at:
+        return 1.0
+    x, w = (np.array([r[c] for r in at], dtype=float) for c in ("v", "w"))
+    cell = np.array([r["cell"] for r in at])
+    ids = np.unique([str(r["query_id"]) for r in at], return_inverse=True)[1]
+    near = np.sqrt(((x - w) ** 2).sum(1))
+    tau = np.zeros(ids.max() + 1)
+    np.maximum.at(tau, ids, near)
+    far = {(int(b[0]), int(b[1])): b[4] for b in cells.told.blocks}
+    radius = np.array([far[r["cell"], r["ib"]] for r in at])
+    need = (np.sqrt(((x - cells.told.centres[cell]) ** 2).sum(1)) - tau[ids]) / np.maximum(radius, 1e-12)
+    return float(np.clip(np.quantile(need, target, method="higher"), 0.0, 1.0))
+
+
+def similar_ivf(items: DataFrame, k: int, item_id: str, vector: str = "embedding", clusters: int | None = None, target: float = 0.95,
+                metric: str = "cosine", queries: DataFrame | None = None, slack: float | None = None) -> DataFrame:
+    """k nearest other items over clusters. How many clusters a query visits follows from its own bound (``Blocks.bounds``).
+
+    ``slack`` 1 rules out nothing that could be a neighbour. Without it, it is calibrated so that a share ``target`` is found.
+    """
+    i = _prepared(items, item_id, vector, "item_id", metric)
+    n = i.count()
+    if n == 0:
+        return similar_exact(items, k, item_id, vector, metric, queries)
+    cells = make_cells(i, train_clusters(i, "v", cluster_count(n, clusters), "l2", n=n), metric)
+    q = _prepared(items if queries is None else queries, item_id, vector, "query_id", metric)
+    return search_cells(cells, q, k, True, calibrate(cells, k, target) if slack is None else slack)
 
 
 # --- stored index ---------------------------------------------------------------------------------------------
 
 
-def write_index(items: DataFrame, path: str, item_id: str, vector: str = "embedding", clusters: int | None = None, metric: str = "cosine") -> None:
+def write_index(items: DataFrame, path: str, item_id: str, vector: str = "embedding", clusters: int | None = None, metric: str = "cosine",
+                k: int = 10, target: float = 0.95) -> None:
+    """Items by cluster, the centres, and the blocks with their distances and the slack calibrated for ``k`` neighbours."""
     spark = items.sparkSession
-    centres = train_clusters(items, vector, cluster_count(items.count(), clusters), metric)
-    assign(items, centres, item_id, vector, metric).repartition("cluster", F.pmod(F.xxhash64("item_id"), F.lit(16))).write.partitionBy(
-        "cluster").parquet(f"{path}/items")
-    rows = [(i, c) for i, c in enumerate(centres)]
-    spark.createDataFrame(rows, "cluster int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
-
-
-def read_index(spark, path: str) -> tuple[DataFrame, list[list[float]]]:
-    centres = [r["centre"] for r in spark.read.parquet(f"{path}/centres").orderBy("cluster").collect()]
-    return spark.read.parquet(f"{path}/items"), centres
+    i = _prepared(items, item_id, vector, "item_id", metric)
+    n = i.count()
+    cells = make_cells(i, train_clusters(i, "v", cluster_count(n, clusters), "l2", n=n), metric)
+    cells.items.repartition("cell", "ib").write.partitionBy("cell").parquet(f"{path}/items")
+    spark.createDataFrame([(j, [float(x) for x in c]) for j, c in enumerate(cells.told.centres)], "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
+    slack = calibrate(cells, k, target)
+    told = [(int(b[0]), int(b[1]), int(b[2]), float(b[3]), float(b[4]), slack, metric) for b in cells.told.blocks]
+    spark.createDataFrame(told, "cell int, ib int, n long, near double, far double, slack double, metric string").coalesce(1).write.parquet(f"{path}/blocks")
+
+
+def read_index(spark, path: str) -> tuple[Cells, float]:
+    """(cells, slack) of a stored index, for ``search_cells``."""
+    centres = [r["centre"] for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()]
+    blocks = spark.read.parquet(f"{path}/blocks").orderBy("cell", "ib").collect()
+    items = spark.read.parquet(f"{path}/items").select("item_id", "v", F.col("cell").cast("int"), "ib")
+    return Cells(items, Blocks(np.array(centres), np.array([tuple(b)[:5] for b in blocks], dtype=float)), blocks[0]["metric"]), blocks[0]["slack"]
 
 
 def index_stats(items: DataFrame, vector: str = "v") -> DataFrame:

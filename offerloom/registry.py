@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,5 +25,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; Python workers find this package where the driver found it."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if _ROOT not in paths.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{_ROOT}:{paths}".rstrip(":")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
