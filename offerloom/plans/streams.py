@@ -10,9 +10,9 @@ from offerloom.functions import columns as C
 from offerloom.operators import drift as D
 from offerloom.plans.aggregates import rounded
 from offerloom.registry import query, table
-from offerloom.session import scratch_path
+from offerloom.session import materialise, scratch_path
 from offerloom.sources import readers as R
-from offerloom.sources.sinks import VersionedTable
+from offerloom.sources.sinks import BucketedTable
 from offerloom.streaming import jobs as J
 
 
@@ -86,9 +86,55 @@ def st04(spark, sf):
 
 @query("st05_streaming_upsert", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
 def st05(spark, sf):
-    t = VersionedTable(spark, scratch_path(spark, "users"))
-    s = _events(spark, sf).select("user_id", "event_id", "event_type", "value")
-    J.streaming_upsert(s, t, ["user_id"], "event_id", scratch_path(spark, "users-checkpoint"))
+    t = BucketedTable(spark, scratch_path(spark, "users"), "user_id", "event_id", 8)
+    J.streaming_upsert(_events(spark, sf).select("user_id", "event_id", "event_type", "value"), t, scratch_path(spark, "users-checkpoint"))
+    return t.read()
+
+
+# --- several micro-batches: every seventh event comes one file late, every 31st three files late ---
+
+_FILES, _DAYS = 6, 5
+_FILE = f"least(datediff('day', DATE '2024-01-01', ts::DATE) // {_DAYS} + CASE WHEN event_id % 31 = 0 THEN 3 WHEN event_id % 7 = 0 THEN 1 ELSE 0 END, {_FILES - 1})"
+#: A micro-batch closes windows by the latest event of the files before it, less a day, and drops what belongs to a window that the one before it closed.
+_IN_TIME = f"""f AS (SELECT *, {_FILE} AS file FROM events), wm AS (SELECT n.file, max(f.ts) - INTERVAL 1 DAY AS wm FROM range({_FILES}) n(file) LEFT JOIN f ON f.file < n.file - 1 GROUP BY 1),
+  last AS (SELECT max(ts) - INTERVAL 1 DAY AS final FROM events)"""
+
+
+def _files(spark, sf):
+    """The events as files that arrive one after the other, a micro-batch each."""
+    e = table(spark, sf, "events")
+    late = F.when(F.col("event_id") % 31 == 0, 3).when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    day = F.floor(F.datediff(F.col("ts").cast("date"), F.lit(dt.date(2024, 1, 1))) / _DAYS)
+    e = materialise(e.withColumn("_file", F.least(day + late, F.lit(_FILES - 1)).cast("int")), "arrivals")
+    folder = scratch_path(spark, "event-files")
+    for n in range(_FILES):
+        e.filter(F.col("_file") == n).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+    return J.event_time(J.file_stream(spark, folder, "*.parquet", table(spark, sf, "events").schema, files_per_batch=1), "ts")
+
+
+@query("st02_rate_abuse_late_rows", f"""WITH {_IN_TIME}, w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS ws, user_id, file FROM f)
+  SELECT strftime(ws, '%Y-%m-%d') AS window_start, user_id AS client, count(*) AS n_requests FROM w JOIN wm USING (file), last
+  WHERE (wm IS NULL OR ws + INTERVAL 1 DAY > wm) AND ws + INTERVAL 1 DAY <= final GROUP BY ALL HAVING count(*) > 2""")
+def st02_late(spark, sf):
+    d = J.closed(spark, J.rate_abuse(_files(spark, sf), "user_id", "ts", 86400, 2, "1 day"), "rate-abuse")
+    return d.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "client", "n_requests")
+
+
+@query("st03_prediction_metrics_late_rows", f"""WITH {_IN_TIME}, w AS (SELECT time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2024-01-01') AS ws, file, round(value * 3.337, 1) AS lat, event_id, value FROM f),
+  k AS (SELECT w.* FROM w JOIN wm USING (file), last WHERE (wm IS NULL OR ws + INTERVAL 12 HOUR > wm) AND ws + INTERVAL 12 HOUR <= final),
+  r AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY lat) AS i, count(*) OVER (PARTITION BY ws) AS n FROM k)
+  SELECT strftime(ws, '%Y-%m-%d %H:%M') AS window_start, count(*) AS n_requests, min(lat) FILTER (i >= 0.5 * n) AS p50_latency, min(lat) FILTER (i >= 0.95 * n) AS p95_latency,
+  round(avg(CASE WHEN event_id % 10 <> 0 THEN (value > 20)::INT END), 6) AS share_top FROM r GROUP BY ws""")
+def st03_late(spark, sf):
+    log = J.log_records(_requests(_files(spark, sf)), ["preferred_countries", "budget", "gpa"])
+    d = J.closed(spark, J.prediction_metrics(log, "timestamp", "12 hours", "1 day"), "prediction-metrics")
+    return rounded(d.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n_requests", "p50_latency", "p95_latency", "share_top"), 6)
+
+
+@query("st05_streaming_upsert_out_of_order", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def st05_late(spark, sf):
+    t = BucketedTable(spark, scratch_path(spark, "users"), "user_id", "event_id", 8)
+    J.streaming_upsert(_files(spark, sf).select("user_id", "event_id", "event_type", "value"), t, scratch_path(spark, "users-checkpoint"))
     return t.read()
 
 

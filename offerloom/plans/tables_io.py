@@ -120,6 +120,41 @@ def snk03(spark, sf):
     return S.delete_by_key(_target(spark, sf), _batch(spark, sf), ["o_orderkey"])
 
 
+def _bucketed(spark, sf, name):
+    t = S.BucketedTable(spark, scratch_path(spark, name), "o_orderkey", "version", 16)
+    t.create(_target(spark, sf).withColumn("version", F.lit(1)))
+    return t
+
+
+@query("snk01_upsert_buckets", f"""WITH {_BATCH} SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM target
+  WHERE o_orderkey NOT IN (SELECT o_orderkey FROM last) UNION ALL SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM last""")
+def snk01d(spark, sf):
+    t = _bucketed(spark, sf, "orders-buckets")
+    t.upsert(_batch(spark, sf))
+    t.upsert(_target(spark, sf).withColumn("o_totalprice", F.lit(0.0)).withColumn("version", F.lit(0)))  # older rows change nothing
+    return t.read().drop("version")
+
+
+@query("snk02_upsert_merge_buckets", f"""WITH {_BATCH} SELECT o_orderkey, t.o_custkey, CASE WHEN l.o_orderkey IS NOT NULL THEN l.o_totalprice ELSE t.o_totalprice END AS o_totalprice,
+  CASE WHEN t.o_orderkey IS NULL THEN 'N' ELSE t.o_orderstatus END AS o_orderstatus FROM target t FULL JOIN last l USING (o_orderkey)""")
+def snk02b(spark, sf):
+    t = _bucketed(spark, sf, "orders-merged")
+    t.merge(_batch(spark, sf), ["o_totalprice"], {"o_orderstatus": "N"})
+    return t.read().drop("version")
+
+
+@query("snk03_truncate", f"WITH {_BATCH} SELECT (SELECT count(*) FROM target) AS n_before, (SELECT count(*) FROM target WHERE o_orderkey NOT IN (SELECT o_orderkey FROM last)) AS n_left, 0 AS n_after, (SELECT count(DISTINCT o_orderkey) FROM batch) AS n_again")
+def snk03b(spark, sf):
+    t = _bucketed(spark, sf, "orders-emptied")
+    counts = [t.read().count()]
+    t.delete(_batch(spark, sf))
+    counts.append(t.read().count())
+    t.truncate()
+    counts.append(t.read().count())
+    t.upsert(_batch(spark, sf))
+    return t.read().agg(*[F.lit(n).alias(c) for n, c in zip(counts, ("n_before", "n_left", "n_after"))], F.count("*").alias("n_again"))
+
+
 # --- exports ----------------------------------------------------------------------------------------------
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from offerloom.session import materialise
+
 
 # --- versioned tables --------------------------------------------------------------------
 
@@ -54,6 +57,133 @@ class VersionedTable:
         return name
 
 
+class BucketedTable:
+    """Parquet table in hash buckets of its key, changed by copying the buckets that a batch touches.
+
+    A bucket's rows lie in ``<root>/v=<version>/bucket=<n>``; a manifest names the version of every bucket, so an upsert writes the
+    touched buckets once more and all others stay where they are. Of a key, the row with the largest ``order`` stays, whichever
+    batch brings it; of equals the later batch's. A commit is a file made under the next number, which only one writer can make;
+    before it readers see the old manifest. Keys are unique, so buckets are even; ``buckets`` is to be set so that one fits a task.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys, order, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.keys, self.order = [keys] if isinstance(keys, str) else list(keys), [order] if isinstance(order, str) else list(order)
+
+    def _fs(self):
+        jvm = self.spark._jvm
+        return jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), jvm
+
+    def versions(self) -> list[str]:
+        fs, jvm = self._fs()
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_commits")
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def exists(self) -> bool:
+        return bool(self.versions())
+
+    def manifest(self, version: str | None = None) -> dict[int, str]:
+        """Version of each bucket that has rows; a row per bucket at most."""
+        names = self.versions()
+        if not names:
+            return {}
+        return {r["bucket"]: r["version"] for r in self.spark.read.parquet(f"{self.root}/_manifest/{version or names[-1]}").collect() if r["version"]}
+
+    def _paths(self, where: dict[int, str], only=None) -> list[str]:
+        return [f"{self.root}/v={v}/bucket={b}" for b, v in sorted(where.items()) if only is None or b in only]
+
+    def files(self) -> dict[int, list[str]]:
+        """Data files of each bucket."""
+        fs, jvm = self._fs()
+        return {b: sorted(x.getPath().getName() for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(p)) if x.getPath().getName().startswith("part-"))
+                for b, p in zip(sorted(self.manifest()), self._paths(self.manifest()))}
+
+    def _schema(self) -> T.StructType:
+        text = self.spark.read.text(f"{self.root}/_schema", wholetext=True).first()
+        return T.StructType.fromJson(json.loads(text["value"]))
+
+    def _read(self, where: dict[int, str], only=None) -> DataFrame:
+        paths = self._paths(where, only)
+        return self.spark.read.schema(self._schema()).parquet(*paths) if paths else self.spark.createDataFrame([], self._schema())
+
+    def read(self) -> DataFrame:
+        return self._read(self.manifest())
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _commit(self, rows: DataFrame | None, touched) -> str:
+        """Write ``rows``, the whole content of the touched buckets, and switch to it."""
+        fs, jvm = self._fs()
+        names, path = self.versions(), jvm.org.apache.hadoop.fs.Path
+        number = int(names[-1].split("-")[0]) + 1 if names else 1
+        name = f"{number:08d}-{uuid.uuid4().hex[:8]}"
+        where = {b: v for b, v in self.manifest().items() if b not in touched}
+        if rows is not None:
+            out = f"{self.root}/v={name}"
+            rows.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(out)
+            where |= {int(s.getPath().getName().split("=")[1]): name for s in fs.listStatus(path(out)) if "=" in s.getPath().getName()}
+        told = [(b, where.get(b)) for b in range(self.buckets)]
+        self.spark.createDataFrame(told, "bucket int, version string").coalesce(1).write.parquet(f"{self.root}/_manifest/{name}")
+        lock = path(f"{self.root}/_numbers/{number:08d}")
+        fs.create(lock, False).close()  # fails if another writer has made this number
+        fs.create(path(f"{self.root}/_commits/{name}"), False).close()
+        return name
+
+    def create(self, df: DataFrame) -> str:
+        """First content: the last row of each key; rows with a null key are left out."""
+        if self.exists():
+            raise FileExistsError(self.root)
+        fs, jvm = self._fs()
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.root}/_schema/schema.json"), False)
+        out.write(bytearray(json.dumps(df.schema.jsonValue()).encode()))
+        out.close()
+        return self._commit(last_per_key(df, self.keys, self.order), set(range(self.buckets)))
+
+    def change(self, batch: DataFrame, how) -> list[int]:
+        """Replace the buckets that ``batch`` touches by ``how(rows of these buckets, batch)``; returns their numbers."""
+        some = materialise(batch.filter(_all_set(self.keys)), "batch")
+        touched = sorted(r["b"] for r in some.select(self._bucket().alias("b")).distinct().collect())  # ``buckets`` at most
+        if touched:
+            self._commit(how(self._read(self.manifest(), set(touched)), some), set(touched))
+        return touched
+
+    def upsert(self, batch: DataFrame) -> list[int]:
+        """Whole rows by key. A row older than the one that is there changes nothing."""
+        if not self.exists():
+            self.create(batch.limit(0))
+
+        def newest(rows: DataFrame, some: DataFrame) -> DataFrame:
+            both = rows.withColumn("_later", F.lit(0)).unionByName(some.select(*rows.columns).withColumn("_later", F.lit(1)))
+            return last_per_key(both, self.keys, [*self.order, "_later"]).drop("_later")
+
+        return self.change(batch, newest)
+
+    def merge(self, batch: DataFrame, set_cols, insert_only: dict) -> list[int]:
+        """As ``upsert_merge``, on the touched buckets."""
+        return self.change(batch, lambda rows, some: upsert_merge(rows, some, self.keys, set_cols, insert_only, self.order))
+
+    def delete(self, gone: DataFrame) -> list[int]:
+        return self.change(gone, lambda rows, some: delete_by_key(rows, some, self.keys))
+
+    def truncate(self) -> None:
+        """No rows from now on; the data of earlier versions stays until ``vacuum``."""
+        self._commit(None, set(range(self.buckets)))
+
+    def vacuum(self) -> int:
+        """Remove bucket folders that the current manifest does not name; returns how many. Not while older versions are read."""
+        fs, jvm = self._fs()
+        path, kept = jvm.org.apache.hadoop.fs.Path, set(self._paths(self.manifest()))
+        n = 0
+        for v in fs.listStatus(path(self.root)):
+            if v.getPath().getName().startswith("v="):
+                for b in fs.listStatus(v.getPath()):
+                    if "=" in b.getPath().getName() and f"{self.root}/{v.getPath().getName()}/{b.getPath().getName()}" not in kept:
+                        fs.delete(b.getPath(), True)
+                        n += 1
+        return n
+
+
 # --- upserts ------------------------------------------------------------------------------------
 
 

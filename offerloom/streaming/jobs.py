@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from offerloom.operators import drift, prefix
 from offerloom.session import scratch_path
-from offerloom.sources.sinks import VersionedTable, upsert_replace
+from offerloom.sources.sinks import BucketedTable
 
 
 
@@ -39,6 +39,12 @@ def drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
+def closed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """Windows that the watermark has passed, each once, as an append stream writes them. State lives from micro-batch to micro-batch; a row
+    that comes after its window was closed is dropped, one that is only out of order counts."""
+    return drain(spark, stream, name)
+
+
 def finalised(spark: SparkSession, stream: DataFrame, name: str, keys) -> DataFrame:
     """As ``drain`` for windowed aggregates over a finite input: every window, including those the watermark
     has not passed, through update mode and the newest state per ``keys``. A replayed batch replaces itself."""
@@ -129,13 +135,12 @@ def serving_drift(windowed: DataFrame, base_bins: DataFrame, edges: DataFrame, l
 # --- continuous import ---------------------------------------------------------------------------------------
 
 
-def streaming_upsert(stream: DataFrame, table: VersionedTable, keys, order, checkpoint: str) -> None:
-    """Every micro-batch replaces rows by key in a versioned table. Replaying a batch gives the same table."""
+def streaming_upsert(stream: DataFrame, table: BucketedTable, checkpoint: str) -> None:
+    """Every micro-batch replaces rows by key in the buckets it touches. A row that comes late, after a newer one of its key, changes
+    nothing, whatever batch it is in; replaying a batch gives the same table."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        empty = batch.sparkSession.createDataFrame([], batch.schema)
-        target = table.read() if table.exists() else empty
-        table.write(upsert_replace(target, batch, keys, order))
+        table.upsert(batch)
 
     stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply).trigger(availableNow=True).start().awaitTermination()
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from offerloom.operators import evaluate, match, pages, prefix, recommend, similar, stats, train
 from offerloom.session import scratch_path
-from offerloom.sources.sinks import VersionedTable, keep_latest_versions, upsert_replace
+from offerloom.sources.sinks import BucketedTable, VersionedTable, keep_latest_versions, upsert_replace
 
 HOT = 50
 
@@ -114,17 +114,78 @@ def test_ivf_recall_with_a_hot_cluster(spark):
     items = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id int, embedding array<double>")
     queries = items.filter("id % 10 = 0")
     exact = {(r["query_id"], r["item_id"]) for r in similar.similar_exact(items, 5, "id", queries=queries).collect()}
-    near = {(r["query_id"], r["item_id"]) for r in similar.similar_ivf(items, 5, "id", clusters=40, probes=10, queries=queries).collect()}
+    near = {(r["query_id"], r["item_id"]) for r in similar.similar_ivf(items, 5, "id", clusters=40, queries=queries).collect()}
     assert len(exact & near) / len(exact) >= 0.9
     assert all(q != i for q, i in near)
 
 
-def test_blocks_do_not_change_exact_search(spark, monkeypatch):
+def test_blocks_do_not_change_exact_search(spark):
     rng = np.random.default_rng(1)
-    items = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 8)))], "id int, embedding array<double>")
-    whole = rows(similar.similar_exact(items, 3, "id"), "query_id", "rank", "item_id")
-    monkeypatch.setattr(similar, "BLOCK", 37)
-    assert rows(similar.similar_exact(items, 3, "id"), "query_id", "rank", "item_id") == whole
+    v = [[float(x) for x in v] for v in rng.normal(size=(300, 8))]
+    odd = [(300, v[0]), (301, v[0]), (302, [0.0] * 8), (303, None), (304, [])]
+    items = spark.createDataFrame([*enumerate(v), *odd], "id int, embedding array<double>")
+    for metric in ("cosine", "l2"):
+        whole = rows(similar.similar_exact(items, 3, "id", metric=metric), "query_id", "rank", "item_id")
+        assert len(whole) == 303 * 3
+        assert rows(similar.similar_exact(items, 3, "id", metric=metric, block=37), "query_id", "rank", "item_id") == whole
+    assert similar.similar_exact(items.limit(0), 3, "id").count() == similar.similar_ivf(items.limit(0), 3, "id").count() == 0
+
+
+def test_blocks_that_cannot_hold_a_neighbour_never_meet(spark):
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(25, 12)) * 4
+    data = centre[np.where(np.arange(2000) % 3 == 0, 0, np.arange(2000) % 25)] + rng.normal(scale=0.2, size=(2000, 12))
+    items = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id int, embedding array<double>")
+    i = similar._prepared(items, "id", "embedding", "item_id", "l2")
+    q = similar._prepared(items, "id", "embedding", "query_id", "l2")
+    cells = similar.make_cells(i, similar.some_vectors(i, similar.cell_count(2000, 60)), "l2", 60)
+    first = similar._best(similar._meet(cells, q, similar._visits(cells, q, 5, None), 5, True, 60), 5)
+    tau = first.groupBy("query_id").agg((-F.min("closeness")).alias("tau"))
+    met = similar._visits(cells, q, 5, None).unionByName(similar._visits(cells, q.join(tau, "query_id"), 5, 1.0))
+    assert met.count() < 0.5 * 2000 * len(cells.told.blocks)
+    exact = rows(similar.similar_exact(items, 5, "id", metric="l2"), "query_id", "rank", "item_id")
+    assert rows(similar.search_cells(cells, q, 5, block=60), "query_id", "rank", "item_id") == exact
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_of_clustered_search(spark, size):
+    from offerloom import registry
+
+    r = registry.QUERIES["sim02_recall"](spark, f"/root/testdata/{size}").first()
+    assert r["n_found"] / r["n_asked"] == r["recall"] >= 0.9
+
+
+def test_stored_index_answers_as_the_items_do(spark):
+    rng = np.random.default_rng(4)
+    items = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 6)))], "id int, embedding array<double>")
+    path = scratch_path(spark, "index")
+    similar.write_index(items, path, "id")
+    cells, slack = similar.read_index(spark, path)
+    q = similar._prepared(items, "id", "embedding", "query_id", "cosine")
+    assert 0 < slack <= 1
+    assert rows(similar.search_cells(cells, q, 3), "query_id", "rank", "item_id") == rows(similar.similar_exact(items, 3, "id"), "query_id", "rank", "item_id")
+
+
+def test_an_upsert_rewrites_the_buckets_of_its_keys_alone(spark):
+    t = BucketedTable(spark, scratch_path(spark, "t"), "k", "o", 16)
+    t.create(spark.range(1000).selectExpr("id AS k", "id AS v", "10 AS o"))
+    before = t.files()
+    touched = t.upsert(spark.createDataFrame([(7, -7, 11), (7, -8, 9), (None, 0, 99)], "k long, v long, o int"))
+    after = t.files()
+    assert len(touched) == 1 and {b for b in before if before[b] != after[b]} == set(touched)
+    assert t.read().filter("k = 7").collect() == [(7, -7, 11)] and t.read().count() == 1000
+    t.upsert(spark.createDataFrame([(7, 5, 10), (1000, 1, 1)], "k long, v long, o int"))  # older, and new
+    assert t.read().filter("k IN (7, 1000)").orderBy("k").collect() == [(7, -7, 11), (1000, 1, 1)]
+    again = rows(t.read(), "k", "v")
+    t.upsert(spark.createDataFrame([(7, 5, 10), (1000, 1, 1)], "k long, v long, o int"))
+    assert rows(t.read(), "k", "v") == again
+    gone = t.delete(spark.createDataFrame([(7,)], "k long"))
+    assert len(gone) == 1 and t.read().count() == 1000
+    assert t.vacuum() >= 3 and rows(t.read(), "k", "v") == [r for r in again if r[0] != 7]
+    assert t.change(spark.createDataFrame([], "k long, v long, o int"), None) == []
+    hot = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 1 ELSE id END AS k", "id AS v", "cast(id AS int) AS o")
+    t.upsert(hot)
+    assert t.read().filter("k = 1").collect() == [(1, 4998, 4998)]
 
 
 def test_upsert_is_idempotent_and_versions_survive(spark):
