@@ -59,6 +59,26 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, ho
     return out.select(*left.columns, "v.*")
 
 
+def meet_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, where=None, semi: bool = False, parts: int = 256) -> DataFrame:
+    """The inner (or left semi) join of a written ``left`` with ``right`` (one row per key) where a key may hold a third of all left rows.
+
+    ``weight`` of ``right`` is the number of left rows of its key. Keys over 1/``parts`` of the total number at most ``parts``; their
+    hashes are literals of the plan, their rows meet a broadcast table, the others are joined by shuffle. ``where`` is a condition of the join,
+    so that nothing else is made. Both sides are read twice.
+    """
+    total = right.agg(F.sum(weight).alias("t")).first()["t"] or 0
+    hot = [r["h"] for r in right.filter(F.col(weight) > max(1, total // parts)).select(F.xxhash64(*keys).alias("h")).collect()]
+    is_hot = F.xxhash64(*keys).isin(hot) if hot else F.lit(False)
+    kind = "left_semi" if semi else "inner"
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        out = a.join(b, keys, kind)
+        return out if where is None or semi else out.filter(where)
+
+    cold = joined(left.filter(~is_hot), right.filter(~is_hot))
+    return cold if not hot else cold.unionByName(joined(left.filter(is_hot), F.broadcast(right.filter(is_hot))))
+
+
 def documents_by_key(docs: DataFrame, name: str) -> DataFrame:
     """The documents as (k, dup, doc_id, z, given, rest) in buckets of k.
 

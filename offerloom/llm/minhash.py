@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import documents_by_key, join_hot, keep, mix64, with_texts, word_hashes
+from offerloom.llm.common import documents_by_key, join_hot, keep, meet_hot, mix64, with_texts, word_hashes
 
 U = np.uint64
 #: Size of the permuted range that shingles are hashed to, coordinates of a signature, and coordinates in a band.
@@ -101,7 +101,7 @@ def _links(d: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent:
     """Of distinct pairs (centre, row) those whose full shingle sets are similar enough."""
     pairs = keep(pairs, "pairs")
     size = pairs.groupBy("centre").agg(F.count("*").alias("size"))
-    salted = join_hot(pairs, size, ["centre"], "size", "inner").withColumn("salt", F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / STAR)))
+    salted = meet_hot(pairs, size, ["centre"], "size").withColumn("salt", F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / STAR)))
     who = reps.select(F.col("row").alias("who"), "k", "dup")
     heads = salted.select("centre", "salt").distinct().join(who, F.col("centre") == F.col("who")).select("centre", "salt", F.lit(None).cast("long").alias("row"), "k", "dup")
     rest = salted.join(who, F.col("row") == F.col("who")).select("centre", "salt", "row", "k", "dup")
@@ -126,8 +126,8 @@ def _rare_shingles(d: DataFrame, some: DataFrame, width: int, percent: int) -> t
             yield pa.record_batch([pa.array(row), pa.array((np.concatenate(x) if x else np.zeros(0, U)).view(np.int64))], names=["row", "key"])
 
     every = keep(d.select("k", "dup", "z").join(some.select("row", "k", "dup"), ["k", "dup"]).select("row", "z").mapInArrow(each, "row long, key long"), "shingles")
-    often = every.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1")
-    common = join_hot(every, often, ["key"], "often", "inner")
+    often = keep(every.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1"), "often")
+    common = meet_hot(every, often, ["key"], "often")
     own = Window.partitionBy("row")
     common = common.withColumn("place", F.row_number().over(own.orderBy("often", "key"))).withColumn("shared", F.count("*").over(own))
     common = common.withColumn("few", F.count_if(F.col("often") <= FEW).over(own)).join(some.select("row", "n"), "row").withColumn("alone", F.col("n") - F.col("shared"))
@@ -197,8 +197,8 @@ def _grouped(d: DataFrame, percent: int, width: int, stars: int) -> DataFrame:
     reps = keep(s.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "k", "dup", "n", "sig", "bands"), "representatives")
 
     banded = reps.select("row", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    banded = keep(join_hot(banded, shared, ["band"], "size", "inner").select("band", "row", "n"), "bands")
+    shared = keep(banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "shared_bands")
+    banded = keep(meet_hot(banded, shared, ["band"], "size", semi=True).select("band", "row", "n"), "bands")
     keyed = banded.select(F.col("band").alias("key"), "row", "n", F.lit(0).cast("long").alias("alone"))
     # no more can be shared than what is not alone in either
     possible = F.expr(f"(100 + {percent}) * least(n - alone, other_n - other_alone) >= {percent} * (n + other_n)")
@@ -212,23 +212,23 @@ def _grouped(d: DataFrame, percent: int, width: int, stars: int) -> DataFrame:
 
     def mixed(keyed, t):
         """Documents by key with their component, and per key that has several components its centre."""
-        told = keyed.join(labels, "row")
+        told = keep(keyed.join(labels, "row"), "told")
         first = F.min(F.struct("alone", F.xxhash64("row", F.lit(t)).alias("o"), "row", "n", "c")).alias("f")
         heads = told.groupBy("key").agg(first, F.count("*").alias("size"), F.min("c").alias("l"), F.max("c").alias("g")).filter("l < g")
         return told, keep(heads.select("key", F.col("f.row").alias("centre"), F.col("f.n").alias("other_n"), F.col("f.alone").alias("other_alone"), F.col("f.c").alias("other_c"), "size"), "mixed")
 
     for t in range(stars):
         told, heads = mixed(keyed, t)
-        labels = _merged(labels, add(join_hot(told, heads, ["key"], "size", "inner").filter((F.col("c") != F.col("other_c")) & possible).select("centre", "row").distinct()))
+        labels = _merged(labels, add(meet_hot(told, heads, ["key"], "size", (F.col("c") != F.col("other_c")) & possible).select("centre", "row").distinct()))
     told, heads = mixed(keyed, stars)
-    left = keep(join_hot(told, heads, ["key"], "size", "inner").select("row").distinct().join(reps.select("row", "k", "dup", "n"), "row"), "left")
+    left = keep(meet_hot(told, heads, ["key"], "size", semi=True).select("row").distinct().join(reps.select("row", "k", "dup", "n"), "row"), "left")
     short, long_ = _rare_shingles(d, left, width, percent)
     for t in range(stars):
         told, heads = mixed(long_, t)
-        labels = _merged(labels, add(join_hot(told, heads, ["key"], "size", "inner").filter((F.col("c") != F.col("other_c")) & possible).select("centre", "row").distinct()))
+        labels = _merged(labels, add(meet_hot(told, heads, ["key"], "size", (F.col("c") != F.col("other_c")) & possible).select("centre", "row").distinct()))
     labels = keep(_components(reps, links), "components")
 
-    # what is left, pair by pair; a linked pair's signatures agree in fewer coordinates than this with a chance of 1e-9
+    # what is left, pair by pair; a linked pair's signatures agree in fewer coordinates than this with a chance of about 1e-8
     p = percent / 100
     agree = int(COORDINATES * p - 6 * (COORDINATES * p * (1 - p)) ** 0.5)
 
@@ -240,7 +240,7 @@ def _grouped(d: DataFrame, percent: int, width: int, stars: int) -> DataFrame:
     rest = None
     for keyed in (short, long_):
         told, heads = mixed(keyed, 0)
-        told = keep(join_hot(told, heads.select("key", "size"), ["key"], "size", "inner").drop("size").join(reps.select("row", "sig"), "row"), "rest")
+        told = keep(meet_hot(told, heads.select("key", "size"), ["key"], "size", semi=True).join(reps.select("row", "sig"), "row"), "rest")
         other = told.select("key", *[F.col(x).alias(f"other_{x}") for x in ("row", "n", "alone", "c", "sig")])
         pairs = told.join(other, "key").filter((F.col("row") < F.col("other_row")) & (F.col("c") != F.col("other_c")) & possible)
         pairs = pairs.select("row", "other_row", "sig", "other_sig").mapInArrow(agreeing, "centre long, row long")
