@@ -10,10 +10,10 @@ from offerloom.session import materialise
 EPS = 1e-4
 
 
-def edges_of(base_cum: DataFrame, bins: int = 10) -> DataFrame:
+def edges_of(base: DataFrame, features, bins: int = 10, hot_rows: int = prefix.HOT_ROWS) -> DataFrame:
     """Per feature the sorted distinct percentile edges of the baseline, a handful of numbers each."""
-    q = prefix.quantiles_of(base_cum, ["feature"], "value", [i / bins for i in range(bins + 1)])
-    return q.groupBy("feature").agg(F.sort_array(F.collect_set("quantile")).alias("edges"))
+    q = prefix.quantiles(long_form(base, features), ["feature"], "value", [i / bins for i in range(bins + 1)], hot_rows)
+    return materialise(q.groupBy("feature").agg(F.sort_array(F.collect_set("quantile")).alias("edges")), "edges")
 
 
 def bin_of(value, edges):
@@ -24,10 +24,10 @@ def bin_of(value, edges):
     return F.when(inside, F.least(below - F.lit(1), n - F.lit(1)))
 
 
-def bin_counts(counts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows per (feature, bin) from value counts. ``edges`` has one short array per feature."""
-    placed = counts.join(edges, "feature").withColumn("bin", bin_of(F.col("value"), F.col("edges")))
-    return placed.filter(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(F.sum("cnt").alias("cnt"))
+def bin_counts(df: DataFrame, features, edges: DataFrame) -> DataFrame:
+    """Rows per (feature, bin), counted before the shuffle. ``edges`` has one short array per feature."""
+    placed = long_form(df, features).join(edges, "feature").withColumn("bin", bin_of(F.col("value"), F.col("edges")))
+    return placed.filter(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(F.count("*").alias("cnt"))
 
 
 def psi_from_bins(base_bins: DataFrame, new_bins: DataFrame, edges: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def psi_from_bins(base_bins: DataFrame, new_bins: DataFrame, edges: DataFrame) -
 
 
 def long_form(df: DataFrame, features) -> DataFrame:
-    return prefix.unpivot(df, features).filter(F.col("value").isNotNull())
+    return prefix.present(prefix.unpivot(df, features), "value")
 
 
 def base_histogram(base: DataFrame, features, hot_rows: int = prefix.HOT_ROWS) -> DataFrame:
@@ -56,10 +56,8 @@ def base_histogram(base: DataFrame, features, hot_rows: int = prefix.HOT_ROWS) -
 
 
 def psi(base: DataFrame, new: DataFrame, features, bins: int = 10, hot_rows: int = prefix.HOT_ROWS) -> DataFrame:
-    cum = materialise(base_histogram(base, features, hot_rows), "base-histogram")
-    edges = materialise(edges_of(cum, bins), "edges")
-    new_counts = prefix.value_counts(long_form(new, features), ["feature"], "value")
-    return psi_from_bins(bin_counts(cum, edges), bin_counts(new_counts, edges), edges)
+    edges = edges_of(base, features, bins, hot_rows)
+    return psi_from_bins(bin_counts(base, features, edges), bin_counts(new, features, edges), edges)
 
 
 def ks_pvalue(d, n, m):
@@ -73,10 +71,64 @@ def ks_pvalue(d, n, m):
 
 def ks_two_sample(base: DataFrame, new: DataFrame, features, hot_rows: int = prefix.HOT_ROWS) -> DataFrame:
     """Largest distance of the two empirical distributions per feature, with its asymptotic p-value."""
-    cum = joint_histogram(base, new, features, hot_rows)
-    gap = F.abs(F.col("cum_cb") / F.col("total_cb") - F.col("cum_cn") / F.col("total_cn"))
-    out = cum.groupBy("feature").agg(F.max(gap).alias("ks"), F.max("total_cb").alias("n"), F.max("total_cn").alias("m"))
-    return out.withColumn("p_value", ks_pvalue(F.col("ks"), F.col("n").cast("double"), F.col("m").cast("double")))
+    cells = _cells(base, new, features, None)
+    return _distances(base, new, features, cells, hot_rows).select(
+        "feature", "ks", "n", "m", ks_pvalue(F.col("ks"), F.col("n").cast("double"), F.col("m").cast("double")).alias("p_value"))
+
+
+#: Equal steps between the baseline's extremes; what lies outside is a step of its own on either side.
+STEPS = 4096
+
+
+def _ranges(base: DataFrame, features) -> DataFrame:
+    told = long_form(base, features).groupBy("feature").agg(F.min("value").alias("_min"), F.max("value").alias("_max"))
+    return materialise(told, "ranges")  # a row per feature
+
+
+def _both(base: DataFrame, new: DataFrame, features) -> DataFrame:
+    return long_form(base, features).withColumn("b", F.lit(1)).unionByName(long_form(new, features).withColumn("b", F.lit(0)))
+
+
+def _step():
+    width = F.col("_max") - F.col("_min")
+    at = F.when(width > 0, F.floor((F.col("value") - F.col("_min")) / width * STEPS)).otherwise(F.when(F.col("value") > F.col("_max"), 1).when(F.col("value") < F.col("_min"), -1).otherwise(0))
+    return F.greatest(F.least(at, F.lit(STEPS + 1)), F.lit(-1)).cast("int").alias("step")
+
+
+def _cells(base: DataFrame, new: DataFrame, features, edges: DataFrame | None) -> DataFrame:
+    """Both tables in one scan each: per (feature, step[, bin]) counts, moments and extremes of either side, at most a few thousand rows a feature."""
+    ranges = _ranges(base, features)
+    both = _both(base, new, features).join(ranges, "feature").withColumn("step", _step())
+    bin_ = F.lit(None).cast("int")
+    if edges is not None:
+        both, bin_ = both.join(edges, "feature"), bin_of(F.col("value"), F.col("edges"))
+    mine = lambda b: F.when(F.col("b") == b, F.col("value"))
+    cells = both.groupBy("feature", "step", bin_.alias("bin")).agg(
+        F.count(mine(1)).alias("cb"), F.count(mine(0)).alias("cn"), F.avg(mine(1)).alias("mb"), F.avg(mine(0)).alias("mn"),
+        F.var_pop(mine(1)).alias("vb"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return materialise(cells.join(ranges, "feature"), "cells")
+
+
+def _distances(base: DataFrame, new: DataFrame, features, cells: DataFrame, hot_rows: int) -> DataFrame:
+    """(feature, ks, n, m): the distance at the steps' ends is exact; inside a step it can be larger by the step's own share at most, so only
+    steps that could hold the maximum have their values counted one by one."""
+    steps = cells.groupBy("feature", "step").agg(F.sum("cb").alias("cb"), F.sum("cn").alias("cn"), F.min("low").alias("low"), F.max("high").alias("high"))
+    w = Window.partitionBy("feature").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    t = Window.partitionBy("feature")
+    steps = steps.select("*", F.sum("cb").over(w).alias("ub"), F.sum("cn").over(w).alias("un"), F.sum("cb").over(t).alias("n"), F.sum("cn").over(t).alias("m"))
+    share = lambda b, n: F.try_divide(F.col(b), F.col("n")) - F.try_divide(F.col(n), F.col("m"))
+    steps = steps.withColumn("gap", F.abs(share("ub", "un")))
+    most = F.greatest(F.abs(share("ub", "un")), F.abs(F.try_divide(F.col("ub") - F.col("cb"), F.col("n")) - F.try_divide(F.col("un") - F.col("cn"), F.col("m"))))
+    most = most + F.greatest(F.try_divide(F.col("cb"), F.col("n")), F.try_divide(F.col("cn"), F.col("m")))
+    steps = materialise(steps.withColumn("best", F.max("gap").over(t)).withColumn("open", (F.col("low") < F.col("high")) & (most > F.col("best"))), "steps")
+    open_ = steps.filter("open").select("feature", "step", (F.col("ub") - F.col("cb")).alias("_sb"), (F.col("un") - F.col("cn")).alias("_sn"), "n", "m")
+    ranges = cells.select("feature", "_min", "_max").distinct()
+    inside = _both(base, new, features).join(ranges, "feature").withColumn("step", _step()).join(open_.select("feature", "step"), ["feature", "step"])
+    hist = inside.groupBy("feature", "step", "value").agg(F.sum("b").alias("cb"), (F.count("*") - F.sum("b")).alias("cn"))
+    cum = prefix.running_totals(hist, ["feature", "step"], "value", ["cb", "cn"], hot_rows).join(open_, ["feature", "step"])
+    gap = F.abs((F.col("cum_cb") + F.col("_sb")) / F.col("n") - (F.col("cum_cn") + F.col("_sn")) / F.col("m"))
+    gaps = steps.select("feature", "gap", "n", "m").unionByName(cum.select("feature", gap.alias("gap"), "n", "m"))
+    return gaps.groupBy("feature").agg(F.max("gap").alias("ks"), F.max("n").alias("n"), F.max("m").alias("m"))
 
 
 def mean_shift(base: DataFrame, new: DataFrame, features) -> DataFrame:
@@ -88,33 +140,22 @@ def mean_shift(base: DataFrame, new: DataFrame, features) -> DataFrame:
     )
 
 
-def joint_histogram(base: DataFrame, new: DataFrame, features, hot_rows: int = prefix.HOT_ROWS) -> DataFrame:
-    """(feature, value, cb, cn) with running totals of both sides: the one pass over the data."""
-    both = long_form(base, features).withColumn("b", F.lit(1)).unionByName(long_form(new, features).withColumn("b", F.lit(0)))
-    hist = both.groupBy("feature", "value").agg(F.sum("b").alias("cb"), (F.count("*") - F.sum("b")).alias("cn"))
-    return prefix.running_totals(hist, ["feature"], "value", ["cb", "cn"], hot_rows)
-
-
 def drift_report(base: DataFrame, new: DataFrame, features, psi_limit: float = 0.20, alpha: float = 0.01,
                  hot_rows: int = prefix.HOT_ROWS) -> DataFrame:
     """Per feature: psi, ks, p-value, mean shift, drift flag, and the mean psi over features.
 
-    Both tables are scanned once; edges, bins, distances and moments all come from the joint histogram.
+    Edges come from selection, bins, steps and moments from one scan of both tables; no table of all values is made.
     """
-    joint = materialise(joint_histogram(base, new, features, hot_rows), "joint-histogram")
-    side = lambda c: joint.filter(F.col(c) > 0).select("feature", "value", F.col(c).alias("cnt"),
-                                                       F.col(f"cum_{c}").alias("cum_cnt"), F.col(f"total_{c}").alias("total_cnt"))
-    edges = materialise(edges_of(side("cb")), "edges")  # a short array per feature
-    p = psi_from_bins(bin_counts(side("cb"), edges), bin_counts(side("cn"), edges), edges)
-    gap = F.abs(F.col("cum_cb") / F.col("total_cb") - F.col("cum_cn") / F.col("total_cn"))
-    v, cb, cn = F.col("value"), F.col("cb"), F.col("cn")
-    means = joint.groupBy("feature").agg((F.sum(v * cb) / F.sum(cb)).alias("baseline_mean"), (F.sum(v * cn) / F.sum(cn)).alias("new_mean"))
-    spread = joint.join(F.broadcast(means), "feature").groupBy("feature").agg(
-        F.max(gap).alias("ks"), F.max("total_cb").alias("n"), F.max("total_cn").alias("m"),
-        F.max("baseline_mean").alias("baseline_mean"), F.max("new_mean").alias("new_mean"),
-        F.sqrt(F.sum(cb * (v - F.col("baseline_mean")) * (v - F.col("baseline_mean"))) / F.sum(cb)).alias("s"),
-    )
-    out = p.join(spread, "feature").select(
+    edges = edges_of(base, features, hot_rows=hot_rows)
+    cells = _cells(base, new, features, edges)
+    side = lambda c: cells.filter(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(F.sum(c).alias("cnt"))
+    p = psi_from_bins(side("cb"), side("cn"), edges)
+    total = lambda c, x: F.try_divide(F.sum(F.col(x) * F.col(c)), F.sum(c))
+    means = cells.groupBy("feature").agg(total("cb", "mb").alias("baseline_mean"), total("cn", "mn").alias("new_mean"))
+    off = F.col("mb") - F.col("baseline_mean")
+    spread = cells.join(means, "feature").groupBy("feature", "baseline_mean", "new_mean").agg(
+        F.sqrt(F.try_divide(F.sum(F.col("cb") * (F.col("vb") + off * off)), F.sum("cb"))).alias("s"))
+    out = p.join(spread, "feature").join(_distances(base, new, features, cells, hot_rows), "feature").select(
         "feature", "psi", "ks", ks_pvalue(F.col("ks"), F.col("n").cast("double"), F.col("m").cast("double")).alias("p_value"),
         "baseline_mean", "new_mean", (F.abs(F.col("new_mean") - F.col("baseline_mean")) / (F.col("s") + F.lit(1e-8))).alias("mean_shift"),
     ).withColumn("drifted", (F.col("psi") > psi_limit) | (F.col("p_value") < alpha))
@@ -129,8 +170,7 @@ def prediction_shares(df: DataFrame, col: str) -> DataFrame:
 
 def drift_baseline(df: DataFrame, features, sample: int = 10000, seed: int = 42, hot_rows: int = prefix.HOT_ROWS):
     """(statistics per feature, hashed sample of values per feature). Statistics use all rows."""
-    cum = base_histogram(df, features, hot_rows)
-    med = prefix.quantiles_of(cum, ["feature"], "value", [0.5]).select("feature", F.col("quantile").alias("median"))
+    med = prefix.quantiles(long_form(df, features), ["feature"], "value", [0.5], hot_rows).select("feature", F.col("quantile").alias("median"))
     stats = long_form(df, features).groupBy("feature").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"), F.count("*").alias("n"),
@@ -144,12 +184,10 @@ def drift_baseline(df: DataFrame, features, sample: int = 10000, seed: int = 42,
 
 def save_baseline(df: DataFrame, features, path: str, bins: int = 10, hot_rows: int = prefix.HOT_ROWS) -> None:
     """Edges and bin counts (enough for psi) and the value histogram (enough for ks), so a reload can test drift."""
-    cum = base_histogram(df, features, hot_rows)
-    cum.select("feature", "value", "cnt", "cum_cnt", "total_cnt").write.parquet(f"{path}/histogram")
-    kept = df.sparkSession.read.parquet(f"{path}/histogram")
-    edges_of(kept, bins).write.parquet(f"{path}/edges")
-    edges = df.sparkSession.read.parquet(f"{path}/edges")
-    bin_counts(kept, edges).write.parquet(f"{path}/bins")
+    edges = edges_of(df, features, bins, hot_rows)
+    edges.write.parquet(f"{path}/edges")
+    bin_counts(df, features, edges).write.parquet(f"{path}/bins")
+    prefix.value_counts(long_form(df, features), ["feature"], "value").write.parquet(f"{path}/histogram")
 
 
 def load_baseline(spark, path: str):
@@ -158,5 +196,4 @@ def load_baseline(spark, path: str):
 
 def psi_against_saved(new: DataFrame, saved, features) -> DataFrame:
     _, edges, bins = saved
-    counts = prefix.value_counts(long_form(new, features), ["feature"], "value")
-    return psi_from_bins(bins, bin_counts(counts, edges), edges)
+    return psi_from_bins(bins, bin_counts(new, features, edges), edges)

@@ -157,9 +157,15 @@ def row_numbers(df: DataFrame, group, order, out: str = "row_number", hot_rows:
     )
 
 
+def present(df: DataFrame, value: str) -> DataFrame:
+    """Rows whose value is there: neither null nor NaN."""
+    there = F.col(value).isNotNull()
+    return df.filter(there & ~F.isnan(value) if dict(df.dtypes)[value] in ("double", "float") else there)
+
+
 def value_counts(df: DataFrame, group, value: str, extra=()) -> DataFrame:
-    """One row per (group, value) with ``cnt``; partial sums run before the shuffle."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("cnt"), *extra)
+    """One row per (group, value) with ``cnt``; partial sums run before the shuffle. Nulls and NaN are left out."""
+    return present(df, value).groupBy(*group, value).agg(F.count("*").alias("cnt"), *extra)
 
 
 def average_ranks(df: DataFrame, group, value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -170,9 +176,42 @@ def average_ranks(df: DataFrame, group, value: str, hot_rows: int = HOT_ROWS) ->
     )
 
 
-def quantiles(df: DataFrame, group, value: str, probs, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Exact, linearly interpolated quantiles: (group, prob, quantile), one row per probability."""
-    cum = running_totals(value_counts(df, group, value), group, value, ["cnt"], hot_rows)
+def bands_of(df: DataFrame, group, value: str, probs, accuracy: int = 10_000) -> DataFrame:
+    """One row per group: ``_n`` rows, ``_min``, ``_max`` and ``_bands``, the closed intervals that hold the wanted ranks.
+
+    A sketch of ``accuracy`` errs by less than rows / accuracy ranks, so two such steps to both sides hold a rank and its neighbours;
+    groups of fewer than two rows a step are one band.
+    """
+    step = 2.0 / accuracy
+    ends = [x for p in probs for x in (max(0.0, p - step), min(1.0, p + step))]
+    v = F.col(value).cast("double")
+    told = present(df, value).groupBy(*group).agg(
+        F.count("*").alias("_n"), F.min(v).alias("_min"), F.max(v).alias("_max"), F.percentile_approx(v, ends, accuracy).alias("_c"))
+    pairs = F.array(*[F.struct(F.col("_c")[2 * i].alias("a"), F.col("_c")[2 * i + 1].alias("b")) for i in range(len(probs))])
+    small = F.col("_n") < 2 * accuracy
+    whole = F.array(F.struct(F.col("_min").alias("a"), F.col("_max").alias("b")))
+    return materialise(told.select(*group, "_n", "_min", "_max", F.when(small, whole).otherwise(pairs).alias("_bands")), "bands")
+
+
+def with_group_row(df: DataFrame, told: DataFrame, group, columns) -> DataFrame:
+    """``df`` with ``columns`` of its group's one row in ``told``; null group keys match."""
+    ks = [f"_k{i}" for i in range(len(group))]
+    out = df.select("*", *_fold(group)).join(told.select(*_fold(group), *columns), ks) if group else df.crossJoin(F.broadcast(told.select(*columns)))
+    return out.drop(*ks)
+
+
+def quantiles(df: DataFrame, group, value: str, probs, hot_rows: int = HOT_ROWS, accuracy: int = 10_000) -> DataFrame:
+    """Exact, linearly interpolated quantiles: (group, prob, quantile), one row per probability.
+
+    Selection in two scans: a sketch says between which values the wanted ranks lie, then values inside these narrow bands are counted one
+    by one and all between two bands together. Only values of the bands are shuffled and ordered.
+    """
+    told = bands_of(df, group, value, probs, accuracy)
+    placed = with_group_row(present(df, value).select(*group, F.col(value).cast("double").alias("_v")), told, group, ["_bands"])
+    inside = F.exists("_bands", lambda x: (x["a"] <= F.col("_v")) & (F.col("_v") <= x["b"]))
+    placed = placed.select(*group, "_v", F.when(inside, F.col("_v")).alias("_own"), F.size(F.filter("_bands", lambda x: x["b"] < F.col("_v"))).alias("_seg"))
+    hist = placed.groupBy(*group, "_own", F.when(F.col("_own").isNull(), F.col("_seg")).alias("_seg")).agg(F.count("*").alias("cnt"), F.min("_v").alias("_at"))
+    cum = running_totals(hist.select(*group, F.col("_at").alias(value), "cnt"), group, value, ["cnt"], hot_rows)
     return quantiles_of(cum, group, value, probs)
 
 
