@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
@@ -80,27 +80,25 @@ def meet_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, wh
 
 
 def documents_by_key(docs: DataFrame, name: str) -> DataFrame:
-    """The documents as (k, dup, doc_id, z, given, rest) in buckets of k.
+    """The documents as (k, dup, doc_id, z, given, rest) in buckets of k and dup.
 
-    k is doc_id, the smallest long for null; dup counts the rows that share a k; z is the compressed text, empty for null, and
-    given tells whether there was one; rest has all other columns, whatever their names.
+    k is doc_id, the smallest long for null; dup is a number of the row, no other has it, and orders rows that share a k as the table does; z is
+    the compressed text, empty for null, and given tells whether there was one; rest has all other columns, whatever their names.
     """
     text_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rest.alias("rest"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rest.alias("rest"), F.monotonically_increasing_id().alias("dup"))
 
     def packed(batches):
         c = zstandard.ZstdCompressor(level=3)
         for b in batches:
             z = [c.compress((t or "").encode("utf-8", "surrogatepass")) for t in b["text"].to_pylist()]
-            yield pa.record_batch([b["doc_id"], pa.array(z, pa.binary()), b["text"].is_valid(), b["rest"]], names=["doc_id", "z", "given", "rest"])
+            yield pa.record_batch([b["doc_id"], pa.array(z, pa.binary()), b["text"].is_valid(), b["rest"], b["dup"]], names=["doc_id", "z", "given", "rest", "dup"])
 
-    schema = StructType([StructField("doc_id", LongType()), StructField("z", BinaryType()), StructField("given", BooleanType()), rows.schema["rest"]])
+    schema = StructType([StructField("doc_id", LongType()), StructField("z", BinaryType()), StructField("given", BooleanType()), rows.schema["rest"], StructField("dup", LongType())])
     rows = rows.mapInArrow(packed, schema).withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dup = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("z"), "z")) - 1
-    return keep_bucketed(rows.repartition(n, "k").select("k", dup.alias("dup"), "doc_id", "z", "given", "rest"), "k", name)
+    return keep_bucketed(rows.select("k", "dup", "doc_id", "z", "given", "rest"), ["k", "dup"], name)
 
 
 def with_texts(d: DataFrame, columns: list[str]) -> DataFrame:

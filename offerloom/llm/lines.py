@@ -32,7 +32,7 @@ def remove_repeated_lines(docs: DataFrame, width: int = 3) -> DataFrame:
 
     Returns (doc_id, n_lines, n_removed, kept, rest) for every row of ``docs``; kept has the lines left, joined by line feeds, and
     rest is a struct of the columns that are not looked at. Null text: no lines, kept is null. Empty text: one empty line. Null
-    doc_id is the smallest; rows that share a doc_id come one after the other, in the order of their texts.
+    doc_id is the smallest; rows that share a doc_id come one after the other, in the order of the table.
     """
     known = documents_by_key(docs, "line_documents")
 
@@ -41,21 +41,20 @@ def remove_repeated_lines(docs: DataFrame, width: int = 3) -> DataFrame:
         for b in batches:
             out = []
             for k, dup, z in zip(b["k"].to_pylist(), b["dup"].to_pylist(), b["z"].to_pylist()):
-                out += [(d, k, (dup << 40) | i) for i, d in _windows(unzip.decompress(z).split(b"\n"), width)]
-            d, k, pos = list(zip(*out)) or ([], [], [])
-            yield pa.record_batch([pa.array(d, pa.binary()), pa.array(k, pa.int64()), pa.array(pos, pa.int64())], names=["window", "k", "pos"])
+                out += [(d, k, dup, i) for i, d in _windows(unzip.decompress(z).split(b"\n"), width)]
+            d, *places = list(zip(*out)) or ([], [], [], [])
+            yield pa.record_batch([pa.array(d, pa.binary()), *[pa.array(x, pa.int64()) for x in places]], names=["window", "k", "dup", "pos"])
 
-    first = known.select("k", "dup", "z").mapInArrow(emit, "window binary, k long, pos long").groupBy("window").agg(F.min(F.struct("k", "pos")).alias("f"))
-    first = first.select("f.k", "f.pos").groupBy("k").agg(F.collect_list("pos").alias("stays"))
+    first = known.select("k", "dup", "z").mapInArrow(emit, "window binary, k long, dup long, pos long").groupBy("window").agg(F.min(F.struct("k", "dup", "pos")).alias("f"))
+    first = first.select("f.k", "f.dup", "f.pos").groupBy("k", "dup").agg(F.collect_list("pos").alias("stays"))
 
     def rest(batches):
         unzip = zstandard.ZstdDecompressor()
         for b in batches:
             n, m, kept = [], [], []
-            for i, (dup, z, given) in enumerate(zip(*(b[c].to_pylist() for c in ("dup", "z", "given")))):
+            for i, (z, given) in enumerate(zip(b["z"].to_pylist(), b["given"].to_pylist())):
                 lines = unzip.decompress(z).split(b"\n")
-                pos = b["stays"][i].values.to_numpy() if b["stays"][i].is_valid else np.zeros(0, np.int64)
-                stays = set((pos[pos >> 40 == dup] & ((1 << 40) - 1)).tolist())
+                stays = set(b["stays"][i].as_py() or ())
                 gone = np.zeros(len(lines), bool)
                 for at, _ in _windows(lines, width):
                     if at not in stays:
@@ -66,4 +65,4 @@ def remove_repeated_lines(docs: DataFrame, width: int = 3) -> DataFrame:
             yield pa.record_batch([b["doc_id"], pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(kept, pa.string()), b["rest"]], names=["doc_id", "n_lines", "n_removed", "kept", "rest"])
 
     schema = StructType([StructField("doc_id", LongType()), StructField("n_lines", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType()), known.schema["rest"]])
-    return known.join(first, "k", "left").select("dup", "doc_id", "z", "given", "rest", "stays").mapInArrow(rest, schema)
+    return known.join(first, ["k", "dup"], "left").select("doc_id", "z", "given", "rest", "stays").mapInArrow(rest, schema)

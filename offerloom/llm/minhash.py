@@ -189,7 +189,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, sta
 
 def _grouped(d: DataFrame, percent: int, width: int, stars: int) -> DataFrame:
     """(k, dup, doc_id, n_shingles, component_id, kept) of the documents by key."""
-    schema = "k long, dup int, doc_id long, n long, a long, b long, bands array<long>, sig binary"
+    schema = "k long, dup long, doc_id long, n long, a long, b long, bands array<long>, sig binary"
     s = d.select("k", "dup", "doc_id", "z").mapInArrow(_signatures(width), schema).withColumn("row", F.monotonically_increasing_id())
     s = keep(s, "signatures")
     classes = s.filter("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("k", "dup", "row")).alias("f"), F.count("*").alias("size"))

@@ -123,13 +123,13 @@ def _slices(units, size: int, step: int):
             yield i, units[i : i + step + size - 1]
 
 
-def _packed(dup, lo, n):
-    """Place of a run in one long: 15 bits of dup, 40 of the first window, 8 of the number of windows."""
-    return (np.asarray(dup, np.int64) << 48) | (np.asarray(lo, np.int64) << 8) | (np.asarray(n, np.int64) - 1)
+def _packed(lo, n):
+    """Place of a run in its row in one long: the first window and, in 8 bits, the number of windows."""
+    return (np.asarray(lo, np.int64) << 8) | (np.asarray(n, np.int64) - 1)
 
 
 def _unpacked(pos: np.ndarray):
-    return (pos >> 8) & ((1 << 40) - 1), (pos & 255) + 1
+    return pos >> 8, (pos & 255) + 1
 
 
 def _scan(unit: Unit, with_known: bool):
@@ -140,13 +140,13 @@ def _scan(unit: Unit, with_known: bool):
         h, u, first, count, _ = runs_of(np.concatenate([p[0] for p in parts]), ends, unit.size, unit.seed)
         d = np.searchsorted(ends, first, "right")
         off, dup, k = (np.array([p[i] for p in parts], np.int64) for i in (1, 2, 3))
-        pos = _packed(dup[d], first - np.concatenate(([0], ends[:-1]))[d] + off[d], count)
+        pos = _packed(first - np.concatenate(([0], ends[:-1]))[d] + off[d], count)
         if with_known:
             where = np.repeat(np.arange(len(parts)), [len(p[4]) for p in parts])
             code = np.unique(np.concatenate([pos, *[p[4] for p in parts]]), return_inverse=True)[1] * len(parts)
             new = ~np.isin(code[: len(pos)] + d, code[len(pos) :] + where)
             h, u, d, pos = h[new], u[new], d[new], pos[new]
-        return pa.record_batch([pa.array(h.view(np.int64)), pa.array(u.view(np.int64)), pa.array(k[d]), pa.array(pos)], names=["h", "u", "k", "pos"])
+        return pa.record_batch([pa.array(h.view(np.int64)), pa.array(u.view(np.int64)), pa.array(k[d]), pa.array(dup[d]), pa.array(pos)], names=["h", "u", "k", "dup", "pos"])
 
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
@@ -168,23 +168,20 @@ def _scan(unit: Unit, with_known: bool):
 
 
 def _contexts(unit: Unit):
-    """What the open runs of the documents of (k, dup, z, open) touch: (h, k, pos, n, part); n runs are the same."""
+    """What the open runs of the documents of (k, dup, z, open) touch: (h, k, dup, pos, n, part); n runs are the same."""
 
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
             for k, dup, z, listed in zip(*(b[c].to_pylist() for c in ("k", "dup", "z", "open"))):
-                mine = [x for x in listed if x["pos"] >> 48 == dup]
-                if not mine:
-                    continue
                 units = unit.of(unzip.decompress(z))
-                for x in mine:
+                for x in listed:
                     lo, n = _unpacked(np.int64(x["pos"]))
                     part = units[lo : lo + n + unit.size - 1]
-                    out.append((x["h"], k, x["pos"], x["n"], b" ".join(part) if unit.name == "word" else part))
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.record_batch([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary())], names=["h", "k", "pos", "n", "part"])
+                    out.append((x["h"], k, dup, x["pos"], x["n"], b" ".join(part) if unit.name == "word" else part))
+            cols = list(zip(*out)) or [[]] * 6
+            yield pa.record_batch([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())], names=["h", "k", "dup", "pos", "n", "part"])
 
     return run
 
@@ -209,11 +206,11 @@ def _windows(unit: Unit, b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _resolve(unit: Unit):
-    """From contexts in the order of their anchors: (k, pos) of the stretches of windows that stay."""
+    """From contexts in the order of their anchors: (k, dup, pos) of the stretches of windows that stay."""
 
     def solve(t):
         rank, row, at = _windows(unit, t)
-        k, dup = t["k"].to_numpy()[row], t["pos"].to_numpy()[row] >> 48
+        k, dup = t["k"].to_numpy()[row], t["dup"].to_numpy()[row]
         order = np.lexsort((at, dup, k, rank))
         new = np.ones(len(order), bool)
         new[1:] = rank[order][1:] != rank[order][:-1]
@@ -225,7 +222,7 @@ def _resolve(unit: Unit):
         head[1:] &= ~(stays[:-1] & (row[1:] == row[:-1]))
         i = np.flatnonzero(head)
         n = np.add.reduceat(stays, i).astype(np.int64) if len(i) else i
-        return pa.record_batch([pa.array(k[i]), pa.array(_packed(dup[i], at[i], n))], names=["k", "pos"])
+        return pa.record_batch([pa.array(k[i]), pa.array(dup[i]), pa.array(_packed(at[i], n))], names=["k", "dup", "pos"])
 
     def run(batches):
         held = None
@@ -244,15 +241,14 @@ def _resolve(unit: Unit):
 
 
 def _ranked(unit: Unit):
-    """Every window of the contexts by two ranks: (h, rank, k, pos, n)."""
+    """Every window of the contexts by two ranks: (h, rank, k, dup, pos, n)."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 rank, row, at = _windows(unit, b)
-                h = b["h"].to_numpy()[row]
-                pos = b["pos"].to_numpy()[row]
-                yield pa.record_batch([pa.array(h), pa.array(rank.view(np.int64)), pa.array(b["k"].to_numpy()[row]), pa.array(_packed(pos >> 48, at, 1)), pa.array(b["n"].to_numpy()[row])], names=["h", "rank", "k", "pos", "n"])
+                h, k, dup, n = (pa.array(b[c].to_numpy()[row]) for c in ("h", "k", "dup", "n"))
+                yield pa.record_batch([h, pa.array(rank.view(np.int64)), k, dup, pa.array(_packed(at, 1)), n], names=["h", "rank", "k", "dup", "pos", "n"])
 
     return run
 
@@ -260,37 +256,38 @@ def _ranked(unit: Unit):
 def staying_windows(docs: DataFrame, unit: Unit) -> DataFrame:
     """(k, dup, doc_id, z, stays) for every document; ``stays`` lists the places of runs whose windows are no repeats."""
     d = documents_by_key(docs, f"{unit.name}_documents")
-    run = "h long, u long, k long, pos long"
-    seeds = d.select("k", "dup", "z").mapInArrow(_scan(unit, False), run).groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.min("pos").alias("pos"))
-    once = keep_bucketed(seeds.filter("n = 1").groupBy("k").agg(F.collect_list("pos").alias("known")), "k", f"{unit.name}_once")
+    row = ["k", "dup"]
+    run = "h long, u long, k long, dup long, pos long"
+    seeds = d.select(*row, "z").mapInArrow(_scan(unit, False), run).groupBy("h").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in (*row, "pos")])
+    once = keep_bucketed(seeds.filter("n = 1").groupBy(*row).agg(F.collect_list("pos").alias("known")), row, f"{unit.name}_once")
 
-    shared = d.join(once, "k", "left").select("k", "dup", "z", "known").mapInArrow(_scan(unit, True), run)
-    classes = shared.groupBy("h", "u").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("f")).select("h", "n", "f.k", "f.pos")
+    shared = d.join(once, row, "left").select(*row, "z", "known").mapInArrow(_scan(unit, True), run)
+    classes = shared.groupBy("h", "u").agg(F.count("*").alias("n"), F.min(F.struct(*row, "pos")).alias("f")).select("h", "n", "f.k", "f.dup", "f.pos")
     classes = keep(classes, f"{unit.name}_classes")
     told = join_hot(classes, classes.groupBy("h").agg(F.count("*").alias("m")), ["h"], "m")
-    listed = told.filter("m > 1").groupBy("k").agg(F.collect_list(F.struct("pos", "h", "n")).alias("open"))
-    found = d.join(listed, "k").select("k", "dup", "z", "open").mapInArrow(_contexts(unit), "h long, k long, pos long, n long, part binary")
+    listed = told.filter("m > 1").groupBy(*row).agg(F.collect_list(F.struct("pos", "h", "n")).alias("open"))
+    found = d.join(listed, row).select(*row, "z", "open").mapInArrow(_contexts(unit), "h long, k long, dup long, pos long, n long, part binary")
     parts = keep(found, f"{unit.name}_open")
 
     total = parts.count()
     heavy = parts.groupBy("h").count().filter(F.col("count") > max(unit.heavy, total // 10_000)).select("h")
-    light = parts.join(F.broadcast(heavy), "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(_resolve(unit), "k long, pos long")
-    big = parts.join(F.broadcast(heavy), "h", "left_semi").select("h", "k", "pos", "n", "part").mapInArrow(_ranked(unit), "h long, rank long, k long, pos long, n long")
-    big = big.groupBy("h", "rank").agg(F.sum("n").alias("n"), F.min(F.struct("k", "pos")).alias("f"))
-    stays = light.unionByName((big if unit.first_stays else big.filter("n = 1")).select("f.k", "f.pos"))
+    light = parts.join(F.broadcast(heavy), "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(_resolve(unit), "k long, dup long, pos long")
+    big = parts.join(F.broadcast(heavy), "h", "left_semi").select("h", *row, "pos", "n", "part").mapInArrow(_ranked(unit), "h long, rank long, k long, dup long, pos long, n long")
+    big = big.groupBy("h", "rank").agg(F.sum("n").alias("n"), F.min(F.struct(*row, "pos")).alias("f"))
+    stays = light.unionByName((big if unit.first_stays else big.filter("n = 1")).select("f.k", "f.dup", "f.pos"))
     if unit.first_stays:  # of an anchor with one class all windows of the first member stay
-        stays = stays.unionByName(told.filter("m = 1").select("k", "pos"))
-    stays = stays.groupBy("k").agg(F.collect_list("pos").alias("more"))
+        stays = stays.unionByName(told.filter("m = 1").select(*row, "pos"))
+    stays = stays.groupBy(*row).agg(F.collect_list("pos").alias("more"))
     empty = F.array().cast("array<bigint>")
-    return d.join(once, "k", "left").join(stays, "k", "left").select("k", "dup", "doc_id", "z", F.concat(F.coalesce("known", empty), F.coalesce("more", empty)).alias("stays"))
+    return d.join(once, row, "left").join(stays, row, "left").select(*row, "doc_id", "z", F.concat(F.coalesce("known", empty), F.coalesce("more", empty)).alias("stays"))
 
 
-def covered(n_units: int, dup: int, stays: np.ndarray, size: int) -> np.ndarray:
+def covered(n_units: int, stays: np.ndarray, size: int) -> np.ndarray:
     """Which units of a document lie in a window that does not stay."""
     n = n_units - size + 1
     if n <= 0:
         return np.zeros(n_units, bool)
-    lo, count = _unpacked(stays[stays >> 48 == dup])
+    lo, count = _unpacked(stays)
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, lo, 1)
     np.add.at(edge, lo + count, -1)

@@ -23,7 +23,7 @@ def remove_repeated_words(docs: DataFrame, size: int = 20, seed: int = 5, **limi
 
     Returns (doc_id, n_words, n_removed, kept), one row per row of ``docs``; kept has the words left, joined by one space.
     Null or empty text: no words, nothing removed, kept is empty. Null doc_id counts as the smallest. Rows that share a
-    doc_id are further documents that come after the first, in the order of their texts. Other columns are not looked at.
+    doc_id are further documents that come after the first, in the order of the table. Other columns are not looked at.
     """
     unit = Unit("word", size, seed, True, **limits)
 
@@ -31,11 +31,11 @@ def remove_repeated_words(docs: DataFrame, size: int = 20, seed: int = 5, **limi
         unzip = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for i, (dup, z) in enumerate(zip(b["dup"].to_pylist(), b["z"].to_pylist())):
+            for i, z in enumerate(b["z"].to_pylist()):
                 ws = unit.of(unzip.decompress(z))
-                gone = covered(len(ws), dup, b["stays"][i].values.to_numpy(), size)
+                gone = covered(len(ws), b["stays"][i].values.to_numpy(), size)
                 out.append((len(ws), int(gone.sum()), b" ".join(np.array(ws, object)[~gone]) if len(ws) else b""))
             n, m, text = list(zip(*out)) or ([], [], [])
             yield pa.record_batch([b["doc_id"], pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array([t.decode("utf-8", "surrogatepass") for t in text], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return staying_windows(docs, unit).select("dup", "doc_id", "z", "stays").mapInArrow(rest, "doc_id long, n_words long, n_removed long, kept string")
+    return staying_windows(docs, unit).select("doc_id", "z", "stays").mapInArrow(rest, "doc_id long, n_words long, n_removed long, kept string")

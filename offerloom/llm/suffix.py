@@ -32,9 +32,9 @@ def remove_repeated_bytes(docs: DataFrame, size: int = 200, seed: int = 73, **li
         unzip = zstandard.ZstdDecompressor()
         for b in batches:
             n, m, spans, kept = [], [], [], []
-            for i, (dup, z) in enumerate(zip(b["dup"].to_pylist(), b["z"].to_pylist())):
+            for i, z in enumerate(b["z"].to_pylist()):
                 text = unzip.decompress(z)
-                gone = covered(len(text), dup, b["stays"][i].values.to_numpy(), size)
+                gone = covered(len(text), b["stays"][i].values.to_numpy(), size)
                 edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
                 n.append(len(text))
                 m.append(int(gone.sum()))
@@ -44,4 +44,4 @@ def remove_repeated_bytes(docs: DataFrame, size: int = 200, seed: int = 73, **li
             yield pa.record_batch([b["doc_id"], pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
-    return staying_windows(docs, unit).select("dup", "doc_id", "z", "stays").mapInArrow(rest, schema)
+    return staying_windows(docs, unit).select("doc_id", "z", "stays").mapInArrow(rest, schema)

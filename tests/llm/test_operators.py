@@ -356,3 +356,14 @@ def test_pipeline(spark, docs, empty, rows):
     assert Counter((r.doc_id, r.text, r.k) for r in kept) - Counter((r.doc_id, r.text, r.k) for r in docs.collect()) == Counter()
     assert len(kept) == sum(r.kept for r in minhash.near_groups(docs, 80).collect())
     assert packed(spark, docs, "").columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_many_rows_of_one_doc_id(spark):
+    """A list per doc_id would be copied to each of its rows; 100,000 rows without a doc_id go through as rows of their own."""
+    long_ = " ".join(f"w{i}" for i in range(60))
+    d = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 50_000 == 7, F.lit(long_)).otherwise(F.concat(F.lit("row "), "id")).alias("text"))
+    words = substring.remove_repeated_words(d).filter("n_words = 60").collect()
+    assert sorted(r.n_removed for r in words) == [0, 60]
+    data = suffix.remove_repeated_bytes(d).filter("n_bytes > 100").collect()
+    assert [r.n_removed for r in data] == [len(long_)] * 2
+    assert lines.remove_repeated_lines(d).agg(F.sum("n_removed")).first()[0] == 0
