@@ -90,18 +90,39 @@ def containment_pairs(left: DataFrame, right: DataFrame, n: int = 4) -> DataFram
     return inside(l, "l", r, "r").unionByName(inside(r, "r", l, "l")).distinct()
 
 
+def first_containing(left: DataFrame, right: DataFrame, n: int = 4) -> DataFrame:
+    """(l, r): for each text ``l`` that contains a text of ``right`` (r, o) or lies in one, the ``r`` of the smallest ``o``.
+
+    As ``containment_pairs``, but a pair is met as a candidate for the minimum of its ``l`` right after the join of the rarest grams: tasks
+    hand on one candidate for each ``l``, so neither pairs nor their repetitions are shuffled.
+    """
+    l, r = left.select("l").distinct(), right.groupBy("r").agg(F.min("o").alias("o"))
+
+    def inside(small, s, big, b):
+        others = [c for c in ("o",) if c in big.columns]
+        big_grams = big.select(b, *others, F.explode(_grams(F.col(b), n)).alias("g"))
+        freq = big_grams.groupBy("g").agg(F.count("*").alias("f"))
+        probes = small.filter(F.length(s) >= n).select(*small.columns, F.explode(_grams(F.col(s), n)).alias("g"))
+        rare = probes.join(freq, "g", "left").groupBy(*small.columns).agg(F.min_by("g", F.struct(F.coalesce("f", F.lit(0)), F.col("g"))).alias("g"))
+        short = small.filter((F.length(s) < n) & (F.length(s) > 0)).withColumn("g", F.col(s))
+        pieces = F.flatten(F.array(*[F.coalesce(_grams(F.col(b), k), F.array().cast("array<string>")) for k in range(1, n)]))
+        met = rare.join(big_grams, "g").filter(F.col(b).contains(F.col(s))).select("l", "r", "o")
+        tiny = short.join(big.select(b, *others, F.explode(F.array_distinct(pieces)).alias("g")), "g").select("l", "r", "o")
+        best = F.min(F.struct("o", "r")).alias("b")
+        return met.groupBy("l").agg(best).unionByName(tiny.groupBy("l").agg(best))
+
+    both = inside(l, "l", r, "r").unionByName(inside(r, "r", l, "l"))
+    return both.groupBy("l").agg(F.min("b").alias("b")).select("l", "b.r")
+
+
 def match_by_containment(entities: DataFrame, rankings: DataFrame, name: str, r_name: str, r_order: str) -> DataFrame:
     """Entities with ``_r``: the first ranking row, in list order, whose normalised name contains the
     entity's name or is contained in it; null where there is none. Empty names never match."""
     e = entities.withColumn("_key", C.match_key(name))
     first = one_per_name(rankings, r_name, r_order, "first")
-    pairs = containment_pairs(
-        e.filter(F.col("_key") != "").select(F.col("_key").alias("l")), first.select(F.col("_key").alias("r"))
-    )
-    best = (
-        pairs.join(first.withColumnRenamed("_key", "r"), "r")
-        .groupBy("l").agg(F.min_by("_r", F.col(f"_r.{r_order}")).alias("_r"))
-    )
+    best = first_containing(
+        e.filter(F.col("_key") != "").select(F.col("_key").alias("l")), first.select(F.col("_key").alias("r"), F.col(f"_r.{r_order}").alias("o"))
+    ).join(first.withColumnRenamed("_key", "r"), "r").select("l", "_r")
     return e.join(best, e["_key"] == best["l"], "left").drop("_key", "l")
 
 
@@ -233,9 +254,13 @@ def expand_catalog(entities: DataFrame, templates: dict, name: str, rank: str, s
 # --- links and changes ----------------------------------------------------------------------------------------
 
 
-def backfill_from_discovery(offers: DataFrame, links: DataFrame, url: str, link_url: str) -> DataFrame:
-    """Take the link's category where ours is empty or 'Other', its level where ours is empty or 'Masters'."""
-    one = F.min(F.struct(F.col("category").alias("_cat"), F.col("degree_level").alias("_lvl"))).alias("_l")  # one link per address
+def backfill_from_discovery(offers: DataFrame, links: DataFrame, url: str, link_url: str, order: str | None = None) -> DataFrame:
+    """Take the link's category where ours is empty or 'Other', its level where ours is empty or 'Masters'.
+
+    Of several links of one address the first by ``order`` counts; without an order, the one with the smallest values.
+    """
+    told = F.struct(F.col("category").alias("_cat"), F.col("degree_level").alias("_lvl"))
+    one = (F.min(told) if order is None else F.min_by(told, F.struct(F.col(order), told))).alias("_l")
     l = links.groupBy(F.col(link_url).alias("_u")).agg(one).select("_u", "_l.*")
     weak_cat = F.coalesce(F.col("category"), F.lit("")).isin("", "Other") & F.col("_cat").isNotNull()
     weak_lvl = F.coalesce(F.col("degree_level"), F.lit("")).isin("", "Masters") & F.col("_lvl").isNotNull()

@@ -345,8 +345,9 @@ def extract_offer_fields(pages: DataFrame, url: str = "url", html: str = "html")
 
 
 def merge_over(discovery: DataFrame, detail: DataFrame, key: str) -> DataFrame:
-    """Discovery rows with every non-null detail field taking over."""
-    d = detail.select(*[F.col(c).alias(c if c == key else f"_d_{c}") for c in detail.columns])
+    """Discovery rows with every non-null detail field taking over. Of several detail rows of a key the one that is smallest as JSON counts."""
+    row = F.struct(*detail.columns)
+    d = detail.groupBy(key).agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*").select(*[F.col(c).alias(c if c == key else f"_d_{c}") for c in detail.columns])
     j = discovery.join(d, key, "left")
     own = set(discovery.columns)
     cols = [F.coalesce(f"_d_{c}", c).alias(c) if c != key and c in detail.columns else F.col(c) for c in discovery.columns]

@@ -117,18 +117,39 @@ def running_totals(hist: DataFrame, group, order: str, sums, hot_rows: int = HOT
     return out
 
 
+def _sorted_by(df: DataFrame, order):
+    """(df with helper columns, helpers that cut bands, window order). Descending columns have their nulls last, ascending ones first; of a text
+    the first twelve bytes cut bands, and no later column does."""
+    kinds, names, sort, text = dict(df.dtypes), [], [], False
+    for i, (c, desc) in enumerate(order):
+        if kinds[c] == "string":
+            sort.append(F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_first())
+            for j in range(0 if text else 2):
+                part = F.rpad(F.hex(F.substring(F.col(c).cast("binary"), 6 * j + 1, 6)), 12, "0")
+                number = F.conv(part, 16, 10).cast("double")
+                df = df.withColumn(f"_o{i}_{j}", F.coalesce(-number, F.lit(1.0)) if desc else number)
+                names.append(f"_o{i}_{j}")
+            text = True
+            continue
+        if desc:
+            df = df.withColumn(f"_n{i}", F.col(c).isNull().cast("int"))
+            sort.append(F.col(f"_n{i}"))
+        df = df.withColumn(f"_o{i}", -F.col(c) if desc else F.col(c))
+        sort.append(F.col(f"_o{i}"))
+        if not text:
+            names += [f"_n{i}"] * desc + [f"_o{i}"]
+    return df, names, sort
+
+
 def row_numbers(df: DataFrame, group, order, out: str = "row_number", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Row number within each group, ordered by ``order`` = [(column, descending)], numeric columns.
+    """Row number within each group, ordered by ``order`` = [(column, descending)], numbers or texts; nulls come last in descending
+    columns and first in ascending ones.
 
     A group too large for one task is cut by the first order column; where one value of it is still
     too large, by the next one. Bands of several values are never cut by a later column.
     """
     group = list(group)
-    signed = df
-    names = []
-    for i, (c, desc) in enumerate(order):
-        signed = signed.withColumn(f"_o{i}", (-F.col(c)) if desc else F.col(c))
-        names.append(f"_o{i}")
+    signed, names, sort = _sorted_by(df, order)
     bands, work, any_split = [], signed, False
     for i, name in enumerate(names):
         by = F.when(F.col(bands[-1]) % 2 == 1, F.col(name)) if bands else F.col(name)
@@ -140,7 +161,7 @@ def row_numbers(df: DataFrame, group, order, out: str = "row_number", hot_rows:
         any_split = True
         work = materialise(work)
         bands.append(f"_b{i}")
-    w = Window.partitionBy(*group, *bands).orderBy(*names)
+    w = Window.partitionBy(*group, *bands).orderBy(*sort)
     if not any_split:
         return work.withColumn(out, F.row_number().over(w)).select(*df.columns, out)
     sizes = work.groupBy(*group, *bands).agg(F.count("*").alias("_n"))

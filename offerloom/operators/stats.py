@@ -252,10 +252,12 @@ def is_empty(c: str, kind: str) -> Column:
 
 def enrich_empty(existing: DataFrame, new: DataFrame, key: str, scalars=(), lists=(), maps=(), stamp: str | None = None,
                  now=None) -> DataFrame:
-    """Fill empty scalars, union lists, merge maps (new wins). Only rows that change get the new time."""
+    """Fill empty scalars, union lists, merge maps (new wins). Only rows that change get the new time. Of several new rows of a
+    key the one that is smallest as JSON counts."""
     types = dict(existing.dtypes)
     cols = [*scalars, *lists, *maps]
-    n = new.select(key, *[F.col(c).alias(f"_n_{c}") for c in cols])
+    row = F.struct(*[F.col(c).alias(f"_n_{c}") for c in cols])
+    n = new.groupBy(key).agg(F.min_by(row, F.to_json(row)).alias("_row")).select(key, "_row.*")
     j = existing.join(n, key, "left")
     fresh, changed = {}, F.lit(False)
     for c in scalars:

@@ -52,7 +52,8 @@ def stratified_parts(df: DataFrame, label: str, key: str, shares=(0.70, 0.15, 0.
         at += s
         hit = F.col("_rn") <= F.round(F.col("_n") * at)
         part = F.when(hit, i) if part is None else part.when(hit, i)
-    return ranked.join(sizes, label).withColumn("part", part.otherwise(len(shares) - 1)).select(*df.columns, "part")
+    sizes = sizes.withColumnRenamed(label, "_l")
+    return ranked.join(sizes, F.col(label).eqNullSafe(F.col("_l"))).withColumn("part", part.otherwise(len(shares) - 1)).select(*df.columns, "part")
 
 
 def group_folds(df: DataFrame, group: str, folds: int = 3, seed: int = SEED, hot_rows: int = prefix.HOT_ROWS) -> DataFrame:
@@ -61,12 +62,32 @@ def group_folds(df: DataFrame, group: str, folds: int = 3, seed: int = SEED, hot
     ranked = prefix.row_numbers(sizes, [], [("n", True), ("h", False)], "_rn", hot_rows)
     at = F.pmod(F.col("_rn") - 1, F.lit(2 * folds))
     fold = F.when(at < folds, at).otherwise(F.lit(2 * folds - 1) - at).cast("int")
-    return df.join(ranked.select(group, fold.alias("fold")), group)
+    dealt = ranked.select(F.col(group).alias("_g"), fold.alias("fold"))
+    return df.join(dealt, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
-def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 3, seed: int = SEED) -> DataFrame:
-    """Adds ``fold`` from a seeded hash of the key: even within every class in expectation, no shuffle."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.col(label), F.lit(seed)), F.lit(folds)).cast("int"))
+def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 3, seed: int = SEED, hot_rows: int = prefix.HOT_ROWS) -> DataFrame:
+    """Adds ``fold``: the rows of each class (null is one), in seeded hash order of the key, are dealt one after the other, so folds differ by one row
+    of a class at most."""
+    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)).cast("double")).withColumn("_k", F.xxhash64(F.col(key)))
+    ranked = prefix.row_numbers(hashed, [label], [("_h", False), ("_k", False)], "_rn", hot_rows)
+    return ranked.select(*df.columns, F.pmod(F.col("_rn") - 1, F.lit(folds)).cast("int").alias("fold"))
+
+
+def stratified_group_folds(df: DataFrame, group: str, label: str, folds: int = 3, seed: int = SEED, hot_rows: int = prefix.HOT_ROWS) -> DataFrame:
+    """Adds ``fold``: whole groups, balanced by their labels; null groups and labels are values like others.
+
+    Every group counts for its most frequent label. The groups of a label, by falling number of rows with it, are dealt forth and back, so that
+    of these rows two folds differ by those of the label's largest group at most.
+    """
+    counts = df.groupBy(group, label).agg(F.count("*").alias("n"))
+    main = counts.groupBy(group).agg(F.max_by(F.struct(F.col(label).alias("l"), "n"), F.struct("n", F.xxhash64(label))).alias("m"))
+    sizes = main.select(group, F.col("m.l").alias("l"), F.col("m.n").alias("n"), F.xxhash64(F.col(group), F.lit(seed)).cast("double").alias("h"))
+    ranked = prefix.row_numbers(sizes, ["l"], [("n", True), ("h", False)], "_rn", hot_rows)
+    at = F.pmod(F.col("_rn") - 1 + F.pmod(F.xxhash64("l"), F.lit(2)) * folds, F.lit(2 * folds))  # labels begin at either end
+    fold = F.when(at < folds, at).otherwise(F.lit(2 * folds - 1) - at).cast("int")
+    dealt = ranked.select(F.col(group).alias("_g"), fold.alias("fold"))
+    return df.join(dealt, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 # --- features --------------------------------------------------------------------------------------

@@ -180,8 +180,9 @@ def jn11b(spark, sf):
 def jn12(spark, sf):
     p = table(spark, sf, "part")
     o = p.selectExpr("p_partkey", "concat('u', p_partkey) AS url", "CASE WHEN p_size % 3 = 0 THEN 'Other' ELSE p_type END AS category", "CASE WHEN p_size % 2 = 0 THEN 'Masters' ELSE 'Graduate' END AS degree_level")
-    l = p.filter("p_partkey % 5 <> 0").selectExpr("concat('u', p_partkey) AS link", "p_brand AS category", "'PhD' AS degree_level")
-    return M.backfill_from_discovery(o, l, "url", "link").drop("url")
+    l = p.filter("p_partkey % 5 <> 0").selectExpr("concat('u', p_partkey) AS link", "p_brand AS category", "'PhD' AS degree_level", "p_size AS place")
+    again = l.selectExpr("link", "'A later link' AS category", "'Another' AS degree_level", "place + 1 AS place")
+    return M.backfill_from_discovery(o, l.unionByName(again), "url", "link", "place").drop("url")
 
 
 @query("jn13_new_only", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate >= DATE '2001-06-01' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < DATE '1996-01-01')")

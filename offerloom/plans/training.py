@@ -194,7 +194,19 @@ def scr03(spark, sf):
 def ml02b(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("k", F.col("l_orderkey") * 100000000 + F.col("l_partkey") * 10 + F.col("l_linenumber"))
     per = T.stratified_folds(li, "l_returnflag", "k").groupBy("l_returnflag", "fold").agg(F.count("*").alias("n"))
-    return per.groupBy("l_returnflag").agg(F.count("*").alias("n_folds"), F.sum("n").alias("n_rows"), (F.max("n") < 1.3 * F.min("n")).alias("even"))
+    return per.groupBy("l_returnflag").agg(F.count("*").alias("n_folds"), F.sum("n").alias("n_rows"), (F.max("n") - F.min("n") <= 1).alias("even"))
+
+
+@query("ml02_stratified_group_folds", """WITH g AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), m AS (SELECT l_suppkey, max(n) AS n FROM g GROUP BY 1)
+  SELECT count(DISTINCT l_suppkey) AS n_groups, sum(n)::BIGINT AS n_rows, 3::BIGINT AS n_folds, 0::BIGINT AS n_split, true AS within_bound FROM g""")
+def ml02c(spark, sf):
+    f = T.stratified_group_folds(table(spark, sf, "lineitem").select("l_suppkey", "l_returnflag"), "l_suppkey", "l_returnflag")
+    per = f.groupBy("l_suppkey", "l_returnflag", "fold").agg(F.count("*").alias("n"))
+    main = per.groupBy("l_suppkey", "fold").agg(F.max_by(F.struct("l_returnflag", "n"), F.struct("n", F.xxhash64("l_returnflag"))).alias("m"))
+    dealt = main.groupBy("m.l_returnflag", "fold").agg(F.sum("m.n").alias("n"), F.max("m.n").alias("largest"))
+    bound = dealt.groupBy("l_returnflag").agg((F.max("n") - F.min("n") <= F.max("largest")).alias("ok"), F.count("*").alias("folds")).filter("folds = 3").agg(F.bool_and("ok")).scalar()
+    return per.agg(F.countDistinct("l_suppkey").alias("n_groups"), F.sum("n").alias("n_rows"), F.countDistinct("fold").alias("n_folds"),
+                   (F.countDistinct("l_suppkey", "fold") - F.countDistinct("l_suppkey")).alias("n_split")).withColumn("within_bound", bound)
 
 
 @query("ml10_weighted_auc", f"""WITH {_PRED}, u AS (SELECT 'A' AS label, l_discount AS v, (y = 'A')::INT AS t FROM x UNION ALL SELECT 'N', l_tax, (y = 'N')::INT FROM x), r AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY v) + (count(*) OVER (PARTITION BY label, v) - 1) / 2::DOUBLE AS rk FROM u),

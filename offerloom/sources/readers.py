@@ -55,7 +55,8 @@ def read_ranking_sheet(raw: DataFrame, wanted: dict[str, list[str]], head: DataF
     three rows of the column. ``rank`` and ``name`` must be found. Only rows whose rank begins with
     a digit or '=' are data.
     """
-    first = (head if head is not None else raw).limit(3).collect()
+    rows = (head if head is not None else raw).withColumn("_at", F.monotonically_increasing_id())
+    first = rows.orderBy("_at").limit(3).drop("_at").collect()
     texts = {
         c: [C.standard_name(c)] + [C.standard_name(r[c]) for r in first if r[c] is not None]
         for c in raw.columns
