@@ -415,3 +415,9 @@ NAVIGATION_WORDS = ["department", "d-", "faculty"]
 NAME_SKIP_SEGMENTS = ["courses", "programmes", "programs", "degrees", "study", "masters", "postgraduate",
                       "undergraduate", "taught", "research", "detail", "list", "directory", "index.php"]
 RESPONSE_WORDS = ["university", "program", "degree", "requirements", "tuition"]
+
+
+# Sentences of the quality report.
+IMPROVE_COMPLETENESS = "Improve data completeness - aim for 80%+ field coverage"
+REVIEW_WARNINGS = "Review and address data quality warnings"
+QUALITY_IS_GOOD = "Data quality is good - continue monitoring"

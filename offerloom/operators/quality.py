@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from offerloom.functions import columns as C
+from offerloom.functions import columns as C, fixed
 
 
 
@@ -83,6 +83,18 @@ def top_issues(validated: DataFrame, k: int = 3) -> DataFrame:
         F.col("n").desc(), "issue").limit(k)
 
 
+def quality_recommendations(validated: DataFrame, completeness: str = "data_completeness") -> DataFrame:
+    """(position, recommendation): what the totals and the three most frequent issues call for, or one line that nothing is."""
+    totals = quality_score(validated, completeness).select("avg_completeness", "n_warnings")
+    top = top_issues(validated).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "issue", "n"))).alias("top"))  # three rows
+    row = totals.crossJoin(top)
+    fix = F.transform("top", lambda t: F.concat(F.lit("Fix "), t["n"].cast("string"), F.lit(" programs with: "), t["issue"]))
+    said = F.array_compact(F.concat(
+        F.array(F.when(F.col("avg_completeness") < 0.7, fixed.IMPROVE_COMPLETENESS)), fix, F.array(F.when(F.col("n_warnings") > 0, fixed.REVIEW_WARNINGS))))
+    said = F.when(F.size(said) > 0, said).otherwise(F.array(F.lit(fixed.QUALITY_IS_GOOD)))
+    return row.select(F.posexplode(said).alias("position", "recommendation"))
+
+
 # --- entities -------------------------------------------------------------------------------------
 
 
@@ -162,6 +174,19 @@ def validation_report(checks: DataFrame) -> DataFrame:
     )
 
 
+def milestone_report(scores: DataFrame, milestones: DataFrame, entity: str = "entity", status: str = "status") -> DataFrame:
+    """One row: as ``validation_report`` from scores by entity, with how many of the validations are completed."""
+    s = F.coalesce("score", F.lit(0.0))
+    return milestones.join(scores, entity, "left").agg(
+        F.count("*").alias("n_entities"), F.count_if(F.col(status) == "completed").alias("completed"), F.round(F.avg(s), 3).alias("mean_score"),
+        F.count_if(s >= 0.9).alias("excellent"), F.count_if((s >= 0.7) & (s < 0.9)).alias("good"), F.count_if((s >= 0.5) & (s < 0.7)).alias("needs_improvement"),
+        F.count_if(s < 0.5).alias("critical_issues"))
+
+
+def distinct_recommendations(validated: DataFrame, recommendations: str = "recommendations") -> DataFrame:
+    return validated.select(F.explode(recommendations).alias("recommendation")).groupBy("recommendation").agg(F.count("*").alias("n"))
+
+
 def issues_by_category(checks: DataFrame) -> DataFrame:
     return checks.filter("issue").groupBy("check").agg(F.count("*").alias("n"))
 
@@ -209,10 +234,15 @@ def gate_runs(runs: DataFrame, min_accuracy: float = 0.60, max_accuracy: float =
 # --- source contracts --------------------------------------------------------------------------------------
 
 
-def source_contract(df: DataFrame, required, formats: dict[str, str]) -> DataFrame:
-    """Rows (check, passed, n_bad): columns present, value formats, no zero-width or no-break characters."""
+def source_contract(df: DataFrame, required, formats: dict[str, str], types: dict[str, str] | None = None, entries: dict[str, tuple] | None = None) -> DataFrame:
+    """Rows (check, passed, n_bad): columns present and of the stated type, value formats, no zero-width or no-break characters, complete entries.
+
+    ``entries`` maps a column of map type to (keys every row must have, fields every entry must have): rows that lack a key or an entry's field count as bad.
+    """
     spark = df.sparkSession
     there = [(f"present:{c}", c in df.columns, 0 if c in df.columns else 1) for c in required]
+    kinds = dict(df.dtypes)
+    there += [(f"type:{c}", kinds.get(c) == t, 0 if kinds.get(c) == t else 1) for c, t in (types or {}).items()]
     schema = "check string, passed boolean, n_bad bigint"
     texts = [c for c, t in df.dtypes if t == "string"]
     aggs, names = [], []
@@ -223,6 +253,12 @@ def source_contract(df: DataFrame, required, formats: dict[str, str]) -> DataFra
     for c in texts:
         names.append(f"clean:{c}")
         aggs.append(F.count_if(F.col(c).rlike("[\\u200B\\u200C\\u200D\\uFEFF\\u00A0]")))
+    for c, (keys, fields) in (entries or {}).items():
+        if c in df.columns:
+            lacks = lambda e, fs=fields: C.any_of([e[f].isNull() for f in fs])
+            names += [f"keys:{c}", f"entries:{c}"]
+            aggs.append(F.count_if(F.coalesce(C.any_of([~F.map_contains_key(c, F.lit(k)) for k in keys]), F.lit(True))))
+            aggs.append(F.count_if(F.coalesce(F.exists(F.map_values(c), lambda e: e.isNull() | lacks(e)), F.lit(False))))
     if not aggs:
         return spark.createDataFrame(there, schema)
     row = df.agg(*[a.alias(f"c{i}") for i, a in enumerate(aggs)])

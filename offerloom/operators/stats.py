@@ -46,6 +46,19 @@ def entity_rollup(df: DataFrame, keys, kind: str, updated: str) -> DataFrame:
     )
 
 
+def search_rollup(df: DataFrame, name: str, country: str, website: str, kind: str, updated: str, query: str | None = None, in_country: str | None = None,
+                  of_kind: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page of ``entity_rollup`` by name, country and website, over the offers that match: ``query`` is a part of the name in any case, taken literally."""
+    some = df
+    if in_country:
+        some = some.filter(F.col(country) == in_country)
+    if of_kind:
+        some = some.filter(F.col(kind) == of_kind)
+    if query:
+        some = some.filter(F.lower(name).contains(query.lower()))
+    return entity_rollup(some, [name, country, website], kind, updated).orderBy(name, country, website).offset(offset).limit(limit)
+
+
 def coverage_totals(df: DataFrame, university: str, country: str) -> DataFrame:
     c = F.coalesce(F.col(country), F.lit("Unknown")).alias("c")
     return df.agg(F.count("*").alias("total_programs")).select(
@@ -216,6 +229,25 @@ def shares(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count("*").alias("n")).withColumn("pct", F.col("n") * 100.0 / total)
 
 
+def import_report(rows: DataFrame, outcome: str = "outcome", transformed: str = "transformed", tier: str = "tier", path: str = "path",
+                  category: str = "category", k: int = 10) -> DataFrame:
+    """(part, value, n, pct) of an import: rows read and transformed, outcomes, tiers and derivation paths, and the ``k`` largest categories.
+
+    One scan; every row is counted once in each part before the shuffle. Outcomes are a percentage of all rows, the other parts of the transformed ones, and
+    only transformed rows with a value count there.
+    """
+    done = F.coalesce(F.col(transformed), F.lit(False))
+    part = lambda name, c, cond: F.when(cond & c.isNotNull(), F.struct(F.lit(name).alias("part"), c.cast("string").alias("value")))
+    parts = F.array_compact(F.array(
+        part("rows", F.lit("total"), F.lit(True)), part("rows", F.lit("transformed"), done), part("outcome", F.col(outcome), F.lit(True)),
+        *[part(n, F.col(c), done) for n, c in (("tier", tier), ("path", path), ("category", category))]))
+    counts = rows.select(F.explode(parts).alias("p")).groupBy("p.part", "p.value").agg(F.count("*").alias("n"))
+    of = lambda v: F.max(F.when((F.col("part") == "rows") & (F.col("value") == v), F.col("n"))).over(Window.partitionBy())  # noqa: E731  a row per value
+    told = counts.select("*", of("total").alias("_all"), F.coalesce(of("transformed"), F.lit(0)).alias("_done"), F.row_number().over(Window.partitionBy("part").orderBy(F.col("n").desc(), "value")).alias("_rn"))
+    whole = F.when(F.col("part").isin("rows", "outcome"), F.col("_all")).otherwise(F.greatest("_done", F.lit(1)))
+    return told.filter((F.col("part") != "category") | (F.col("_rn") <= k)).select("part", "value", "n", (F.col("n") * 100.0 / whole).alias("pct"))
+
+
 # --- consolidation --------------------------------------------------------------------------------------------
 
 

@@ -53,6 +53,15 @@ def agg03(spark, sf):
     return d.withColumn("kinds", F.array_join("kinds", ",")).withColumn("last_updated", F.date_format("last_updated", "yyyy-MM-dd"))
 
 
+@query("agg03_search_rollup", """SELECT s_name AS university_name, 'NATION_' || s_nationkey AS country, 'https://u' || s_suppkey AS website, count(*) AS n_offers, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS kinds, strftime(max(l_shipdate), '%Y-%m-%d') AS last_updated
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'N' AND contains(lower(s_name), 'supplier#') GROUP BY ALL ORDER BY 1, 2, 3 LIMIT 5 OFFSET 2""")
+def agg03b(spark, sf):
+    j = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
+        F.col("s_name").alias("university_name"), F.concat(F.lit("NATION_"), "s_nationkey").alias("country"), F.concat(F.lit("https://u"), "s_suppkey").alias("website"), "l_returnflag", "l_shipdate")
+    d = A.search_rollup(j, "university_name", "country", "website", "l_returnflag", "l_shipdate", query="SUPPLIER#", of_kind="N", limit=5, offset=2)
+    return d.withColumn("kinds", F.array_join("kinds", ",")).withColumn("last_updated", F.date_format("last_updated", "yyyy-MM-dd"))
+
+
 @query("agg04_distinct_values", """SELECT 'p_brand' AS dimension, p_brand AS value FROM part GROUP BY 2 UNION ALL SELECT 'p_type', p_type FROM part GROUP BY 2""")
 def agg04(spark, sf):
     return A.counts_by(table(spark, sf, "part"), ["p_brand", "p_type"]).select("dimension", "value")
@@ -297,3 +306,19 @@ def agg26c(spark, sf):
 def agg27(spark, sf):
     x = table(spark, sf, "orders").selectExpr("CASE WHEN o_orderkey % 400 = 39 THEN 'failed' WHEN o_orderkey % 7 = 0 THEN 'skipped' WHEN o_orderstatus = 'F' THEN 'updated' ELSE 'inserted' END AS outcome")
     return A.shares(x, "outcome").select("outcome", "n", F.round(F.col("pct").cast("double"), 4).alias("pct"))
+
+
+_IMPORT = """x AS (SELECT o_orderkey % 9 <> 0 AS transformed, CASE WHEN o_orderkey % 400 = 39 THEN 'failed' WHEN o_orderkey % 7 = 0 THEN 'skipped' WHEN o_orderstatus = 'F' THEN 'updated' ELSE 'inserted' END AS outcome,
+  CASE o_orderkey % 4 WHEN 0 THEN 'top' WHEN 1 THEN 'good' WHEN 2 THEN 'standard' END AS tier, CASE WHEN o_orderkey % 5 = 0 THEN 'regional_fallback' ELSE 'qs_world_primary' END AS path, 'C' || o_custkey % 37 AS category FROM orders)"""
+
+
+@query("agg27_import_report", f"""WITH {_IMPORT}, d AS (SELECT * FROM x WHERE transformed), n AS (SELECT count(*) AS total, count(*) FILTER (transformed) AS done FROM x),
+  c AS (SELECT category, count(*) AS n FROM d GROUP BY 1 ORDER BY n DESC, category LIMIT 10),
+  u AS (SELECT 'rows' AS part, 'total' AS value, total AS n, total AS whole FROM n UNION ALL SELECT 'rows', 'transformed', done, total FROM n UNION ALL SELECT 'outcome', outcome, count(*), any_value(total) FROM x, n GROUP BY outcome
+    UNION ALL SELECT 'tier', tier, count(*), any_value(done) FROM d, n WHERE tier IS NOT NULL GROUP BY tier UNION ALL SELECT 'path', path, count(*), any_value(done) FROM d, n GROUP BY path UNION ALL SELECT 'category', category, c.n, done FROM c, n)
+  SELECT part, value, n, round(n * 100 / whole::DOUBLE, 4) AS pct FROM u""")
+def agg27b(spark, sf):
+    x = table(spark, sf, "orders").selectExpr(
+        "o_orderkey % 9 <> 0 AS transformed", "CASE WHEN o_orderkey % 400 = 39 THEN 'failed' WHEN o_orderkey % 7 = 0 THEN 'skipped' WHEN o_orderstatus = 'F' THEN 'updated' ELSE 'inserted' END AS outcome",
+        "CASE o_orderkey % 4 WHEN 0 THEN 'top' WHEN 1 THEN 'good' WHEN 2 THEN 'standard' END AS tier", "CASE WHEN o_orderkey % 5 = 0 THEN 'regional_fallback' ELSE 'qs_world_primary' END AS path", "concat('C', o_custkey % 37) AS category")
+    return A.import_report(x).select("part", "value", "n", F.round(F.col("pct").cast("double"), 4).alias("pct"))

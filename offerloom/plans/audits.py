@@ -63,6 +63,14 @@ def agg07b(spark, sf):
     return V.top_issues(V.validate_offers(_offers(spark, sf)))
 
 
+@query("agg07_recommendations", f"""WITH {_ISSUES}, t AS (SELECT avg(comp) AS a, sum(len(warnings)) AS w FROM i), k AS (SELECT issue, count(*) AS n FROM (SELECT unnest(issues) AS issue FROM i) GROUP BY 1 ORDER BY n DESC, issue LIMIT 3),
+  s AS (SELECT 0 AS o, 0 AS p, 'Improve data completeness - aim for 80%+ field coverage' AS r FROM t WHERE a < 0.7 UNION ALL SELECT 1, row_number() OVER (ORDER BY n DESC, issue), 'Fix ' || n || ' programs with: ' || issue FROM k UNION ALL SELECT 2, 0, 'Review and address data quality warnings' FROM t WHERE w > 0),
+  e AS (SELECT * FROM s UNION ALL SELECT 3, 0, 'Data quality is good - continue monitoring' WHERE NOT EXISTS (SELECT 1 FROM s))
+  SELECT (row_number() OVER (ORDER BY o, p) - 1)::INT AS position, r AS recommendation FROM e""")
+def agg07c(spark, sf):
+    return V.quality_recommendations(V.validate_offers(_offers(spark, sf)))
+
+
 # --- entities ----------------------------------------------------------------------------------------
 
 _ENT = """e AS (SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN '' ELSE c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'X' END AS country, 'T' AS city, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN substr(md5(c_name), 1, 12) ELSE 'bad' END AS uid,
@@ -112,6 +120,20 @@ def agg24(spark, sf):
     return rounded(V.validation_report(_checks(spark, sf)), 6)
 
 
+@query("agg24_milestones", f"""WITH {_ENT}, m AS (SELECT c_name AS entity, CASE c_custkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'failed' ELSE 'completed' END AS status FROM customer), ms AS (SELECT m.*, coalesce(score, 0) AS score FROM m LEFT JOIN sc USING (entity))
+  SELECT count(*) AS n_entities, count(*) FILTER (status = 'completed') AS completed, round(avg(score), 3) AS mean_score, count(*) FILTER (score >= 0.9) AS excellent, count(*) FILTER (score >= 0.7 AND score < 0.9) AS good,
+  count(*) FILTER (score >= 0.5 AND score < 0.7) AS needs_improvement, count(*) FILTER (score < 0.5) AS critical_issues FROM ms""")
+def agg24c(spark, sf):
+    m = table(spark, sf, "customer").selectExpr("c_name AS entity", "CASE c_custkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'failed' ELSE 'completed' END AS status")
+    return V.milestone_report(V.entity_scores(_checks(spark, sf)), m)
+
+
+@query("agg24_recommendations", f"""WITH {_ISSUES} SELECT r AS recommendation, count(*) AS n FROM (SELECT unnest([CASE WHEN NOT f1 OR NOT f2 OR NOT f4 THEN 'Complete all required fields before saving' END, CASE WHEN NOT u THEN 'Verify source URL is correct and accessible' END,
+  CASE WHEN gpa > 4 THEN 'Ensure GPA requirements are in 4.0 scale format' END, CASE WHEN len(warnings) > 0 THEN 'Review warnings for potential data quality issues' END]) AS r FROM i) WHERE r IS NOT NULL GROUP BY 1""")
+def agg24d(spark, sf):
+    return V.distinct_recommendations(V.validate_offers(_offers(spark, sf)))
+
+
 @query("agg24_issues_by_category", f"""WITH {_ENT} SELECT "check", count(*) AS n FROM ckw WHERE issue GROUP BY 1""")
 def agg24b(spark, sf):
     return V.issues_by_category(_checks(spark, sf))
@@ -243,3 +265,14 @@ def gt01b(spark, sf):
   UNION ALL SELECT 'clean:html', count(*) FILTER (regexp_matches(html, '[\x{200B}\x{200C}\x{200D}\x{FEFF}\x{00A0}]')) = 0, count(*) FILTER (regexp_matches(html, '[\x{200B}\x{200C}\x{200D}\x{FEFF}\x{00A0}]')) FROM pages""")
 def gt02(spark, sf):
     return V.source_contract(table(spark, sf, "pages"), ["page_id", "title"], {"url": "^https://"})
+
+
+@query("gt02_types_and_entries", r"""WITH d AS (SELECT *, doc_id % 6 <> 0 AS a, doc_id % 10 <> 0 AS s FROM documents)
+  SELECT 'present:doc_id' AS "check", true AS passed, 0::BIGINT AS n_bad UNION ALL SELECT 'type:doc_id', true, 0 UNION ALL SELECT 'type:text', false, 1
+  UNION ALL SELECT 'clean:text', count(*) FILTER (regexp_matches(text, '[\x{200B}\x{200C}\x{200D}\x{FEFF}\x{00A0}]')) = 0, count(*) FILTER (regexp_matches(text, '[\x{200B}\x{200C}\x{200D}\x{FEFF}\x{00A0}]')) FROM d
+  UNION ALL SELECT 'keys:indicators', count(*) FILTER (NOT a) = 0, count(*) FILTER (NOT a) FROM d UNION ALL SELECT 'entries:indicators', count(*) FILTER (NOT s) = 0, count(*) FILTER (NOT s) FROM d""")
+def gt02b(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text", F.create_map(
+        F.when(F.col("doc_id") % 6 != 0, "reputation").otherwise("other"),
+        F.struct(F.when(F.col("doc_id") % 10 != 0, F.col("n_chars")).alias("score"), F.col("doc_id").alias("rank"))).alias("indicators"))
+    return V.source_contract(d, ["doc_id"], {}, {"doc_id": "bigint", "text": "bigint"}, {"indicators": (["reputation"], ["score", "rank"])})
