@@ -10,16 +10,15 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
-    CountVectorizer, ElementwiseProduct, IDF, Imputer, IndexToString, NGram, Normalizer, OneHotEncoder, RegexTokenizer,
-    RobustScaler, SQLTransformer, StopWordsRemover, StringIndexer, VectorAssembler,
+    Imputer, IndexToString, OneHotEncoder, RobustScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from offerloom.functions import columns as C
 from offerloom.operators import prefix
+from offerloom.operators.stages import RareCategoryPooler, text_stages
 from offerloom.session import materialise
 
 SEED = 42
@@ -122,18 +121,7 @@ def categorical_stages(cols) -> list:
 
 def text_features(df: DataFrame, col: str, terms: int = 200, out: str = "text") -> PipelineModel:
     """Fitted tf-idf over words and word pairs: smoothed idf plus one, unit length."""
-    words = Pipeline(stages=[
-        SQLTransformer(statement=f"SELECT *, coalesce({col}, '') AS {col}__s FROM __THIS__"),
-        RegexTokenizer(inputCol=f"{col}__s", outputCol=f"{col}__w", pattern=r"[\p{L}\p{N}]{2,}", gaps=False, toLowercase=True),
-        StopWordsRemover(inputCol=f"{col}__w", outputCol=f"{col}__f"),
-        NGram(n=2, inputCol=f"{col}__f", outputCol=f"{col}__g"),
-        SQLTransformer(statement=f"SELECT *, concat({col}__f, {col}__g) AS {col}__t FROM __THIS__"),
-    ]).fit(df.select(col))
-    terms_seen = materialise(words.transform(df.select(col)).select(f"{col}__t"), "terms")  # read by both fits
-    counts = CountVectorizer(inputCol=f"{col}__t", outputCol=f"{col}__c", vocabSize=terms).fit(terms_seen)
-    idf = IDF(inputCol=f"{col}__c", outputCol=f"{col}__i").fit(counts.transform(terms_seen))
-    scale = ElementwiseProduct(scalingVec=Vectors.dense([x + 1.0 for x in idf.idf.toArray()]), inputCol=f"{col}__c", outputCol=f"{col}__x")
-    return PipelineModel(stages=[*words.stages, counts, scale, Normalizer(inputCol=f"{col}__x", outputCol=out, p=2.0)])
+    return Pipeline(stages=text_stages(col, terms, out)).fit(df.select(col))
 
 
 def encode_target(df: DataFrame, target: str):
@@ -158,10 +146,13 @@ def with_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(w, df[label].eqNullSafe(w["_l"])).drop("_l")
 
 
-def assemble(numeric, categorical, text_out=None) -> list:
-    parts = (["num"] if numeric else []) + [f"{c}__hot" for c in categorical] + ([text_out] if text_out else [])
-    return [*(numeric_stages(numeric) if numeric else []), *(categorical_stages(categorical) if categorical else []),
-            VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep")]
+def assemble(numeric, categorical, text=(), min_count: int = 5, max_categories: int = 50, terms: int = 200) -> list:
+    """Stages from raw columns to ``features``: scaled numbers, one-hot categories with the rare ones pooled, tf-idf of texts."""
+    pooled = [f"{c}__pool" for c in categorical]
+    parts = (["num"] if numeric else []) + [f"{c}__hot" for c in pooled] + [f"{c}__tfidf" for c in text]
+    pool = [RareCategoryPooler(inputCols=list(categorical), outputCols=pooled, minCount=min_count, maxCategories=max_categories)] if categorical else []
+    return [*(numeric_stages(numeric) if numeric else []), *pool, *(categorical_stages(pooled) if categorical else []),
+            *[s for c in text for s in text_stages(c, terms, f"{c}__tfidf")], VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep")]
 
 
 # --- models ----------------------------------------------------------------------------------------------
@@ -175,11 +166,11 @@ def classifier(kind: str = "forest", weight: str | None = "weight", seed: int =
     return RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed, **extra, **params)
 
 
-def train_classifier(df: DataFrame, numeric, categorical, target: str, kind: str = "forest", **params):
-    """(fitted pipeline, labels). Classes are weighted inversely to their size."""
+def train_classifier(df: DataFrame, numeric, categorical, target: str, kind: str = "forest", text=(), **params):
+    """(fitted pipeline, labels). Classes are weighted inversely to their size. The pipeline takes raw rows, also after it was saved and loaded."""
     coded, labels = encode_target(df, target)
     data = with_weights(coded, "label")
-    model = Pipeline(stages=[*assemble(numeric, categorical), classifier(kind, **params)]).fit(data)
+    model = Pipeline(stages=[*assemble(numeric, categorical, text), classifier(kind, **params)]).fit(data)
     return model, labels
 
 
@@ -323,7 +314,7 @@ def shuffled(df: DataFrame, col: str, key: str, seed: int, hot_rows: int = prefi
 def permutation_importance(model: PipelineModel, df: DataFrame, cols, key: str, label: str = "label", repeats: int = 5,
                            rows: int | None = None, seed: int = SEED) -> DataFrame:
     """Mean loss of macro F1 after permuting a column, on all rows, or on ``rows`` of them drawn by hash."""
-    drawn = (df if rows is None else df.orderBy(F.xxhash64(F.col(key), F.lit(seed))).limit(rows)).persist()
+    drawn = materialise(df if rows is None else df.orderBy(F.xxhash64(F.col(key), F.lit(seed))).limit(rows), "permuted")
     score = lambda d: float(overall_metrics(model.transform(d), label, "prediction").first()["f1_macro"])
     base = score(drawn)
     out = []
@@ -331,7 +322,6 @@ def permutation_importance(model: PipelineModel, df: DataFrame, cols, key: str,
         drops = [base - score(shuffled(drawn, c, key, seed + r)) for r in range(repeats)]
         mean = sum(drops) / repeats
         out.append((c, mean, math.sqrt(sum((d - mean) ** 2 for d in drops) / repeats)))
-    drawn.unpersist()
     return df.sparkSession.createDataFrame(out, "feature string, importance double, spread double")
 
 
@@ -345,6 +335,21 @@ def save_model(model: PipelineModel, path: str, info: dict) -> None:
     SparkSession.active().createDataFrame([(json.dumps(info, sort_keys=True),)], "info string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 
+def describe(model: PipelineModel, labels, train: DataFrame, test: DataFrame, features, target: str) -> dict:
+    """What is saved beside a model: features, labels, parameters of the classifier, metrics and baseline on the test rows, sizes, and a fingerprint
+    of the training data that does not depend on the order of rows."""
+    told = decode_target(model.transform(test), labels)
+    m = overall_metrics(told, target, "predicted").first()
+    base = majority_baseline(train, test, target).first()
+    data = train.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*[F.col(c) for c in sorted({*features, target})])).alias("h")).first()
+    head = model.stages[-1]
+    return {
+        "features": list(features), "labels": list(labels), "model": type(head).__name__, "params": {p.name: str(v) for p, v in sorted(head.extractParamMap().items(), key=lambda x: x[0].name)},
+        "accuracy": m["accuracy"], "f1_macro": m["f1_macro"], "f1_weighted": m["f1_weighted"], "baseline_accuracy": base["accuracy"],
+        "n_train": data["n"], "n_test": m["n"], "data_hash": f"{data['h'] & (2**64 - 1):016x}" if data["n"] else "0" * 16,
+    }
+
+
 def load_model(spark, path: str) -> tuple[PipelineModel, dict]:
     info = json.loads(spark.read.text(f"{path}/metadata").first()[0])
     return PipelineModel.load(f"{path}/pipeline"), info

@@ -72,6 +72,20 @@ def ml05(spark, sf):
     return T.text_features(d, "text", 200, "tfidf").transform(d).select("doc_id", F.size(F.filter(vector_to_array("text__c"), lambda x: x > 0)).alias("n_terms"))
 
 
+_WORDS = """w AS (SELECT p_partkey, regexp_extract_all(lower(p_name || ' ' || p_type), '[\\p{L}\\p{N}]{2,}') AS w FROM part),
+  t AS (SELECT p_partkey, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS t FROM w), c AS (SELECT p_partkey, t, count(*) AS tf FROM t GROUP BY ALL),
+  f AS (SELECT t, count(*) AS df FROM c GROUP BY 1), x AS (SELECT p_partkey, tf * (ln(((SELECT count(*) FROM part) + 1) / (df + 1)::DOUBLE) + 1) AS x FROM c JOIN f USING (t))"""
+
+
+@query("ml05_tfidf", f"WITH {_WORDS} SELECT p_partkey, count(*) AS n_terms, round(sum(x) / sqrt(sum(x * x)), 6) AS total, round(max(x) / sqrt(sum(x * x)), 6) AS largest FROM x GROUP BY 1")
+def ml05b(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
+    d = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("words"))
+    v = T.text_features(d, "words", 1 << 18, "tfidf").transform(d).withColumn("v", F.filter(vector_to_array("tfidf"), lambda x: x > 0))
+    return rounded(v.select("p_partkey", F.size("v").cast("long").alias("n_terms"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("total"), F.array_max("v").alias("largest")), 6)
+
+
 @query("ml06_encode_target", "SELECT l_returnflag, (dense_rank() OVER (ORDER BY l_returnflag) - 1)::DOUBLE AS label, count(*) AS n FROM lineitem GROUP BY 1")
 def ml06(spark, sf):
     coded, labels = T.encode_target(table(spark, sf, "lineitem").select("l_returnflag"), "l_returnflag")
@@ -92,6 +106,23 @@ def ml08(spark, sf):
     return T.score_catalog(model, labels, test, ["vec_id", "tier"])
 
 
+@query("ml08_loaded_pipeline", """WITH c AS (SELECT p_name, count(*) AS n FROM part WHERE p_partkey % 5 > 0 GROUP BY 1), k AS (SELECT p_name FROM c WHERE n >= 5 ORDER BY n DESC, p_name LIMIT 50)
+  SELECT p_partkey, CASE WHEN p_name IN (SELECT p_name FROM k) THEN p_name ELSE '__other__' END AS pooled, true AS scored, 1.0::DOUBLE AS text_length FROM part WHERE p_partkey % 5 = 0""")
+def ml08c(spark, sf):
+    """A pipeline with pooling and tf-idf inside it, saved, loaded and given raw rows that it has not seen."""
+    from pyspark.ml.functions import vector_to_array
+
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_retailprice", F.concat(F.lit("t"), F.col("p_size") % 3).alias("tier"))
+    train, test = p.filter("p_partkey % 5 > 0"), p.filter("p_partkey % 5 = 0")
+    model, labels = T.train_classifier(train, ["p_retailprice"], ["p_name"], "tier", text=["p_type"], numTrees=5, maxDepth=4)
+    path = scratch_path(spark, "pipeline")
+    T.save_model(model, path, T.describe(model, labels, train, test, ["p_retailprice", "p_name", "p_type"], "tier"))
+    again, info = T.load_model(spark, path)
+    done = T.decode_target(again.transform(test.drop("tier")), info["labels"])
+    size = F.sqrt(F.aggregate(vector_to_array("p_type__tfidf"), F.lit(0.0), lambda s, x: s + x * x))
+    return done.select("p_partkey", F.col("p_name__pool").alias("pooled"), F.col("predicted").isin(info["labels"]).alias("scored"), F.round(size, 6).alias("text_length"))
+
+
 @query("ml08_train_boosted")
 def ml08b(spark, sf):
     data = _labelled(spark, sf)
@@ -176,11 +207,11 @@ def ml14(spark, sf):
     data = _labelled(spark, sf)
     model, labels = T.train_classifier(data, _X, ["cat"], "tier")
     path = scratch_path(spark, "model")
-    T.save_model(model, path, {"features": _X + ["cat"], "labels": labels, "n_rows": data.count()})
+    T.save_model(model, path, T.describe(model, labels, data, data, [*_X, "cat"], "tier"))
     again, info = T.load_model(spark, path)
     scored = again.transform(data).groupBy("prediction").agg(F.count("*").alias("n"))
-    meta = T.model_info(spark, path, "labels array<string>, n_rows bigint")
-    return scored.withColumn("labels", F.lit(",".join(info["labels"]))).withColumn("n_rows", meta.select("n_rows").scalar())
+    meta = T.model_info(spark, path, "labels array<string>, n_train bigint, accuracy double, data_hash string, params map<string,string>")
+    return scored.withColumn("labels", F.lit(",".join(info["labels"]))).crossJoin(meta.select("n_train", "accuracy", "data_hash", F.size("params").alias("n_params")))
 
 
 @query("scr03_score_catalog")
