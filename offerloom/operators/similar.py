@@ -42,11 +42,12 @@ def _search(k: int, metric: str, drop_self: bool):
         for at in range(0, len(queries), CHUNK):
             part = queries.iloc[at: at + CHUNK]
             b, qids = np.stack(part["v"].to_numpy()), part["query_id"].to_numpy()
+            # rounded, so that equal items are equally close in whichever block they lie
             if metric == "cosine":
-                close = b @ a.T
+                close = np.round(b @ a.T, 12)
             else:
                 d2 = (b * b).sum(1)[:, None] + (a * a).sum(1)[None, :] - 2 * (b @ a.T)
-                close = -np.sqrt(np.maximum(d2, 0.0))
+                close = -np.sqrt(np.maximum(np.round(d2, 9), 0.0))
             if drop_self:
                 close = np.where(qids[:, None] == ids[None, :], -np.inf, close)
             pick = np.argsort(-close, axis=1, kind="stable")[:, :m]
@@ -132,7 +133,7 @@ def _visits(cells: Cells, queries: DataFrame, k: int, slack: float | None) -> Da
                 want = told.first(d, k + 1)
                 if slack is not None:
                     tau = part["tau"].to_numpy(dtype=float)
-                    tau = np.where(np.isnan(tau), np.inf, tau * (1 + 1e-9) + 1e-9)
+                    tau = np.where(np.isnan(tau), np.inf, np.sqrt(tau * tau * (1 + 1e-9) + 4e-9))  # rounding of the closeness included
                     want = ~want & (told.bounds(d, slack) <= tau[:, None])
                 q, b = np.nonzero(want)
                 yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[q], "cell": told.blocks[b, 0].astype("int32"), "ib": told.blocks[b, 1].astype("int32")})
