@@ -310,14 +310,6 @@ PROGRAM_PATHS = ["/program", "/course", "/study", "/degree", "/masters", "/phd",
 # --- requests ---------------------------------------------------------------------------------------
 MAX_REASONABLE_BUDGET = 200_000
 
-# --- ranking sheet columns ----------------------------------------------------------------------------
-RANKING_SHEET_COLUMNS = [
-    "index", "rank", "previous_rank", "institution_name", "country", "region", "size", "focus",
-    "research", "status", "ar_score", "ar_rank", "er_score", "er_rank", "fsr_score", "fsr_rank",
-    "cpf_score", "cpf_rank", "ifr_score", "ifr_rank", "isr_score", "isr_rank", "isd_score", "isd_rank",
-    "irn_score", "irn_rank", "eo_score", "eo_rank", "sus_score", "sus_rank", "overall_score",
-]
-
 # --- feature registry: name -> use ----------------------------------------------------------------------
 FEATURE_USE = {
     "gpa_requirement_min": "training", "tuition_domestic": "training",

@@ -18,6 +18,16 @@ def src01(spark, sf):
     return R.read_catalog_csv(spark, [path + "-missing", path], schema)
 
 
+@query("src01_read_split_csv", """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name || chr(10) || '"' || p_brand || '", ' || chr(10) || 'x' ELSE p_name END AS p_name,
+  CASE WHEN p_size % 4 <> 0 THEN p_brand END AS p_brand, p_retailprice FROM part""")
+def src01b(spark, sf):
+    path = scratch_path(spark, "lines-csv")
+    name = F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit('\n"'), "p_brand", F.lit('", \nx'))).otherwise(F.col("p_name"))
+    p = table(spark, sf, "part").select("p_partkey", name.alias("p_name"), F.when(F.col("p_size") % 4 != 0, F.col("p_brand")).alias("p_brand"), "p_retailprice")
+    p.coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    return R.read_split_csv(spark, path, p.schema)
+
+
 @query("src02_read_jsonl", """SELECT count(*) AS n_lines, count(*) FILTER (event_id % 100 = 7) AS n_failed,
   sum(CASE WHEN event_id % 100 <> 7 THEN json_extract(props, '$.k')::BIGINT END)::BIGINT AS sum_k FROM events""")
 def src02(spark, sf):

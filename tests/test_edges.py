@@ -108,3 +108,29 @@ def test_first_containing_text_against_brute_force(spark):
     l, r = words[:80], [(w, i) for i, w in enumerate(words[80:])]
     got = {x["l"]: x["r"] for x in match.first_containing(spark.createDataFrame([(w,) for w in l], "l string"), spark.createDataFrame(r, "r string, o int")).collect()}
     assert got == {a: next(b for b, _ in r if a in b or b in a) for a in l if any(a in b or b in a for b, _ in r)}
+
+
+def test_one_quoted_file_read_by_several_tasks(spark, tmp_path):
+    import csv
+    import random
+
+    from offerloom.sources import readers
+
+    r = random.Random(8)
+    rows = [(i, r.choice(["plain", 'with "quotes"', "two\nlines", 'a\n\n"b", c\nd', "é, ö", "x" * 200]) * r.randint(1, 3), i / 4) for i in range(3000)]
+    with open(tmp_path / "big.csv", "w", newline="", encoding="utf-8") as f:
+        w = csv.writer(f, lineterminator="\n")
+        w.writerow(["k", "text", "v"])
+        w.writerows(rows)
+    schema = spark.createDataFrame([], "k int, text string, v double").schema
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        assert spark.read.text(str(tmp_path / "big.csv")).rdd.getNumPartitions() > 10
+        got = readers.read_split_csv(spark, f"file://{tmp_path}/big.csv", schema)
+        assert sorted(map(tuple, got.collect())) == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert rows == sorted(map(tuple, readers.read_catalog_csv(spark, [f"file://{tmp_path}/big.csv"], schema).collect()))
