@@ -27,3 +27,11 @@ def test_counts_read_one_row_of_every_class(spark):
     got = {r["profile_id"]: r["n_candidates"] for r in recommend.candidate_counts(p, o, "profile_id", "offer_id", "tuition").collect()}
     fits = lambda mine, theirs: not mine or (theirs is not None and theirs <= mine)
     assert got == {q[0]: sum(fits(q[1], x[4]) and fits(q[4], x[7]) and (not q[5] or q[5] == x[1]) for x in offers) for q in profiles}
+
+
+def test_manifest_of_reordered_rows_has_no_fixed_partitions(spark, sf):
+    from offerloom import plans, registry
+
+    plans.load()
+    text = plan(registry.QUERIES["snk09_dataset_manifest"](spark, sf))
+    assert "REBALANCE_PARTITIONS_BY_COL" in text and "REPARTITION_BY_NUM" not in text
