@@ -141,12 +141,15 @@ def _sorted_by(df: DataFrame, order):
     return df, names, sort
 
 
-def row_numbers(df: DataFrame, group, order, out: str = "row_number", hot_rows: int = HOT_ROWS) -> DataFrame:
+def row_numbers(df: DataFrame, group, order, out: str = "row_number", hot_rows: int = HOT_ROWS, reread: bool = False) -> DataFrame:
     """Row number within each group, ordered by ``order`` = [(column, descending)], numbers or texts; nulls come last in descending
     columns and first in ascending ones.
 
     A group too large for one task is cut by the first order column; where one value of it is still
     too large, by the next one. Bands of several values are never cut by a later column.
+
+    ``reread``: the frame gives the same rows whenever it is read, so it is read again instead of written, and columns that
+    nobody asks for are not moved.
     """
     group = list(group)
     signed, names, sort = _sorted_by(df, order)
@@ -159,7 +162,7 @@ def row_numbers(df: DataFrame, group, order, out: str = "row_number", hot_rows:
             work = work.drop(f"_b{i}")
             break
         any_split = True
-        work = materialise(work)
+        work = work if reread else materialise(work)
         bands.append(f"_b{i}")
     w = Window.partitionBy(*group, *bands).orderBy(*sort)
     if not any_split:
@@ -170,12 +173,12 @@ def row_numbers(df: DataFrame, group, order, out: str = "row_number", hot_rows:
         *[F.col(c).alias(f"_s_{c}") for c in group + bands],
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
     )
+    offsets = offsets.filter("_off > 0")  # groups that were cut, a row per band: bounded, see _hot_bounds
     cond = F.lit(True)
     for c in group + bands:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
-    return work.join(offsets, cond).withColumn(out, (F.row_number().over(w) + F.col("_off")).cast("int")).select(
-        *df.columns, out
-    )
+    number = F.row_number().over(w) + F.coalesce("_off", F.lit(0))
+    return work.join(F.broadcast(offsets), cond, "left").withColumn(out, number.cast("int")).select(*df.columns, out)
 
 
 def present(df: DataFrame, value: str) -> DataFrame:

@@ -42,9 +42,9 @@ def group_split(df: DataFrame, group: str, test_share: float = 0.15, seed: int =
 
 
 def stratified_parts(df: DataFrame, label: str, key: str, shares=(0.70, 0.15, 0.15), seed: int = SEED, hot_rows: int = prefix.HOT_ROWS) -> DataFrame:
-    """Adds ``part`` 0, 1, 2...: exact shares within each class, by seeded hash order of the key."""
+    """Adds ``part`` 0, 1, 2...: exact shares within each class, by seeded hash order of the key. The frame is read several times."""
     hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)).cast("double")).withColumn("_k", F.xxhash64(F.col(key)))
-    ranked = prefix.row_numbers(hashed, [label], [("_h", False), ("_k", False)], "_rn", hot_rows)
+    ranked = prefix.row_numbers(hashed, [label], [("_h", False), ("_k", False)], "_rn", hot_rows, reread=True)
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
     at, part = 0.0, None
     for i, s in enumerate(shares[:-1]):
@@ -52,7 +52,7 @@ def stratified_parts(df: DataFrame, label: str, key: str, shares=(0.70, 0.15, 0.
         hit = F.col("_rn") <= F.round(F.col("_n") * at)
         part = F.when(hit, i) if part is None else part.when(hit, i)
     sizes = sizes.withColumnRenamed(label, "_l")
-    return ranked.join(sizes, F.col(label).eqNullSafe(F.col("_l"))).withColumn("part", part.otherwise(len(shares) - 1)).select(*df.columns, "part")
+    return ranked.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_l"))).withColumn("part", part.otherwise(len(shares) - 1)).select(*df.columns, "part")
 
 
 def group_folds(df: DataFrame, group: str, folds: int = 3, seed: int = SEED, hot_rows: int = prefix.HOT_ROWS) -> DataFrame:
@@ -67,9 +67,9 @@ def group_folds(df: DataFrame, group: str, folds: int = 3, seed: int = SEED, hot
 
 def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 3, seed: int = SEED, hot_rows: int = prefix.HOT_ROWS) -> DataFrame:
     """Adds ``fold``: the rows of each class (null is one), in seeded hash order of the key, are dealt one after the other, so folds differ by one row
-    of a class at most."""
+    of a class at most. The frame is read several times."""
     hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)).cast("double")).withColumn("_k", F.xxhash64(F.col(key)))
-    ranked = prefix.row_numbers(hashed, [label], [("_h", False), ("_k", False)], "_rn", hot_rows)
+    ranked = prefix.row_numbers(hashed, [label], [("_h", False), ("_k", False)], "_rn", hot_rows, reread=True)
     return ranked.select(*df.columns, F.pmod(F.col("_rn") - 1, F.lit(folds)).cast("int").alias("fold"))
 
 
@@ -143,7 +143,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def with_weights(df: DataFrame, label: str) -> DataFrame:
     w = class_weights(df, label).select(F.col(label).alias("_l"), "weight")
-    return df.join(w, df[label].eqNullSafe(w["_l"])).drop("_l")
+    return df.join(F.broadcast(w), df[label].eqNullSafe(w["_l"])).drop("_l")  # a row per class; the rows stay where they are
 
 
 def assemble(numeric, categorical, text=(), min_count: int = 5, max_categories: int = 50, terms: int = 200) -> list:
@@ -166,10 +166,20 @@ def classifier(kind: str = "forest", weight: str | None = "weight", seed: int =
     return RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed, **extra, **params)
 
 
+#: Most rows of a partition that a forest keeps in memory as binned features.
+PARTITION_ROWS = 25_000
+
+
+def spread(df: DataFrame, rows: int = PARTITION_ROWS) -> DataFrame:
+    """As many partitions as the rows need: files of few bytes may hold many rows."""
+    need = -(-df.count() // rows)
+    return df.repartition(need) if need > df.rdd.getNumPartitions() else df
+
+
 def train_classifier(df: DataFrame, numeric, categorical, target: str, kind: str = "forest", text=(), **params):
     """(fitted pipeline, labels). Classes are weighted inversely to their size. The pipeline takes raw rows, also after it was saved and loaded."""
     coded, labels = encode_target(df, target)
-    data = with_weights(coded, "label")
+    data = spread(with_weights(coded, "label"))
     model = Pipeline(stages=[*assemble(numeric, categorical, text), classifier(kind, **params)]).fit(data)
     return model, labels
 

@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import Window, functions as F
 
-from offerloom.operators import recommend
+
+from offerloom.operators import drift, prefix, recommend, similar, stages, train
 
 
 def plan(df):
@@ -35,3 +38,49 @@ def test_manifest_of_reordered_rows_has_no_fixed_partitions(spark, sf):
     plans.load()
     text = plan(registry.QUERIES["snk09_dataset_manifest"](spark, sf))
     assert "REBALANCE_PARTITIONS_BY_COL" in text and "REPARTITION_BY_NUM" not in text
+
+
+def test_folds_and_parts_move_no_other_columns(spark):
+    d = spark.range(4000).selectExpr("id", "id % 2 AS label", "id % 1500 AS key", "concat('unused', id) AS wide")
+    for f in (lambda hot: train.stratified_folds(d, "label", "key", hot_rows=hot).groupBy("label", "fold"), lambda hot: train.stratified_parts(d, "label", "key", hot_rows=hot).groupBy("label", "part")):
+        split = f(100).count()
+        assert "unused" not in plan(split) and "Scan parquet" not in plan(split)
+        assert sorted(map(tuple, split.collect())) == sorted(map(tuple, f(10**6).count().collect()))
+
+
+def test_baseline_sample_orders_few_rows(spark):
+    d = spark.range(5000).selectExpr("cast(id % 700 AS double) AS a", "CASE WHEN id % 3 > 0 THEN cast(id AS double) END AS b", "id % 4900 AS k")
+    _, drawn = drift.drift_baseline(d, ["a", "b"], sample=40)
+    assert "shiftright" in plan(drawn)
+    whole = prefix.unpivot(d.withColumn("_h", F.xxhash64("a", "b", "k", F.lit(42))), ["a", "b"], ["_h"]).filter("value IS NOT NULL")
+    w = Window.partitionBy("feature").orderBy("_h", "value")
+    assert rows(drawn, "feature", "value") == rows(whole.withColumn("n", F.row_number().over(w)).filter("n <= 40"), "feature", "value")
+    assert drift.drift_baseline(d, ["a", "b"], sample=10**6)[1].count() == 5000 + 3333
+
+
+def test_terms_of_equal_count_are_kept_by_name(spark):
+    d = spark.createDataFrame([(["b", "a", "c"],), (["c", "d"],), (None,)], "t array<string>")
+    model = stages.FrequentTerms(inputCol="t", outputCol="n", vocabSize=3).fit(d)
+    assert model.vocabulary == ["c", "a", "b"]
+
+
+def test_training_rows_get_partitions(spark):
+    d = spark.range(1000).coalesce(1)
+    assert train.spread(d, 100).rdd.getNumPartitions() == 10 and train.spread(d, 1000).rdd.getNumPartitions() == 1
+
+
+def test_the_best_of_a_block_are_picked_without_ordering_it(monkeypatch):
+    import pandas as pd
+
+    def no_sort(*_, **__):
+        raise AssertionError("whole block ordered")
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, size=(60, 3)).astype(float)  # many ties
+    items, queries = pd.DataFrame({"item_id": range(60), "v": list(v)}), pd.DataFrame({"query_id": range(60), "v": list(v)})
+    monkeypatch.setattr(np, "argsort", no_sort)
+    for metric in ("cosine", "l2"):
+        got = similar._search(4, metric, True)(items, queries)
+        for q in range(60):
+            near = {i: v[q] @ v[i] if metric == "cosine" else -np.sqrt(((v[q] - v[i]) ** 2).sum()) for i in range(60) if i != q}
+            assert list(got[got.query_id == q].item_id) == sorted(near, key=lambda i: (-round(near[i], 9), i))[:4]
