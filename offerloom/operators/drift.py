@@ -175,10 +175,15 @@ def drift_baseline(df: DataFrame, features, sample: int = 10000, seed: int = 42,
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"), F.count("*").alias("n"),
     ).join(med, "feature")
-    # the row limit per feature is what the sample is; it is applied before and after the shuffle
-    rows = prefix.unpivot(df.withColumn("_h", F.xxhash64(*[F.col(c) for c in sorted(df.columns)], F.lit(seed))), features, ["_h"])
+    # hashes are counted by their first 16 bits, so only rows up to the step of the sample's last one are ordered
+    rows = prefix.unpivot(df.withColumn("_h", F.xxhash64(*[F.col(c) for c in sorted(df.columns)], F.lit(seed))), features, ["_h"]).filter(F.col("value").isNotNull())
+    step = F.shiftright("_h", 48)
+    counts = rows.groupBy("feature", step.alias("_s")).agg(F.count("*").alias("c"))
+    upto = counts.withColumn("c", F.sum("c").over(Window.partitionBy("feature").orderBy("_s")))
+    last = upto.groupBy("feature").agg(F.min(F.when(F.col("c") >= sample, F.col("_s"))).alias("_last"))  # a row per feature
+    near = rows.join(F.broadcast(last), "feature").filter(F.col("_last").isNull() | (step <= F.col("_last")))
     w = Window.partitionBy("feature").orderBy("_h", "value")
-    drawn = rows.filter(F.col("value").isNotNull()).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= sample)
+    drawn = near.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= sample)
     return stats, drawn.select("feature", "value")
 
 
