@@ -6,7 +6,7 @@ import json
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol, HasOutputCols
@@ -64,6 +64,26 @@ class RareCategoryModel(Model, _PoolParams):
         return out
 
 
+class FrequentTerms(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Counts the ``vocabSize`` most frequent terms (ties by name). Terms are counted by a grouping that spills instead of a cache of
+    all terms; its model is Spark's own."""
+
+    vocabSize = Param(Params._dummy(), "vocabSize", "most terms kept", typeConverter=TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None, vocabSize=200):
+        super().__init__()
+        self._setDefault(vocabSize=200)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> CountVectorizerModel:
+        seen = dataset.select(F.explode(self.getInputCol()).alias("t")).groupBy("t").count()
+        terms = [r["t"] for r in seen.orderBy(F.desc("count"), "t").limit(self.getOrDefault(self.vocabSize)).collect()]
+        if not terms:
+            raise ValueError("no terms to count")
+        return CountVectorizerModel.from_vocabulary(terms, inputCol=self.getInputCol(), outputCol=self.getOutputCol())
+
+
 class SmoothIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Weighs term counts by the smoothed inverse document frequency plus one; its model is a plain product, which Spark saves itself."""
 
@@ -84,6 +104,6 @@ def text_stages(col: str, terms: int = 200, out: str = "text") -> list:
         RegexTokenizer(inputCol=f"{col}__s", outputCol=f"{col}__w", pattern=r"[\p{L}\p{N}]{2,}", gaps=False, toLowercase=True),
         StopWordsRemover(inputCol=f"{col}__w", outputCol=f"{col}__f"), NGram(n=2, inputCol=f"{col}__f", outputCol=f"{col}__g"),
         SQLTransformer(statement=f"SELECT *, concat({col}__f, {col}__g) AS {col}__t FROM __THIS__"),
-        CountVectorizer(inputCol=f"{col}__t", outputCol=f"{col}__c", vocabSize=terms), SmoothIdf(inputCol=f"{col}__c", outputCol=f"{col}__x"),
+        FrequentTerms(inputCol=f"{col}__t", outputCol=f"{col}__c", vocabSize=terms), SmoothIdf(inputCol=f"{col}__c", outputCol=f"{col}__x"),
         Normalizer(inputCol=f"{col}__x", outputCol=out, p=2.0),
     ]
