@@ -38,23 +38,30 @@ def _search(k: int, metric: str, drop_self: bool):
         a = np.stack(items["v"].to_numpy())
         ids = items["item_id"].to_numpy()
         m = min(k, len(ids))
+        a2 = (a * a).sum(1)
         out = []
         for at in range(0, len(queries), CHUNK):
             part = queries.iloc[at: at + CHUNK]
             b, qids = np.stack(part["v"].to_numpy()), part["query_id"].to_numpy()
-            # rounded, so that equal items are equally close in whichever block they lie
-            if metric == "cosine":
-                close = np.round(b @ a.T, 12)
-            else:
-                d2 = (b * b).sum(1)[:, None] + (a * a).sum(1)[None, :] - 2 * (b @ a.T)
-                close = -np.sqrt(np.maximum(np.round(d2, 9), 0.0))
-            if drop_self:
-                close = np.where(qids[:, None] == ids[None, :], -np.inf, close)
-            pick = np.argsort(-close, axis=1, kind="stable")[:, :m]
-            out.append(pd.DataFrame({
-                "query_id": np.repeat(qids, m), "item_id": ids[pick].ravel(),
-                "closeness": np.take_along_axis(close, pick, 1).ravel(),
-            }))
+            close = b @ a.T
+            if metric != "cosine":
+                close *= 2
+                close -= a2[None, :]
+                close -= (b * b).sum(1)[:, None]
+            if not np.isfinite(close.sum()):
+                close[np.isnan(close)] = -np.inf
+            if drop_self and part["query_id"].isin(ids).any():
+                close[qids[:, None] == ids[None, :]] = -np.inf
+            # rounded, so that equal items are equally close in whichever block they lie; only what may be among the best is ordered
+            digits = 12 if metric == "cosine" else 9
+            least = np.partition(close, len(ids) - m, axis=1)[:, len(ids) - m]
+            row, col = np.nonzero(close >= (least - 2.0 * 10.0 ** -digits)[:, None])
+            near = np.round(close[row, col], digits)
+            near = near if metric == "cosine" else -np.sqrt(np.maximum(-near, 0.0))
+            order = np.lexsort((col, -near, row))
+            row, col, near = row[order], col[order], near[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < m
+            out.append(pd.DataFrame({"query_id": qids[row[best]], "item_id": ids[col[best]], "closeness": near[best]}))
         found = pd.concat(out)
         return found[np.isfinite(found["closeness"])]
 
