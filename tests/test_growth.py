@@ -84,3 +84,25 @@ def test_the_best_of_a_block_are_picked_without_ordering_it(monkeypatch):
         for q in range(60):
             near = {i: v[q] @ v[i] if metric == "cosine" else -np.sqrt(((v[q] - v[i]) ** 2).sum()) for i in range(60) if i != q}
             assert list(got[got.query_id == q].item_id) == sorted(near, key=lambda i: (-round(near[i], 9), i))[:4]
+
+
+def test_pairs_of_a_holdout_leave_the_join_as_they_are(spark, monkeypatch):
+    """None is written or moved; blocks of any size, repeated and null items give the share that brute force gives."""
+    monkeypatch.setattr(recommend, "BLOCK", 7)
+    monkeypatch.setattr(recommend, "ITEMS", 11)
+    rng = random.Random(4)
+    offers = [(rng.choice([None, *range(90)]), "A", "M", "x", rng.choice([None, 2.0, 3.0]), 6.0, 80.0, rng.choice([None, -3.0, 5.0, 9.99])) for _ in range(200)]
+    profiles = [(i % 50, rng.choice([None, 2.5, float("nan")]), None, None, rng.choice([None, 5.0, 9.99]), rng.choice([None, "A", "B"]), None, None) for i in range(60)]
+    o = spark.createDataFrame(offers, "offer_id int, country string, degree_level string, program_category string, gpa_min double, ielts_min double, toefl_min double, tuition double")
+    p = spark.createDataFrame(profiles, "profile_id int, gpa double, ielts double, toefl double, budget double, country string, degree_level string, program_category string")
+    out = recommend.holdout_truth(p, o, 0.2, "profile_id", "offer_id")
+    above = [part.split("SortMergeJoin")[0] for part in plan(out).split("AdaptiveSparkPlan")[1:2]]
+    assert above and "Exchange" not in above[0] and "_rn" not in plan(out)
+    u = {r["offer_id"]: r["u"] for r in o.select("offer_id", recommend._uniform(F.col("offer_id"), 42).alias("u")).distinct().collect()}
+    top = lambda x: float("inf") if x is None else x
+    want = []
+    for q in profiles:
+        fit = [x[0] for x in offers if (not q[1] or q[1] != q[1] or top(x[4]) <= q[1]) and (not q[4] or top(x[7]) <= q[4]) and (not q[5] or q[5] == x[1])]
+        want += [(q[0], i) for i in sorted(fit, key=u.get)[: max(1, int(0.2 * len(fit))) if fit else 0]]
+    key = lambda t: (t[0], t[1] is None, t[1] or 0)
+    assert sorted((tuple(r) for r in out.collect()), key=key) == sorted(want, key=key)
