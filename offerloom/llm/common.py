@@ -79,6 +79,20 @@ def meet_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, wh
     return cold if not hot else cold.unionByName(joined(left.filter(is_hot), F.broadcast(right.filter(is_hot))))
 
 
+@F.arrow_udf(BinaryType())
+def zipped(text: pa.Array) -> pa.Array:
+    """Bytes compressed, null for null."""
+    c = zstandard.ZstdCompressor(level=3)
+    return pa.array([None if t is None else c.compress(t) for t in text.to_pylist()], pa.binary())
+
+
+@F.arrow_udf(BinaryType())
+def unzipped(z: pa.Array) -> pa.Array:
+    """What ``zipped`` compressed."""
+    d = zstandard.ZstdDecompressor()
+    return pa.array([None if t is None else d.decompress(t) for t in z.to_pylist()], pa.binary())
+
+
 def documents_by_key(docs: DataFrame, name: str) -> DataFrame:
     """The documents as (k, dup, doc_id, z, given, rest) in buckets of k and dup.
 

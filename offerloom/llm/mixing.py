@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import join_hot, keep
+from offerloom.llm.common import join_hot, keep, text_batches, unzipped, zipped
 
 #: Tables of at most so many rows (sources), or so many and 250,000 more (blocks), of a few numbers each are broadcast.
 MOST_BROADCAST = 50_000
@@ -139,14 +139,15 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: one row per copy taken, with the columns of ``docs``; of a part the text has the first words only.
 
     Rows lie by shard and, within it, in the order of a hash of copy and document. Documents without words are in the mix once if
-    their block is.
+    their block is. Texts are compressed while they move to their shards.
     """
+    text_batches(docs.sparkSession)
     out = plan_mix(docs, docs.columns, **options)
     ends = F.transform("shards", lambda s, i: F.struct(s.alias("shard"), i.alias("copy"), (i < F.col("full")).alias("whole")))
     out = out.select("*", F.explode(ends).alias("c")).filter(F.col("c.whole") | (F.col("part") > 0))
     text = F.col("doc.text").cast("string")
     some = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), F.lit(1), F.greatest("part", F.lit(1)).cast("int")), " ")
-    out = out.withColumn("text", F.when(F.col("c.whole") | (F.col("part") == F.col("size")), text).otherwise(some))
+    out = out.withColumn("z", zipped(F.when(F.col("c.whole") | (F.col("part") == F.col("size")), text).otherwise(some).cast("binary")))
     lie = F.xxhash64(F.lit(23), "place", "c.copy")
     out = out.repartition("c.shard").sortWithinPartitions("c.shard", lie)
-    return out.select(*[F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])
+    return out.select(*[unzipped("z").cast("string").alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])

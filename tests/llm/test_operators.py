@@ -376,3 +376,16 @@ def test_many_rows_of_one_doc_id(spark):
     data = suffix.remove_repeated_bytes(d).filter("n_bytes > 100").collect()
     assert [r.n_removed for r in data] == [len(long_)] * 2
     assert lines.remove_repeated_lines(d).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_mixed_texts_move_compressed(spark):
+    rows = [(i, f"s{i % 3}", None if i % 7 == 0 else "" if i % 5 == 0 else f"퟿ word{i} " * 30) for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mixed = mixing.mix(d, shards=4, least_block=200)
+    text = mixed._jdf.queryExecution().executedPlan().toString()
+    moved = next(x for x in text.split("\n") if "Exchange hashpartitioning" in x and "shard" in x)
+    assert "zipped" in text[text.index(moved):] and "unzipped" in text[: text.index(moved)]
+    whole = {(i, s): t for i, s, t in rows}
+    got = mixed.collect()
+    assert len(got) > 80 and sum(whole[r.doc_id, r.source] != r.text for r in got) <= 3  # of a source one document is cut
+    assert all(r.text is None or r.text == whole[r.doc_id, r.source] or whole[r.doc_id, r.source].replace("  ", " ").strip().startswith(r.text) for r in got)
