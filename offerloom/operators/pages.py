@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from offerloom.functions import columns as C, fixed
 from offerloom.session import materialise
 
-DROPPED = r"(?is)<(script|style)(\s[^>]*)?>.*?</\1\s*>"
+DROPPED = r"(?is)<(?:(script|style)(\s[^>]*)?>.*?</\1\s*>|!--.*?-->)"  # comments, too
 DROPPED_TAGS = ("nav", "footer", "header")
 ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 ANCHOR = r"(?is)<a\s[^>]*>.*?</a>"
@@ -41,9 +41,14 @@ def unescape(c: Column) -> Column:
     return C.bind(c, decode)
 
 
+def _step(p: Column) -> Column:
+    """What a piece's first tag adds to the depth."""
+    return F.when(~p.startswith("<"), 0).when(p.startswith("</"), -1).when(p.rlike(r"^<[^>]*/>"), 0).otherwise(1)
+
+
 def _depths(pieces: Column, start: int = 0) -> Column:
     """Depth after each piece's first tag; pieces begin with an opening or a closing tag or with none."""
-    step = lambda p: F.when(p.rlike("^</"), -1).when(p.rlike(r"^<[^>]*/>"), 0).when(p.startswith("<"), 1).otherwise(0)
+    step = _step
     last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(start))
     return F.aggregate(pieces, F.array().cast("array<int>"), lambda a, p: F.array_append(a, F.greatest(last(a) + step(p), F.lit(0))))
 
@@ -59,7 +64,7 @@ def without_blocks(html: Column, tags=DROPPED_TAGS) -> Column:
 
 def plain_text(html) -> Column:
     """Visible text: blocks without content dropped, tags to blanks, entities decoded, whitespace collapsed."""
-    t = without_blocks(F.regexp_replace(C._c(html), rf"{DROPPED}|(?s)<!--.*?-->", " "))
+    t = without_blocks(F.regexp_replace(C._c(html), DROPPED, " "))
     t = F.regexp_replace(t, r"<[^>]+>", " ")
     return C.strip(F.regexp_replace(unescape(t), r"[ \t\n\r\f\v]{2,}|[\t\n\r\f\v]", " "))
 
@@ -291,11 +296,11 @@ def _degree_of(t: Column) -> Column:
 def offer_fields(html, text) -> dict[str, Column]:
     """Title, fees and test scores as expressions over a page's html and lower-cased text."""
     t = C._c(text)
-    none = lambda c: F.when(c != "", c)
+    none = lambda c: F.nullif(c, F.lit(""))  # worked out once, as in a condition and its result it would be twice
     money = r"(?:£|\$|€|sgd|usd|gbp)\s*([0-9,]+)"
-    plus = lambda c: F.when(c != "", F.concat(c, F.lit("+")))
+    plus = lambda c: F.concat(none(c), F.lit("+"))
     return {
-        "program_name": C.blank_to_null(unescape(F.regexp_replace(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"<[^>]+>", ""))),
+        "program_name": none(C.strip(unescape(F.regexp_replace(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"<[^>]+>", "")))),
         "fee_domestic": none(F.regexp_extract(t, r"(?s)domestic.*?" + money, 1)),
         "fee_international": none(F.regexp_extract(t, r"(?s)international.*?" + money, 1)),
         "ielts_score": plus(F.regexp_extract(t, r"ielts\s*[:\-]?\s*([0-9.]+)", 1)),
@@ -315,9 +320,13 @@ BOX_FIELDS = ("duration", "tuition_fee_summary", "degree_type", "study_level")
 
 def _first_element(piece: Column) -> Column:
     """What the element that opens the piece encloses, tags inside it included."""
+    def deeper(s, p):  # the depth, -1 once the element has closed, and how many pieces lie in it
+        return F.when(s["depth"] < 0, s).otherwise(C.bind(F.greatest(s["depth"] + _step(p), F.lit(0)), lambda d: F.struct(
+            F.when(d == 0, -1).otherwise(d).alias("depth"), (s["n"] + F.when(d == 0, 0).otherwise(1)).alias("n"))))
+
     def cut(tags):
-        end = F.array_position(_depths(tags), F.lit(0))  # where the element closes
-        return F.array_join(F.when(end > 0, F.slice(tags, F.lit(1), F.greatest(end.cast("int") - 1, F.lit(0)))).otherwise(tags), "")
+        begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"))
+        return F.array_join(F.slice(tags, F.lit(1), F.aggregate(tags, begin, deeper, lambda s: s["n"])), "")
 
     return C.bind(F.split(piece, BOX_TAG), cut)
 

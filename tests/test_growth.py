@@ -106,3 +106,12 @@ def test_pairs_of_a_holdout_leave_the_join_as_they_are(spark, monkeypatch):
         want += [(q[0], i) for i in sorted(fit, key=u.get)[: max(1, int(0.2 * len(fit))) if fit else 0]]
     key = lambda t: (t[0], t[1] is None, t[1] or 0)
     assert sorted((tuple(r) for r in out.collect()), key=key) == sorted(want, key=key)
+
+
+def test_fields_of_a_page_are_worked_out_once(spark):
+    from offerloom.operators import pages
+
+    d = spark.createDataFrame([("u", "<h1>A</h1><li class=detail-box><span class=value>2<li>3</li></span></li></li>4 PTE: 55 <!-- PTE: 66 -->")], "url string, html string")
+    out = pages.extract_offer_fields(d)
+    assert plan(out).count("pte\\s*") == 1
+    assert out.select("program_name", "pte_score", "ielts_score").first() == ("A", "55+", None)
