@@ -15,9 +15,11 @@ from __future__ import annotations
 import uuid
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructType
@@ -37,6 +39,8 @@ _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], U
 _MIX, _NODE, _LAST = U(0xFF51AFD7ED558CCD), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 #: Classes on the way to a leaf that look at the context: below them, a class holds a few thousandths of all tokens at most.
 _CONTEXT = 8
+#: Bytes of text whose words are looked up together.
+_TEXT_BYTES = 8 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -44,6 +48,31 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def _words(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """``words_of`` a batch of texts, each with its end: (the distinct tokens, the place there of every token, the number of tokens of each text)."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+    n, words = np.diff(parts.offsets.to_numpy()), parts.flatten()
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at the ends leaves empty parts
+    if not full.all():
+        words, n = words.filter(pa.array(full)), np.bincount(np.repeat(np.arange(len(n)), n)[full], minlength=len(n))
+    told = words.cast(pa.binary()).dictionary_encode()
+    at = np.insert(told.indices.to_numpy(), np.cumsum(n), len(told.dictionary))
+    return pa.concat_arrays([told.dictionary, pa.array([END], pa.binary())]), at, n + 1
+
+
+def _gathered(batches):
+    """Batches of (text, ...) joined until they have ``_TEXT_BYTES`` of text."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b["text"].nbytes
+        if size >= _TEXT_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def shared_leaf(word: bytes, leaves: int) -> int:
     """The shared leaf of a word that has none of its own: by its last two bytes and its length."""
     return zlib.crc32(b"%d %s" % (min(len(word), 30), word[-2:])) % leaves
@@ -67,6 +96,13 @@ class Classes:
     bias: np.ndarray
     rest: np.ndarray
 
+    @cached_property
+    def ways(self) -> np.ndarray:
+        """The first ``_CONTEXT`` steps of every leaf's path, -1 after its end."""
+        level = np.arange(_CONTEXT)
+        at = np.minimum(self.start[:, None] + level, max(0, len(self.path) - 1))
+        return np.where(level < self.depth[:, None], self.path[at] if len(self.path) else -1, -1).astype(np.int32)
+
     @classmethod
     def of(cls, mass: np.ndarray) -> Classes:
         order = np.argsort(-mass, kind="stable")
@@ -113,6 +149,19 @@ def features(leaf: np.ndarray, first: np.ndarray) -> np.ndarray:
     return ((told * _MIX) >> U(32)).astype(np.uint32)
 
 
+def _shift(weights: np.ndarray) -> np.uint32:
+    return np.uint32(32 - len(weights).bit_length() + 1)
+
+
+def _places(at: np.ndarray, shift: np.uint32) -> np.ndarray:
+    """Places of the weights of hashes (feature, class); changes ``at``."""
+    at *= _LAST
+    at ^= at >> np.uint32(15)
+    at *= _NODE
+    at >>= shift
+    return at.astype(np.int64)
+
+
 def _steps(classes: Classes, leaf: np.ndarray, told: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """The first ``_CONTEXT`` classes on the ways of a batch: (token, half taken, places of the weights by feature, log odds of the second half)."""
     n = np.minimum(classes.depth[leaf], _CONTEXT)
@@ -121,31 +170,34 @@ def _steps(classes: Classes, leaf: np.ndarray, told: np.ndarray, weights: np.nda
     node = step >> 1
     z = classes.bias[node]
     code = node.astype(np.uint32) * _NODE
-    shift = np.uint32(32 - len(weights).bit_length() + 1)
     places = []
     for t in told:
         at = np.repeat(t, n)
         at ^= code
-        at *= _LAST
-        at ^= at >> np.uint32(15)
-        at *= _NODE
-        at >>= shift
-        places.append(at.astype(np.int64))
+        places.append(_places(at, _shift(weights)))
         z += weights[places[-1]]
     return token, step & 1, places, z
 
 
-def log_probability(classes: Classes, weights: np.ndarray, leaf: np.ndarray, told: np.ndarray, batch: int = 8192) -> np.ndarray:
+def log_probability(classes: Classes, weights: np.ndarray, leaf: np.ndarray, told: np.ndarray, batch: int = 4096) -> np.ndarray:
     """log10 of the probability of each token's leaf."""
     out = np.zeros(len(leaf))
+    if not len(classes.bias):
+        return out + classes.rest[leaf]
+    shift = _shift(weights)
     for i in range(0, len(leaf), batch):
-        token, second, _, z = _steps(classes, leaf[i : i + batch], told[:, i : i + batch], weights)
-        z[second == 0] *= -1
-        np.negative(z, out=z)
+        step = classes.ways[leaf[i : i + batch]]
+        node = step >> 1
+        z = classes.bias[node]
+        code = node.astype(np.uint32) * _NODE
+        for t in told[:, i : i + batch]:
+            z += weights[_places(t[:, None] ^ code, shift)]
+        z = np.where(step & 1, -z, z)
         np.minimum(z, 60, out=z)
+        z[step < 0] = -np.inf
         np.exp(z, out=z)
         np.log1p(z, out=z)
-        out[i : i + batch] = np.bincount(token, z, min(batch, len(leaf) - i)) / -np.log(10)
+        out[i : i + batch] = z.sum(axis=1, dtype=np.float64) / -np.log(10)
     return out + classes.rest[leaf]
 
 
@@ -243,16 +295,24 @@ def score(docs: DataFrame, held_out: Column, columns: list[str], vocabulary: int
     some = docs.select(F.struct(*columns).alias("doc"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
 
     def count(batches):
-        seen: dict[bytes, int] = {}
-        for b in batches:
-            for t in b["text"].to_pylist():
-                for w in words_of(t):
-                    seen[w] = seen.get(w, 0) + 1
-                seen[END] = seen.get(END, 0) + 1
-            if len(seen) > 300_000:
-                yield pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-                seen = {}
-        yield pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+        def summed():
+            t = pa.table({"word": pa.concat_arrays(words), "c": np.concatenate(numbers)}).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            return pa.record_batch([t["word"].combine_chunks(), t["c_sum"].combine_chunks()], names=["word", "c"])
+
+        words, numbers = [], []
+        for b in _gathered(batches):
+            word, at, _ = _words(b["text"])
+            words.append(word)
+            numbers.append(np.bincount(at, minlength=len(word)))
+            if sum(map(len, numbers)) > 1_000_000:
+                got = summed()
+                if got.num_rows > 300_000:
+                    yield got
+                    words, numbers = [], []
+                else:
+                    words, numbers = [got["word"]], [got["c"].to_numpy()]
+        if words:
+            yield summed()
 
     counts = some.filter(~F.col("held_out")).select("text").mapInArrow(count, "word binary, c long")
     counts = keep(counts.groupBy("word").agg(F.sum("c").alias("c")), "lm_counts")
@@ -312,27 +372,18 @@ def _encoded(some: DataFrame, told, shared: int, rounds: int) -> DataFrame:
     texts = some.withColumn("row", F.monotonically_increasing_id())
 
     def run(batches):
-        leaf = {w: i + shared for i, w in enumerate(told.value)}
-        for b in batches:
-            ids, ends, words, numbers, cuts = [], [0], [], [], [0]
-            for t in b["text"].to_pylist():
-                ws = words_of(t)
-                ws.append(END)
-                x = list(map(leaf.get, ws))
-                rare: dict[bytes, int] = {}
-                if None in x:
-                    for i, y in enumerate(x):
-                        if y is None:
-                            w = ws[i]
-                            x[i] = shared_leaf(w, shared)
-                            rare[w] = rare.get(w, 0) + 1
-                ids += x
-                ends.append(len(ids))
-                words += rare
-                numbers += rare.values()
-                cuts.append(len(words))
-            listed = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(numbers, pa.int32())], names=["word", "n"])
-            yield pa.record_batch([b["row"], b["doc"], b["held_out"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), listed)], names=["row", "doc", "held_out", "ids", "rare"])
+        own = pa.array(told.value, pa.binary())
+        for b in _gathered(batches):
+            word, at, n = _words(b["text"])
+            leaf = pc.fill_null(pc.index_in(word, value_set=own), -1 - shared).to_numpy() + shared
+            lacking = leaf < 0
+            rare = np.flatnonzero(lacking[at])
+            of, numbers = np.unique(np.repeat(np.arange(len(n)), n)[rare] * len(word) + at[rare], return_counts=True)
+            leaf[lacking] = [shared_leaf(w, shared) for w in word.filter(pa.array(lacking)).to_pylist()]
+            ids, ends = leaf[at].astype(np.int32), np.concatenate(([0], np.cumsum(n)))
+            cuts = np.searchsorted(of // len(word), np.arange(len(n) + 1))
+            listed = pa.StructArray.from_arrays([word.take(pa.array(of % len(word))), pa.array(numbers.astype(np.int32))], names=["word", "n"])
+            yield pa.record_batch([b["row"], b["doc"], b["held_out"], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), listed)], names=["row", "doc", "held_out", "ids", "rare"])
 
     schema = texts.select("row", "doc", "held_out").schema
     rare = StructType().add("word", BinaryType()).add("n", IntegerType())

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,16 @@ def test_probabilities_of_all_words_sum_to_one():
             assert np.allclose(p, mass / mass.sum(), rtol=1e-4)
 
 
+def test_words_of_a_batch_are_looked_up_together():
+    texts = [None, "", " ", "a", "A  b\t\n c\x0b\x0cd\re ", "É é Ünd\n", "\x1c x\x85y z\xa0w", " lead a", "a a a"] * 3
+    batches = [pa.record_batch([pa.array(texts[i : i + 4]), pa.array(range(len(texts[i : i + 4])))], names=["text", "i"]) for i in range(0, len(texts), 4)]
+    (joined,) = maxent._gathered(batches)
+    word, at, n = maxent._words(joined["text"])
+    assert len(set(word.to_pylist())) == len(word)
+    assert [word.take(pa.array(x)).to_pylist() for x in np.split(at, np.cumsum(n)[:-1])] == [[*maxent.words_of(t), maxent.END] for t in texts]
+    assert list(maxent._gathered([])) == []
+
+
 def test_gradient_steps_agree_with_plain_ones():
     r = np.random.Generator(np.random.Philox(8))
     classes = maxent.Classes.of(r.integers(1, 50, 40).astype(float))
