@@ -166,14 +166,18 @@ def classifier(kind: str = "forest", weight: str | None = "weight", seed: int =
     return RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed, **extra, **params)
 
 
-#: Most rows of a partition that a forest keeps in memory as binned features.
+#: Most rows of a partition that a forest keeps in memory as binned features, while there are less than ``PARTITIONS_A_CORE`` of them a core.
 PARTITION_ROWS = 25_000
+#: Every level of every tree runs two tasks a partition and each tells the driver about itself; a larger partition that does not fit in memory is kept on disk.
+PARTITIONS_A_CORE = 4
 
 
-def spread(df: DataFrame, rows: int = PARTITION_ROWS) -> DataFrame:
-    """As many partitions as the rows need: files of few bytes may hold many rows."""
-    need = -(-df.count() // rows)
-    return df.repartition(need) if need > df.rdd.getNumPartitions() else df
+def spread(df: DataFrame, rows: int = PARTITION_ROWS, most: int | None = None) -> DataFrame:
+    """As many partitions as the rows need, as files of few bytes may hold many rows, but ``most`` at most: a few for every core of the session,
+    so that what training sends to the driver does not grow with the rows."""
+    most = PARTITIONS_A_CORE * max(4, df.sparkSession.sparkContext.defaultParallelism) if most is None else most
+    need, there = min(-(-df.count() // rows), most), df.rdd.getNumPartitions()
+    return df.repartition(need) if need > there else df.coalesce(most) if there > most else df
 
 
 def train_classifier(df: DataFrame, numeric, categorical, target: str, kind: str = "forest", text=(), **params):

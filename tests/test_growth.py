@@ -67,6 +67,9 @@ def test_terms_of_equal_count_are_kept_by_name(spark):
 def test_training_rows_get_partitions(spark):
     d = spark.range(1000).coalesce(1)
     assert train.spread(d, 100).rdd.getNumPartitions() == 10 and train.spread(d, 1000).rdd.getNumPartitions() == 1
+    most = train.PARTITIONS_A_CORE * max(4, spark.sparkContext.defaultParallelism)
+    assert train.spread(d, 1).rdd.getNumPartitions() == train.spread(spark.range(0, 1000, 1, 300), 1).rdd.getNumPartitions() == most
+    assert train.spread(d, 100, 7).rdd.getNumPartitions() == 7 and train.spread(d, 1).count() == 1000
 
 
 def test_the_best_of_a_block_are_picked_without_ordering_it(monkeypatch):
