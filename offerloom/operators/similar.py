@@ -2,8 +2,8 @@
 
 Items lie in blocks of bounded size around centres, and every block knows how near and how far from its centre its items are. A
 query visits the nearest blocks first, which gives it k items and so a bound; after that only blocks that could hold anything
-nearer, by the triangle inequality, are visited. A block and its queries meet in one task as two matrices, and only the k best per
-query leave the task, so no pair of rows is ever written.
+nearer, by the triangle inequality, are visited. Neighbouring blocks form a few units; a unit and its queries meet in one task, block by
+block as two matrices, and only the k best per query leave the task, so no pair of rows is ever written.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from offerloom.session import materialise
 
 BLOCK = 4096
 CHUNK = 512
+#: Units of neighbouring blocks that a query is sent to, at most, while a unit has less than ``UNIT`` items.
+UNITS = 8
+UNIT = 1 << 17
 
 
 def normalise(df: DataFrame, vector: str) -> DataFrame:
@@ -68,6 +71,26 @@ def _search(k: int, metric: str, drop_self: bool):
     return run
 
 
+def _search_unit(k: int, metric: str, drop_self: bool):
+    """The k best items of every query in the blocks of a unit that it wants to visit."""
+    search = _search(k, metric, drop_self)
+
+    def run(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        wants = queries["wants"].to_numpy()
+        who = np.repeat(np.arange(len(wants)), [len(w) for w in wants])
+        number = np.concatenate([*wants, np.zeros(0, int)]).astype(int)
+        order = np.argsort(number, kind="stable")
+        who, number = who[order], number[order]
+        parts = [search(items.iloc[:0], queries)]
+        for b, at in items.groupby("block").indices.items():
+            parts.append(search(items.iloc[at], queries.iloc[who[slice(*np.searchsorted(number, [b, b + 1]))]]))
+        found = pd.concat([p for p in parts if len(p)] or parts[:1])
+        found = found.sort_values(["query_id", "closeness", "item_id"], ascending=[True, False, True], kind="stable", na_position="first")
+        return found[found.groupby("query_id").cumcount() < k]
+
+    return run
+
+
 def _prepared(df: DataFrame, id_col: str, vector: str, out_id: str, metric: str) -> DataFrame:
     d = df.select(F.col(id_col).alias(out_id), F.col(vector).alias("v")).filter(F.size("v") > 0)
     return normalise(d, "v") if metric == "cosine" else d.withColumn("v", F.col("v").cast("array<double>"))
@@ -97,6 +120,17 @@ class Blocks:
         c = d[:, self.blocks[:, 0].astype(int)]
         return np.maximum(np.maximum(c - slack * self.blocks[:, 4], self.blocks[:, 3] - c), 0.0)
 
+    def units(self, block: int) -> tuple[np.ndarray, int]:
+        """(the unit of each block, the most visitors that meet it at once). Units are runs of blocks along the line on which the centres differ most."""
+        n = self.blocks[:, 2]
+        size = max(block, min(UNIT, -(-int(n.sum()) // UNITS)))
+        centres = np.nan_to_num(self.centres, posinf=0.0, neginf=0.0)
+        line = np.linalg.svd(centres - centres.mean(axis=0), full_matrices=False)[2][0]
+        order = np.argsort((centres @ line)[self.blocks[:, 0].astype(int)], kind="stable")
+        out = np.empty(len(n), int)
+        out[order] = ((np.cumsum(n[order]) - n[order]) // size).astype(int)
+        return out, size
+
 
 @dataclass(frozen=True)
 class Cells:
@@ -150,15 +184,19 @@ def _visits(cells: Cells, queries: DataFrame, k: int, slack: float | None) -> Da
 
 
 def _meet(cells: Cells, queries: DataFrame, visits: DataFrame, k: int, drop_self: bool, block: int) -> DataFrame:
-    """The k best items of every visit; the visitors of a block are cut into blocks, too."""
-    visits = materialise(visits, "visits")
-    plan = visits.groupBy("cell", "ib").agg(F.ceil(F.count("*") / block).cast("int").alias("nq"))  # a row per block
-    q = visits.join(plan, ["cell", "ib"]).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).drop("nq").join(queries.select("query_id", "v"), "query_id")
-    i = cells.items.join(plan, ["cell", "ib"]).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    """The k best items of every query in each unit it visits. A query is sent to a unit once, with the numbers of the blocks it wants; the visitors
+    of a unit are cut by its size, too, so that vectors move as often as there are units, not blocks."""
+    units, size = cells.told.units(block)
+    told = [(int(c), int(i), n, int(u)) for n, ((c, i), u) in enumerate(zip(cells.told.blocks[:, :2], units))]
+    placed = F.broadcast(queries.sparkSession.createDataFrame(told, "cell int, ib int, block int, unit int"))  # a row per block
+    visits = materialise(visits.join(placed, ["cell", "ib"]).groupBy("query_id", "unit").agg(F.collect_list("block").alias("wants")), "visits")
+    plan = F.broadcast(visits.groupBy("unit").agg(F.ceil(F.count("*") / size).cast("int").alias("nq")))  # a row per unit
+    q = visits.join(plan, "unit").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).drop("nq").join(queries.select("query_id", "v"), "query_id")
+    i = cells.items.join(placed, ["cell", "ib"]).join(plan, "unit").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
     kind = dict(cells.items.dtypes)["item_id"], dict(queries.dtypes)["query_id"]
-    g = ["cell", "ib", "qb"]
-    return i.select(*g, "item_id", "v").groupBy(*g).cogroup(q.select(*g, "query_id", "v").groupBy(*g)).applyInPandas(
-        _search(k, cells.metric, drop_self), f"query_id {kind[1]}, item_id {kind[0]}, closeness double"
+    g = ["unit", "qb"]
+    return i.select(*g, "block", "item_id", "v").groupBy(*g).cogroup(q.select(*g, "query_id", "v", "wants").groupBy(*g)).applyInPandas(
+        _search_unit(k, cells.metric, drop_self), f"query_id {kind[1]}, item_id {kind[0]}, closeness double"
     )
 
 

@@ -147,6 +147,34 @@ def test_blocks_that_cannot_hold_a_neighbour_never_meet(spark):
     assert rows(similar.search_cells(cells, q, 5, block=60), "query_id", "rank", "item_id") == exact
 
 
+def test_a_query_is_sent_to_units_not_to_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    items = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(1200, 6)))], "id int, embedding array<double>")
+    i, q = (similar._prepared(items, "id", "embedding", c, "cosine") for c in ("item_id", "query_id"))
+    cells = similar.make_cells(i, similar.some_vectors(i, 30), "cosine", 40)
+    monkeypatch.setattr(similar, "UNITS", 4)
+    units, size = cells.told.units(40)
+    assert size == 300 and len(units) >= 30 and len(set(units)) <= 4
+    assert max(np.bincount(units, cells.told.blocks[:, 2])) < 300 + 40
+    sent, write = [], similar.materialise
+
+    def written(d, name):
+        d = write(d, name)
+        sent.append(d.count())
+        return d
+
+    monkeypatch.setattr(similar, "materialise", written)
+    everywhere = q.select("query_id").crossJoin(spark.createDataFrame([(int(b[0]), int(b[1])) for b in cells.told.blocks], "cell int, ib int"))
+    found = similar._meet(cells, q, everywhere, 5, True, 40)
+    assert sent == [1200 * len(set(units))] and found.count() == 5 * sent[0]
+    best = similar._best(found, 5)
+    v = np.array([r["embedding"] for r in items.orderBy("id").collect()])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    close = v @ v.T
+    np.fill_diagonal(close, -2)
+    assert {(r["query_id"], r["item_id"], r["rank"]) for r in best.collect()} == {(a, int(b), n + 1) for a in range(1200) for n, b in enumerate(np.argsort(-close[a])[:5])}
+
+
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
 def test_recall_of_clustered_search(spark, size):
     from offerloom import registry
