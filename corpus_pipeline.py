@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.llm import lines, minhash, mixing, packing, quality
-from offerloom.llm.common import keep
+from offerloom.llm.common import few_parts, keep
 from offerloom.llm.queries import table, tokenizer
 
 
@@ -39,13 +39,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, the last one of a source in part."""
-    return _measured(mixing.mix(docs), docs.columns)
+    """Documents as often as the mix takes them, the last one of a source in part, by DataFrame functions only."""
+    return _measured(mixing.mix(docs, zip_texts=False), docs.columns)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer(), 2048)
+    return few_parts(packing.pack(docs, tokenizer(), 2048))
 
 
 STAGES = [

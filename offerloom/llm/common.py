@@ -25,6 +25,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_parts(df: DataFrame) -> DataFrame:
+    """Rows of a few numbers in at most four partitions for every core (32 at least), however many there were: every file that is written costs."""
+    return df.coalesce(max(32, 4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
+def keep_light(df: DataFrame, name: str) -> DataFrame:
+    """As ``keep``, of ``few_parts``."""
+    return keep(few_parts(df), name)
+
+
 def keep_bucketed(df: DataFrame, key: str | list[str], name: str) -> DataFrame:
     """As ``keep``, in buckets of ``key``: later joins on it do not move these rows again."""
     keys = [key] if isinstance(key, str) else key

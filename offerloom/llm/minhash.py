@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import documents_by_key, join_hot, keep, meet_hot, mix64, with_texts, word_hashes
+from offerloom.llm.common import documents_by_key, join_hot, keep, keep_light, meet_hot, mix64, with_texts, word_hashes
 
 U = np.uint64
 #: Size of the permuted range that shingles are hashed to, coordinates of a signature, and coordinates in a band.
@@ -99,7 +99,7 @@ def _compare(width: int, percent: int):
 
 def _links(d: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of distinct pairs (centre, row) those whose full shingle sets are similar enough."""
-    pairs = keep(pairs, "pairs")
+    pairs = keep_light(pairs, "pairs")
     size = pairs.groupBy("centre").agg(F.count("*").alias("size"))
     salted = meet_hot(pairs, size, ["centre"], "size").withColumn("salt", F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / STAR)))
     who = reps.select(F.col("row").alias("who"), "k", "dup")
@@ -126,13 +126,13 @@ def _rare_shingles(d: DataFrame, some: DataFrame, width: int, percent: int) -> t
             yield pa.record_batch([pa.array(row), pa.array((np.concatenate(x) if x else np.zeros(0, U)).view(np.int64))], names=["row", "key"])
 
     every = keep(d.select("k", "dup", "z").join(some.select("row", "k", "dup"), ["k", "dup"]).select("row", "z").mapInArrow(each, "row long, key long"), "shingles")
-    often = keep(every.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1"), "often")
+    often = keep_light(every.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1"), "often")
     common = meet_hot(every, often, ["key"], "often")
     own = Window.partitionBy("row")
     common = common.withColumn("place", F.row_number().over(own.orderBy("often", "key"))).withColumn("shared", F.count("*").over(own))
     common = common.withColumn("few", F.count_if(F.col("often") <= FEW).over(own)).join(some.select("row", "n"), "row").withColumn("alone", F.col("n") - F.col("shared"))
     common = common.filter(F.col("place") + F.col("alone") <= F.expr(f"n - ceil(n * {percent} / 100) + 1"))
-    common = keep(common.filter(F.expr(f"100 * (n - alone) >= {percent} * n")), "prefixes")
+    common = keep_light(common.filter(F.expr(f"100 * (n - alone) >= {percent} * n")), "prefixes")
     short = common.filter(F.col("often") <= FEW).select("key", "row", "n", "alone")
     return short, common.filter(F.col("often") > FEW).select("key", "row", "n", (F.col("alone") + F.col("few")).alias("alone"))
 
@@ -143,17 +143,17 @@ def _merged(labels: DataFrame, links: DataFrame, rounds: int = 2) -> DataFrame:
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("row", "y"), "y").groupBy(F.col("x").alias("row")).agg(F.min("c").alias("m"))
         labels = labels.join(near, "row", "left").select("row", F.least("c", "m").alias("c"))
-    return keep(labels, "labels")
+    return keep_light(labels, "labels")
 
 
 def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(row, c): c is the smallest row that links lead to. Labels go along links and then jump to the label's own label."""
-    both = keep(links.select(F.col("centre").alias("x"), F.col("row").alias("y")).unionByName(links.select(F.col("row").alias("x"), F.col("centre").alias("y"))), "both")
+    both = keep_light(links.select(F.col("centre").alias("x"), F.col("row").alias("y")).unionByName(links.select(F.col("row").alias("x"), F.col("centre").alias("y"))), "both")
     c = both.groupBy(F.col("x").alias("row")).agg(F.min("y").alias("y")).select("row", F.least("row", "y").alias("c"))
     while True:
-        c = keep(c, "labels")
+        c = keep_light(c, "labels")
         near = both.join(c.withColumnRenamed("row", "y"), "y").groupBy(F.col("x").alias("row")).agg(F.min("c").alias("m"), F.max("c").alias("most"))
-        step = keep(c.join(near, "row").select("row", F.least("c", "m").alias("c"), ((F.col("m") != F.col("c")) | (F.col("most") != F.col("c"))).alias("uneven")), "labels")
+        step = keep_light(c.join(near, "row").select("row", F.least("c", "m").alias("c"), ((F.col("m") != F.col("c")) | (F.col("most") != F.col("c"))).alias("uneven")), "labels")
         if step.filter("uneven").isEmpty():
             break
         up = step.select(F.col("row").alias("c"), F.col("c").alias("up"))
@@ -193,12 +193,13 @@ def _grouped(d: DataFrame, percent: int, width: int, stars: int) -> DataFrame:
     s = d.select("k", "dup", "doc_id", "z").mapInArrow(_signatures(width), schema).withColumn("row", F.monotonically_increasing_id())
     s = keep(s, "signatures")
     classes = s.filter("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("k", "dup", "row")).alias("f"), F.count("*").alias("size"))
-    classes = keep(classes.select("a", "b", "n", F.col("f.row").alias("rep"), "size"), "classes")
-    reps = keep(s.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "k", "dup", "n", "sig", "bands"), "representatives")
+    classes = keep_light(classes.select("a", "b", "n", F.col("f.row").alias("rep"), "size"), "classes")
+    of_classes = s.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    reps = keep_light(of_classes.select("row", "k", "dup", "n"), "representatives")  # signatures and bands stay where they are
 
-    banded = reps.select("row", "n", F.explode("bands").alias("band"))
-    shared = keep(banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "shared_bands")
-    banded = keep(meet_hot(banded, shared, ["band"], "size", semi=True).select("band", "row", "n"), "bands")
+    banded = of_classes.select("row", "n", F.explode("bands").alias("band"))
+    shared = keep_light(banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "shared_bands")
+    banded = keep_light(meet_hot(banded, shared, ["band"], "size", semi=True).select("band", "row", "n"), "bands")
     keyed = banded.select(F.col("band").alias("key"), "row", "n", F.lit(0).cast("long").alias("alone"))
     # no more can be shared than what is not alone in either
     possible = F.expr(f"(100 + {percent}) * least(n - alone, other_n - other_alone) >= {percent} * (n + other_n)")
@@ -212,21 +213,21 @@ def _grouped(d: DataFrame, percent: int, width: int, stars: int) -> DataFrame:
 
     def mixed(keyed, t):
         """Documents by key with their component, and per key that has several components its centre."""
-        told = keep(keyed.join(labels, "row"), "told")
+        told = keep_light(keyed.join(labels, "row"), "told")
         first = F.min(F.struct("alone", F.xxhash64("row", F.lit(t)).alias("o"), "row", "n", "c")).alias("f")
         heads = told.groupBy("key").agg(first, F.count("*").alias("size"), F.min("c").alias("l"), F.max("c").alias("g")).filter("l < g")
-        return told, keep(heads.select("key", F.col("f.row").alias("centre"), F.col("f.n").alias("other_n"), F.col("f.alone").alias("other_alone"), F.col("f.c").alias("other_c"), "size"), "mixed")
+        return told, keep_light(heads.select("key", F.col("f.row").alias("centre"), F.col("f.n").alias("other_n"), F.col("f.alone").alias("other_alone"), F.col("f.c").alias("other_c"), "size"), "mixed")
 
     for t in range(stars):
         told, heads = mixed(keyed, t)
         labels = _merged(labels, add(meet_hot(told, heads, ["key"], "size", (F.col("c") != F.col("other_c")) & possible).select("centre", "row").distinct()))
     told, heads = mixed(keyed, stars)
-    left = keep(meet_hot(told, heads, ["key"], "size", semi=True).select("row").distinct().join(reps.select("row", "k", "dup", "n"), "row"), "left")
+    left = keep_light(meet_hot(told, heads, ["key"], "size", semi=True).select("row").distinct().join(reps.select("row", "k", "dup", "n"), "row"), "left")
     short, long_ = _rare_shingles(d, left, width, percent)
     for t in range(stars):
         told, heads = mixed(long_, t)
         labels = _merged(labels, add(meet_hot(told, heads, ["key"], "size", (F.col("c") != F.col("other_c")) & possible).select("centre", "row").distinct()))
-    labels = keep(_components(reps, links), "components")
+    labels = keep_light(_components(reps, links), "components")
 
     # what is left, pair by pair; a linked pair's signatures agree in fewer coordinates than this with a chance of about 1e-8
     p = percent / 100
@@ -240,17 +241,17 @@ def _grouped(d: DataFrame, percent: int, width: int, stars: int) -> DataFrame:
     rest = None
     for keyed in (short, long_):
         told, heads = mixed(keyed, 0)
-        told = keep(meet_hot(told, heads.select("key", "size"), ["key"], "size", semi=True).join(reps.select("row", "sig"), "row"), "rest")
+        told = keep(meet_hot(told, heads.select("key", "size"), ["key"], "size", semi=True).join(s.select("row", "sig"), "row"), "rest")
         other = told.select("key", *[F.col(x).alias(f"other_{x}") for x in ("row", "n", "alone", "c", "sig")])
         pairs = told.join(other, "key").filter((F.col("row") < F.col("other_row")) & (F.col("c") != F.col("other_c")) & possible)
         pairs = pairs.select("row", "other_row", "sig", "other_sig").mapInArrow(agreeing, "centre long, row long")
         rest = pairs if rest is None else rest.unionByName(pairs)
     add(rest.distinct())
-    labels = keep(_components(reps, links), "components")
+    labels = keep_light(_components(reps, links), "components")
 
     named = classes.join(labels.withColumnRenamed("row", "rep"), "rep")
     of_row = join_hot(s.select("row", "k", "dup", "doc_id", "a", "b", "n"), named.select("a", "b", "n", "c", "size"), ["a", "b", "n"], "size")
-    of_row = keep(of_row.withColumn("c", F.coalesce("c", -1 - F.col("row"))), "members")
+    of_row = keep_light(of_row.withColumn("c", F.coalesce("c", -1 - F.col("row"))), "members")
     first = of_row.groupBy("c").agg(F.min(F.struct("k", "dup", "doc_id", "row")).alias("f"), F.count("*").alias("members"))
     out = join_hot(of_row.select("c", "k", "dup", "doc_id", "n", "row"), first, ["c"], "members", "inner")
     return out.select("k", "dup", "doc_id", F.col("n").alias("n_shingles"), F.col("f.doc_id").alias("component_id"), (F.col("row") == F.col("f.row")).alias("kept"))

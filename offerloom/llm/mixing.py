@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import join_hot, keep, text_batches, unzipped, zipped
+from offerloom.llm.common import join_hot, keep, keep_light, text_batches, unzipped, zipped
 
 #: Tables of at most so many rows (sources), or so many and 250,000 more (blocks), of a few numbers each are broadcast.
 MOST_BROADCAST = 50_000
@@ -115,7 +115,7 @@ def plan_mix(docs: DataFrame, carry: list[str], weights=(3, 1, 2), share: float
     ties = ties.join(blocks.filter("extra > 0"), ["key", "block"])
     ties = ties.withColumn("before", F.sum("words").over(Window.partitionBy("key", "block").orderBy("place")) - F.col("words"))
     cut = ties.filter("before < extra AND before + words >= extra").select("key", "block", F.col("place").alias("cut_place"), F.floor((F.col("extra") - F.col("before")) / F.col("m")).alias("cut_part"))
-    blocks = keep(blocks.join(cut, ["key", "block"], "left"), "blocks")
+    blocks = keep_light(blocks.join(cut, ["key", "block"], "left"), "blocks")
 
     # shards draw the copies of blocks
     copies = blocks.select("key", "block", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("copy"), (F.col("full") + (F.col("extra") > 0).cast("long")).alias("n"))
@@ -135,19 +135,23 @@ def plan_mix(docs: DataFrame, carry: list[str], weights=(3, 1, 2), share: float
         F.coalesce("shards", F.array().cast("array<int>")).alias("shards"), "place")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, zip_texts: bool = True, **options) -> DataFrame:
     """The mixed documents: one row per copy taken, with the columns of ``docs``; of a part the text has the first words only.
 
     Rows lie by shard and, within it, in the order of a hash of copy and document. Documents without words are in the mix once if
-    their block is. Texts are compressed while they move to their shards.
+    their block is. With ``zip_texts`` texts are compressed while they move to their shards, by Python on the executors; without, there are
+    only DataFrame functions, and more is moved. The rows are the same.
     """
-    text_batches(docs.sparkSession)
+    if zip_texts:
+        text_batches(docs.sparkSession)
     out = plan_mix(docs, docs.columns, **options)
     ends = F.transform("shards", lambda s, i: F.struct(s.alias("shard"), i.alias("copy"), (i < F.col("full")).alias("whole")))
     out = out.select("*", F.explode(ends).alias("c")).filter(F.col("c.whole") | (F.col("part") > 0))
     text = F.col("doc.text").cast("string")
     some = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), F.lit(1), F.greatest("part", F.lit(1)).cast("int")), " ")
-    out = out.withColumn("z", zipped(F.when(F.col("c.whole") | (F.col("part") == F.col("size")), text).otherwise(some).cast("binary")))
-    lie = F.xxhash64(F.lit(23), "place", "c.copy")
-    out = out.repartition("c.shard").sortWithinPartitions("c.shard", lie)
-    return out.select(*[unzipped("z").cast("string").alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])
+    taken = F.when(F.col("c.whole") | (F.col("part") == F.col("size")), text).otherwise(some)
+    # nothing moves but what the result and its order need
+    fields = [(zipped(taken.cast("binary")) if zip_texts else taken) if c == "text" else F.col("doc").getField(c) for c in docs.columns]
+    out = out.select(F.col("c.shard").alias("shard"), F.xxhash64(F.lit(23), "place", "c.copy").alias("lie"), *[f.alias(f"f{i}") for i, f in enumerate(fields)])
+    out = out.repartition("shard").sortWithinPartitions("shard", "lie")
+    return out.select(*[(unzipped(f"f{i}").cast("string") if c == "text" and zip_texts else F.col(f"f{i}")).alias(c) for i, c in enumerate(docs.columns)])

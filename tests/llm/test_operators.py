@@ -389,3 +389,43 @@ def test_mixed_texts_move_compressed(spark):
     got = mixed.collect()
     assert len(got) > 80 and sum(whole[r.doc_id, r.source] != r.text for r in got) <= 3  # of a source one document is cut
     assert all(r.text is None or r.text == whole[r.doc_id, r.source] or whole[r.doc_id, r.source].replace("  ", " ").strip().startswith(r.text) for r in got)
+
+
+def test_the_mixing_stage_of_the_pipeline_is_dataframe_functions_only(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"s{i % 3}" if i % 11 else None, None if i % 7 == 0 else "" if i % 5 == 0 else f"퟿ word{i}  x\n" * 30, i) for i in range(80)]
+    d = spark.createDataFrame([*rows, rows[8], (None, "s1", "no number", 5)], "doc_id long, source string, text string, shard long")
+    mixed = corpus_pipeline.mixed_sources(spark, d, "")
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(shard" in plan and not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+    got = [tuple(r) for r in mixed.collect()]
+    assert len(got) > 80 and mixed.columns == d.columns
+    assert Counter(got) == Counter(tuple(r) for r in mixing.mix(d).collect())  # as with texts that move compressed
+
+
+def test_small_tables_of_near_groups_lie_in_few_files(spark):
+    import glob
+    import os
+
+    from offerloom.session import scratch_path
+
+    long_ = " ".join(f"w{i}" for i in range(60))
+    d = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit(long_), F.lit(" "), F.when(F.col("id") % 3 == 0, F.lit("x")).otherwise(F.concat(F.col("id").cast("string"), F.lit(" "), F.sha2(F.col("id").cast("string"), 256)))).alias("text"))
+    held = {"spark.sql.shuffle.partitions": "150", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in held}
+    folder = os.path.dirname(scratch_path(spark, "x")).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/*"))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = minhash.near_groups(d, 85).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(got) == 600 and {r.component_id for r in got} == {0}
+    new = {x: len(glob.glob(f"{x}/*.parquet")) for x in set(glob.glob(f"{folder}/*")) - before}
+    light = {x: n for x, n in new.items() if any(f"/{k}-" in x for k in ("labels", "told", "mixed", "classes", "representatives", "members", "bands", "shared_bands"))}
+    assert len(light) >= 6 and max(light.values()) <= max(32, 4 * spark.sparkContext.defaultParallelism)
+    s = next(x for x in new if "/representatives-" in x)
+    assert spark.read.parquet(s).columns == ["row", "k", "dup", "n"]  # signatures are kept once
