@@ -3,13 +3,13 @@
 Items lie in blocks of bounded size around centres, and every block knows how near and how far from its centre its items are. A
 query visits the nearest blocks first, which gives it k items and so a bound; after that only blocks that could hold anything
 nearer, by the triangle inequality, are visited. Neighbouring blocks form a few units; a unit and its queries meet in one task, block by
-block as two matrices, and only the k best per query leave the task, so no pair of rows is ever written.
+block as two matrices, and only the k best per query are kept, so no pair of rows is ever written.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -18,79 +18,182 @@ from pyspark.sql import DataFrame, Window, functions as F
 from offerloom.session import materialise
 
 BLOCK = 4096
-CHUNK = 512
+#: Distances that a task holds at once.
+PAIRS = 1 << 20
 #: Units of neighbouring blocks that a query is sent to, at most, while a unit has less than ``UNIT`` items.
 UNITS = 8
-UNIT = 1 << 17
+UNIT = 1 << 16
 
 
 def normalise(df: DataFrame, vector: str) -> DataFrame:
-    """Unit length, norm floored at 1e-8."""
+    """Unit length, norm floored at 1e-8. The sum of squares is a variable of the last step: as a column it would be added up again for every number."""
     v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return df.withColumn(vector, F.transform(v, lambda x: x / F.greatest(norm, F.lit(1e-8))))
+    unit = lambda s: F.transform(v, lambda x: x / F.greatest(F.sqrt(s), F.lit(1e-8)))
+    return df.withColumn(vector, F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x, unit))
 
 
-def _search(k: int, metric: str, drop_self: bool):
-    """Matrix search of one query block in one item block."""
+def _squares(x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", x, x)
 
-    def run(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if len(items) == 0 or len(queries) == 0:
-            return pd.DataFrame({"query_id": [], "item_id": [], "closeness": []})
-        items = items.sort_values("item_id", kind="stable")  # ties go to the smaller id
-        a = np.stack(items["v"].to_numpy())
-        ids = items["item_id"].to_numpy()
-        m = min(k, len(ids))
-        a2 = (a * a).sum(1)
-        out = []
-        for at in range(0, len(queries), CHUNK):
-            part = queries.iloc[at: at + CHUNK]
-            b, qids = np.stack(part["v"].to_numpy()), part["query_id"].to_numpy()
-            close = b @ a.T
-            if metric != "cosine":
-                close *= 2
-                close -= a2[None, :]
-                close -= (b * b).sum(1)[:, None]
-            if not np.isfinite(close.sum()):
-                close[np.isnan(close)] = -np.inf
-            if drop_self and part["query_id"].isin(ids).any():
-                close[qids[:, None] == ids[None, :]] = -np.inf
-            # rounded, so that equal items are equally close in whichever block they lie; only what may be among the best is ordered
-            digits = 12 if metric == "cosine" else 9
-            least = np.partition(close, len(ids) - m, axis=1)[:, len(ids) - m]
-            row, col = np.nonzero(close >= (least - 2.0 * 10.0 ** -digits)[:, None])
-            near = np.round(close[row, col], digits)
-            near = near if metric == "cosine" else -np.sqrt(np.maximum(-near, 0.0))
-            order = np.lexsort((col, -near, row))
-            row, col, near = row[order], col[order], near[order]
-            best = np.arange(len(row)) - np.searchsorted(row, row) < m
-            out.append(pd.DataFrame({"query_id": qids[row[best]], "item_id": ids[col[best]], "closeness": near[best]}))
-        found = pd.concat(out)
-        return found[np.isfinite(found["closeness"])]
 
-    return run
+class _Screen:
+    """Scalar products of queries and items in single precision, and by how much one may be off: they only say which pairs are worth a closer look.
+
+    For distances, vectors are taken from the middle of the items, and half the item's square is taken off, so that more is nearer.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, metric: str):
+        self.far, self.a, self.b = metric != "cosine", a, b
+        self.mid = a.mean(0) if self.far else np.zeros(a.shape[1])
+        self.loss = 4e-15 * math.sqrt(max(_squares(a).max(), _squares(b).max(), self.mid @ self.mid)) if self.far else 0.0
+        self.items, self.a2 = self._single(a, -0.5)
+        self.queries, self.b2 = self._single(b, 0.0)
+        self.fine = max(self.a2.max(), self.b2.max()) < 1e30  # else it may not fit single precision
+
+    def _single(self, x: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors in single precision, and their squares."""
+        out, squares, step = np.ones((len(x), x.shape[1] + self.far), "float32"), np.empty(len(x)), max(1, PAIRS // x.shape[1])
+        with np.errstate(over="ignore"):
+            for at in range(0, len(x), step):
+                part = x[at: at + step] - self.mid
+                out[at: at + step, : x.shape[1]], squares[at: at + step] = part, _squares(part)
+            if self.far and half:
+                out[:, -1] = half * squares
+        return out, squares
+
+    def error(self, who: np.ndarray, at: np.ndarray, unit: float = 2.0 ** -23) -> np.ndarray:
+        q, x = np.sqrt(self.b2[who]), math.sqrt(self.a2[at].max())
+        return (self.a.shape[1] + 16) * unit * (q * x + self.far * x * x / 2) + self.loss * (q + x) + 1e-30
+
+    def least(self, who: np.ndarray, close: np.ndarray) -> np.ndarray:
+        """What a pair as close as ``close`` has here."""
+        return (close + self.b2[who]) / 2 if self.far else close
+
+    def double(self, who: np.ndarray, at: np.ndarray, digits: int) -> np.ndarray:
+        """The closeness itself; by differences, number by number, where products are off in the last digit asked for."""
+        if not self.far:
+            return self.b[who] @ self.a[at].T
+        if self.error(who, at, 2.0 ** -52).max() > 0.1 * 10.0 ** -digits:
+            return np.stack([-_squares(self.a[at] - q) for q in self.b[who]])
+        close = (self.b[who] - self.mid) @ (self.a[at] - self.mid).T
+        close *= 2
+        close -= self.a2[at][None, :]
+        close -= self.b2[who][:, None]
+        return close
+
+
+def _firsts(near: np.ndarray, m: int) -> np.ndarray:
+    """Places of the ``m`` largest of every row, and of some more if they are equal; of equal ones the first ``m``."""
+    least = np.partition(near, near.shape[1] - m, axis=1)[:, near.shape[1] - m][:, None]
+    same = near == least
+    return np.flatnonzero((near > least) | (same & (np.cumsum(same, axis=1, dtype="int32") <= m)))
 
 
-def _search_unit(k: int, metric: str, drop_self: bool):
-    """The k best items of every query in the blocks of a unit that it wants to visit."""
-    search = _search(k, metric, drop_self)
+def _search(k: int, metric: str, drop_self: bool):
+    """The k best items of every query. Items may lie in blocks (``block``), of which a query wants some (``wants``, a bit for each of them).
+
+    Blocks are met one after the other. A query keeps its k best items so far, and at the start may know how close a k-th one is (``least``);
+    single precision tells which others could be closer, and only these are worked out and ordered. So a task holds k items a query and
+    ``PAIRS`` distances, however many blocks there are.
+    """
+    digits = 12 if metric == "cosine" else 9  # rounded, so that equal items are equally close in whichever block they lie
 
     def run(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        wants = queries["wants"].to_numpy()
-        who = np.repeat(np.arange(len(wants)), [len(w) for w in wants])
-        number = np.concatenate([*wants, np.zeros(0, int)]).astype(int)
-        order = np.argsort(number, kind="stable")
-        who, number = who[order], number[order]
-        parts = [search(items.iloc[:0], queries)]
-        for b, at in items.groupby("block").indices.items():
-            parts.append(search(items.iloc[at], queries.iloc[who[slice(*np.searchsorted(number, [b, b + 1]))]]))
-        found = pd.concat([p for p in parts if len(p)] or parts[:1])
-        found = found.sort_values(["query_id", "closeness", "item_id"], ascending=[True, False, True], kind="stable", na_position="first")
-        return found[found.groupby("query_id").cumcount() < k]
+        none = pd.DataFrame({"query_id": queries["query_id"].iloc[:0], "item_id": items["item_id"].iloc[:0], "closeness": np.zeros(0)})
+        if len(items) == 0 or len(queries) == 0:
+            return none
+        items = items.sort_values("item_id", kind="stable", na_position="first")  # ties go to the smaller id
+        blocks = [at for _, at in sorted(items.groupby("block").indices.items())] if "block" in items else [np.arange(len(items))]
+        wants = np.ones((len(queries), len(blocks)), bool)
+        if "wants" in queries:
+            bits = np.frombuffer(b"".join(queries["wants"]), "uint8").reshape(len(queries), -1)
+            wants = np.unpackbits(bits, axis=1, count=len(blocks)).astype(bool)
+        a, b = np.stack(items["v"].to_numpy()), np.stack(queries["v"].to_numpy())
+        with np.errstate(over="ignore", invalid="ignore"):  # nothing is near what is not a number, or too large for one
+            good, asks = np.isfinite(_squares(a)), np.isfinite(_squares(b))
+        blocks = [at[good[at]] for at in blocks]
+        wants &= asks[:, None]
+        if not good.any() or not asks.any():
+            return none
+        a[~good], b[~asks] = 0.0, 0.0
+        screen = _Screen(a, b, metric)
+        code, own, m = np.zeros(len(a), int), np.full(len(b), -1), k
+        if drop_self:
+            both = pd.factorize(pd.concat([items["item_id"], queries["query_id"]], ignore_index=True))[0]
+            code, own = both[: len(a)], np.where(both[len(a):] < 0, -2, both[len(a):])
+            m += int(np.bincount(code[code >= 0], minlength=1).max())  # as many may be the query itself
+        known = np.full(len(b), -np.inf)
+        if "least" in queries:
+            least = queries["least"].to_numpy(dtype=float)
+            known = np.where(np.isnan(least), -np.inf, least if metric == "cosine" else -least * least)
+        close, place = np.full((len(b), k), -np.inf), np.full((len(b), k), len(a))
+
+        def looked_at(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+            out, step = np.empty(len(row)), max(1, 2 * PAIRS // a.shape[1])
+            for i in range(0, len(row), step):
+                x, y = b[row[i: i + step]], a[col[i: i + step]]
+                if metric != "cosine":
+                    x -= y
+                    y = x
+                out[i: i + step] = np.einsum("ij,ij->i", x, y)
+            return np.round(out if metric == "cosine" else -out, digits)
+
+        def keep(row: np.ndarray, col: np.ndarray) -> None:
+            """Rows are in order."""
+            other = code[col] != own[row]
+            row, col = row[other], col[other]
+            near = looked_at(row, col)
+            fit = np.isfinite(near) & (near >= close[row, k - 1])
+            row, col, near = row[fit], col[fit], near[fit]
+            if len(row) == 0:
+                return
+            new = np.r_[True, row[1:] != row[:-1]]
+            who, r = row[new], np.cumsum(new) - 1
+            n = np.bincount(r) + k
+            r = np.concatenate([np.repeat(np.arange(len(who)), k), r])
+            near, col = np.concatenate([close[who].ravel(), near]), np.concatenate([place[who].ravel(), col])
+            order = np.lexsort((col, -near, r))
+            best = order[np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) < k]
+            close[who], place[who] = near[best].reshape(-1, k), col[best].reshape(-1, k)
+
+        for i, at in enumerate(blocks):
+            visitors = np.flatnonzero(wants[:, i])
+            if len(at) == 0:
+                continue
+            x, step = screen.items[at].T, max(1, PAIRS // len(at))
+            for c in range(0, len(visitors), step):
+                who = visitors[c: c + step]
+                floor = np.maximum(close[who, k - 1], known[who])
+                floor = floor - 2.0 * 10.0 ** -digits - 1e-12 * np.abs(floor)
+                hit = None
+                if screen.fine:
+                    dots, off, bound = screen.queries[who] @ x, screen.error(who, at), screen.least(who, floor)
+                    new = np.flatnonzero(bound == -np.inf)
+                    if len(new) and len(at) > m:
+                        bound[new] = np.partition(dots[new], len(at) - m, axis=1)[:, len(at) - m] - off[new] - 2.0 * 10.0 ** -digits
+                    hit = np.flatnonzero(dots >= np.nextafter((bound - off).astype("float32"), np.float32(-np.inf))[:, None])
+                if hit is None or len(hit) > len(who) * (2 * m + len(at) // 32):  # said too little, or many are equal
+                    near = screen.double(who, at, digits)
+                    near[np.isnan(near)] = -np.inf
+                    hit = _firsts(np.round(near, digits, out=near), min(m, len(at)))
+                    hit = hit[near.ravel()[hit] >= floor[hit // len(at)]]
+                row, col = np.divmod(hit, len(at))
+                keep(who[row], at[col])
+        row, j = np.nonzero(close > -np.inf)
+        found = close[row, j] if metric == "cosine" else -np.sqrt(np.maximum(-close[row, j], 0.0))
+        return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[row], "item_id": items["item_id"].to_numpy()[place[row, j]], "closeness": found})
 
     return run
 
 
+def _written(items: DataFrame, queries: DataFrame | None, item_id: str, query_id: str, vector: str, metric: str) -> tuple[DataFrame, DataFrame]:
+    """(items, queries) prepared and written, since every step reads them; once if both are the same."""
+    i = materialise(_prepared(items, item_id, vector, "item_id", metric), "items")
+    if queries is None:
+        return i, i.withColumnRenamed("item_id", "query_id")
+    return i, materialise(_prepared(queries, query_id, vector, "query_id", metric), "queries")
+
+
 def _prepared(df: DataFrame, id_col: str, vector: str, out_id: str, metric: str) -> DataFrame:
     d = df.select(F.col(id_col).alias(out_id), F.col(vector).alias("v")).filter(F.size("v") > 0)
     return normalise(d, "v") if metric == "cosine" else d.withColumn("v", F.col("v").cast("array<double>"))
@@ -105,11 +208,15 @@ class Blocks:
 
     def first(self, d: np.ndarray, least: int) -> np.ndarray:
         """Which blocks a query visits first, given its distances to the centres: the nearest ones that hold ``least`` items together."""
-        near = np.argsort(d[:, self.blocks[:, 0].astype(int)], axis=1, kind="stable")
+        d = d[:, self.blocks[:, 0].astype(int)]
+        out, nearest = np.zeros(d.shape, bool), d.argmin(1)
+        out[np.arange(len(d)), nearest] = True
+        more = np.flatnonzero(self.blocks[nearest, 2] < least)
+        near = np.argsort(d[more], axis=1, kind="stable")
         n = self.blocks[:, 2][near]
-        take = np.cumsum(n, axis=1) - n < least
-        out = np.zeros(take.shape, bool)
-        np.put_along_axis(out, near, take, 1)
+        take = np.zeros(near.shape, bool)
+        np.put_along_axis(take, near, np.cumsum(n, axis=1) - n < least, 1)
+        out[more] = take
         return out
 
     def bounds(self, d: np.ndarray, slack: float = 1.0) -> np.ndarray:
@@ -139,6 +246,7 @@ class Cells:
     items: DataFrame
     told: Blocks
     metric: str
+    block: int = BLOCK
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -151,23 +259,31 @@ def make_cells(items: DataFrame, centres, metric: str, block: int = BLOCK) -> Ce
 
     @F.pandas_udf("cell int, far double")
     def near(v: pd.Series) -> pd.DataFrame:
-        d = _distances(np.stack(v.to_numpy()), m) if len(v) else np.zeros((0, len(m)))
-        return pd.DataFrame({"cell": d.argmin(1).astype("int32"), "far": d.min(1)})
+        step, cell, far = max(1, PAIRS // len(m)), np.zeros(len(v), "int32"), np.zeros(len(v))
+        for at in range(0, len(v), step):
+            d = _distances(np.stack(v.iloc[at: at + step].to_numpy()), m)
+            cell[at: at + step], far[at: at + step] = d.argmin(1), d.min(1)
+        return pd.DataFrame({"cell": cell, "far": far})
 
     placed = materialise(items.select("item_id", "v", near("v").alias("at")).select("item_id", "v", "at.cell", "at.far"), "cells")
     cut = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))  # a row per centre
     placed = placed.join(cut, "cell").withColumn("ib", F.pmod(F.xxhash64("item_id"), F.col("nb")).cast("int")).drop("nb")
     told = placed.groupBy("cell", "ib").agg(F.count("*").alias("n"), F.min("far").alias("near"), F.max("far").alias("far")).orderBy("cell", "ib").collect()
-    return Cells(placed.drop("far"), Blocks(m, np.array([tuple(r) for r in told], dtype=float).reshape(-1, 5)), metric)
+    return Cells(placed.drop("far"), Blocks(m, np.array([tuple(r) for r in told], dtype=float).reshape(-1, 5)), metric, block)
 
 
 def _visits(cells: Cells, queries: DataFrame, k: int, slack: float | None) -> DataFrame:
-    """(query_id, cell, ib): the first blocks of each query, or with ``slack`` the others that its bound ``tau`` does not rule out."""
+    """(query_id, unit, wants): the first blocks of each query, or with ``slack`` the others that its bound ``tau`` does not rule out.
+
+    ``wants`` has a bit for each block of the unit, in their order.
+    """
     told = cells.told
+    units = told.units(cells.block)[0]
+    blocks, bits = [np.flatnonzero(units == u) for u in range(units.max() + 1)], np.bincount(units).max()
 
     def run(batches):
         for t in batches:
-            step = max(1, 4_000_000 // max(1, len(told.blocks)))
+            step = max(1, PAIRS // max(1, len(told.blocks)))
             for at in range(0, len(t), step):
                 part = t.iloc[at: at + step]
                 d = _distances(np.stack(part["v"].to_numpy()), told.centres)
@@ -176,27 +292,46 @@ def _visits(cells: Cells, queries: DataFrame, k: int, slack: float | None) -> Da
                     tau = part["tau"].to_numpy(dtype=float)
                     tau = np.where(np.isnan(tau), np.inf, np.sqrt(tau * tau * (1 + 1e-9) + 4e-9))  # rounding of the closeness included
                     want = ~want & (told.bounds(d, slack) <= tau[:, None])
-                q, b = np.nonzero(want)
-                yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[q], "cell": told.blocks[b, 0].astype("int32"), "ib": told.blocks[b, 1].astype("int32")})
+                for u, of in enumerate(blocks):
+                    q = np.flatnonzero(want[:, of].any(axis=1))
+                    sent = np.zeros((len(q), bits), bool)
+                    sent[:, : len(of)] = want[np.ix_(q, of)]
+                    yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[q], "unit": np.full(len(q), u, "int32"), "wants": [w.tobytes() for w in np.packbits(sent, axis=1)]})
 
     kind = dict(queries.dtypes)["query_id"]
-    return queries.mapInPandas(run, f"query_id {kind}, cell int, ib int")
+    return queries.mapInPandas(run, f"query_id {kind}, unit int, wants binary")
+
+
+def _packed(bits: int):
+    """The numbers of a list as bits."""
+
+    @F.pandas_udf("binary")
+    def pack(numbers: pd.Series) -> pd.Series:
+        return pd.Series([np.packbits(np.bincount(n, minlength=bits) > 0).tobytes() for n in numbers])
+
+    return pack
 
 
 def _meet(cells: Cells, queries: DataFrame, visits: DataFrame, k: int, drop_self: bool, block: int) -> DataFrame:
-    """The k best items of every query in each unit it visits. A query is sent to a unit once, with the numbers of the blocks it wants; the visitors
-    of a unit are cut by its size, too, so that vectors move as often as there are units, not blocks."""
+    """The k best items of every query in each unit it visits. A query is sent to a unit once, with the blocks it wants as bits (or given as
+    rows (query_id, cell, ib)), and with the closeness ``least`` that it has k items of, if it is known; the visitors of a unit are cut by its size,
+    too, so that vectors move as often as there are units, not blocks."""
     units, size = cells.told.units(block)
-    told = [(int(c), int(i), n, int(u)) for n, ((c, i), u) in enumerate(zip(cells.told.blocks[:, :2], units))]
-    placed = F.broadcast(queries.sparkSession.createDataFrame(told, "cell int, ib int, block int, unit int"))  # a row per block
-    visits = materialise(visits.join(placed, ["cell", "ib"]).groupBy("query_id", "unit").agg(F.collect_list("block").alias("wants")), "visits")
+    place = [int(np.count_nonzero(units[:n] == u)) for n, u in enumerate(units)]
+    told = [(int(c), int(i), n, int(u), p) for n, ((c, i), u, p) in enumerate(zip(cells.told.blocks[:, :2], units, place))]
+    placed = F.broadcast(queries.sparkSession.createDataFrame(told, "cell int, ib int, block int, unit int, place int"))  # a row per block
+    if "cell" in visits.columns:
+        visits = visits.join(placed, ["cell", "ib"]).groupBy("query_id", "unit").agg(F.collect_list("place").alias("wants"))
+        visits = visits.withColumn("wants", _packed(int(np.bincount(units).max()))("wants"))
+    visits = materialise(visits, "visits")
     plan = F.broadcast(visits.groupBy("unit").agg(F.ceil(F.count("*") / size).cast("int").alias("nq")))  # a row per unit
-    q = visits.join(plan, "unit").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).drop("nq").join(queries.select("query_id", "v"), "query_id")
+    known = [c for c in queries.columns if c == "least"]
+    q = visits.join(plan, "unit").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).drop("nq").join(queries.select("query_id", "v", *known), "query_id")
     i = cells.items.join(placed, ["cell", "ib"]).join(plan, "unit").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
     kind = dict(cells.items.dtypes)["item_id"], dict(queries.dtypes)["query_id"]
     g = ["unit", "qb"]
-    return i.select(*g, "block", "item_id", "v").groupBy(*g).cogroup(q.select(*g, "query_id", "v", "wants").groupBy(*g)).applyInPandas(
-        _search_unit(k, cells.metric, drop_self), f"query_id {kind[1]}, item_id {kind[0]}, closeness double"
+    return i.select(*g, "block", "item_id", "v").groupBy(*g).cogroup(q.select(*g, "query_id", "v", "wants", *known).groupBy(*g)).applyInPandas(
+        _search(k, cells.metric, drop_self), f"query_id {kind[1]}, item_id {kind[0]}, closeness double"
     )
 
 
@@ -207,10 +342,11 @@ def _best(parts: DataFrame, k: int) -> DataFrame:
 
 def search_cells(cells: Cells, queries: DataFrame, k: int, drop_self: bool = True, slack: float = 1.0, block: int = BLOCK) -> DataFrame:
     """(query_id, item_id, similarity, rank): the k nearest items of each prepared query (query_id, v); exact if ``slack`` is 1."""
+    cells = replace(cells, block=block)
     first = materialise(_best(_meet(cells, queries, _visits(cells, queries, k, None), k, drop_self, block), k), "first_visits")
     tau = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("closeness")).alias("closeness"))
     far = F.sqrt(F.greatest(2 - 2 * F.col("closeness"), F.lit(0.0))) if cells.metric == "cosine" else -F.col("closeness")
-    asked = queries.join(tau, "query_id", "left").select("query_id", "v", far.alias("tau"))
+    asked = queries.join(tau, "query_id", "left").select("query_id", "v", far.alias("tau"), F.col("closeness").alias("least"))
     more = _meet(cells, queries, _visits(cells, asked, k, slack), k, drop_self, block)
     top = _best(first.select("query_id", "item_id", "closeness").unionByName(more), k)
     sim = F.col("closeness") if cells.metric == "cosine" else F.lit(1.0) / (F.lit(1.0) - F.col("closeness"))
@@ -228,14 +364,14 @@ def cell_count(n: int, block: int = BLOCK) -> int:
     return max(1, min(-(-n // block), math.isqrt(n)))
 
 
-def similar_to_vectors(items: DataFrame, queries: DataFrame, k: int, item_id: str, query_id: str, vector: str = "embedding",
+def similar_to_vectors(items: DataFrame, queries: DataFrame | None, k: int, item_id: str, query_id: str, vector: str = "embedding",
                        metric: str = "cosine", drop_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """Exact k nearest items of each query vector; ids are unique. Rows without a vector, or with an empty one, take no part.
+    """Exact k nearest items of each query vector (None: of each item's); ids are unique. Rows without a vector, or with an empty one, take no part.
 
     Blocks lie around items picked by hash. A task sees at most ``block`` items and ``block`` queries; blocks that cannot hold a
     nearer item than the k found already are not visited.
     """
-    i, q = _prepared(items, item_id, vector, "item_id", metric), _prepared(queries, query_id, vector, "query_id", metric)
+    i, q = _written(items, queries, item_id, query_id, vector, metric)
     n = i.count()
     if n == 0:
         kind = dict(i.dtypes)["item_id"]
@@ -246,7 +382,7 @@ def similar_to_vectors(items: DataFrame, queries: DataFrame, k: int, item_id: st
 def similar_exact(items: DataFrame, k: int, item_id: str, vector: str = "embedding", metric: str = "cosine",
                   queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Exact k nearest other items of each item (or of the items in ``queries``)."""
-    return similar_to_vectors(items, items if queries is None else queries, k, item_id, item_id, vector, metric, True, block)
+    return similar_to_vectors(items, queries, k, item_id, item_id, vector, metric, True, block)
 
 
 # --- clustered search --------------------------------------------------------------------------------------
@@ -303,12 +439,11 @@ def similar_ivf(items: DataFrame, k: int, item_id: str, vector: str = "embedding
 
     ``slack`` 1 rules out nothing that could be a neighbour. Without it, it is calibrated so that a share ``target`` is found.
     """
-    i = _prepared(items, item_id, vector, "item_id", metric)
+    i, q = _written(items, queries, item_id, item_id, vector, metric)
     n = i.count()
     if n == 0:
         return similar_exact(items, k, item_id, vector, metric, queries)
     cells = make_cells(i, train_clusters(i, "v", cluster_count(n, clusters), "l2", n=n), metric)
-    q = _prepared(items if queries is None else queries, item_id, vector, "query_id", metric)
     return search_cells(cells, q, k, True, calibrate(cells, k, target) if slack is None else slack)
 
 
@@ -319,7 +454,7 @@ def write_index(items: DataFrame, path: str, item_id: str, vector: str = "embedd
                 k: int = 10, target: float = 0.95) -> None:
     """Items by cluster, the centres, and the blocks with their distances and the slack calibrated for ``k`` neighbours."""
     spark = items.sparkSession
-    i = _prepared(items, item_id, vector, "item_id", metric)
+    i = materialise(_prepared(items, item_id, vector, "item_id", metric), "items")
     n = i.count()
     cells = make_cells(i, train_clusters(i, "v", cluster_count(n, clusters), "l2", n=n), metric)
     cells.items.repartition("cell", "ib").write.partitionBy("cell").parquet(f"{path}/items")

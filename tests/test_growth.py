@@ -118,3 +118,82 @@ def test_fields_of_a_page_are_worked_out_once(spark):
     out = pages.extract_offer_fields(d)
     assert plan(out).count("pte\\s*") == 1
     assert out.select("program_name", "pte_score", "ielts_score").first() == ("A", "55+", None)
+
+
+def test_a_unit_keeps_k_items_a_query_however_many_blocks(monkeypatch):
+    """2,000 queries want half of 400 blocks: 5 items a query, not 5 of every block, are held (before: 48 MB of results besides the vectors)."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(similar, "PAIRS", 1 << 14)
+    v, w = rng.normal(size=(8000, 4)), rng.normal(size=(2000, 4))
+    block, wants = np.arange(8000) % 400, rng.random((2000, 400)) < 0.5
+    items = pd.DataFrame({"item_id": np.arange(8000), "v": list(v), "block": block * 3})
+    queries = pd.DataFrame({"query_id": np.arange(2000), "v": list(w), "wants": [x.tobytes() for x in np.packbits(wants, axis=1)]})
+    run = similar._search(5, "l2", False)
+    tracemalloc.start()
+    got = run(items, queries)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    far = np.where(wants[:, block], ((w[:, None, :] - v[None, :, :]) ** 2).sum(2), np.inf)
+    best = np.argsort(far, axis=1)[:, :5]
+    assert got["item_id"].to_numpy().reshape(2000, 5).tolist() == best.tolist()
+    np.testing.assert_allclose(got["closeness"], -np.sqrt(np.take_along_axis(far, best, 1)).ravel(), atol=1e-8)
+    assert most < 16e6
+    least = got.groupby("query_id")["closeness"].min().to_numpy()
+    assert run(items, queries.assign(least=least)).equals(got)  # a bound known before changes nothing
+    assert len(run(items, queries.assign(least=least + 0.1))) < len(got)
+
+
+def test_single_precision_loses_no_neighbour():
+    """Far from the origin, over many scales, equal or not numbers: the best are those of plain distances."""
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(300, 5))
+    sets = {
+        "far": base + 1e5, "scales": base * 10.0 ** rng.integers(-12, 12, size=(300, 1)), "groups": base * 1e-3 + rng.normal(size=(6, 5))[rng.integers(0, 6, 300)] * 1e4,
+        "equal": np.repeat(base[:3], 100, axis=0), "tiny": base * 1e-30, "huge": base * 1e18,
+    }
+    for name, v in sets.items():
+        for metric in ("cosine", "l2"):
+            x = v / np.linalg.norm(v, axis=1)[:, None] if metric == "cosine" else v.copy()
+            bad = np.vstack([x, [[np.nan] * 5, [np.inf] * 5]])
+            items = pd.DataFrame({"item_id": range(302), "v": list(bad.copy()), "block": np.arange(302) % 4})
+            got = similar._search(6, metric, True)(items, pd.DataFrame({"query_id": range(302), "v": list(bad.copy())}))
+            near = x @ x.T if metric == "cosine" else -((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
+            near = np.round(near, 12 if metric == "cosine" else 9)
+            np.fill_diagonal(near, -np.inf)
+            assert len(got) == 1800 and got["item_id"].max() < 300
+            want = [int(i) for q in range(300) for i in sorted(range(300), key=lambda i: (-near[q, i], i))[:6]]
+            differ = sum(a != b for a, b in zip(got["item_id"], want))
+            found = near[np.repeat(np.arange(300), 6), got["item_id"]]
+            best = near[np.repeat(np.arange(300), 6), want]
+            assert differ == 0 or np.allclose(found, best, rtol=1e-9, atol=2e-9), name
+
+
+def test_visits_are_bits_of_units(spark, monkeypatch):
+    """A row for every query and unit, a bit for every block; bounds of any size meet what rows of query and block meet."""
+    rng = np.random.default_rng(8)
+    items = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 3)))], "id int, embedding array<double>")
+    i, q = (similar._prepared(items, "id", "embedding", c, "l2") for c in ("item_id", "query_id"))
+    cells = similar.make_cells(i, similar.some_vectors(i, 40), "l2", 15)
+    monkeypatch.setattr(similar, "UNITS", 3)
+    visits = similar._visits(cells, q.withColumn("tau", F.lit(None).cast("double")), 4, 1.0)
+    units = cells.told.units(15)[0]
+    assert 600 < visits.count() <= 600 * len(set(units)) < 600 * len(units)
+    assert visits.agg(F.max(F.length("wants"))).first()[0] == -(-np.bincount(units).max() // 8)
+    for some in (visits, similar._visits(cells, q, 4, None)):
+        wants = {(r["query_id"], r["unit"]): np.unpackbits(np.frombuffer(r["wants"], "uint8")) for r in some.collect()}
+        pairs = [(a, *map(int, cells.told.blocks[b, :2])) for (a, u), bits in wants.items() for b, bit in zip(np.flatnonzero(units == u), bits) if bit]
+        given = similar._meet(cells, q, spark.createDataFrame(pairs, "query_id int, cell int, ib int"), 4, True, 15)
+        assert rows(given, "query_id", "item_id") == rows(similar._meet(cells, q, some, 4, True, 15), "query_id", "item_id")
+
+
+def test_vectors_are_normalised_in_one_pass(spark):
+    d = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [1e-9, 0.0]), (4, None), (5, [1.0, None])], "id int, v array<double>")
+    out = similar.normalise(d, "v")
+    assert "sqrt(aggregate" not in plan(out).lower()
+    assert [r["v"] for r in out.orderBy("id").collect()] == [[0.6, 0.8], [0.0, 0.0], [0.1, 0.0], None, [1.0 / 1e-8, None]]
