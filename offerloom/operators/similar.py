@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from offerloom.session import materialise
@@ -98,24 +99,27 @@ def _search(k: int, metric: str, drop_self: bool):
     """
     digits = 12 if metric == "cosine" else 9  # rounded, so that equal items are equally close in whichever block they lie
 
-    def run(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def run(items: pd.DataFrame, queries: pd.DataFrame, a: np.ndarray | None = None, b: np.ndarray | None = None) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": queries["query_id"].iloc[:0], "item_id": items["item_id"].iloc[:0], "closeness": np.zeros(0)})
         if len(items) == 0 or len(queries) == 0:
             return none
-        items = items.sort_values("item_id", kind="stable", na_position="first")  # ties go to the smaller id
-        blocks = [at for _, at in sorted(items.groupby("block").indices.items())] if "block" in items else [np.arange(len(items))]
+        order = items["item_id"].reset_index(drop=True).sort_values(kind="stable", na_position="first").index.to_numpy()  # ties go to the smaller id
+        rank = np.empty(len(order), int)
+        rank[order] = np.arange(len(order))
+        numbers = items["block"].to_numpy()[order] if "block" in items else np.zeros(len(order), int)
+        blocks = [order[at] for _, at in sorted(pd.Series(numbers).groupby(numbers).indices.items())]
         wants = np.ones((len(queries), len(blocks)), bool)
         if "wants" in queries:
             bits = np.frombuffer(b"".join(queries["wants"]), "uint8").reshape(len(queries), -1)
             wants = np.unpackbits(bits, axis=1, count=len(blocks)).astype(bool)
-        a, b = np.stack(items["v"].to_numpy()), np.stack(queries["v"].to_numpy())
+        a, b = (np.stack(t["v"].to_numpy()) if x is None else x for t, x in ((items, a), (queries, b)))
         with np.errstate(over="ignore", invalid="ignore"):  # nothing is near what is not a number, or too large for one
             good, asks = np.isfinite(_squares(a)), np.isfinite(_squares(b))
         blocks = [at[good[at]] for at in blocks]
         wants &= asks[:, None]
         if not good.any() or not asks.any():
             return none
-        a[~good], b[~asks] = 0.0, 0.0
+        a, b = (x if ok.all() else np.where(ok[:, None], x, 0.0) for x, ok in ((a, good), (b, asks)))
         screen = _Screen(a, b, metric)
         code, own, m = np.zeros(len(a), int), np.full(len(b), -1), k
         if drop_self:
@@ -151,9 +155,9 @@ def _search(k: int, metric: str, drop_self: bool):
             who, r = row[new], np.cumsum(new) - 1
             n = np.bincount(r) + k
             r = np.concatenate([np.repeat(np.arange(len(who)), k), r])
-            near, col = np.concatenate([close[who].ravel(), near]), np.concatenate([place[who].ravel(), col])
-            order = np.lexsort((col, -near, r))
-            best = order[np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) < k]
+            near, col = np.concatenate([close[who].ravel(), near]), np.concatenate([place[who].ravel(), rank[col]])
+            by = np.lexsort((col, -near, r))
+            best = by[np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) < k]
             close[who], place[who] = near[best].reshape(-1, k), col[best].reshape(-1, k)
 
         for i, at in enumerate(blocks):
@@ -181,7 +185,27 @@ def _search(k: int, metric: str, drop_self: bool):
                 keep(who[row], at[col])
         row, j = np.nonzero(close > -np.inf)
         found = close[row, j] if metric == "cosine" else -np.sqrt(np.maximum(-close[row, j], 0.0))
-        return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[row], "item_id": items["item_id"].to_numpy()[place[row, j]], "closeness": found})
+        return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[row], "item_id": items["item_id"].to_numpy()[order[place[row, j]]], "closeness": found})
+
+    return run
+
+
+def _matrix(v: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as they lie in Arrow's memory: not copied if they came in one piece."""
+    v = v.combine_chunks()
+    if len(set(np.diff(v.offsets.to_numpy()))) > 1:
+        raise ValueError("vectors differ in length")
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, 0))
+
+
+def _search_tables(k: int, metric: str, drop_self: bool):
+    """``_search`` of Arrow tables."""
+    search = _search(k, metric, drop_self)
+
+    def run(items: pa.Table, queries: pa.Table) -> pa.Table:
+        found = search(items.drop_columns("v").to_pandas(), queries.drop_columns("v").to_pandas(), _matrix(items["v"]), _matrix(queries["v"]))
+        kind = [("query_id", queries.schema.field("query_id").type), ("item_id", items.schema.field("item_id").type), ("closeness", pa.float64())]
+        return pa.Table.from_pandas(found, pa.schema(kind), preserve_index=False)
 
     return run
 
@@ -330,8 +354,8 @@ def _meet(cells: Cells, queries: DataFrame, visits: DataFrame, k: int, drop_self
     i = cells.items.join(placed, ["cell", "ib"]).join(plan, "unit").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
     kind = dict(cells.items.dtypes)["item_id"], dict(queries.dtypes)["query_id"]
     g = ["unit", "qb"]
-    return i.select(*g, "block", "item_id", "v").groupBy(*g).cogroup(q.select(*g, "query_id", "v", "wants", *known).groupBy(*g)).applyInPandas(
-        _search(k, cells.metric, drop_self), f"query_id {kind[1]}, item_id {kind[0]}, closeness double"
+    return i.select(*g, "block", "item_id", "v").groupBy(*g).cogroup(q.select(*g, "query_id", "v", "wants", *known).groupBy(*g)).applyInArrow(
+        _search_tables(k, cells.metric, drop_self), f"query_id {kind[1]}, item_id {kind[0]}, closeness double"
     )
 
 
