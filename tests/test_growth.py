@@ -197,3 +197,19 @@ def test_vectors_are_normalised_in_one_pass(spark):
     out = similar.normalise(d, "v")
     assert "sqrt(aggregate" not in plan(out).lower()
     assert [r["v"] for r in out.orderBy("id").collect()] == [[0.6, 0.8], [0.0, 0.0], [0.1, 0.0], None, [1.0 / 1e-8, None]]
+
+
+def test_with_a_bound_no_block_is_partitioned(monkeypatch):
+    """Once it is known how close a k-th item is, the others are compared with it in single precision and nothing else is done for them."""
+    import pandas as pd
+
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(700, 6))
+    frame = pd.DataFrame({"item_id": range(700), "v": list(v)})
+    queries = frame.rename(columns={"item_id": "query_id"})
+    for metric in ("l2", "cosine"):
+        got = similar._search(5, metric, True)(frame, queries)
+        bound = queries.assign(least=got.groupby("query_id")["closeness"].min().to_numpy())
+        with monkeypatch.context() as m:
+            m.setattr(np, "partition", None)
+            assert similar._search(5, metric, True)(frame, bound).equals(got)
